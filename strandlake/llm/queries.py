@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import langid, packing
+from strandlake.llm import avi_mjpeg, decontam, kneser_ney, langid, packing, quality, secrets, simhash_vp, suffix_levels, warc_chunks
 from strandlake.session import table
 
 
@@ -14,13 +14,45 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score(table(spark, sf_dir, "documents"))
+
+
+def op5_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_chunks.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_levels.dedup(table(spark, sf_dir, "documents"))
+
+
+def op8_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi_mjpeg.digests(table(spark, sf_dir, "documents"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_vp.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_language_id": op1_language_id,
-    "op10_packing": op10_packing,
+    f.__name__: f
+    for f in (op1_language_id, op2_secret_scan, op3_decontamination, op4_kneser_ney, op5_warc_chunks, op6_quality, op7_suffix_dedup, op8_avi_media, op9_simhash, op10_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
