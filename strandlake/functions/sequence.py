@@ -32,10 +32,21 @@ def gc_content(seq: Column) -> Column:
     return F.when(F.length(seq) > 0, hits / F.length(seq)).otherwise(0.0)
 
 
+def _bytes_once(seq: Column, function) -> Column:
+    """Applies ``function`` to the sequence's bytes, which are taken once: substrings of bytes cost their own length, those of strings the way there."""
+    return F.element_at(F.transform(F.array(seq.cast("binary")), function), 1)
+
+
+def _slice(data: Column, start: Column, size: int) -> Column:
+    """``size`` bytes from the 1-based ``start``, as a string."""
+    return F.substring(data, start, size).cast("string")
+
+
 def kmers(seq: Column, k: int) -> Column:
-    """All substrings of length k, in order."""
+    """All substrings of length k of an ASCII sequence, in order."""
     n = F.length(seq) - k + 1
-    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(seq, i, k))).otherwise(F.array().cast("array<string>"))
+    found = _bytes_once(seq, lambda b: F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: _slice(b, i, k)))
+    return F.when(n >= 1, found).otherwise(F.array().cast("array<string>"))
 
 
 def canonical(kmer: Column) -> Column:
@@ -53,7 +64,7 @@ def windows(seq: Column, size: int, step: int) -> Column:
     """(start, window) structs of the whole windows; partial ones at the end are left out."""
     last = F.length(seq) - size
     starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.substring(seq, s + 1, size).alias("window")))
+    return _bytes_once(seq, lambda b: F.transform(starts, lambda s: F.struct(s.alias("start"), _slice(b, s + 1, size).alias("window"))))
 
 
 def positional_windows(n: Column, size: int, overlap: int) -> Column:
@@ -84,10 +95,15 @@ def is_rip(window: Column) -> Column:
 
 def translate_codons(seq: Column, frame: int = 0) -> Column:
     """The amino acids of a reading frame, X for codons with other letters and * for stops."""
-    codes = F.create_map(*[F.lit(x) for i, a in enumerate(BASES) for j, b in enumerate(BASES) for k, c in enumerate(BASES) for x in (a + b + c, AMINO_ACIDS[16 * i + 4 * j + k])])
     n = F.floor((F.length(seq) - frame) / 3).cast("int")
-    parts = F.when(n >= 1, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.coalesce(F.try_element_at(codes, F.substring(seq, i * 3 + frame + 1, 3)), F.lit("X")))).otherwise(F.array().cast("array<string>"))
-    return F.array_join(parts, "")
+
+    def amino(b: Column, i: Column) -> Column:
+        at = [F.instr(F.lit(BASES), _slice(b, i * 3 + frame + 1 + j, 1)) for j in range(3)]
+        known = (at[0] > 0) & (at[1] > 0) & (at[2] > 0)
+        return F.when(known, F.substring(F.lit(AMINO_ACIDS), 16 * (at[0] - 1) + 4 * (at[1] - 1) + at[2], 1)).otherwise("X")
+
+    parts = _bytes_once(seq, lambda b: F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: amino(b, i)))
+    return F.when(n >= 1, F.array_join(parts, "")).otherwise("")
 
 
 def longest_orf(seq: Column, frame: int = 0) -> Column:
@@ -98,7 +114,7 @@ def longest_orf(seq: Column, frame: int = 0) -> Column:
 def gc3(seq: Column, frame: int) -> Column:
     """The share of G and C at third codon positions of a frame, null below 31 codons."""
     n = F.floor((F.length(seq) - frame) / 3).cast("int")
-    thirds = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.substring(seq, i * 3 + frame + 3, 1))
+    thirds = _bytes_once(seq, lambda b: F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: _slice(b, i * 3 + frame + 3, 1)))
     return F.when(n > 30, F.size(F.filter(thirds, lambda b: b.isin("G", "C"))) / n)
 
 

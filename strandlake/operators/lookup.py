@@ -15,9 +15,10 @@ def name_aliases(name: Column) -> Column:
 
 def alias_join(left: DataFrame, right: DataFrame, aliases: Column, key: str, row_id: list[str]) -> DataFrame:
     """Joins each left row with the right row of its first alias that has one; ``row_id`` tells left rows apart."""
+    record = right.select(F.col(key).alias("_key"), F.struct(*right.columns).alias("_record"))
     long = left.select(*row_id, F.posexplode(aliases).alias("_rank", "_alias"))
-    hit = long.join(right, long._alias == right[key]).groupBy(*row_id).agg(F.min_by(F.struct(*[right[c] for c in right.columns]), "_rank").alias("_hit"), F.min("_rank").alias("alias_rank"))
-    return left.join(hit, row_id, "left").select(*left.columns, "alias_rank", *[F.col(f"_hit.{c}").alias(f"{c}") for c in right.columns if c not in left.columns])
+    hit = long.join(record, F.col("_alias") == F.col("_key")).groupBy(*row_id).agg(F.min_by("_record", "_rank").alias("_hit"), F.min("_rank").alias("alias_rank"))
+    return left.join(hit, row_id, "left").select(*left.columns, "alias_rank", *[F.col(f"_hit.{c}").alias(c) for c in right.columns if c not in left.columns])
 
 
 def wildcard_join(left: DataFrame, right: DataFrame, asm: str, contig: str, value: str, wildcard: str = ".") -> DataFrame:

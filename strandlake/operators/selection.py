@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,11 +55,37 @@ def run_merge(rows: DataFrame, keys: list[str], start: str, length: str, gap: in
     return marked.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias("end"), F.max(length).alias(length), F.count("*").alias("n")).drop("_island")
 
 
-def _grouped(rows: DataFrame, keys: list[str], schema: str, work) -> DataFrame:
-    def apply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return work(pdf)
+def _scanned(rows: DataFrame, keys: list[str], order: list[Column], schema, work) -> DataFrame:
+    """Streams sorted groups through ``work``: one shuffle by key, a sort, and one task that passes over its groups in turn.
 
-    return rows.groupBy(*keys).applyInPandas(apply, schema)
+    ``work(table)`` gets an Arrow table of some whole groups with their edges (row numbers, n+1) and returns an Arrow table. Only
+    one group has to fit in memory; small ones come many at once.
+    """
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def edges(table: pa.Table) -> np.ndarray:
+            new = np.zeros(max(0, len(table) - 1), bool)
+            for k in keys:
+                column = table.column(k).combine_chunks()
+                new |= pc.fill_null(pc.not_equal(column[1:], column[:-1]), True).to_numpy(zero_copy_only=False).astype(bool) & ~(column[1:].is_null().to_numpy(zero_copy_only=False) & column[:-1].is_null().to_numpy(zero_copy_only=False))
+            return np.concatenate([[0], np.flatnonzero(new) + 1, [len(table)]])
+
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            if not len(table):
+                continue
+            cuts = edges(table)
+            if len(cuts) > 2:
+                yield from work(table.slice(0, cuts[-2]), cuts[:-1]).to_batches()
+                held = table.slice(cuts[-2]).to_batches()
+        if held and (table := pa.Table.from_batches(held)).num_rows:
+            yield from work(table, edges(table)).to_batches()
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys, *order).mapInArrow(apply, schema)
 
 
 def non_overlapping(rows: DataFrame, keys: list[str], start: str, end: str, score: str, slop: int = 20) -> DataFrame:
@@ -65,41 +93,44 @@ def non_overlapping(rows: DataFrame, keys: list[str], start: str, end: str, scor
 
     Ties go to the earlier, then the shorter interval. A group is one contig, type and reference: rows of one sequence only.
     """
-    columns = rows.columns
+    rest = [c for c in rows.columns if c not in (score, start, end, *keys)]
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, start, end, *[c for c in columns if c not in (score, start, end)]], ascending=[False] + [True] * (len(columns) - 1), kind="stable")
-        s, e = pdf[start].to_numpy(np.int64), pdf[end].to_numpy(np.int64)
-        starts, ends, keep = [], [], np.zeros(len(pdf), bool)
-        for i, (a, b) in enumerate(zip(s.tolist(), e.tolist(), strict=True)):
-            at = bisect.bisect_left(starts, a)
-            if (at == 0 or ends[at - 1] + slop < a) and (at == len(starts) or b + slop < starts[at]):
-                starts.insert(at, a)
-                ends.insert(at, b)
-                keep[i] = True
-        return pdf[keep]
+    def work(table: pa.Table, cuts: np.ndarray) -> pa.Table:
+        s, e, keep = table.column(start).to_pylist(), table.column(end).to_pylist(), np.zeros(len(table), bool)
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            starts: list[int] = []
+            ends: list[int] = []
+            for i in range(low, high):
+                a, b = s[i], e[i]
+                at = bisect.bisect_left(starts, a)
+                if (at == 0 or ends[at - 1] + slop < a) and (at == len(starts) or b + slop < starts[at]):
+                    starts.insert(at, a)
+                    ends.insert(at, b)
+                    keep[i] = True
+        return table.filter(pa.array(keep))
 
-    return _grouped(rows, keys, rows.schema, work)
+    return _scanned(rows, keys, [F.col(score).desc(), F.col(start), F.col(end), *map(F.col, rest)], rows.schema, work)
 
 
 def greedy_clusters(rows: DataFrame, keys: list[str], position: str, tolerance: int) -> DataFrame:
-    """Single pass in order of position: a row joins the first open cluster whose first member lies within ``tolerance``.
+    """Single pass in order of position: a row joins the open cluster if its first member lies within ``tolerance``.
 
-    Written as islands would be if chained distance counted; here it is the distance to a cluster's first row, so a scan is needed.
+    Islands would chain distances; here it is the distance to a cluster's first row, so a scan is needed.
     """
-    schema = rows.schema
+    rest = [c for c in rows.columns if c not in (position, *keys)]
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([position, *[c for c in pdf.columns if c != position]], kind="stable")
-        heads, out = None, []
-        for i, p in enumerate(pdf[position].tolist()):
-            if heads is None or p - heads > tolerance:
-                heads, n = p, i
-            out.append(n)
-        return pdf.assign(cluster=np.asarray(out, np.int64))
+    def work(table: pa.Table, cuts: np.ndarray) -> pa.Table:
+        places, out = table.column(position).to_pylist(), []
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            head, number = None, -1
+            for i in range(low, high):
+                if head is None or places[i] - head > tolerance:
+                    head, number = places[i], number + 1
+                out.append(number)
+        return table.append_column("cluster", pa.array(out, pa.int64()))
 
-    full = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", cluster bigint"
-    return _grouped(rows, keys, full, work)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", cluster bigint"
+    return _scanned(rows, keys, [F.col(position), *map(F.col, rest)], fields, work)
 
 
 def greedy_match(truth: DataFrame, calls: DataFrame, keys: list[str], tolerance: int, length_share: float) -> DataFrame:
@@ -109,25 +140,32 @@ def greedy_match(truth: DataFrame, calls: DataFrame, keys: list[str], tolerance:
     ends are free. Candidate pairs are searched in sorted positions, never all against all. Returns keys, truth_id, call_id, distance.
     """
     both = truth.select(*keys, F.lit(0).alias("side"), "id", "pos", "len").union(calls.select(*keys, F.lit(1).alias("side"), "id", "pos", "len"))
-    fields = ", ".join(f"`{k}` {truth.schema[k].dataType.simpleString()}" for k in keys)
 
-    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t, c = pdf[pdf.side == 0].sort_values(["pos", "id"]), pdf[pdf.side == 1].sort_values(["pos", "id"])
-        low, high = np.searchsorted(c.pos, t.pos.to_numpy() - tolerance), np.searchsorted(c.pos, t.pos.to_numpy() + tolerance, side="right")
-        n = high - low
-        ti = np.repeat(np.arange(len(t)), n)
-        ci = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        dp, tl, cl = np.abs(t.pos.to_numpy()[ti] - c.pos.to_numpy()[ci]), t.len.to_numpy()[ti], c.len.to_numpy()[ci]
-        near = np.abs(tl - cl) <= length_share * np.maximum(1, tl)
-        ti, ci, d = ti[near], ci[near], (dp + np.abs(tl - cl))[near]
-        tid, cid = t.id.to_numpy()[ti], c.id.to_numpy()[ci]
-        used_t, used_c, out = set(), set(), []
-        for j in np.lexsort((cid, tid, d)).tolist():
-            if tid[j] not in used_t and cid[j] not in used_c:
-                used_t.add(tid[j])
-                used_c.add(cid[j])
-                out.append((*key, tid[j], cid[j], int(d[j])))
-        return pd.DataFrame(out, columns=[*keys, "truth_id", "call_id", "distance"])
-
-    return both.groupBy(*keys).applyInPandas(work, f"{fields}, truth_id bigint, call_id bigint, distance bigint")
+    def work(table: pa.Table, cuts: np.ndarray) -> pa.Table:
+        side, ids, pos, size = (table.column(c).to_numpy() for c in ("side", "id", "pos", "len"))
+        rows, t_out, c_out, d_out = [], [], [], []
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            middle = low + int(np.searchsorted(side[low:high], 1))
+            if middle in (low, high):
+                continue
+            first = middle + np.searchsorted(pos[middle:high], pos[low:middle] - tolerance)
+            n = middle + np.searchsorted(pos[middle:high], pos[low:middle] + tolerance, side="right") - first
+            ti = np.repeat(np.arange(low, middle), n)
+            ci = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            near = np.abs(size[ti] - size[ci]) <= length_share * np.maximum(1, size[ti])
+            ti, ci = ti[near], ci[near]
+            d = np.abs(pos[ti] - pos[ci]) + np.abs(size[ti] - size[ci])
+            used: set[int] = set()
+            for j in np.lexsort((ids[ci], ids[ti], d)).tolist():
+                a, b = int(ti[j]), int(ci[j])
+                if a not in used and b not in used:
+                    used |= {a, b}
+                    rows.append(a)
+                    t_out.append(int(ids[a]))
+                    c_out.append(int(ids[b]))
+                    d_out.append(int(d[j]))
+        kept = table.select(keys).take(pa.array(rows, pa.int64()))
+        return kept.append_column("truth_id", pa.array(t_out, pa.int64())).append_column("call_id", pa.array(c_out, pa.int64())).append_column("distance", pa.array(d_out, pa.int64()))
 
+    fields = ", ".join(f"`{k}` {truth.schema[k].dataType.simpleString()}" for k in keys)
+    return _scanned(both, keys, [F.col("side"), F.col("pos"), F.col("id")], f"{fields}, truth_id bigint, call_id bigint, distance bigint", work)

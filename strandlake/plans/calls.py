@@ -90,15 +90,15 @@ def interval_merge_islands(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH {_CALLS}, p AS (SELECT DISTINCT o_orderkey % 1000 AS contig, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS at FROM orders),
+    f"""WITH {_CALLS}, p AS (SELECT DISTINCT o_orderkey % 1000 AS contig, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS place FROM orders),
     s AS (SELECT contig % 1000 AS contig, pos, "end" FROM calls WHERE svtype = 'DEL')
-    SELECT p.contig, at, count(s.pos) AS stabbed FROM p LEFT JOIN s ON p.contig = s.contig AND s.pos <= at AND s."end" >= at GROUP BY ALL"""
+    SELECT p.contig, place, count(s.pos) AS stabbed FROM p LEFT JOIN s ON p.contig = s.contig AND s.pos <= place AND s."end" >= place GROUP BY ALL"""
 )
 def stab_count(t: Tables) -> DataFrame:
     """How many deletions hold each point; running sums of begun and ended intervals."""
     spans = calls(t).filter("svtype = 'DEL'").select((F.col("contig") % 1000).alias("contig"), "pos", "end")
-    points = t.orders.select((F.col("o_orderkey") % 1000).alias("contig"), F.datediff("o_orderdate", F.lit("1992-01-01")).cast("long").alias("at"))
-    return intervals.stab_counts(points, spans, "contig", "at", "pos", "end")
+    points = t.orders.select((F.col("o_orderkey") % 1000).alias("contig"), F.datediff("o_orderdate", F.lit("1992-01-01")).cast("long").alias("place"))
+    return intervals.stab_counts(points, spans, "contig", "place", "pos", "end")
 
 
 @query(
