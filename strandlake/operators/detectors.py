@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlake.operators.calling import reverse_complement
 
@@ -104,7 +105,7 @@ def element_class(seq: str | None, clade_gc: float, tax_class: str | None = None
     return next((name for name, test in tests if test()), "NONE")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def element_class_of(seq: pd.Series, clade_gc: pd.Series, tax_class: pd.Series) -> pd.Series:
     return pd.Series([element_class(s, g, c) for s, g, c in zip(seq, clade_gc, tax_class, strict=True)])
 
@@ -245,7 +246,7 @@ def off_reference_windows(query: str, overlaps, least: int = 250, min_sv: int =
     return [tuple(o[:4]) for o in out if not (o[3] == "NOVEL_WEAK" and o[4] == 1)]
 
 
-@F.pandas_udf("array<struct<pos:int,hash:bigint>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("hash", T.LongType())])))
 def open_syncmers(seqs: pd.Series) -> pd.Series:
     """Positions and hashes of the 21-mers whose smallest 11-mer (the last of equal ones) stands at offset 2."""
     from strandlake.functions.stats import fnv1a
@@ -266,7 +267,7 @@ def open_syncmers(seqs: pd.Series) -> pd.Series:
     return seqs.map(one)
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def minimizers(seqs: pd.Series) -> pd.Series:
     """The hashes of the smallest canonical 15-mer of each window of 100, at most 192 a read (the smallest ones)."""
     from strandlake.operators.calling import _seeds
