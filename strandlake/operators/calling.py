@@ -123,12 +123,14 @@ def best_chain(mems: np.ndarray, band: int) -> list[int]:
 
 
 def classify_all(chain: np.ndarray, min_sv: int) -> list[tuple[str, int, int, int, int, int]]:
-    """An event for each consecutive pair whose gaps differ by ``min_sv``: type, query span, reference span, length."""
+    """An event for each consecutive pair whose gaps differ by ``min_sv``, or that goes back in the reference: type, query span, reference span, length."""
     out = []
     for (q0, r0, n0), (q1, r1, _) in zip(chain[:-1].tolist(), chain[1:].tolist(), strict=True):
         qa, ra = q0 + n0, r0 + n0
         delta = (q1 - qa) - (r1 - ra)
-        if abs(delta) >= min_sv:
+        if r1 - ra <= -min_sv <= q1 - qa:  # the reference is read again: a tandem copy
+            out.append(("DUP", qa, qa + delta, r1, ra, delta))
+        elif abs(delta) >= min_sv:
             kind = "INS" if delta > 0 else "DEL"
             # matches may overlap at the edges of a repeat; the event then begins where the earlier one ends
             out.append((kind, min(qa, q1), max(qa, q1), min(ra, r1), max(ra, r1), abs(delta)))
@@ -184,7 +186,7 @@ def call_pair(query: str, reference: str, params: CallParams = CallParams(), sam
             continue
         if kind == "DEL" and any(c[0] == "INV" and c[1] <= qb + 1 and qa <= c[2] for c in out):
             continue
-        qn, rn = left_normalized(query, reference, qa, ra, params.normalize)
+        qn, rn = (qa, ra) if kind == "DUP" else left_normalized(query, reference, qa, ra, params.normalize)
         emit(kind, qn, qb - (qa - qn), rn, rb - (ra - rn), size)
     return sorted(out, key=lambda c: (c[1], c[0], c[2]))
 
