@@ -172,7 +172,7 @@ def test_planted_events():
     assert kinds(a + b + b + c + d) == {"DUP"}
     deletion = calling.call_pair(a + b[:100] + b[220:] + c + d, ref)[0]
     assert deletion[5] == 120 and abs(deletion[1] - 401) <= 5
-    assert {x[0] for x in calling.call_pair(b + c, ref, same_contig=False)} == {"TRA"}
+    assert {x[0] for x in calling.call_pair(b + c, ref, calling.CallParams(min_anchors=1), same_contig=False)} == {"TRA"}
     assert calling.call_pair("", ref) == [] and calling.call_pair(ref, "") == []
 
 
