@@ -5,12 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A single-machine session for tests and benchmarks; clusters bring their own."""
+    """A single-machine session for tests and benchmarks; clusters bring their own. Python workers find the package by PYTHONPATH."""
+    root = str(Path(__file__).resolve().parents[1])
+    os.environ["PYTHONPATH"] = os.pathsep.join(p for p in (root, os.environ.get("PYTHONPATH", "")) if p)
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("strandlake")
