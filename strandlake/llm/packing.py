@@ -29,7 +29,7 @@ from strandlake.session import staged
 WINDOW = 2048
 END_ID = 1
 #: Words whose ids a worker remembers before it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 #: Characters that Python's split takes for blanks and the tokenizer doesn't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Fixed value: the blanks of the tokenizer's pattern.

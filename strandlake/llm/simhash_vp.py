@@ -1,13 +1,17 @@
 """SimHash near-duplicates: exact links at small Hamming distance through sharded vantage-point trees.
 
-Each text gets a 64-bit SimHash of its word shingles (XXH64, seed 42). Equal fingerprints form one class. Two
-fingerprints within ``radius`` bits agree within ``radius // 2`` bits in their upper or their lower half, and Hamming
-distance is a metric on either half, so there is one vantage-point tree for each half. A tree is fitted on a bounded
+Each text gets a 64-bit SimHash of its word shingles (XXH64, seed 42). Equal fingerprints form one class. If the bits are cut
+into ``parts``, two fingerprints within ``radius`` bits agree within ``radius // parts`` bits in some part, and Hamming
+distance is a metric on each part, so there is one vantage-point tree for each part. A tree is fitted on a bounded
 sample of fingerprints; its leaves are shards. A fingerprint is stored in the one leaf that its own distances
 lead to, and it also queries every leaf whose side of a vantage sphere its ball overlaps (the triangle bound prunes
 the rest), so the two members of any linking pair meet in a shard. There the whole 64 bits are compared, and a
 shard returns a spanning forest of its links, never all pairs. Components follow by alternating stars in Spark.
 
+``keep_first`` links by similarity: candidates lie within a wider radius, and a link also asks that the share of equal
+``SHINGLE_WORDS``-word shingles (Jaccard) is ``SIMILARITY`` or more. That is read from signatures of ``BINS`` least hashes in memory-mapped
+files sorted by fingerprint: exact for texts of few shingles, with a standard error under 0.02 for long ones.
+
 A null text is empty; a text without words has fingerprint zero. Repeated rows come back as often as they came, all
 with one component. A null doc_id is never the smallest, and a component of null ids alone has a null id.
 An empty table gives no row; other columns are ignored.
@@ -25,11 +29,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.components import components
+from strandlake.llm.kneser_ney import _folder as local_folder
+from strandlake.llm.kneser_ney import mapped, save
+from strandlake.llm.text import prefix_hash, span_hash
 from strandlake.session import staged
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 3
+PARTS = 2
+#: Near-duplicates by similarity: words of the fingerprint's shingles, radius and parts of the candidates; words and share of the check.
+WIDE_SHINGLE, WIDE_RADIUS, WIDE_PARTS = 2, 9, 5
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
+BINS = 512
+#: Signatures that are compared at once.
+COMPARED = 16_384
 #: Distinct fingerprints on which a tree is fitted, at most.
 SAMPLE = 16_384
 #: Fingerprints that a leaf should store.
@@ -63,15 +77,92 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(votes * 2 > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def signature(text: str | None, width: int = SHINGLE_WORDS) -> np.ndarray:
+    """The least hash of the text's distinct shingles in each bin, 0 for an empty bin."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    least = np.full(BINS, 1 << 16, np.uint32)
+    for at in range(0, max(1, len(words) - width + 1) if words else 0, CHUNK_WORDS):
+        some = words[at : at + CHUNK_WORDS + width - 1]
+        ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        n = max(1, len(some) - width + 1)
+        h = span_hash(prefix_hash(np.frombuffer(b" ".join(some), np.uint8)), starts[:n], ends[width - 1 :] if len(some) >= width else ends[-1:])
+        np.minimum.at(least, (h % np.uint64(BINS)).astype(np.int64), ((h >> np.uint64(16)) % np.uint64(65535)).astype(np.uint32) + 1)
+    return np.where(least < 1 << 16, least, 0).astype("<u2")
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The estimated Jaccard similarity of rows of signatures."""
+    either = ((a > 0) | (b > 0)).sum(axis=1)
+    return ((a == b) & (a > 0)).sum(axis=1) / np.maximum(1, either)
+
+
+def similarity_of(text: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Whether pairs of rows of a signature table are similar enough."""
+    out = np.zeros(len(i), bool)
+    for at in range(0, len(i), COMPARED):
+        some = slice(at, at + COMPARED)
+        out[some] = similarity(text[i[some]], text[j[some]]) >= least
+    return out
+
+
+def fingerprints(docs: DataFrame, width: int = SHINGLE, signed: bool = False) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long; with the signature if ``signed``."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
-
-    return docs.select("doc_id", "text").mapInArrow(apply, docs.select("doc_id").schema.add("fp", "long"))
+            for at in range(0, len(batch), 1024):
+                texts = [t.as_py() for t in batch.column(1).slice(at, 1024)]
+                found = np.array([fingerprint(t, width) for t in texts], np.uint64)
+                out = [batch.column(0).slice(at, 1024), pa.array(found.view(np.int64))]
+                if signed:
+                    out.append(pa.array([signature(t).tobytes() for t in texts], pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "fp", "signature"][: len(out)])
+
+    schema = docs.select("doc_id").schema.add("fp", "long")
+    return docs.select("doc_id", "text").mapInArrow(apply, schema.add("signature", "binary") if signed else schema)
+
+
+class Signatures:
+    """Memory-mapped signatures by fingerprint, in files by ranges of the fingerprint."""
+
+    def __init__(self, folder: str, shards: int):
+        self.folder, self.edges = folder, (np.arange(shards, dtype=object) * (1 << 64) // shards).astype(np.uint64)
+
+    def of(self, fps: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(fps), BINS), "<u2")
+        shard = np.searchsorted(self.edges, fps, side="right") - 1
+        for k in np.unique(shard).tolist():
+            own = np.flatnonzero(shard == k)
+            out[own] = mapped(self.folder, f"signatures-{k}")[np.searchsorted(mapped(self.folder, f"fps-{k}"), fps[own])]
+        return out
+
+    @classmethod
+    def write(cls, marked: DataFrame) -> Signatures:
+        """Files of one signature for each fingerprint: that of the smallest id."""
+        spark = marked.sparkSession
+        shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        made = cls(local_folder(spark), shards)
+
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list[tuple[int, bytes]]] = {}
+            for batch in batches:
+                for k, fp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    held.setdefault(k, []).append((fp & 0xFFFFFFFFFFFFFFFF, text))
+            for k, rows in held.items():
+                rows.sort()
+                save(made.folder, f"fps-{k}", np.array([r[0] for r in rows], np.uint64))
+                save(made.folder, f"signatures-{k}", np.frombuffer(b"".join(r[1] for r in rows), "<u2").reshape(-1, BINS))
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32())], names=["shard"])
+
+        one = marked.groupBy("fp").agg(F.min_by("signature", F.struct("doc_id", "signature")).alias("signature"))
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                fps = batch.column(0).to_numpy().view(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array((np.searchsorted(made.edges, fps, side="right") - 1).astype(np.int32)), batch.column(0), batch.column(1)], names=["shard", "fp", "signature"])
+
+        one.mapInArrow(place, "shard int, fp long, signature binary").repartition(shards, "shard").mapInArrow(apply, "shard int").collect()
+        return made
 
 
 @dataclass
@@ -84,22 +175,22 @@ class Node:
 
 
 class Tree:
-    """A vantage-point tree over one half of the fingerprints, of which only the routing is kept."""
+    """A vantage-point tree over one part of the fingerprints' bits, of which only the routing is kept."""
 
-    def __init__(self, shift: int, sample: np.ndarray, rows: int, leaf: int, reach: int, seed: int = 7):
-        self.shift, self.reach, self.leaves = shift, reach, 0
+    def __init__(self, shift: int, bits: int, sample: np.ndarray, rows: int, leaf: int, reach: int, seed: int = 7):
+        self.shift, self.bits, self.reach, self.leaves = shift, bits, reach, 0
         self.random = np.random.default_rng(seed + shift)
-        self.root = self._grow(self.half(sample), rows / max(1, len(sample)), leaf)
+        self.root = self._grow(self.part(sample), rows / max(1, len(sample)), leaf)
 
-    def half(self, fps: np.ndarray) -> np.ndarray:
-        return ((fps >> np.uint64(self.shift)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    def part(self, fps: np.ndarray) -> np.ndarray:
+        return ((fps >> np.uint64(self.shift)) & np.uint64((1 << self.bits) - 1)).astype(np.uint32)
 
-    def _grow(self, halves: np.ndarray, each: float, leaf: int) -> Node:
+    def _grow(self, parts: np.ndarray, each: float, leaf: int) -> Node:
         best = None
-        if len(halves) * each > leaf and len(halves) > 4:
+        if len(parts) * each > leaf and len(parts) > 4:
             for _ in range(4):
-                vantage = halves[self.random.integers(len(halves))]
-                d = np.bitwise_count(halves ^ vantage)
+                vantage = parts[self.random.integers(len(parts))]
+                d = np.bitwise_count(parts ^ vantage)
                 within = int(np.median(d))
                 inside = int((d <= within).sum())
                 # fewer points on the boundary, and an even split, make a better vantage point
@@ -110,11 +201,11 @@ class Tree:
             self.leaves += 1
             return Node(leaf=self.leaves - 1)
         _, vantage, within, inside = best
-        return Node(int(vantage), within, self._grow(halves[inside], each, leaf), self._grow(halves[~inside], each, leaf))
+        return Node(int(vantage), within, self._grow(parts[inside], each, leaf), self._grow(parts[~inside], each, leaf))
 
     def route(self, fps: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Of each leaf that is reached: its number, the rows that query it, and which of them it stores."""
-        halves = self.half(fps)
+        parts = self.part(fps)
         stack = [(self.root, np.arange(len(fps)), np.ones(len(fps), bool))]
         while stack:
             node, rows, home = stack.pop()
@@ -123,14 +214,17 @@ class Tree:
             if node.inner is None:
                 yield node.leaf, rows, home
                 continue
-            d = np.bitwise_count(halves[rows] ^ np.uint32(node.vantage)).astype(np.int16)
+            d = np.bitwise_count(parts[rows] ^ np.uint32(node.vantage)).astype(np.int16)
             low, high = d - self.reach <= node.within, d + self.reach > node.within
             stack.append((node.inner, rows[low], (home & (d <= node.within))[low]))
             stack.append((node.outer, rows[high], (home & (d > node.within))[high]))
 
 
-def forest(stored: np.ndarray, asking: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links in a shard, each member hooked to the smallest of its tree."""
+def forest(stored: np.ndarray, asking: np.ndarray, radius: int, signatures: Signatures | None = None, least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links in a shard, each member hooked to the smallest of its tree.
+
+    With signatures a link needs both the radius and the similarity.
+    """
     step = max(1, CELLS // max(1, len(asking)))
     linked_a, linked_s = np.zeros(len(asking), bool), np.zeros(len(stored), bool)
     for at in range(0, len(stored), step):
@@ -139,16 +233,31 @@ def forest(stored: np.ndarray, asking: np.ndarray, radius: int) -> tuple[np.ndar
         linked_s[at : at + step] = near.any(axis=1)
         linked_a |= near.any(axis=0)
     left = np.union1d(stored[linked_s], asking[linked_a])
+    text = signatures.of(left) if signatures is not None and len(left) else None
+
+    def linked(front: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Which of the rows ``rest`` link to any of the rows ``front``."""
+        step, found = max(1, CELLS // len(rest)), np.zeros(len(rest), bool)
+        for at in range(0, len(front), step):
+            open_ = np.flatnonzero(~found)
+            near = np.bitwise_count(left[front[at : at + step], None] ^ left[rest[open_]][None, :]) <= radius
+            if text is None:
+                found[open_] |= near.any(axis=0)
+            else:
+                i, j = np.nonzero(near)
+                alike = similarity_of(text, front[at : at + step][i], rest[open_[j]], least)
+                found[open_[j[alike]]] = True
+        return found
+
     a, b = [], []
-    while len(left):
-        front, tree, left = left[:1], [left[:1]], left[1:]
-        while len(front) and len(left):
-            step, found = max(1, CELLS // len(left)), np.zeros(len(left), bool)
-            for at in range(0, len(front), step):
-                found |= (np.bitwise_count(front[at : at + step, None] ^ left[None, :]) <= radius).any(axis=0)
-            front, left = left[found], left[~found]
+    rest = np.arange(len(left))
+    while len(rest):
+        front, tree, rest = rest[:1], [rest[:1]], rest[1:]
+        while len(front) and len(rest):
+            found = linked(front, rest)
+            front, rest = rest[found], rest[~found]
             tree.append(front)
-        members = np.concatenate(tree)
+        members = left[np.concatenate(tree)]
         if len(members) > 1:
             a.append(members[1:])
             b.append(np.full(len(members) - 1, members[0]))
@@ -156,17 +265,18 @@ def forest(stored: np.ndarray, asking: np.ndarray, radius: int) -> tuple[np.ndar
     return (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
 
 
-def links(classes: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
-    """a, b: links that span the components of the distinct fingerprints ``fp`` at ``radius`` bits or fewer."""
+def links(classes: DataFrame, radius: int = RADIUS, parts: int = PARTS, signatures: Signatures | None = None, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
+    """a, b: links that span the components of the distinct fingerprints ``fp`` at ``radius`` bits or fewer (and of similar texts)."""
     spark = classes.sparkSession
     rows = classes.count()
     picked = classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
     points = np.array([r["fp"] for r in picked], np.int64).view(np.uint64)
-    trees = [Tree(shift, points, rows, leaf, radius // 2) for shift in (0, 32)]
+    cuts = [64 * k // parts for k in range(parts + 1)]
+    trees = [Tree(low, high - low, points, rows, leaf, radius // parts) for low, high in zip(cuts[:-1], cuts[1:], strict=True)]
     shared = spark.sparkContext.broadcast(trees)
-    #: A level of a tree sends about a third of what reaches it to both sides.
-    sent = rows * 2 * 1.35 ** np.log2(max(2.0, rows / leaf)) * 16
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(sent / (24 << 20)) + 1)
+    # a level of a tree sends a third or more of what reaches it to both sides; a ball of one bit reaches as many leaves as it has points at most
+    sent = rows * parts * min(1.4 ** np.log2(max(2.0, rows / leaf)), 2.0 + 64 / parts) * 16
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(sent / (24 << 20)) + 1)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def send(fps: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -193,19 +303,20 @@ def links(classes: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, leaf:
                 own[1].append(asking)
         while shards:
             _, own = shards.popitem()
-            a, b = forest(*(np.frombuffer(b"".join(x), np.uint64) for x in own), radius)
+            a, b = forest(*(np.frombuffer(b"".join(x), np.uint64) for x in own), radius, signatures)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     routed = classes.select("fp").mapInArrow(route, "tree int, leaf int, stored binary, asking binary")
-    return routed.repartition(parts, "tree", "leaf").mapInArrow(compare, "a long, b long")
+    return routed.repartition(tasks, "tree", "leaf").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, parts: int = PARTS, by_similarity: bool = False) -> DataFrame:
     """doc_id, fingerprint, component_id for every document."""
-    marked = staged(fingerprints(docs, width), "simhash")
+    marked = staged(fingerprints(docs, width, by_similarity), "simhash")
+    signatures = Signatures.write(marked) if by_similarity else None
     classes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
-    roots = components(links(classes, radius))
+    roots = components(links(classes, radius, parts, signatures))
     members = staged(roots.join(classes, roots.node == classes.fp).select("fp", "root", "first"), "members")
     heads = members.groupBy("root").agg(F.min("first").alias("head"))
     linked = members.join(heads, "root").select("fp", "head")
@@ -215,12 +326,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("grouped"), F.col("head")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_first(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
-    """Keeps the document with the smallest id of each component; of repeated ids one row stays.
+def keep_first(docs: DataFrame) -> DataFrame:
+    """Keeps the document with the smallest id of each group of similar documents; of repeated ids one row stays.
 
     Only ids are compared with ids: the texts move only when so many documents go that their ids can't be broadcast.
     """
-    grouped = staged(near_duplicates(docs, radius, width).select("doc_id", "component_id"), "grouped")
+    grouped = staged(near_duplicates(docs, WIDE_RADIUS, WIDE_SHINGLE, WIDE_PARTS, True).select("doc_id", "component_id"), "grouped")
     gone = staged(grouped.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct(), "gone")
     side = F.broadcast(gone) if gone.count() * 16 <= BROADCAST_BYTES else gone
     kept = docs.join(side, docs.doc_id.eqNullSafe(F.col("gone")), "left_anti")

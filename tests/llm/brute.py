@@ -124,8 +124,15 @@ def fingerprint(text, width=3):
     return sum(1 << k for k in range(64) if 2 * votes[k] > len(shingles))
 
 
-def near_duplicates(docs, radius=3):
-    marks = [fingerprint(t) for _, t in docs]
+def shingles(text, width=5):
+    w = BLANK.findall(low(text))
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def near_duplicates(docs, radius=3, width=3, least=None):
+    """Components of fingerprints within ``radius``; with ``least`` also of that Jaccard similarity of 5-word shingles."""
+    marks = [fingerprint(t, width) for _, t in docs]
+    sets = [shingles(t) for _, t in docs]
     parent = list(range(len(docs)))
 
     def find(i):
@@ -135,10 +142,11 @@ def near_duplicates(docs, radius=3):
 
     for i in range(len(docs)):
         for j in range(i):
-            if (marks[i] ^ marks[j]).bit_count() <= radius:
+            near = (marks[i] ^ marks[j]).bit_count() <= radius
+            if near and (least is None or marks[i] == marks[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])):
                 parent[find(i)] = find(j)
-    least = {}
+    first = {}
     for i, (d, _) in enumerate(docs):
         if d is not None:
-            least[find(i)] = min(d, least.get(find(i), d))
-    return [(d, f"{marks[i]:016x}", least.get(find(i))) for i, (d, _) in enumerate(docs)]
+            first[find(i)] = min(d, first.get(find(i), d))
+    return [(d, f"{marks[i]:016x}", first.get(find(i))) for i, (d, _) in enumerate(docs)]

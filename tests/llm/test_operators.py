@@ -280,6 +280,21 @@ def test_near_duplicate_links(spark):
     assert groups(edges) == groups([(a, b) for i, a in enumerate(every) for b in every[:i] if (a ^ b).bit_count() <= 3])
 
 
+def test_signatures():
+    import random
+
+    r = random.Random(7)
+    words = [f"w{r.randint(0, 10**6)}" for _ in range(4000)]
+    for n in (60, 400, 4000):
+        other = list(words[:n])
+        other[n // 2 : n // 2 + n // 20] = ["x"] * (n // 20)
+        a, b = " ".join(words[:n]), " ".join(other)
+        exact = len(brute.shingles(a) & brute.shingles(b)) / len(brute.shingles(a) | brute.shingles(b))
+        found = simhash_vp.similarity(simhash_vp.signature(a)[None], simhash_vp.signature(b)[None])[0]
+        assert abs(found - exact) < 0.05
+    assert not simhash_vp.signature(None).any()
+
+
 def test_fingerprints_agree_with_spark(spark):
     text = "one two three"
     value = spark.range(1).select(F.xxhash64(F.lit(text))).first()[0]
@@ -289,7 +304,7 @@ def test_fingerprints_agree_with_spark(spark):
 def test_keep_first(docs, empty):
     kept = simhash_vp.keep_first(docs)
     ids = sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)
-    assert kept.columns == docs.columns and ids == sorted({c for d, _, c in brute.near_duplicates(DOCS) if c is not None})
+    assert kept.columns == docs.columns and ids == sorted({c for d, _, c in brute.near_duplicates(DOCS, 9, 2, 0.8) if c is not None})
     assert simhash_vp.keep_first(empty).count() == 0
 
 
