@@ -132,7 +132,10 @@ def shingles(text, width=5):
 def near_duplicates(docs, radius=3, width=3, least=None):
     """Components of fingerprints within ``radius``; with ``least`` also of that Jaccard similarity of 5-word shingles."""
     marks = [fingerprint(t, width) for _, t in docs]
-    sets = [shingles(t) for _, t in docs]
+    heads = {}
+    for m, (d, t) in sorted(zip(marks, docs), key=lambda x: (x[1][0] is None, x[1][0] or 0)):
+        heads.setdefault(m, shingles(t))
+    sets = [heads[m] for m in marks]
     parent = list(range(len(docs)))
 
     def find(i):
