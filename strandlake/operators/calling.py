@@ -271,17 +271,20 @@ def ancestral(query: str, reference: str) -> tuple[str, int, float]:
     Equal bases are nearly sure; of two different ones the query's is kept with less confidence; a base of one side alone is kept
     with less still, and an unknown one least.
     """
-    bases, weights = [], []
-    for i in range(max(len(query), len(reference))):
-        q, r = query[i : i + 1], reference[i : i + 1]
-        known_q, known_r = q in tuple("ACGT"), r in tuple("ACGT")
-        if known_q and known_r:
-            bases.append(q)
-            weights.append(0.995 if q == r else 0.65)
-        elif known_q or known_r:
-            bases.append(q if known_q else r)
-            weights.append(0.80)
-        else:
-            bases.append("N")
-            weights.append(0.55)
-    return "".join(bases), min(len(query), len(reference)), float(np.mean(weights)) if weights else 0.0
+    n = max(len(query), len(reference))
+    q, r = (np.frombuffer(s.ljust(n, "-").encode(), np.uint8) for s in (query, reference))
+    known_q, known_r = (np.isin(x, np.frombuffer(b"ACGT", np.uint8)) for x in (q, r))
+    bases = np.where(known_q, q, np.where(known_r, r, ord("N"))).astype(np.uint8)
+    weights = np.where(known_q & known_r, np.where(q == r, 0.995, 0.65), np.where(known_q | known_r, 0.80, 0.55))
+    return bases.tobytes().decode(), min(len(query), len(reference)), float(weights.mean()) if n else 0.0
+
+
+def ancestral_rows(rows: DataFrame, key: str, query: str, reference: str) -> DataFrame:
+    """``ancestral`` of each row: key, ancestral, aligned, mean_posterior."""
+
+    def apply(batches):
+        for pdf in batches:
+            found = [ancestral(a, b) for a, b in zip(pdf[query].fillna(""), pdf[reference].fillna(""), strict=True)]
+            yield pd.DataFrame({key: pdf[key], "ancestral": [f[0] for f in found], "aligned": [f[1] for f in found], "mean_posterior": [f[2] for f in found]})
+
+    return rows.mapInPandas(apply, f"`{key}` {rows.schema[key].dataType.simpleString()}, ancestral string, aligned long, mean_posterior double")

@@ -29,27 +29,20 @@ def mem_chain_calls(t: Tables) -> DataFrame:
 
 @query()
 def element_annotation(t: Tables) -> DataFrame:
-    """Element class, boundary, captain, donor and age of each document of up to 20 kb against its clade's mean GC (kernels tested on planted elements)."""
+    """Element class, boundary, captain, donor and age of each whole document against its clade's mean GC (kernels tested on planted elements)."""
     s = sequences(t)
     mean = s.groupBy("lang").agg(F.avg(Q.gc_content(F.col("seq"))).alias("clade_gc"))
     # as many rows as there are clades
-    rows = s.join(F.broadcast(mean), "lang").withColumn("host", F.substring("seq", 1, 2000))
+    rows = s.join(F.broadcast(mean), "lang").withColumn("host", F.col("seq"))
     return detectors.annotated(rows, ["doc_id", "lang"], "seq", "host", "clade_gc")
 
 
 @query()
 def ancestral_reconstruct(t: Tables) -> DataFrame:
-    """Ancestral bases of each document's first and last 200 bases (kernel tested on literals)."""
-
-    def apply(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            found = [calling.ancestral(a, b) for a, b in zip(pdf.head_, pdf.tail_, strict=True)]
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "ancestral": [f[0] for f in found], "aligned": [f[1] for f in found], "mean_posterior": [f[2] for f in found]})
-
-    rows = sequences(t).select("doc_id", F.substring("seq", 1, 200).alias("head_"), F.substring("seq", -200, 200).alias("tail_"))
-    return rows.mapInPandas(apply, "doc_id long, ancestral string, aligned long, mean_posterior double")
+    """Ancestral bases of the two halves of each whole document (kernel tested on literals)."""
+    half = F.floor(F.length("seq") / 2).cast("int")
+    rows = sequences(t).select("doc_id", F.substring(F.col("seq"), F.lit(1), half).alias("one"), F.substring(F.col("seq"), half + 1, F.length("seq")).alias("other"))
+    return calling.ancestral_rows(rows, "doc_id", "one", "other")
 
 
 @query(

@@ -135,10 +135,10 @@ def low_complexity_words(t: Tables) -> DataFrame:
     return words.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count_if(low).alias("n_low"))
 
 
-@query(f"WITH {_SEQ_CTE} SELECT doc_id, substr(translate(reverse(seq), 'ACGT', 'TGCA'), 1, 40) AS rc_head, length(seq) AS n FROM s")
-def reverse_complement_heads(t: Tables) -> DataFrame:
-    """The first 40 bases of the other strand of whole sequences."""
-    return sequences(t).select("doc_id", F.substring(Q.reverse_complement(F.col("seq")), 1, 40).alias("rc_head"), F.length("seq").alias("n"))
+@query(f"WITH {_SEQ_CTE} SELECT doc_id, md5(translate(reverse(seq), 'ACGT', 'TGCA')) AS other_strand, length(seq) AS n FROM s")
+def reverse_complement_digests(t: Tables) -> DataFrame:
+    """Digests of the other strand of whole sequences."""
+    return sequences(t).select("doc_id", F.md5(Q.reverse_complement(F.col("seq"))).alias("other_strand"), F.length("seq").alias("n"))
 
 
 _WINDOWS = "w AS (SELECT doc_id, i AS start, substr(seq, i + 1, {size}) AS win FROM (SELECT doc_id, seq, unnest(range(0, length(seq) - {size} + 1, {step})) AS i FROM s))"
