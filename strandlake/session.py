@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,14 +44,35 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/strandlake-{label}-{uuid.uuid4().hex}"
+def scratch_path(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A new path under the shared folder; inside ``temporary`` it goes in the end unless it is to ``keep``."""
+    path = f"{shared_dir(spark)}/strandlake-{label}-{uuid.uuid4().hex}"
+    if _scopes and not keep:
+        _scopes[-1].append(path)
+    return path
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes what is staged inside when it ends, but for what is staged with ``keep``: for steps whose result no longer reads their tables."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        jvm = spark.sparkContext._jvm
+        for name in made:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def staged(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back, which cuts its lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, label)
+    path = scratch_path(df.sparkSession, label, keep)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
