@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.text import LOWER, WORD, blocks, prefix_hash, runs, span_hash
-from strandlake.session import staged
+from strandlake.session import staged, temporary
 
 WIDTH = 10
 #: Bytes of benchmark text that are broadcast together.
@@ -284,6 +284,7 @@ def proximity(docs: DataFrame, benchmark: DataFrame, slop: int) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Drops the documents that hold a window of the benchmark; their ids decide, so rows without an id stay."""
-    gone = staged(contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("gone")).distinct(), "contaminated")
+    with temporary(docs.sparkSession):
+        gone = staged(contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("gone")).distinct(), "contaminated", keep=True)
     side = F.broadcast(gone) if gone.count() * 16 <= BROADCAST_BYTES else gone
     return docs.join(side, docs.doc_id == F.col("gone"), "left_anti")

@@ -32,7 +32,7 @@ from strandlake.llm.components import components
 from strandlake.llm.kneser_ney import _folder as local_folder
 from strandlake.llm.kneser_ney import mapped, save
 from strandlake.llm.text import prefix_hash, span_hash
-from strandlake.session import staged
+from strandlake.session import staged, temporary
 
 SEED = 42
 SHINGLE = 3
@@ -331,10 +331,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Only ids are compared with ids: the texts move only when so many documents go that their ids can't be broadcast.
     """
-    grouped = staged(near_duplicates(docs, WIDE_RADIUS, WIDE_SHINGLE, WIDE_PARTS, True).select("doc_id", "component_id"), "grouped")
-    gone = staged(grouped.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    with temporary(docs.sparkSession):
+        grouped = staged(near_duplicates(docs, WIDE_RADIUS, WIDE_SHINGLE, WIDE_PARTS, True).select("doc_id", "component_id"), "grouped")
+        gone = staged(grouped.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct(), "gone", keep=True)
+        repeated = grouped.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
     side = F.broadcast(gone) if gone.count() * 16 <= BROADCAST_BYTES else gone
     kept = docs.join(side, docs.doc_id.eqNullSafe(F.col("gone")), "left_anti")
-    if grouped.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept
