@@ -4,7 +4,8 @@ Training counts hashed n-grams of every labelled document in Spark; the log-prob
 (languages x buckets, of fixed width) is broadcast, and batches are scored sparsely in numpy.
 
 Texts are lower-cased, runs of characters other than letters become one blank, and n-grams of one to three
-characters are hashed into ``BUCKETS`` counters. A text that is null or has no letter gets ``und`` and 0.0.
+characters are hashed into ``BUCKETS`` counters. The prediction and its score, the posterior, take all n-grams of a text
+at full weight. A text that is null or has no letter gets ``und`` and 0.0.
 Without any labelled row every text gets ``und``. Repeated rows are scored one by one; a null doc_id is kept,
 and its row is never learnt from. Columns other than the named ones are ignored.
 """
@@ -27,8 +28,6 @@ ORDERS = 3
 CHUNK = 1 << 20
 #: Most languages a model may have: the matrix then stays under 128 MB.
 MOST_LANGUAGES = 1024
-#: n-grams beyond which more text does not make a posterior sharper.
-EVIDENCE = 60
 
 _table: list[np.ndarray] = []
 
@@ -70,16 +69,14 @@ class Model:
     log_prob: np.ndarray
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        counts, total = None, 0
+        counts = None
         for found in buckets(text or ""):
             counts = np.bincount(found, minlength=BUCKETS) + (0 if counts is None else counts)
         if counts is None or not self.languages or not _letters()[np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)].any():
             return "und", 0.0
         used = np.flatnonzero(counts)
         weight = counts[used].astype(np.float64)
-        total = weight.sum()
-        score = weight @ self.log_prob[used]
-        score = score * (min(total, EVIDENCE) / total) + self.log_prior
+        score = weight @ self.log_prob[used] + self.log_prior
         best = int(np.argmax(score))
         return self.languages[best], float(1.0 / np.exp(score - score[best]).sum())
 
