@@ -8,9 +8,8 @@ lead to, and it also queries every leaf whose side of a vantage sphere its ball
 the rest), so the two members of any linking pair meet in a shard. There the whole 64 bits are compared, and a
 shard returns a spanning forest of its links, never all pairs. Components follow by alternating stars in Spark.
 
-``keep_first`` links by similarity: candidates lie within a wider radius, and a link also asks that the share of equal
-``SHINGLE_WORDS``-word shingles (Jaccard) is ``SIMILARITY`` or more; the text of the smallest id stands for those of equal fingerprint. That is read from signatures of ``BINS`` least hashes in memory-mapped
-files sorted by fingerprint: exact for texts of few shingles, with a standard error under 0.02 for long ones.
+A tree is fitted on a bounded sample, so its leaves grow with the table; a shard that stores more than ``OVERFULL`` leaves' worth is cut again
+by a tree of its own, inside its task and with the same bounds.
 
 A null text is empty; a text without words has fingerprint zero. Repeated rows come back as often as they came, all
 with one component. A null doc_id is never the smallest, and a component of null ids alone has a null id.
@@ -29,33 +28,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.components import components
-from strandlake.llm.kneser_ney import _folder as local_folder
-from strandlake.llm.kneser_ney import mapped, save
-from strandlake.llm.text import prefix_hash, span_hash
-from strandlake.session import staged, temporary
+from strandlake.session import staged
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 3
 PARTS = 2
-#: Near-duplicates by similarity: words of the fingerprint's shingles, radius and parts of the candidates; words and share of the check.
-WIDE_SHINGLE, WIDE_RADIUS, WIDE_PARTS = 2, 9, 5
-SHINGLE_WORDS, SIMILARITY = 5, 0.8
-BINS = 512
-#: Signatures that are compared at once.
-COMPARED = 16_384
 #: Distinct fingerprints on which a tree is fitted, at most.
 SAMPLE = 16_384
 #: Fingerprints that a leaf should store.
 LEAF = 512
+#: Leaves' worth of fingerprints beyond which a shard is cut again.
+OVERFULL = 4
 #: Words whose shingles are held at once.
 CHUNK_WORDS = 1 << 18
 #: Fingerprints that are routed at once.
 ROUTED = 1 << 17
 #: Cells of a distance matrix.
 CELLS = 1 << 21
-#: Bytes of ids that may be broadcast.
-BROADCAST_BYTES = 64 << 20
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -77,92 +67,16 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(votes * 2 > total, bitorder="little").view("<u8")[0])
 
 
-def signature(text: str | None, width: int = SHINGLE_WORDS) -> np.ndarray:
-    """The least hash of the text's distinct shingles in each bin, 0 for an empty bin."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    least = np.full(BINS, 1 << 16, np.uint32)
-    for at in range(0, max(1, len(words) - width + 1) if words else 0, CHUNK_WORDS):
-        some = words[at : at + CHUNK_WORDS + width - 1]
-        ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        n = max(1, len(some) - width + 1)
-        h = span_hash(prefix_hash(np.frombuffer(b" ".join(some), np.uint8)), starts[:n], ends[width - 1 :] if len(some) >= width else ends[-1:])
-        np.minimum.at(least, (h % np.uint64(BINS)).astype(np.int64), ((h >> np.uint64(16)) % np.uint64(65535)).astype(np.uint32) + 1)
-    return np.where(least < 1 << 16, least, 0).astype("<u2")
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The estimated Jaccard similarity of rows of signatures."""
-    either = ((a > 0) | (b > 0)).sum(axis=1)
-    return ((a == b) & (a > 0)).sum(axis=1) / np.maximum(1, either)
-
-
-def similarity_of(text: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
-    """Whether pairs of rows of a signature table are similar enough."""
-    out = np.zeros(len(i), bool)
-    for at in range(0, len(i), COMPARED):
-        some = slice(at, at + COMPARED)
-        out[some] = similarity(text[i[some]], text[j[some]]) >= least
-    return out
-
-
-def fingerprints(docs: DataFrame, width: int = SHINGLE, signed: bool = False) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long; with the signature if ``signed``."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 1024):
-                texts = [t.as_py() for t in batch.column(1).slice(at, 1024)]
-                found = np.array([fingerprint(t, width) for t in texts], np.uint64)
-                out = [batch.column(0).slice(at, 1024), pa.array(found.view(np.int64))]
-                if signed:
-                    out.append(pa.array([signature(t).tobytes() for t in texts], pa.binary()))
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "fp", "signature"][: len(out)])
-
-    schema = docs.select("doc_id").schema.add("fp", "long")
-    return docs.select("doc_id", "text").mapInArrow(apply, schema.add("signature", "binary") if signed else schema)
-
-
-class Signatures:
-    """Memory-mapped signatures by fingerprint, in files by ranges of the fingerprint."""
-
-    def __init__(self, folder: str, shards: int):
-        self.folder, self.edges = folder, (np.arange(shards, dtype=object) * (1 << 64) // shards).astype(np.uint64)
-
-    def of(self, fps: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(fps), BINS), "<u2")
-        shard = np.searchsorted(self.edges, fps, side="right") - 1
-        for k in np.unique(shard).tolist():
-            own = np.flatnonzero(shard == k)
-            out[own] = mapped(self.folder, f"signatures-{k}")[np.searchsorted(mapped(self.folder, f"fps-{k}"), fps[own])]
-        return out
-
-    @classmethod
-    def write(cls, marked: DataFrame) -> Signatures:
-        """Files of one signature for each fingerprint: that of the smallest id."""
-        spark = marked.sparkSession
-        shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        made = cls(local_folder(spark), shards)
-
-        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, list[tuple[int, bytes]]] = {}
-            for batch in batches:
-                for k, fp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    held.setdefault(k, []).append((fp & 0xFFFFFFFFFFFFFFFF, text))
-            for k, rows in held.items():
-                rows.sort()
-                save(made.folder, f"fps-{k}", np.array([r[0] for r in rows], np.uint64))
-                save(made.folder, f"signatures-{k}", np.frombuffer(b"".join(r[1] for r in rows), "<u2").reshape(-1, BINS))
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32())], names=["shard"])
-
-        one = marked.groupBy("fp").agg(F.min_by("signature", F.struct(F.col("doc_id").isNull(), "doc_id", "signature")).alias("signature"))
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                fps = batch.column(0).to_numpy().view(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array((np.searchsorted(made.edges, fps, side="right") - 1).astype(np.int32)), batch.column(0), batch.column(1)], names=["shard", "fp", "signature"])
-
-        one.mapInArrow(place, "shard int, fp long, signature binary").repartition(shards, "shard").mapInArrow(apply, "shard int").collect()
-        return made
+                found = np.array([fingerprint(t.as_py(), width) for t in batch.column(1).slice(at, 1024)], np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1024), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+
+    return docs.select("doc_id", "text").mapInArrow(apply, docs.select("doc_id").schema.add("fp", "long"))
 
 
 @dataclass
@@ -220,11 +134,8 @@ class Tree:
             stack.append((node.outer, rows[high], (home & (d > node.within))[high]))
 
 
-def forest(stored: np.ndarray, asking: np.ndarray, radius: int, signatures: Signatures | None = None, least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links in a shard, each member hooked to the smallest of its tree.
-
-    With signatures a link needs both the radius and the similarity.
-    """
+def forest(stored: np.ndarray, asking: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links in a shard, each member hooked to the smallest of its tree."""
     step = max(1, CELLS // max(1, len(asking)))
     linked_a, linked_s = np.zeros(len(asking), bool), np.zeros(len(stored), bool)
     for at in range(0, len(stored), step):
@@ -233,20 +144,13 @@ def forest(stored: np.ndarray, asking: np.ndarray, radius: int, signatures: Sign
         linked_s[at : at + step] = near.any(axis=1)
         linked_a |= near.any(axis=0)
     left = np.union1d(stored[linked_s], asking[linked_a])
-    text = signatures.of(left) if signatures is not None and len(left) else None
 
     def linked(front: np.ndarray, rest: np.ndarray) -> np.ndarray:
         """Which of the rows ``rest`` link to any of the rows ``front``."""
         step, found = max(1, CELLS // len(rest)), np.zeros(len(rest), bool)
         for at in range(0, len(front), step):
             open_ = np.flatnonzero(~found)
-            near = np.bitwise_count(left[front[at : at + step], None] ^ left[rest[open_]][None, :]) <= radius
-            if text is None:
-                found[open_] |= near.any(axis=0)
-            else:
-                i, j = np.nonzero(near)
-                alike = similarity_of(text, front[at : at + step][i], rest[open_[j]], least)
-                found[open_[j[alike]]] = True
+            found[open_] |= (np.bitwise_count(left[front[at : at + step], None] ^ left[rest[open_]][None, :]) <= radius).any(axis=0)
         return found
 
     a, b = [], []
@@ -265,8 +169,27 @@ def forest(stored: np.ndarray, asking: np.ndarray, radius: int, signatures: Sign
     return (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
 
 
-def links(classes: DataFrame, radius: int = RADIUS, parts: int = PARTS, signatures: Signatures | None = None, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
-    """a, b: links that span the components of the distinct fingerprints ``fp`` at ``radius`` bits or fewer (and of similar texts)."""
+def shard_links(stored: np.ndarray, asking: np.ndarray, radius: int, shift: int, bits: int, reach: int, leaf: int, seed: int = 11) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The forests of a shard; an overfull one is cut by a tree of its own over the same part of the bits."""
+    stored = np.unique(stored)
+    if len(stored) > OVERFULL * leaf:
+        picked = np.random.default_rng(seed).choice(stored, min(SAMPLE, len(stored)), replace=False)
+        tree = Tree(shift, bits, picked, len(stored), leaf, reach, seed)
+        if tree.leaves > 1:
+            here = np.isin(asking, stored)
+            for _, rows, home in tree.route(asking):
+                own = asking[rows[home & here[rows]]]
+                if len(own) < len(stored):
+                    yield from shard_links(own, asking[rows], radius, shift, bits, reach, leaf, seed + 1)
+                else:  # the tree does not part them
+                    yield forest(own, asking[rows], radius)
+            return
+    if len(stored):
+        yield forest(stored, asking, radius)
+
+
+def links(classes: DataFrame, radius: int = RADIUS, parts: int = PARTS, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
+    """a, b: links that span the components of the distinct fingerprints ``fp`` at ``radius`` bits or fewer."""
     spark = classes.sparkSession
     rows = classes.count()
     picked = classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
@@ -302,21 +225,19 @@ def links(classes: DataFrame, radius: int = RADIUS, parts: int = PARTS, signatur
                 own[0].append(stored)
                 own[1].append(asking)
         while shards:
-            _, own = shards.popitem()
-            a, b = forest(*(np.frombuffer(b"".join(x), np.uint64) for x in own), radius, signatures)
-            if len(a):
+            (k, _), own = shards.popitem()
+            for a, b in shard_links(*(np.frombuffer(b"".join(x), np.uint64) for x in own), radius, cuts[k], cuts[k + 1] - cuts[k], radius // parts, leaf):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     routed = classes.select("fp").mapInArrow(route, "tree int, leaf int, stored binary, asking binary")
     return routed.repartition(tasks, "tree", "leaf").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, parts: int = PARTS, by_similarity: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, parts: int = PARTS) -> DataFrame:
     """doc_id, fingerprint, component_id for every document."""
-    marked = staged(fingerprints(docs, width, by_similarity), "simhash")
-    signatures = Signatures.write(marked) if by_similarity else None
+    marked = staged(fingerprints(docs, width), "simhash")
     classes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
-    roots = components(links(classes, radius, parts, signatures))
+    roots = components(links(classes, radius, parts))
     members = staged(roots.join(classes, roots.node == classes.fp).select("fp", "root", "first"), "members")
     heads = members.groupBy("root").agg(F.min("first").alias("head"))
     linked = members.join(heads, "root").select("fp", "head")
@@ -324,17 +245,3 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE,
     known = linked.union(alone).select(F.col("fp").alias("key"), "head", F.lit(True).alias("grouped"))
     found = marked.join(known, marked.fp == known.key, "left")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("grouped"), F.col("head")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """Keeps the document with the smallest id of each group of similar documents; of repeated ids one row stays.
-
-    Only ids are compared with ids: the texts move only when so many documents go that their ids can't be broadcast.
-    """
-    with temporary(docs.sparkSession):
-        grouped = staged(near_duplicates(docs, WIDE_RADIUS, WIDE_SHINGLE, WIDE_PARTS, True).select("doc_id", "component_id"), "grouped")
-        gone = staged(grouped.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct(), "gone", keep=True)
-        repeated = grouped.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    side = F.broadcast(gone) if gone.count() * 16 <= BROADCAST_BYTES else gone
-    kept = docs.join(side, docs.doc_id.eqNullSafe(F.col("gone")), "left_anti")
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
