@@ -2,41 +2,53 @@
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller doc_id. The strings of all
 documents are dealt out by content: each string belongs to the k-gram inside it whose hash is smallest, so equal strings meet in one shard,
-and neighbouring strings share one record (their union of bytes). Only records whose k-gram occurs in several documents are sent;
-the others can't match. In a shard the records come in the order of their doc_ids, in batches:
+and neighbouring strings share one record (their union of bytes). In a shard the records come in the order of their doc_ids, in batches:
 
-* the suffixes of a batch get a suffix array (sorted by their first ``LENGTH`` bytes, which is as far as a match must reach);
+* the suffixes of a batch get a suffix array: positions, sorted by the first ``LENGTH`` bytes, which is as far as a match must reach;
 * the array is merge-scanned against each existing level, and marks the suffixes that a level has;
 * the new suffixes become a level, and levels of equal size merge, so there are logarithmically many.
 
-The marked intervals are dealt out by document into sorted, memory-mapped files, and one last pass over the texts removes them,
-so that texts are never shuffled. The folder of those files must be mounted on every node.
+``Family`` keeps the levels in shared storage: each ``add`` scans a new batch of documents against all that came before, whose ids count as
+smaller. ``dedup`` answers one closed table; there a k-gram found in one document only can't match, so its records are not sent.
+
+A k-gram in more than ``HOT`` documents is not dealt as one: its strings are dealt by their own 64-bit hash, of each of which a task sends the
+smallest doc_id alone. So neither a passage in a third of all documents nor a line in many contexts meets in one task.
+
+The marked intervals are dealt out by document into sorted, mapped files, and one last pass over the texts removes them, so that texts are never shuffled.
 
 A null text is empty. A row with a null doc_id keeps all and is no source. Rows that repeat a doc_id are no sources for one another.
-An empty table gives no row, and other columns are ignored.
+Ids that are not numbers are ordered as strings (as ranks, which are joined to the rows once). An empty table gives no row, and other columns are ignored.
 """
 
 from __future__ import annotations
 
+import ast
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from strandlake.llm.kneser_ney import BLOBS, GATHERED, Gathered, _blobs, _folder, _shards, mapped, save, sliced
+from strandlake.llm.arrays import BLOBS, GATHERED, Gathered, blobs, by_shard, counted, hash_edges, heads, mapped, new_folder, planes, ranges, save, sliced
 from strandlake.llm.text import blocks, mix, powers, prefix_hash, span_hash
+from strandlake.session import staged
 
 LENGTH = 50
 GRAM = 25
 #: Records that a shard should have.
 SHARD_RECORDS = 100_000
+#: Documents beyond which a k-gram's strings are dealt one by one.
+HOT = 2_000
 #: Suffixes of a batch.
 BATCH = 1 << 15
+#: Distinct hot strings that a task gathers before it sends them on.
+HOT_GATHERED = 1 << 20
 
 
 def records(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -67,9 +79,29 @@ def records(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return grams[place[first]], first, np.flatnonzero(last), prefix
 
 
-def repeated_grams(docs: DataFrame, folder: str, shards: int) -> int:
-    """Writes the sorted k-grams that own strings in several documents; returns the number of such records."""
-    edges = gram_edges(shards)
+@dataclass(frozen=True)
+class Grams:
+    """Files of the sorted k-grams that own strings in several documents, and of those in very many."""
+
+    folder: str
+    shards: int
+    sizes: np.ndarray
+    records: int = 0
+
+    def known(self, name: str, keys: np.ndarray) -> np.ndarray:
+        """Which of the keys the files of ``name`` have."""
+        order = np.argsort(keys, kind="stable")
+        asked, out = keys[order], np.zeros(len(keys), bool)
+        for k, a, b in ranges(asked, hash_edges(self.shards)):
+            file = mapped(self.folder, f"{name}-{k}", int(self.sizes[k, ("grams", "hot").index(name)]))
+            if len(file):
+                at = np.minimum(np.searchsorted(file, asked[a:b]), len(file) - 1)
+                out[order[a:b]] = file[at] == asked[a:b]
+        return out
+
+
+def repeated_grams(docs: DataFrame, folder: str, shards: int, most: int = HOT) -> Grams:
+    edges = hash_edges(shards)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Gathered()
@@ -83,36 +115,25 @@ def repeated_grams(docs: DataFrame, folder: str, shards: int) -> int:
                 fresh = np.concatenate([[True], grams[1:] != grams[:-1]])
                 other = fresh.copy()
                 other[1:] |= owner[1:] != owner[:-1]
-                heads = np.flatnonzero(fresh)
-                held.add(grams[heads], np.add.reduceat(other.astype(np.uint64), heads))
+                head = np.flatnonzero(fresh)
+                held.add(grams[head], np.add.reduceat(other.astype(np.uint64), head))
                 if held.size > GATHERED:
-                    yield _blobs(list(sliced(*held.take(), edges)))
+                    yield blobs(list(sliced(*held.take(), edges)))
         if held.size:
-            yield _blobs(list(sliced(*held.take(), edges)))
+            yield blobs(list(sliced(*held.take(), edges)))
 
-    def finish(shard: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def finish(shard: int, parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        keys, counts = counted(parts)
         save(folder, f"grams-{shard}", keys[counts > 1])
-        yield pa.RecordBatch.from_arrays([pa.array([int(counts[counts > 1].sum())], pa.int64())], names=["n"])
-
-    rows = _shards(docs.select("text").mapInArrow(apply, BLOBS), shards, finish, "n long").collect()
-    return sum(r["n"] for r in rows)
-
-
-def gram_edges(shards: int) -> np.ndarray:
-    return (np.arange(shards, dtype=object) * (1 << 64) // shards).astype(np.uint64)
-
+        save(folder, f"hot-{shard}", keys[counts > most])
+        found = [shard, int((counts > 1).sum()), int((counts > most).sum()), int(counts[(counts > 1) & (counts <= most)].sum())]
+        yield pa.RecordBatch.from_arrays([pa.array([f], pa.int64()) for f in found], names=["shard", "n", "hot", "total"])
 
-def known(folder: str, name: str, edges: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which of the keys the files have."""
-    order = np.argsort(keys, kind="stable")
-    asked, out = keys[order], np.zeros(len(keys), bool)
-    cuts = np.append(np.searchsorted(asked, edges), len(asked))
-    for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-        file = mapped(folder, f"{name}-{k}") if b > a else ()
-        if len(file):
-            at = np.minimum(np.searchsorted(file, asked[a:b]), len(file) - 1)
-            out[order[a:b]] = file[at] == asked[a:b]
-    return out
+    rows = by_shard(docs.select("text").mapInArrow(apply, BLOBS), shards, finish, "shard long, n long, hot long, total long").collect()
+    sizes = np.zeros((shards, 2), np.int64)
+    for r in rows:
+        sizes[r["shard"]] = r["n"], r["hot"]
+    return Grams(folder, shards, sizes, sum(r["total"] for r in rows))
 
 
 def row_keys(ids: np.ndarray, prefix: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -122,10 +143,7 @@ def row_keys(ids: np.ndarray, prefix: np.ndarray, offsets: np.ndarray) -> np.nda
 
 def squeeze(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed blob, each in byte planes."""
-    parts = [len(arrays[0]).to_bytes(8, "little")]
-    for a in arrays:
-        parts.append(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T).tobytes())
-    return zstandard.compress(b"".join(parts), 1)
+    return zstandard.compress(b"".join([len(arrays[0]).to_bytes(8, "little"), *map(planes, arrays)]), 1)
 
 
 def stretch(blob: bytes, *kinds: str) -> tuple[list[np.ndarray], bytes]:
@@ -141,7 +159,7 @@ def stretch(blob: bytes, *kinds: str) -> tuple[list[np.ndarray], bytes]:
 
 
 SENT = "shard int, kind int, blob binary"
-RECORD, INTERVAL = 0, 1
+RECORD, INTERVAL, STRING = 0, 1, 2
 
 
 def _sent(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -160,83 +178,129 @@ def _intervals(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, shards: i
     return out
 
 
-def candidates(docs: DataFrame, folder: str, grams: int, shards: int) -> DataFrame:
-    """Records whose k-gram is repeated, by shard; and intervals that a block has settled by itself."""
-    edges = gram_edges(grams)
+class HotStrings:
+    """The strings of hot k-grams that a task has met: of each hash the smallest document; the others' strings are settled at once."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, whole: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarray) -> None:
+        self.parts.append((whole, doc, key, start))
+        self.size += len(whole)
+
+    def take(self, shards: int) -> list[tuple[int, int, bytes]]:
+        """Blobs of strings by shard, and of the intervals that are settled."""
+        held = [np.concatenate([p[k] for p in self.parts]) for k in range(4)]
+        self.parts, self.size = [], 0
+        (whole, doc, key, start), rows = least_of(*held, shards)
+        to = (whole % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        for k, a, b in ranges(to[order], np.arange(shards)):
+            own = order[a:b]
+            rows.append((k, STRING, squeeze(whole[own], doc[own], key[own], start[own])))
+        return rows
+
+
+def least_of(whole: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarray, shards: int) -> tuple[tuple[np.ndarray, ...], list[tuple[int, int, bytes]]]:
+    """The rows of each string's smallest document, and blobs of the other rows' intervals."""
+    order = np.lexsort((start, key, doc, whole))
+    whole, doc, key, start = whole[order], doc[order], key[order], start[order]
+    head = heads(whole)
+    stay = doc == np.repeat(doc[head], np.diff(np.append(head, len(whole))))
+    gone = ~stay
+    rows = _intervals(*merged(key[gone], start[gone], start[gone] + LENGTH), shards) if gone.any() else []
+    return (whole[stay], doc[stay], key[stay], start[stay]), rows
+
+
+def candidates(docs: DataFrame, grams: Grams | None, shards: int, gathered: int = HOT_GATHERED) -> DataFrame:
+    """Records by shard, without those whose k-gram is known to be in one document; the strings of hot k-grams; and intervals that a task has settled by itself."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strings = HotStrings()
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             for row, end, data, offsets in blocks(batch):
                 gram, first, last, prefix = records(data, offsets)
-                own = known(folder, "grams", edges, gram)
-                gram, first, last = gram[own], first[own], last[own]
+                if grams is not None:
+                    own = grams.known("grams", gram)
+                    gram, first, last = gram[own], first[own], last[own]
                 if not len(gram):
                     continue
                 owner = np.searchsorted(offsets, first, side="right") - 1
                 doc, key = ids[row:end][owner], row_keys(ids[row:end], prefix, offsets)[owner]
+                rows = []
+                if grams is not None and (hot := grams.known("hot", gram)).any():
+                    n = last[hot] - first[hot] + 1
+                    at = np.repeat(first[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    strings.add(span_hash(prefix, at, at + LENGTH), np.repeat(doc[hot], n), np.repeat(key[hot], n), at - np.repeat(offsets[owner[hot]], n))
+                    if strings.size > gathered:
+                        rows += strings.take(shards)
+                    gram, first, last, owner, doc, key = (x[~hot] for x in (gram, first, last, owner, doc, key))
                 stop = last + LENGTH
                 # of equal records in a block, those of a larger doc_id go at once
                 whole = span_hash(prefix, first, stop)
                 order = np.lexsort((doc, whole))
-                head = np.concatenate([[True], whole[order][1:] != whole[order][:-1]])
+                head = heads(whole[order])
                 least = np.empty(len(doc), np.int64)
-                least[order] = doc[order][np.flatnonzero(head)][np.cumsum(head) - 1]
+                least[order] = np.repeat(doc[order][head], np.diff(np.append(head, len(order))))
                 start = first - offsets[owner]
                 size = stop - first
                 gone = doc > least
-                rows = _intervals(key[gone], start[gone], (start + size)[gone], shards)
+                rows += _intervals(key[gone], start[gone], (start + size)[gone], shards)
                 gram, doc, key, start, size, first = (x[~gone] for x in (gram, doc, key, start, size, first))
                 to = (gram >> np.uint64(8)) % np.uint64(shards)
                 order = np.argsort(to, kind="stable")
-                cuts = np.searchsorted(to[order], np.arange(shards + 1, dtype=np.uint64))
-                for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-                    if b > a:
-                        mine = order[a:b]
-                        text = b"".join(data[s:e].tobytes() for s, e in zip(first[mine].tolist(), (first + size)[mine].tolist(), strict=True))
-                        head_ = [doc[mine], key[mine], start[mine], size[mine].astype(np.int32)]
-                        raw = len(mine).to_bytes(8, "little") + b"".join(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(mine), -1).T).tobytes() for x in head_) + text
-                        rows.append((k, RECORD, zstandard.compress(raw, 1)))
+                for k, a, b in ranges(to[order], np.arange(shards, dtype=np.uint64)):
+                    mine = order[a:b]
+                    text = b"".join(data[s:e].tobytes() for s, e in zip(first[mine].tolist(), (first + size)[mine].tolist(), strict=True))
+                    raw = len(mine).to_bytes(8, "little") + b"".join(map(planes, (doc[mine], key[mine], start[mine], size[mine].astype(np.int32)))) + text
+                    rows.append((k, RECORD, zstandard.compress(raw, 1)))
                 yield _sent(rows)
+        if strings.size:
+            yield _sent(strings.take(shards))
 
     return docs.select("doc_id", "text").mapInArrow(apply, SENT)
 
 
+@dataclass
 class Levels:
-    """Sorted arrays of suffixes, geometrically sized."""
+    """Suffix arrays of geometric sizes over one text: positions in it, in the order of the suffixes' first ``LENGTH`` bytes."""
 
-    def __init__(self) -> None:
-        self.levels: dict[int, np.ndarray] = {}
+    text: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint8))
+    levels: dict[int, np.ndarray] = field(default_factory=dict)
 
-    def has(self, suffixes: np.ndarray) -> np.ndarray:
+    def has(self, ordered: np.ndarray) -> np.ndarray:
         """Which of the sorted distinct suffixes a level has (the merge scan: both sides are in order)."""
-        out = np.zeros(len(suffixes), bool)
+        out = np.zeros(len(ordered), bool)
         for level in self.levels.values():
-            at = np.minimum(np.searchsorted(level, suffixes), len(level) - 1)
-            out |= level[at] == suffixes
+            own = suffixes(self.text, level)
+            at = np.minimum(np.searchsorted(own, ordered), len(own) - 1)
+            out |= own[at] == ordered
         return out
 
-    def add(self, suffixes: np.ndarray) -> None:
-        if not len(suffixes):
+    def add(self, positions: np.ndarray) -> None:
+        """A new level of positions that are sorted by their suffixes."""
+        if not len(positions):
             return
-        rank = (len(suffixes) // BATCH).bit_length()
+        rank = (len(positions) // BATCH).bit_length()
         while rank in self.levels:
+            both = np.concatenate([self.levels.pop(rank), positions])
             # a stable sort of two sorted runs is a merge
-            suffixes = np.sort(np.concatenate([self.levels.pop(rank), suffixes]), kind="stable")
-            rank = max(rank + 1, (len(suffixes) // BATCH).bit_length())
-        self.levels[rank] = suffixes
+            positions = both[np.argsort(suffixes(self.text, both), kind="stable")]
+            rank = max(rank + 1, (len(positions) // BATCH).bit_length())
+        self.levels[rank] = positions
 
 
 def suffixes(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The first bytes of the suffixes at ``starts``."""
-    return np.lib.stride_tricks.sliding_window_view(text, LENGTH)[starts].view(f"S{LENGTH}").ravel()
+    return np.lib.stride_tricks.sliding_window_view(text, LENGTH)[starts].view(f"S{LENGTH}").ravel() if len(starts) else np.zeros(0, f"S{LENGTH}")
 
 
-def matched(doc: np.ndarray, first: np.ndarray, size: np.ndarray, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For records in the order of their documents: record, first and last matching string, in batches."""
-    levels = Levels()
+def matched(doc: np.ndarray, first: np.ndarray, size: np.ndarray, levels: Levels) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For records of the levels' text in the order of their documents: record, first and last matching string, in batches."""
     strings = size - LENGTH + 1
-    edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]]))
+    edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else np.zeros(1, np.int64)
     upto = np.concatenate([[0], np.cumsum(strings)])
     at = 0
     while at < len(edges) - 1:
@@ -245,17 +309,16 @@ def matched(doc: np.ndarray, first: np.ndarray, size: np.ndarray, text: np.ndarr
         n = strings[own]
         record = np.repeat(own, n)
         within = np.arange(len(record)) - np.repeat(np.cumsum(n) - n, n)
-        batch = suffixes(text, first[record] + within)
+        place = first[record] + within
+        batch = suffixes(levels.text, place)
         order = np.argsort(batch, kind="stable")
         ordered = batch[order]
-        head = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-        run = np.cumsum(head) - 1
-        heads = np.flatnonzero(head)
-        distinct = ordered[heads]
-        old = levels.has(distinct)
-        levels.add(distinct[~old])
+        head = heads(ordered)
+        run = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(ordered))))
+        old = levels.has(ordered[head])
+        levels.add(place[order][head][~old])
         hit = np.zeros(len(batch), bool)
-        hit[order] = old[run] | (doc[record[order]] > doc[record[order]][heads][run])
+        hit[order] = old[run] | (doc[record[order]] > doc[record[order]][head][run])
         starts, ends = hit.copy(), hit.copy()
         joined = (record[1:] == record[:-1]) & hit[1:] & hit[:-1]
         starts[1:] &= ~joined
@@ -265,9 +328,9 @@ def matched(doc: np.ndarray, first: np.ndarray, size: np.ndarray, text: np.ndarr
         at = end
 
 
-def settle(blobs: list[bytes], shards: int) -> list[tuple[int, int, bytes]]:
-    """The intervals of one shard."""
-    held = [stretch(b, "<i8", "<u8", "<i8", "<i4") for b in blobs]
+def settle(parts: list[bytes], shards: int, levels: Levels) -> list[tuple[int, int, bytes]]:
+    """The intervals of one shard's records; the levels take in their text."""
+    held = [stretch(b, "<i8", "<u8", "<i8", "<i4") for b in parts]
     doc, key, start, size = (np.concatenate([h[0][k] for h in held]) for k in range(4))
     text = np.frombuffer(b"".join(h[1] for h in held), np.uint8)
     size = size.astype(np.int64)
@@ -275,20 +338,23 @@ def settle(blobs: list[bytes], shards: int) -> list[tuple[int, int, bytes]]:
     # equal records are settled once, for the smallest doc_id
     whole = span_hash(prefix_hash(text), first, first + size)
     order = np.lexsort((doc, whole))
-    head = np.concatenate([[True], whole[order][1:] != whole[order][:-1]])
+    head = np.zeros(len(order), bool)
+    head[heads(whole[order])] = True
     group = np.empty(len(doc), np.int64)
     group[order] = np.cumsum(head) - 1
     leader = order[head]
     gone = doc > doc[leader][group]
     out = [(key[gone], start[gone], (start + size)[gone])]
     rank = np.argsort(doc[leader], kind="stable")
-    sorted_leader = leader[rank]
+    ordered = leader[rank]
     place = np.empty(len(rank), np.int64)
     place[rank] = np.arange(len(rank))
     rest = np.flatnonzero(~gone)
     rest = rest[np.argsort(place[group[rest]], kind="stable")]
     lead = place[group[rest]]
-    for record, a, b in matched(doc[sorted_leader], first[sorted_leader], size[sorted_leader], text):
+    base = len(levels.text)
+    levels.text = np.concatenate([levels.text, text])
+    for record, a, b in matched(doc[ordered], base + first[ordered], size[ordered], levels):
         low, high = np.searchsorted(lead, record), np.searchsorted(lead, record, side="right")
         n = high - low
         mine = rest[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
@@ -296,85 +362,172 @@ def settle(blobs: list[bytes], shards: int) -> list[tuple[int, int, bytes]]:
     return _intervals(*(np.concatenate([o[k] for o in out]) for k in range(3)), shards)
 
 
-def settled(sent: DataFrame, shards: int) -> DataFrame:
+def settled(sent: DataFrame, shards: int, family: Family | None = None) -> DataFrame:
+    """Blobs of all intervals by the document's shard."""
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
+        strings: dict[int, list[bytes]] = {}
         for batch in batches:
             passed = []
             for shard, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind == RECORD:
-                    held.setdefault(shard, []).append(blob)
-                else:
+                if kind == INTERVAL:
                     passed.append((shard, kind, blob))
+                else:
+                    (held if kind == RECORD else strings).setdefault(shard, []).append(blob)
             if passed:
                 yield _sent(passed)
+        while strings:
+            parts = [stretch(b, "<u8", "<i8", "<u8", "<i8")[0] for b in strings.popitem()[1]]
+            rows = least_of(*(np.concatenate([p[k] for p in parts]) for k in range(4)), shards)[1]
+            if rows:
+                yield _sent(rows)
         while held:
-            rows = settle(held.popitem()[1], shards)
+            shard, parts = held.popitem()
+            levels = family.load(shard) if family else Levels()
+            rows = settle(parts, shards, levels)
+            if family:
+                rows.append((-1, shard, family.store(shard, levels)))
             if rows:
                 yield _sent(rows)
 
     return sent.repartition(shards, "shard").mapInArrow(apply, SENT)
 
 
-def write_intervals(sent: DataFrame, folder: str, shards: int) -> None:
-    """Files of document keys and their intervals, sorted."""
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[list[np.ndarray]]] = {}
-        for batch in batches:
-            for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("blob"), strict=True):
-                held.setdefault(shard, []).append(stretch(blob.as_py(), "<u8", "<i8", "<i8")[0])
-        while held:
-            shard, parts = held.popitem()
-            key, start, end = (np.concatenate([p[k] for p in parts]) for k in range(3))
-            order = np.lexsort((start, key))
-            key, start, end = key[order], start[order], end[order]
-            # intervals of a document that touch become one; keys keep documents apart
-            far = np.maximum.accumulate(end + np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) * (1 << 40))
-            base = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) * (1 << 40)
-            head = np.concatenate([[True], (start + base)[1:] > far[:-1]])
-            heads = np.flatnonzero(head)
-            save(folder, f"keys-{shard}", key[heads])
-            save(folder, f"spans-{shard}", np.column_stack([start[heads], np.maximum.reduceat(end, heads)]) if len(heads) else np.zeros((0, 2), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32())], names=["shard"])
-
-    sent.repartition(shards, "shard").mapInArrow(apply, "shard int").collect()
-
-
-def removed(folder: str, shards: int, keys: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def merged(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted intervals, those of a document that touch being one."""
+    order = np.lexsort((start, key))
+    key, start, end = key[order], start[order], end[order]
+    fresh = np.zeros(len(key), np.int64)
+    fresh[heads(key)] = 1
+    base = np.cumsum(fresh) << 40  # keeps documents apart
+    far = np.maximum.accumulate(end + base)
+    new = np.ones(len(key), bool)
+    new[1:] = (start + base)[1:] > far[:-1]
+    head = np.flatnonzero(new)
+    return key[head], start[head], np.maximum.reduceat(end, head) if len(head) else end
+
+
+def write_intervals(sent: DataFrame, folder: str, shards: int) -> np.ndarray:
+    """Files of document keys and their intervals, sorted; returns their lengths."""
+
+    def finish(shard: int, parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        held = [stretch(b, "<u8", "<i8", "<i8")[0] for b in parts]
+        key, start, end = merged(*(np.concatenate([h[k] for h in held]) for k in range(3)))
+        save(folder, f"keys-{shard}", key)
+        save(folder, f"spans-{shard}", np.column_stack([start, end]))
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(key)], pa.int64())], names=["shard", "n"])
+
+    sizes = np.zeros(shards, np.int64)
+    for r in by_shard(sent.filter("shard >= 0").select("shard", "blob"), shards, finish, "shard int, n long").collect():
+        sizes[r["shard"]] = r["n"]
+    return sizes
+
+
+@dataclass
+class Family:
+    """The levels of all shards in shared storage; each ``add`` scans a batch of documents against them and takes it in.
+
+    Every state is written under its own version, and replaces the one before when the whole batch is done. So a lost executor or a
+    batch that failed leaves the family as it was.
+    """
+
+    spark: SparkSession
+    shards: int
+    folder: str
+    state: dict[int, dict[str, int]] = field(default_factory=dict)
+    version: int = 0
+
+    @classmethod
+    def new(cls, spark: SparkSession, shards: int) -> Family:
+        return cls(spark, shards, new_folder(spark, "family"))
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"spark": None}
+
+    def load(self, shard: int) -> Levels:
+        sizes = dict(self.state.get(shard, {}))
+        if not sizes:
+            return Levels()
+        stem = f"{sizes.pop('version')}-{shard}"
+        return Levels(np.array(mapped(self.folder, f"text-{stem}", sizes.pop("text"))), {int(rank): np.array(mapped(self.folder, f"level-{rank}-{stem}", n)) for rank, n in sizes.items()})
+
+    def store(self, shard: int, levels: Levels) -> bytes:
+        """Writes a shard's next state; returns its array lengths."""
+        stem = f"{self.version + 1}-{shard}"
+        save(self.folder, f"text-{stem}", levels.text)
+        for rank, positions in levels.levels.items():
+            save(self.folder, f"level-{rank}-{stem}", positions)
+        return repr({"version": self.version + 1, "text": len(levels.text)} | {str(rank): len(p) for rank, p in levels.levels.items()}).encode()
+
+    def add(self, docs: DataFrame, with_text: bool = False) -> DataFrame:
+        """The answers of ``dedup`` for a batch whose ids count as larger than all before."""
+        docs, sources = _sources(docs)
+        sent = staged(settled(candidates(sources, None, self.shards), self.shards, self), "family")
+        state = {r["kind"]: ast.literal_eval(r["blob"].decode()) for r in sent.filter("shard = -1").collect()}  # array lengths of each shard
+        folder = new_folder(self.spark, "intervals")
+        sizes = write_intervals(sent, folder, self.shards)
+        self.state, self.version = self.state | state, self.version + 1
+        return _kept(docs, folder, sizes, with_text)
+
+
+def removed(folder: str, sizes: np.ndarray, keys: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether each byte of a block goes."""
     edge = np.zeros(int(offsets[-1]) + 1, np.int64)
-    to = (keys % np.uint64(shards)).astype(np.int64)
+    to = (keys % np.uint64(len(sizes))).astype(np.int64)
     for k in np.unique(to).tolist():
         own = np.flatnonzero(to == k)
-        file = mapped(folder, f"keys-{k}")
+        file = mapped(folder, f"keys-{k}", int(sizes[k]))
         if not len(file):
             continue
         low, high = np.searchsorted(file, keys[own]), np.searchsorted(file, keys[own], side="right")
         n = high - low
         rows = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        spans, base = mapped(folder, f"spans-{k}")[rows], np.repeat(offsets[:-1][own], n)
+        spans, base = mapped(folder, f"spans-{k}", len(file))[rows], np.repeat(offsets[:-1][own], n)
         np.add.at(edge, spans[:, 0] + base, 1)
         np.add.at(edge, spans[:, 1] + base, -1)
     return np.cumsum(edge)[:-1] > 0
 
 
-def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def _sources(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with their ids as ``key`` (long), and the rows that can be sources. Ids that are no integers become their ranks."""
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        rows = docs.select("doc_id", F.col("doc_id").cast("long").alias("key"), "text")
+    else:
+        ranked = staged(ranks(docs.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "doc_id"), "ranks")
+        rows = docs.select("doc_id", "text").join(ranked.withColumnRenamed("doc_id", "ranked"), F.col("doc_id") == F.col("ranked"), "left").select("doc_id", F.col("rank").alias("key"), "text")
+    return rows, rows.filter("key IS NOT NULL").select(F.col("key").alias("doc_id"), "text")
+
+
+def ranks(ids: DataFrame, column: str) -> DataFrame:
+    """Distinct values with their ``rank`` in order: ranges, whose sizes (one number each) give every range its offset."""
+    part = ids.repartitionByRange(column).withColumn("part", F.spark_partition_id())
+    part = staged(part.withColumn("within", F.row_number().over(Window.partitionBy("part").orderBy(column))), "ranked")
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = part.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(upto), F.lit(0)))
+    return part.join(F.broadcast(sizes), "part").select(column, (F.col("before") + F.col("within")).alias("rank"))
+
+
+def dedup(docs: DataFrame, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the remaining bytes) for every document."""
     spark = docs.sparkSession
-    folder = _folder(spark)
+    folder = new_folder(spark, "substrings")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sources = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    total = repeated_grams(sources, folder, parts)
-    shards = max(parts, total // SHARD_RECORDS + 1)
-    write_intervals(settled(candidates(sources, folder, parts, shards), shards), folder, shards)
+    docs, sources = _sources(docs)
+    grams = repeated_grams(sources, folder, parts, hot)
+    shards = max(parts, grams.records // SHARD_RECORDS + 1)
+    return _kept(docs, folder, write_intervals(settled(candidates(sources, grams, shards), shards), folder, shards), with_text)
+
+
+def _kept(docs: DataFrame, folder: str, sizes: np.ndarray, with_text: bool) -> DataFrame:
+    """The answers for rows (doc_id, key, text) whose intervals are written."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             null = batch.column("key").is_null().to_numpy(zero_copy_only=False)
             ids = pc.fill_null(batch.column("key"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             for row, end, data, offsets in blocks(batch):
-                gone = removed(folder, shards, row_keys(ids[row:end], prefix_hash(data), offsets), offsets)
+                gone = removed(folder, sizes, row_keys(ids[row:end], prefix_hash(data), offsets), offsets)
                 for k in np.flatnonzero(null[row:end]).tolist():
                     gone[offsets[k] : offsets[k + 1]] = False
                 first = gone.copy()
@@ -389,4 +542,4 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return docs.select("doc_id", F.col("doc_id").cast("long").alias("key"), "text").mapInArrow(apply, schema)
+    return docs.mapInArrow(apply, schema)

@@ -56,11 +56,14 @@ def contamination(docs, items, width=10):
 
 def kneser_ney(docs):
     tokens = [(d, BLANK.findall(low(t)) + [None]) for d, t in docs]
-    one, two = Counter(), Counter()
+    rows = lambda t: list(zip(["<s>", "<s>", *t][:-2], ["<s>", *t][:-1], t))
+    one, three = Counter(), Counter()
     for d, t in tokens:
         if d is not None and crc(d, 7) != 2:
             one.update(t)
-            two.update(zip(["<s>", *t[:-1]], t))
+            three.update(rows(t))
+    two = Counter(g[1:] for g in three)
+    after = Counter(g[1] for g in two)
     n, v = sum(one.values()), len(one)
 
     def cuts(counts):
@@ -71,27 +74,25 @@ def kneser_ney(docs):
         third = 3 - 4 * y * n4 / n3 if n3 else 2 - 3 * y * n3 / n2
         return [min(max(x, a), b) for x, a, b in zip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, third], [0.01, 0.02, 0.03], [0.99, 1.99, 2.99])]
 
-    after = Counter(w for _, w in two)
-    d2, d1 = cuts(two), cuts(after)
-    total, rest = Counter(), defaultdict(float)
-    for (u, _), c in two.items():
-        total[u] += c
-        rest[u] += d2[min(c, 3) - 1]
-    every = sum(after.values())
+    def level(counts, d, pruned):
+        """Share of each n-gram and weight of the lower order of each context; of pruned ones all goes to the lower order."""
+        total, rest = Counter(), defaultdict(float)
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            rest[g[:-1]] += 1 if pruned and c == 1 else d[min(c, 3) - 1]
+        own = {g: (c - d[min(c, 3) - 1]) / total[g[:-1]] for g, c in counts.items() if not (pruned and c == 1)}
+        return own, {g: rest[g] / total[g] for g in total}
 
-    def lower(w):
-        if not every:
-            return 1 / (v + 1)
-        a = after.get(w, 0)
-        return ((a - d1[min(a, 3) - 1]) if a else 0) / every + sum(d1[min(c, 3) - 1] for c in after.values()) / every / (v + 1)
+    own3, rest3 = level(three, cuts(three), True)
+    own2, rest2 = level(two, cuts(two), False)
+    own1, rest1 = level({(w,): c for w, c in after.items()}, cuts(after), False)
 
-    def p(u, w):
-        if not total.get(u):
-            return lower(w)
-        c = two.get((u, w), 0)
-        return ((c - d2[min(c, 3) - 1] if c else 0) + rest[u] * lower(w)) / total[u]
+    def p(u, x, w):
+        lower = own1.get((w,), 0) + rest1.get((), 1) / (v + 1)
+        lower = own2.get((x, w), 0) + rest2.get((x,), 1) * lower
+        return own3.get((u, x, w), 0) + rest3.get((u, x), 1) * lower
 
-    return [(d, d is not None and crc(d, 7) == 2, len(t), sum(w in one for w in t), n, sum(math.log10((one.get(w, 0) + 1) / (n + v + 1)) for w in t), sum(math.log10(p(u, w)) for u, w in zip(["<s>", *t[:-1]], t))) for d, t in tokens]
+    return [(d, d is not None and crc(d, 7) == 2, len(t), sum(w in one for w in t), n, sum(math.log10((one.get(w, 0) + 1) / (n + v + 1)) for w in t), sum(math.log10(p(*g)) for g in rows(t))) for d, t in tokens]
 
 
 def substrings(docs, length=50):
@@ -129,13 +130,9 @@ def shingles(text, width=5):
     return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
 
 
-def near_duplicates(docs, radius=3, width=3, least=None):
-    """Components of fingerprints within ``radius``; with ``least`` also of that Jaccard similarity of 5-word shingles."""
+def near_duplicates(docs, radius=3, width=3):
+    """Components of fingerprints within ``radius``."""
     marks = [fingerprint(t, width) for _, t in docs]
-    heads = {}
-    for m, (d, t) in sorted(zip(marks, docs), key=lambda x: (x[1][0] is None, x[1][0] or 0)):
-        heads.setdefault(m, shingles(t))
-    sets = [heads[m] for m in marks]
     parent = list(range(len(docs)))
 
     def find(i):
@@ -145,11 +142,30 @@ def near_duplicates(docs, radius=3, width=3, least=None):
 
     for i in range(len(docs)):
         for j in range(i):
-            near = (marks[i] ^ marks[j]).bit_count() <= radius
-            if near and (least is None or marks[i] == marks[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])):
+            if (marks[i] ^ marks[j]).bit_count() <= radius:
                 parent[find(i)] = find(j)
     first = {}
     for i, (d, _) in enumerate(docs):
         if d is not None:
             first[find(i)] = min(d, first.get(find(i), d))
     return [(d, f"{marks[i]:016x}", first.get(find(i))) for i, (d, _) in enumerate(docs)]
+
+
+def kept_first(docs, least=0.8):
+    """Ids of the rows that stay: the smallest of each component of exact similarity over all pairs, null being the largest."""
+    sets = [shingles(t) for _, t in docs]
+    order = sorted(range(len(docs)), key=lambda i: (docs[i][0] is None, docs[i][0] or 0))
+    head = list(range(len(docs)))
+    place = {i: k for k, i in enumerate(order)}
+
+    def find(i):
+        while head[i] != i:
+            i = head[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if sets[i] == sets[j] or sets[i] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)), key=place.get)
+                head[b] = a
+    return [docs[i][0] for i in range(len(docs)) if find(i) == i]

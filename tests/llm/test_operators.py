@@ -5,9 +5,10 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from strandlake.llm import avi_mjpeg, decontam, kneser_ney, langid, packing, quality, secrets, simhash_vp, suffix_levels, warc_chunks
+from strandlake.llm import avi_mjpeg, decontam, jaccard, kneser_ney, langid, packing, quality, secrets, simhash_vp, suffix_levels, warc_chunks
 from strandlake.session import table
 
 from tests.llm import brute
@@ -203,9 +204,14 @@ def test_suffix_levels_merge(monkeypatch, spark, empty):
     texts = [(i, "".join(r.choice(parts) + r.choice(["", "x", "yz"]) for _ in range(r.randint(1, 6)))) for i in r.sample(range(1000), 60)]
     levels, rows = suffix_levels.Levels(), []
     for n in (64, 64, 64, 64, 200):
-        levels.add(suffix_levels.np.sort(suffix_levels.np.array([f"{r.random()}".ljust(50).encode() for _ in range(n)], "S50")))
+        base = len(levels.text)
+        levels.text = np.concatenate([levels.text, np.frombuffer(b"".join(f"{r.random()}".ljust(50).encode() for _ in range(n)), np.uint8)])
+        at = base + 50 * np.arange(n)
+        levels.add(at[np.argsort(suffix_levels.suffixes(levels.text, at))])
         rows.append(len(levels.levels))
     assert max(rows) <= 3
+    assert sum(map(len, levels.levels.values())) == 456 and all(np.all(np.diff(suffix_levels.suffixes(levels.text, x).argsort(kind="stable")) == 1) for x in levels.levels.values())
+    assert levels.has(np.sort(suffix_levels.suffixes(levels.text, np.arange(0, 456 * 50, 500)))).all()
     frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
     assert got(suffix_levels.dedup(frame)) == Counter(brute.substrings(sorted(texts)))
     assert suffix_levels.dedup(empty).count() == 0
@@ -280,21 +286,6 @@ def test_near_duplicate_links(spark):
     assert groups(edges) == groups([(a, b) for i, a in enumerate(every) for b in every[:i] if (a ^ b).bit_count() <= 3])
 
 
-def test_signatures():
-    import random
-
-    r = random.Random(7)
-    words = [f"w{r.randint(0, 10**6)}" for _ in range(4000)]
-    for n in (60, 400, 4000):
-        other = list(words[:n])
-        other[n // 2 : n // 2 + n // 20] = ["x"] * (n // 20)
-        a, b = " ".join(words[:n]), " ".join(other)
-        exact = len(brute.shingles(a) & brute.shingles(b)) / len(brute.shingles(a) | brute.shingles(b))
-        found = simhash_vp.similarity(simhash_vp.signature(a)[None], simhash_vp.signature(b)[None])[0]
-        assert abs(found - exact) < 0.05
-    assert not simhash_vp.signature(None).any()
-
-
 def test_fingerprints_agree_with_spark(spark):
     text = "one two three"
     value = spark.range(1).select(F.xxhash64(F.lit(text))).first()[0]
@@ -302,39 +293,11 @@ def test_fingerprints_agree_with_spark(spark):
 
 
 def test_keep_first(docs, empty):
-    kept = simhash_vp.keep_first(docs)
-    ids = sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)
-    assert kept.columns == docs.columns and ids == sorted({c for d, _, c in brute.near_duplicates(DOCS, 9, 2, 0.8) if c is not None})
-    assert simhash_vp.keep_first(empty).count() == 0
-
+    kept = jaccard.keep_first(docs)
+    ids = sorted((r["doc_id"] for r in kept.collect()), key=str)
+    assert kept.columns == docs.columns and ids == sorted(brute.kept_first(DOCS), key=str)
+    assert jaccard.keep_first(empty).count() == 0
 
-@pytest.mark.parametrize("window", [7, 2048])
-def test_packing(docs, empty, window):
-    import numpy as np
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    ids = Counter(np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for _, t in DOCS)
-    pieces = sorted(packing.pack(docs, window).collect(), key=lambda r: (r["sequence_id"], r["offset"]))
-    at = 0
-    for p in pieces:  # the pieces fill the windows without a gap, and only the last one is short
-        assert p["sequence_id"] * window + p["offset"] == at and p["offset"] + p["length"] <= window
-        at += p["length"]
-    assert at == sum(len(i) // 4 * n for i, n in ids.items())
-    expected = Counter()
-    k = 0
-    while k < len(pieces):
-        first, crcs, lengths = pieces[k], [], []
-        while sum(lengths) < first["doc_tokens"]:
-            assert pieces[k]["start"] == sum(lengths)
-            lengths.append(pieces[k]["length"])
-            crcs.append(pieces[k]["ids_crc32"])
-            k += 1
-        match = next(i for i in ids if len(i) // 4 == first["doc_tokens"] and all(zlib.crc32(i[4 * sum(lengths[:j]) : 4 * sum(lengths[: j + 1])]) == c for j, c in enumerate(crcs)))
-        expected[match] += 1
-    assert expected == ids
-    assert packing.pack(empty).count() == 0
 
 
 def test_word_ids_agree_with_the_tokenizer():
