@@ -97,6 +97,41 @@ def test_secrets_random_tokens(spark, empty):
     assert secrets.scan(empty).count() == 0 and secrets.redact(empty).columns == empty.columns
 
 
+def test_short_secrets_are_found(spark):
+    """Recall by length among natural tokens that look like code, paths and names; clean tokens stay."""
+    import random
+
+    r = random.Random(5)
+    wide = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    names = ["release", "candidate", "version", "final", "document", "handler", "request", "Response", "Factory", "user", "profile", "index"]
+    rows, kinds = [], {}
+    for length, alphabet in ((20, wide), (24, wide), (32, wide), (40, wide), (24, wide[26:62]), (40, wide[26:62])):
+        for _ in range(60):
+            token = "".join(r.choice(alphabet) for _ in range(length))
+            kinds.setdefault((length, len(alphabet)), []).append(len(rows))
+            rows.append(f"Ünï {token} ok")
+    clean = range(len(rows), len(rows) + 1200)
+    for _ in clean:
+        rows.append("see " + r.choice(["_", "-", ""]).join(r.choice(names).title() if r.random() < 0.3 else r.choice(names) for _ in range(r.randint(3, 6))) + str(r.randint(1, 99)) + " end")
+    found = {x["doc_id"]: x["spans"] for x in secrets.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    share = {k: sum("random" in found[i] for i in v) / len(v) for k, v in kinds.items()}
+    assert share[20, 64] > 0.6 and share[24, 64] > 0.8 and share[32, 64] > 0.9 and share[40, 64] > 0.9 and share[40, 36] > 0.8, share
+    assert sum(found[i] != "" for i in clean) <= 0.05 * len(clean), sum(found[i] != "" for i in clean)
+
+
+def test_very_many_secrets_in_one_text(spark):
+    import time
+
+    text = "é " + "token=abcdefghijklmnop 0123456789abcdef0 x1y2z3a4b5c6d7e8f9g0h1 " * 34_000
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    begun = time.time()
+    found = secrets.scan(frame).collect()[0]
+    assert (found["n_assign"], found["n_hex"]) == (34_000, 34_000) and found["base_sha256"] == brute.secrets(text)[1]
+    clean = secrets.redact(frame).collect()[0]["text"]
+    assert clean.count("[SECRET]") >= 68_000 and "abcdefghijklmnop" not in clean and clean.startswith("é [SECRET] [SECRET] ")
+    assert time.time() - begun < 60
+
+
 def test_secret_discoveries():
     assert secrets.discoveries([]) == {}
     assert secrets.discoveries([(0, -1, 5)]) == {0: secrets.TOP + 1}
