@@ -3,6 +3,7 @@
 Training counts hashed n-grams of every labelled document in Spark; the log-probability matrix
 (languages x buckets, of fixed width) is broadcast, and batches are scored sparsely in numpy.
 
+A batch of texts is one sparse matrix of counts (text, bucket), which is multiplied with the rows of the matrix that it uses.
 Texts are lower-cased, runs of characters other than letters become one blank, and n-grams of one to three
 characters are hashed into ``BUCKETS`` counters. The prediction and its score, the posterior, take all n-grams of a text
 at full weight. A text that is null or has no letter gets ``und`` and 0.0.
@@ -17,17 +18,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
-SLICES = 8
+#: Parts of the buckets' range, and partial sums that each part gets before the last one: no task adds up all tasks' tables.
+SLICES, FAN = 8, 16
 ORDERS = 3
 #: Characters handled at once, so that a very long text needs little memory.
 CHUNK = 1 << 20
-#: Most languages a model may have: the matrix then stays under 128 MB.
+#: Products of counts and log-probabilities held at once.
+CELLS = 1 << 22
+#: Most languages a model may have, more being an error: the matrix (32-bit) is then 128 MB at most.
 MOST_LANGUAGES = 1024
+NAMES = ["lang", "slice", "part", "docs", "counts"]
 
 _table: list[np.ndarray] = []
 
@@ -60,6 +66,58 @@ def buckets(text: str) -> Iterator[np.ndarray]:
         yield np.concatenate(out)
 
 
+def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sparse counts of a batch, sorted: text, bucket, count. Texts without a letter have none."""
+    out: list[np.ndarray] = []
+    row = 0
+    while row < len(texts):
+        end, size = row, 0
+        while end < len(texts) and (end == row or size + len(texts[end]) < CHUNK):
+            size += len(texts[end])
+            end += 1
+        if size >= CHUNK:  # a long text is a matrix row of its own, in pieces
+            sums = np.zeros(BUCKETS, np.int64)
+            for found in buckets(texts[row]):
+                sums += np.bincount(found, minlength=BUCKETS)
+            used = np.flatnonzero(sums) if any(_has_letter(texts[row][at : at + CHUNK]) for at in range(0, len(texts[row]), CHUNK)) else np.zeros(0, np.int64)
+            out.append(np.stack([np.full(len(used), row), used, sums[used]]))
+        else:
+            out.append(_counted_together(texts[row:end], row))
+        row = end
+    found = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+    return found[0], found[1], found[2]
+
+
+def _has_letter(text: str) -> bool:
+    return bool(_letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any())
+
+
+def _counted_together(texts: list[str], base: int) -> np.ndarray:
+    low = [t.lower() for t in texts]
+    points = np.frombuffer("".join(f" {t} \n" for t in low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(t) + 3 for t in low]) - 1
+    known = _letters()[points]
+    x = np.where(known, points, np.uint32(32))
+    x[ends] = 10
+    keep = np.ones(len(x), bool)
+    keep[1:] = (x[1:] != 32) | (x[:-1] != 32)
+    x = x[keep].astype(np.uint64)
+    edge = x == 10
+    owner = np.cumsum(edge) - edge
+    lettered = np.zeros(len(texts), bool)
+    lettered[owner[(x != 32) & ~edge]] = True
+    bad, h, parts = edge, np.zeros(len(x), np.uint64), []
+    for order in range(1, ORDERS + 1):
+        if order > 1:
+            h, bad = h[:-1], bad[:-1] | edge[order - 1 :]
+        h = h * np.uint64(0x100000001B3) + (x[order - 1 :] + np.uint64(order << 24))
+        own = ~bad & lettered[owner[: len(h)]] if len(texts) else ~bad
+        bucket = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+        parts.append((owner[: len(h)][own] << BUCKET_BITS) | bucket[own])
+    keys, n = np.unique(np.concatenate(parts), return_counts=True)
+    return np.stack([(keys >> BUCKET_BITS) + base, keys & (BUCKETS - 1), n])
+
+
 @dataclass(frozen=True)
 class Model:
     """Log-probabilities of the buckets (one row each) under each language, and the languages' log priors."""
@@ -68,17 +126,32 @@ class Model:
     log_prior: np.ndarray
     log_prob: np.ndarray
 
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The most likely language of each text and its posterior."""
+        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        if not self.languages:
+            return out
+        owner, bucket, count = counted([t or "" for t in texts])
+        if not len(owner):
+            return out
+        rows, first = np.unique(owner, return_index=True)
+        ends = np.append(first[1:], len(owner))
+        score, at = np.empty((len(rows), len(self.languages))), 0
+        while at < len(rows):
+            most = first[at] + max(1, CELLS // len(self.languages))
+            end = max(at + 1, int(np.searchsorted(ends, most, side="right")))
+            some = slice(first[at], ends[end - 1])
+            score[at:end] = np.add.reduceat(count[some, None] * self.log_prob[bucket[some]].astype(np.float64), first[at:end] - first[at], axis=0)
+            at = end
+        score += self.log_prior
+        best = score.argmax(axis=1)
+        chance = 1.0 / np.exp(score - score.max(axis=1, keepdims=True)).sum(axis=1)
+        for row, k, p in zip(rows.tolist(), best.tolist(), chance.tolist(), strict=True):
+            out[row] = (self.languages[k], p)
+        return out
+
     def predict(self, text: str | None) -> tuple[str, float]:
-        counts = None
-        for found in buckets(text or ""):
-            counts = np.bincount(found, minlength=BUCKETS) + (0 if counts is None else counts)
-        if counts is None or not self.languages or not _letters()[np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)].any():
-            return "und", 0.0
-        used = np.flatnonzero(counts)
-        weight = counts[used].astype(np.float64)
-        score = weight @ self.log_prob[used] + self.log_prior
-        best = int(np.argmax(score))
-        return self.languages[best], float(1.0 / np.exp(score - score[best]).sum())
+        return self.predict_all([text])[0]
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", alpha: float = 0.3) -> Model:
@@ -88,14 +161,20 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", alpha: floa
         sums: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
         for batch in batches:
-            for t, name in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                own = sums.setdefault(name, np.zeros(BUCKETS, np.int64))
-                docs[name] = docs.get(name, 0) + 1
-                for found in buckets(t.as_py() or ""):
-                    own += np.bincount(found, minlength=BUCKETS)
+            for at in range(0, len(batch), 1024):
+                names = np.array(batch.column(1).slice(at, 1024).to_pylist(), object)
+                owner, bucket, n = counted([t or "" for t in batch.column(0).slice(at, 1024).to_pylist()])
+                for name in set(names.tolist()):
+                    own = np.flatnonzero(names == name)
+                    docs[name] = docs.get(name, 0) + len(own)
+                    mine = np.isin(owner, own)
+                    if name not in sums:
+                        sums[name] = np.zeros(BUCKETS, np.int64)
+                    sums[name] += np.bincount(bucket[mine], weights=n[mine], minlength=BUCKETS).astype(np.int64)
+        group = TaskContext.get().partitionId() % FAN
         for name, own in sums.items():
             parts = np.split(own, SLICES)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * SLICES), pa.array(range(SLICES), pa.int32()), pa.array([docs[name]] * SLICES, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["lang", "slice", "docs", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * SLICES), pa.array(range(SLICES), pa.int32()), pa.array([group] * SLICES, pa.int32()), pa.array([docs[name]] * SLICES, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=NAMES)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, int], list] = {}
@@ -105,11 +184,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", alpha: floa
                 own[0] += row["docs"]
                 own[1] += np.frombuffer(row["counts"], np.int64)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums]), pa.array([k[1] for k in sums], pa.int32()), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1].tobytes() for v in sums.values()], pa.binary())], names=["lang", "slice", "docs", "counts"])
+            n = len(sums)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums]), pa.array([k[1] for k in sums], pa.int32()), pa.array([0] * n, pa.int32()), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1].tobytes() for v in sums.values()], pa.binary())], names=NAMES)
 
-    schema = "lang string, slice int, docs long, counts binary"
+    schema = "lang string, slice int, part int, docs long, counts binary"
     known = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter("lang IS NOT NULL")
-    sums = known.mapInArrow(count, schema).repartition(SLICES, "lang", "slice").mapInArrow(add, schema)
+    sums = known.mapInArrow(count, schema).repartition(SLICES * FAN, "lang", "slice", "part").mapInArrow(add, schema).repartition(SLICES, "lang", "slice").mapInArrow(add, schema)
     rows = sums.limit(SLICES * MOST_LANGUAGES + 1).collect()
     if len(rows) > SLICES * MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
@@ -123,7 +203,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", alpha: floa
         counts[k, r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
     counts += alpha
     log_prob = np.log(counts / counts.sum(axis=1, keepdims=True))
-    return Model(languages, np.log(docs / docs.sum()), np.ascontiguousarray(log_prob.T))
+    return Model(languages, np.log(docs / docs.sum()), np.ascontiguousarray(log_prob.T.astype(np.float32)))
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -134,8 +214,8 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text",
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
-            found = [own.predict(t.as_py()) for t in batch.column(batch.schema.get_field_index(text))]
+        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, len(whole), 1024)):
+            found = own.predict_all(batch.column(batch.schema.get_field_index(text)).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*keep, *names])
 
     return rows.mapInArrow(apply, schema)

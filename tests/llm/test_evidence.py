@@ -1,8 +1,12 @@
 """Language identification weighs all n-grams of a text, so long texts overrule the prior and near languages."""
 
+import math
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 from strandlake.llm import langid
 
 VOCABULARY = ["bado", "kimu", "lesa", "tori", "nufe", "gapi", "zolu", "meki", "sovu", "rida"]
@@ -16,6 +20,51 @@ def docs(spark, counts, length=2000):
     return spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
 
 
+def grams(text):
+    """Buckets of all n-grams of one to three characters, by plain arithmetic."""
+    if not any(c.isalpha() for c in text.lower()):
+        return Counter()
+    x, last, out = [32], 32, Counter()
+    for c in [ord(c) if c.isalpha() else 32 for c in text.lower()] + [32]:
+        if c != 32 or last != 32:
+            x.append(c)
+        last = c
+    for n in (1, 2, 3):
+        for i in range(len(x) - n + 1):
+            h = 0
+            for k in range(n):
+                h = (h * 0x100000001B3 + x[i + k] + ((k + 1) << 24)) % 2**64
+            out[(h * 0x9E3779B97F4A7C15) % 2**64 >> 49] += 1
+    return out
+
+
+def test_scores_equal_brute_force(spark):
+    rows = [(1, "Ein Haus, zwei Häuser 12", "de"), (2, "a house and a barn", "en"), (3, "", "en"), (4, None, "de"), (5, "la casa e il cane!", "it"), (6, "un cane", None), (7, "123 --", "it"), (None, "die Katze", "de"), (8, "the cat " * 50, "en"), (9, "das Haus", "de")]
+    sums, n = {}, Counter()
+    for d, t, lang in rows:
+        if lang and d is not None and zlib.crc32(str(d).encode()) % 5:
+            n[lang] += 1
+            sums.setdefault(lang, Counter()).update(grams(t or ""))
+    names = sorted(sums)
+    found = {r["text"]: (r["lang_pred"], r["score"]) for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).join(spark.createDataFrame(rows, "d long, text string, lang string"), F.col("doc_id").eqNullSafe(F.col("d"))).collect()}
+    for _, t, _ in rows:
+        own = grams(t or "")
+        score = [math.log(n[k] / n.total()) + sum(c * math.log((sums[k][b] + 0.3) / (sums[k].total() + 0.3 * langid.BUCKETS)) for b, c in own.items()) for k in names]
+        if not own:
+            assert found[t] == ("und", 0.0)
+        else:
+            best = max(range(len(names)), key=lambda i: score[i])
+            assert found[t][0] == names[best] and abs(found[t][1] - 1 / sum(math.exp(s - score[best]) for s in score)) < 1e-4
+
+
+def test_batches_and_long_texts_agree(monkeypatch):
+    texts = ["Hello wörld 1", "", "çà et là — " * 30, "12", "x", "long one " * 200]
+    whole = list(zip(*langid.counted(texts)))
+    assert whole == [(i, b, c) for i, t in enumerate(texts) for b, c in sorted(grams(t).items())]
+    monkeypatch.setattr(langid, "CHUNK", 64)
+    assert list(zip(*langid.counted(texts))) == whole
+
+
 def test_a_rare_language_beside_a_near_frequent_one():
     text = " ".join(VOCABULARY * 200)
     log_prob = np.full((langid.BUCKETS, 2), -8.0)
