@@ -18,16 +18,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm.arrays import planes
 from strandlake.llm.langid import held_out
 from strandlake.llm.text import LOWER, NOT_BLANK, WORD, blocks, prefix_hash, span_hash
 
-BUCKETS, DIMS, NONZERO = 4096, 48, 4
+BUCKETS, DIMS, NONZERO = 16384, 48, 4
 #: Labelled documents that the network is fitted on, at most.
 LABELLED = 20_000
-PARTS = 16
+#: Parts of the buckets' range, and partial sums that each part gets before the last one.
+PARTS, FAN = 16, 8
 #: Bytes of text whose word vectors are pooled at once.
 POOLED_BYTES = 1 << 19
 PLAIN = 8
@@ -59,6 +63,15 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (span_hash(prefix_hash(low), starts, ends) % np.uint64(BUCKETS)).astype(np.int64), ends - starts, np.searchsorted(starts, offsets)
 
 
+def _squeezed(sums: np.ndarray) -> bytes:
+    return zstandard.compress(planes(sums), 1)
+
+
+def _stretched(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).ravel()
+
+
 def context_vectors(docs: DataFrame) -> np.ndarray:
     """The unit context vectors of the buckets, from all documents."""
 
@@ -76,22 +89,23 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
                     for k in range(NONZERO):
                         n = np.bincount(own * DIMS + PLACES[near, k], minlength=len(sums))
                         sums += n * int(SIGNS[0, k])
-        parts = np.split(sums, PARTS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "sums"])
+        group = TaskContext.get().partitionId() % FAN
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([group] * PARTS, pa.int32()), pa.array([_squeezed(p) for p in np.split(sums, PARTS)], pa.binary())], names=["part", "fan", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(own, np.int64)
+            for part, own in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                sums[part] = sums.get(part, 0) + _stretched(own)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["part", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([0] * len(sums), pa.int32()), pa.array([_squeezed(s) for s in sums.values()], pa.binary())], names=["part", "fan", "sums"])
 
-    rows = docs.select("text").mapInArrow(count, "part int, sums binary").repartition(PARTS, "part").mapInArrow(add, "part int, sums binary").collect()
+    schema = "part int, fan int, sums binary"
+    rows = docs.select("text").mapInArrow(count, schema).repartition(PARTS * FAN, "part", "fan").mapInArrow(add, schema).repartition(PARTS, "part").mapInArrow(add, schema).collect()
     out = np.zeros(BUCKETS * DIMS, np.float64)
     for r in rows:
         width = len(out) // PARTS
-        out[r["part"] * width : (r["part"] + 1) * width] += np.frombuffer(r["sums"], np.int64)
+        out[r["part"] * width : (r["part"] + 1) * width] += _stretched(r["sums"])
     out = out.reshape(BUCKETS, DIMS)
     return (out / np.maximum(1e-9, np.linalg.norm(out, axis=1, keepdims=True))).astype(np.float32)
 

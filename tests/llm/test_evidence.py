@@ -2,12 +2,14 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
-from strandlake.llm import langid
+from strandlake.llm import langid, quality
 
 VOCABULARY = ["bado", "kimu", "lesa", "tori", "nufe", "gapi", "zolu", "meki", "sovu", "rida"]
 
@@ -77,3 +79,45 @@ def test_a_rare_language_beside_a_near_frequent_one():
 def test_long_texts_of_near_languages_stay(spark):
     frame = docs(spark, {lang: 25 for lang in "abcdefgh"})
     assert langid.keep_identified(frame).count() == 200
+
+
+def test_word_vectors_equal_brute_force(spark):
+    texts = ["Die Katze, die Katze!", "the cat sat on the mat", "", None, "one", "the cat's 12 mats — on"]
+    split = lambda t: re.findall(r"[0-9a-z\u0080-\uffff]+|[^\s0-9a-z\u0080-\uffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    bucket = lambda w: int(quality.words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0][0])
+    index = np.zeros((quality.BUCKETS, quality.DIMS))
+    for b in range(quality.BUCKETS):
+        for place, sign in zip(quality.PLACES[b], quality.SIGNS[b]):
+            index[b, place] += sign
+    context = np.zeros((quality.BUCKETS, quality.DIMS))
+    for t in texts:
+        w = [bucket(x) for x in split(t)]
+        for a, b in zip(w, w[1:]):
+            context[a] += index[b]
+            context[b] += index[a]
+    context /= np.maximum(1e-9, np.linalg.norm(context, axis=1, keepdims=True))
+    found = quality.context_vectors(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    assert np.abs(found - context).max() < 1e-6
+    rows = quality.Features(found).of(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]))
+    for t, row in zip(texts, rows):
+        w = [bucket(x) for x in split(t)]
+        mean = np.mean([np.concatenate([context[b], index[b] / 2]) for b in w], axis=0) if w else np.zeros(2 * quality.DIMS)
+        assert np.abs(row[: 2 * quality.DIMS] - mean).max() < 1e-5
+        raw = (t or "").encode()
+        assert abs(row[2 * quality.DIMS] - math.log1p(len(raw)) / 8) < 1e-6 and row[-1] == bool(w)
+        assert abs(row[2 * quality.DIMS + 2] - len(set(w)) / max(1, len(w))) < 1e-6
+
+
+def test_network_scores_equal_brute_force():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(200, quality.WIDTH))
+    y = (x[:, 0] + 0.3 * x[:, 1] > 0).astype(int)
+    net = quality.fit(x, y)
+    for row, found in zip(x[:20], net.score(x[:20])):
+        hidden = [math.tanh(sum((row[i] - net.centre[i]) / net.scale[i] * net.first[i, k] for i in range(quality.WIDTH)) + net.first_bias[k]) for k in range(quality.HIDDEN)]
+        logit = sum(h * w for h, w in zip(hidden, net.second)) + net.second_bias
+        assert abs(found - 1 / (1 + math.exp(-logit / net.temperature))) < 1e-9
+    # the temperature is the one of the grid with the least loss on the rows that were kept apart
+    order = np.random.default_rng(5).permutation(len(x))[: len(x) // 5]
+    loss = lambda t: float(np.mean(np.logaddexp(0, net.logit(x[order]) / t) - y[order] * net.logit(x[order]) / t))
+    assert all(loss(net.temperature) <= loss(t) + 1e-12 for t in np.geomspace(0.25, 8, 41))
