@@ -6,8 +6,9 @@ It is written to the shared folder. A query part takes the benchmark's windows;
 an absent term, starts from the postings of each window's rarest term, and intersects them with the offset-adjusted
 lists of the other terms from rare to common. Terms are 64-bit hashes of whole words.
 
-The benchmark is sent to the workers in parts of at most ``PART_BYTES`` of text, as many as its checked size asks for;
-with more than one part, the parts' hits meet in a group for each document that was hit.
+The benchmark is sent to the workers in parts of about ``PART_BYTES`` of text, as many as its checked size asks for, one after the other:
+the driver holds the windows of one part (some 14 bytes for each byte of its text), and what each part hits is written before the next one comes.
+The parts' hits meet in a group for each document that was hit.
 
 Null texts have no words. Items without words have no window. An item with a null id marks words, but is not
 listed. Repeated rows are answered one by one, null doc_ids are kept, an empty table gives no row, and an empty benchmark
@@ -30,8 +31,8 @@ from strandlake.llm.text import LOWER, WORD, blocks, prefix_hash, runs, span_has
 from strandlake.session import staged, temporary
 
 WIDTH = 10
-#: Bytes of benchmark text that are broadcast together.
-PART_BYTES = 32 << 20
+#: Bytes of benchmark text whose windows are broadcast together.
+PART_BYTES = 4 << 20
 #: Candidate places that are intersected at once.
 PLACES = 1 << 21
 BROADCAST_BYTES = 64 << 20
@@ -193,70 +194,91 @@ def _names() -> list[str]:
     return ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 
-def _parts(benchmark: DataFrame) -> list[list[tuple[str | None, str | None]]]:
-    """The benchmark in parts of bounded size."""
+def _parts(benchmark: DataFrame) -> tuple[int, Iterator[list[tuple[str | None, str | None]]]]:
+    """The number of the benchmark's parts of bounded size, and the parts one by one."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(size // PART_BYTES) + 1
-    return [[(r["item"], r["text"]) for r in (rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)).collect()] for k in range(n)]
+    part = lambda k: rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
+    return n, ([(r["item"], r["text"]) for r in part(k).collect()] for k in range(n))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document."""
     spark = docs.sparkSession
     index = staged(build_index(docs), "index")
-    parts = [Windows.of(items) for items in _parts(benchmark)]
+    n_parts, parts = _parts(benchmark)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    partial = f"block long, row int, doc_id {id_type}, n_words long, hits binary, items array<string>"
-
-    def query(windows, whole: bool):
-        shared = spark.sparkContext.broadcast(windows)
-
-        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            asked = shared.value
-            for batch in batches:
-                for k in range(len(batch)):
-                    own = Block(*(batch.column(c)[k].as_py() for c in range(2, 6)))
-                    ids = batch.column(1)[k].values
-                    w, place = own.phrases(asked)
-                    n = len(own.counts)
-                    hit, items = np.zeros(n, np.int64), [set() for _ in range(n)]
-                    inside = np.zeros(0, bool)
-                    if len(w):
-                        inside, pairs = own.covered(asked, w, place)
-                        sums = np.concatenate([[0], np.cumsum(inside)])
-                        hit = sums[own.starts[1:]] - sums[own.starts[:-1]]
-                        for d, i in pairs.tolist():
-                            if asked.names[i] is not None:
-                                items[d].add(asked.names[i])
-                    if whole:
-                        found = [_summary(h, i) for h, i in zip(hit.tolist(), items, strict=True)]
-                        yield pa.RecordBatch.from_arrays([ids, pa.array(own.counts), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.string()), pa.array([f[0] > 0 for f in found], pa.bool_())], names=_names())
-                    else:
-                        bits = [np.packbits(inside[a : a + c]).tobytes() if h else b"" for a, c, h in zip(own.starts.tolist(), own.counts.tolist(), hit.tolist(), strict=False)]
-                        yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), ids, pa.array(own.counts), pa.array(bits, pa.binary()), pa.array([sorted(i) for i in items], pa.list_(pa.string()))], names=["block", "row", "doc_id", "n_words", "hits", "items"])
-
-        return index.mapInArrow(apply, schema if whole else partial)
-
-    if len(parts) == 1:
-        return query(parts[0], True)
+    if n_parts == 1:
+        return _answers(index, spark.sparkContext.broadcast(Windows.of(next(parts))), schema)
     every = None
-    for windows in parts:
-        one = query(windows, False)
+    for items in parts:
+        shared = spark.sparkContext.broadcast(Windows.of(items))
+        one = staged(_hits(index, shared), "hits")
+        shared.destroy()
         every = one if every is None else every.union(one)
 
     def merge(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        bits, items = np.zeros((rows[0]["n_words"] + 7) // 8, np.uint8), set()
+        bits, items = np.zeros(max(len(r["hits"]) for r in rows), np.uint8), set()
         for r in rows:
             items.update(r["items"])
-            if r["hits"]:
-                bits |= np.frombuffer(r["hits"], np.uint8)
+            bits |= np.frombuffer(r["hits"], np.uint8)
         hit, n, digest = _summary(int(np.bitwise_count(bits).sum()), items)
-        return pa.table([table.column("doc_id").slice(0, 1), pa.array([rows[0]["n_words"]], pa.int64()), pa.array([hit], pa.int64()), pa.array([n], pa.int64()), pa.array([digest]), pa.array([hit > 0])], names=_names())
+        return pa.table([table.column("block").slice(0, 1), table.column("row").slice(0, 1), pa.array([hit], pa.int64()), pa.array([n], pa.int64()), pa.array([digest])], names=["block", "row", "n_hit", "n_items", "items_sha256"])
 
-    return every.groupBy("block", "row").applyInArrow(merge, schema)
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                ids, n = batch.column(1)[k].values, np.frombuffer(batch.column(2)[k].as_py(), "<i4").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(n), pa.int64()), pa.array(range(len(n)), pa.int32()), ids, pa.array(n)], names=["block", "row", "doc_id", "n_words"])
+
+    found = every.groupBy("block", "row").applyInArrow(merge, "block long, row int, n_hit long, n_items long, items_sha256 string")
+    rows = index.select("block", "ids", "counts").mapInArrow(counts, f"block long, row int, doc_id {id_type}, n_words long").join(found, ["block", "row"], "left")
+    none = F.lit(0).cast("long")
+    return rows.select("doc_id", "n_words", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("n_items", none).alias("n_items"), F.coalesce("items_sha256", F.lit(_summary(0, set())[2])).alias("items_sha256"), (F.coalesce("n_hit", none) > 0).alias("contaminated"))
+
+
+def _found(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[tuple[int, pa.Array, Block, np.ndarray, np.ndarray, list[set[str]]]]:
+    """Of each row of the index: its block, ids, postings, whether each position is inside a hit, hits and items of each document."""
+    for batch in batches:
+        for k in range(len(batch)):
+            own = Block(*(batch.column(c)[k].as_py() for c in range(2, 6)))
+            w, place = own.phrases(windows)
+            n = len(own.counts)
+            hit, items, inside = np.zeros(n, np.int64), [set() for _ in range(n)], np.zeros(0, bool)
+            if len(w):
+                inside, pairs = own.covered(windows, w, place)
+                sums = np.concatenate([[0], np.cumsum(inside)])
+                hit = sums[own.starts[1:]] - sums[own.starts[:-1]]
+                for d, i in pairs.tolist():
+                    if windows.names[i] is not None:
+                        items[d].add(windows.names[i])
+            yield batch.column(0)[k].as_py(), batch.column(1)[k].values, own, inside, hit, items
+
+
+def _answers(index: DataFrame, shared, schema: str) -> DataFrame:
+    """The answers where the benchmark is one part."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ids, own, _, hit, items in _found(batches, shared.value):
+            found = [_summary(h, i) for h, i in zip(hit.tolist(), items, strict=True)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(own.counts), *(pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string()))), pa.array([f[0] > 0 for f in found], pa.bool_())], names=_names())
+
+    return index.mapInArrow(apply, schema)
+
+
+def _hits(index: DataFrame, shared) -> DataFrame:
+    """block, row, hits (a bit for each word), items of the documents that one part of the benchmark hits."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _, own, inside, hit, items in _found(batches, shared.value):
+            rows = np.flatnonzero(hit).tolist()
+            bits = [np.packbits(inside[own.starts[r] : own.starts[r] + own.counts[r]]).tobytes() for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array(rows, pa.int32()), pa.array(bits, pa.binary()), pa.array([sorted(items[r]) for r in rows], pa.list_(pa.string()))], names=["block", "row", "hits", "items"])
+
+    return index.mapInArrow(apply, "block long, row int, hits binary, items array<string>")
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, slop: int) -> DataFrame:
@@ -264,7 +286,7 @@ def proximity(docs: DataFrame, benchmark: DataFrame, slop: int) -> DataFrame:
     spark, index = docs.sparkSession, staged(build_index(docs), "index")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id string, word long"
     found = None
-    for items in _parts(benchmark):
+    for items in _parts(benchmark)[1]:
         shared = spark.sparkContext.broadcast(Windows.of(items))
 
         def apply(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -283,8 +305,13 @@ def proximity(docs: DataFrame, benchmark: DataFrame, slop: int) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Drops the documents that hold a window of the benchmark; their ids decide, so rows without an id stay."""
+    """Drops the documents that hold a window of the benchmark.
+
+    Rows are told apart by their id and a hash of their text, so null and repeated ids keep a verdict for each text.
+    """
+    rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("row")).alias("doc_id"), "text")
     with temporary(docs.sparkSession):
-        gone = staged(contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("gone")).distinct(), "contaminated", keep=True)
-    side = F.broadcast(gone) if gone.count() * 16 <= BROADCAST_BYTES else gone
-    return docs.join(side, docs.doc_id == F.col("gone"), "left_anti")
+        found = contamination(rows, benchmark).filter("contaminated")
+        gone = staged(found.select(F.col("doc_id.doc_id").alias("gone"), F.col("doc_id.row").alias("gone_row")).distinct(), "contaminated", keep=True)
+    side = F.broadcast(gone) if gone.count() * 24 <= BROADCAST_BYTES else gone
+    return docs.join(side, docs.doc_id.eqNullSafe(F.col("gone")) & (F.xxhash64(docs.text) == F.col("gone_row")), "left_anti")
