@@ -11,8 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _log_choose(n: float, k: float) -> float:
-    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+def _log_choose(n: int, k: np.ndarray) -> np.ndarray:
+    """log of n over k; the logarithms of factorials are sums of one table."""
+    global _LOG_FACTORIAL
+    if len(_LOG_FACTORIAL) <= n:
+        _LOG_FACTORIAL = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 2 * n + 1024, dtype=np.float64)))])
+    return _LOG_FACTORIAL[n] - _LOG_FACTORIAL[k] - _LOG_FACTORIAL[n - k]
+
+
+_LOG_FACTORIAL = np.zeros(1)
 
 
 def fisher_right_value(a: int, b: int, c: int, d: int) -> float:
@@ -20,8 +27,8 @@ def fisher_right_value(a: int, b: int, c: int, d: int) -> float:
     row, column, n = a + b, a + c, a + b + c + d
     if n == 0:
         return 1.0
-    base = _log_choose(n, column)
-    return min(1.0, sum(math.exp(_log_choose(row, x) + _log_choose(n - row, column - x) - base) for x in range(a, min(row, column) + 1)))
+    x = np.arange(a, min(row, column) + 1)
+    return min(1.0, float(np.exp(_log_choose(row, x) + _log_choose(n - row, column - x) - _log_choose(n, np.array(column))).sum()))
 
 
 def binomial_tail_value(k: int, n: int, p: float) -> float:
@@ -32,7 +39,8 @@ def binomial_tail_value(k: int, n: int, p: float) -> float:
         return 0.0
     if p >= 1:
         return 1.0
-    return min(1.0, sum(math.exp(_log_choose(n, x) + x * math.log(p) + (n - x) * math.log1p(-p)) for x in range(k, n + 1)))
+    x = np.arange(k, n + 1)
+    return min(1.0, float(np.exp(_log_choose(n, x) + x * math.log(p) + (n - x) * math.log1p(-p)).sum()))
 
 
 def welch_value(m1: float, v1: float, n1: int, m2: float, v2: float, n2: int) -> float:
@@ -44,9 +52,16 @@ def welch_value(m1: float, v1: float, n1: int, m2: float, v2: float, n2: int) ->
 
 
 def _vectorized(function, kind=T.DoubleType()):
+    """A pandas UDF that computes a value once for each distinct row of its inputs."""
+
     @F.pandas_udf(kind)
     def apply(*columns: pd.Series) -> pd.Series:
-        return pd.Series([None if any(pd.isna(x) for x in row) else function(*row) for row in zip(*columns, strict=True)], dtype="float64")
+        rows = pd.concat([c.reset_index(drop=True) for c in columns], axis=1, keys=range(len(columns)))
+        codes = rows.groupby(list(rows.columns), dropna=False, sort=False).ngroup().to_numpy()
+        _, firsts = np.unique(codes, return_index=True)
+        some = rows.iloc[firsts]
+        values = np.array([np.nan if row.isna().any() else function(*row) for _, row in some.iterrows()], np.float64)
+        return pd.Series(values[codes] if len(codes) else values).astype("Float64").where(~rows.isna().any(axis=1), pd.NA)
 
     return apply
 
@@ -59,15 +74,34 @@ welch = _vectorized(lambda m1, v1, n1, m2, v2, n2: welch_value(m1, v1, int(n1),
 def benjamini_hochberg(rows: DataFrame, p: str, out: str, keys: list[str] | None = None) -> DataFrame:
     """Adjusted p-values: the running minimum of p * m / rank from the largest rank down, at most 1.
 
-    Without ``keys`` the family is the whole table: ranks then come from counts by distinct p, so that only distinct p-values are sorted together.
+    Ranks come from counts by distinct p. Without ``keys`` the family is the whole table: distinct p-values then lie in ranges, each of which is scanned by
+    itself, and one row a range (its count, its least adjusted value) carries ranks up and minima down. A null p stays null and is not counted.
     """
     keys = keys or []
-    counts = rows.groupBy(*keys, p).agg(F.count("*").alias("_c"))
+    counts = rows.filter(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("_c"))
+    if not keys:
+        return rows.join(_adjusted_in_ranges(counts, p, out), p, "left")
     order = Window.partitionBy(*keys).orderBy(p)
     ranked = counts.withColumn("_rank", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_m", F.sum("_c").over(Window.partitionBy(*keys)))
     adjusted = F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(Window.partitionBy(*keys).orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0))
     table = ranked.withColumn(out, F.least(F.lit(1.0), adjusted)).select(*keys, p, out)
-    return rows.join(table, [*keys, p])
+    return rows.join(table, [*keys, p], "left")
+
+
+def _adjusted_in_ranges(counts: DataFrame, p: str, out: str) -> DataFrame:
+    from strandlake.session import staged
+
+    part = staged(counts.repartitionByRange(p).withColumn("_part", F.spark_partition_id()), "ranges")
+    own, line = Window.partitionBy("_part"), Window.orderBy("_part")  # the latter over one row a range
+    sizes = part.groupBy("_part").agg(F.sum("_c").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_part", before.alias("_before"), F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_m"))
+    rank = F.col("_before") + F.sum("_c").over(own.orderBy(p).rowsBetween(Window.unboundedPreceding, 0))
+    each = part.join(F.broadcast(sizes), "_part").withColumn("_q", F.col(p) * F.col("_m") / rank)
+    least = each.groupBy("_part").agg(F.min("_q").alias("_least"))
+    later = least.select("_part", F.min("_least").over(line.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    tail = F.min("_q").over(own.orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0))
+    return each.join(F.broadcast(later), "_part").select(p, F.least(F.lit(1.0), tail, F.col("_later")).alias(out))
 
 
 def n50(rows: DataFrame, keys: list[str], length: str) -> DataFrame:

@@ -17,11 +17,11 @@ def overlap_k(mode: Column, length: Column) -> Column:
     return F.when(mode == "long", F.when(length >= 2000, 11).otherwise(13)).when(mode == "short", F.when(length >= 800, 13).otherwise(17)).otherwise(16)
 
 
-def selected_references(near: DataFrame, per_assembly: int = 3, most: int = 256) -> DataFrame:
-    """References of each query by containment: up to three of each assembly first."""
+def selected_references(near: DataFrame, per_assembly: int = 3, most: int | None = 256) -> DataFrame:
+    """References of each query by containment: up to three of each assembly first, ``most`` in all (None: all)."""
     from strandlake.operators.selection import reserved_then_rank
 
-    return reserved_then_rank(near, ["query"], "assembly", [F.col("containment").desc(), F.col("reference")], per_assembly, most)
+    return reserved_then_rank(near, ["query"], "assembly", [F.col("containment").desc(), F.col("reference")], per_assembly, 2**31 - 1 if most is None else most)
 
 
 def hierarchical(pairs: DataFrame, params: calling.CallParams = calling.CallParams()) -> DataFrame:

@@ -6,6 +6,7 @@ independent of all others, so hot references spread over tasks.
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -28,7 +29,8 @@ class CallParams:
     min_sv: int = 40
     min_block: float = 6.0
     min_anchors: int = 2
-    hits: int = 64
+    #: Places of one seed that are taken; None takes all.
+    hits: int | None = 64
     normalize: int = 128
 
     @property
@@ -69,11 +71,11 @@ def _seeds(seq: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def find_mems(query: str, reference: str, least: int, hits: int = 64) -> np.ndarray:
+def find_mems(query: str, reference: str, least: int, hits: int | None = 64) -> np.ndarray:
     """(query position, reference position, length) of exact matches of at least ``least`` that can't be extended.
 
-    Seeds are looked up in the sorted k-mers of the reference, of which ``hits`` places at most are taken for one seed; a match is
-    extended along its diagonal once.
+    Seeds are looked up in the sorted k-mers of the reference, of which ``hits`` places at most are taken for one seed (None: all, which
+    gives every maximal match); a match is extended along its diagonal once.
     """
     q, r = np.frombuffer(query.encode(), np.uint8), np.frombuffer(reference.encode(), np.uint8)
     k = min(least, 31)
@@ -81,7 +83,7 @@ def find_mems(query: str, reference: str, least: int, hits: int = 64) -> np.ndar
     order = np.argsort(rs, kind="stable")
     listed = rs[order]
     low, high = np.searchsorted(listed, qs), np.searchsorted(listed, qs, side="right")
-    n = np.where(qs >= 0, np.minimum(high - low, hits), 0)
+    n = np.where(qs >= 0, high - low if hits is None else np.minimum(high - low, hits), 0)
     qi = np.repeat(np.arange(len(qs)), n)
     ri = order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
     if not len(qi):
@@ -99,10 +101,15 @@ def find_mems(query: str, reference: str, least: int, hits: int = 64) -> np.ndar
 
 
 def best_chain(mems: np.ndarray, band: int) -> list[int]:
-    """The chain with the largest sum of lengths: both positions rise, and gaps stay within the band."""
+    """The chain with the largest sum of lengths: both positions rise, and gaps stay within the band.
+
+    Many matches are chained in n log n steps by a tree of maxima over the reference positions, from which those beyond the band are taken out again.
+    """
     n = len(mems)
     if not n:
         return []
+    if n > TREE_MATCHES:
+        return _tree_chain(mems, band)
     order = np.lexsort((mems[:, 1], mems[:, 0]))
     q, r, length = mems[order].T
     score, back = length.astype(np.int64).copy(), np.full(n, -1)
@@ -122,6 +129,63 @@ def best_chain(mems: np.ndarray, band: int) -> list[int]:
     return chain[::-1]
 
 
+#: Matches from which chains are found by a tree.
+TREE_MATCHES = 2000
+
+
+def _tree_chain(mems: np.ndarray, band: int) -> list[int]:
+    order = np.lexsort((mems[:, 1], mems[:, 0]))
+    n = len(order)
+    q, r, length = (x.tolist() for x in mems[order].T)
+    by_r = np.lexsort((np.arange(n), r))
+    leaf = np.empty(n, np.int64)
+    leaf[by_r] = np.arange(n)
+    sorted_r = np.asarray(r)[by_r]
+    low, high = np.searchsorted(sorted_r, np.asarray(r) - band).tolist(), np.searchsorted(sorted_r, r).tolist()
+    leaf = leaf.tolist()
+    size = 1 << max(1, (n - 1).bit_length())
+    nothing = (-1, 0)
+    tree = [nothing] * (2 * size)  # (score, -place): of equal scores the first place
+
+    def put(i: int, value: tuple[int, int]) -> None:
+        at = leaf[i] + size
+        tree[at] = value
+        while at > 1:
+            at >>= 1
+            new = max(tree[2 * at], tree[2 * at + 1])
+            if tree[at] == new:
+                break
+            tree[at] = new
+
+    score, back, gone, waiting = [0] * n, [-1] * n, 0, deque()
+    for i in range(n):
+        while waiting and q[waiting[0]] < q[i]:  # only matches that begin before this one
+            first = waiting.popleft()
+            put(first, (score[first], -first))
+        while q[gone] < q[i] - band:
+            put(gone, nothing)
+            gone += 1
+        best, a, b = nothing, low[i] + size, high[i] + size
+        while a < b:
+            if a & 1:
+                best = max(best, tree[a])
+                a += 1
+            if b & 1:
+                b -= 1
+                best = max(best, tree[b])
+            a, b = a >> 1, b >> 1
+        score[i] = length[i]
+        if best[0] >= 0:
+            score[i] += best[0]
+            back[i] = -best[1]
+        waiting.append(i)
+    at, chain = max(range(n), key=lambda i: (score[i], -i)), []
+    while at >= 0:
+        chain.append(int(order[at]))
+        at = back[at]
+    return chain[::-1]
+
+
 def classify_all(chain: np.ndarray, min_sv: int) -> list[tuple[str, int, int, int, int, int]]:
     """An event for each consecutive pair whose gaps differ by ``min_sv``, or that goes back in the reference: type, query span, reference span, length."""
     out = []

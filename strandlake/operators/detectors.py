@@ -226,10 +226,10 @@ def annotated(rows, keep: list[str], seq: str, host: str, clade_gc: str):
     return rows.select(*keep, seq, host, clade_gc).mapInPandas(apply, f"{fields}, {ANNOTATION}")
 
 
-def off_reference_windows(query: str, overlaps, least: int = 250, min_sv: int = 40, most: int = 256) -> list[tuple[int, int, float, str]]:
+def off_reference_windows(query: str, overlaps, least: int = 250, min_sv: int = 40, most: int | None = 256) -> list[tuple[int, int, float, str]]:
     """[start, end), overlap and tier of the windows that no reference explains; neighbours of one tier are merged, lone weak ones dropped.
 
-    ``overlaps(window)`` gives the best overlap of a window with any reference.
+    ``overlaps(window)`` gives the best overlap of a window with any reference. The first ``most`` windows are looked at; with None all are.
     """
     size = min(len(query), max(least, min_sv, 100))
     starts = list(range(0, max(1, len(query) - size + 1), max(1, size // 2)))[:most]
@@ -267,23 +267,36 @@ def open_syncmers(seqs: pd.Series) -> pd.Series:
     return seqs.map(one)
 
 
+def minimizer_hashes(seq: str, k: int = 15, w: int = 100, most: int | None = 192) -> list[int]:
+    """The hashes of the smallest canonical k-mer of each window of w: the ``most`` smallest ones, or all with None."""
+    from strandlake.operators.calling import _seeds
+
+    seq = (seq or "").upper()
+    if len(seq) < k:
+        return []
+    forward, other = _seeds(_bytes(seq), k), _seeds(_bytes(reverse_complement(seq)), k)[::-1]
+    code = np.minimum(forward, other).astype(np.uint64)
+    h = code + np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    h = (h ^ (h >> np.uint64(31))) >> np.uint64(1)
+    h = np.where(forward >= 0, h, np.uint64(1 << 63)).astype(np.uint64)
+    least = np.lib.stride_tricks.sliding_window_view(h, min(w, len(h))).min(axis=1)
+    return np.unique(least[least < np.uint64(1 << 63)])[:most].astype(np.int64).tolist()
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def minimizers(seqs: pd.Series) -> pd.Series:
-    """The hashes of the smallest canonical 15-mer of each window of 100, at most 192 a read (the smallest ones)."""
-    from strandlake.operators.calling import _seeds
+    """``minimizer_hashes`` of each read, at most 192."""
+    return seqs.map(minimizer_hashes)
 
-    def one(seq: str, k: int = 15, w: int = 100) -> list[int]:
-        seq = (seq or "").upper()
-        if len(seq) < k:
-            return []
-        forward, other = _seeds(_bytes(seq), k), _seeds(_bytes(reverse_complement(seq)), k)[::-1]
-        code = np.minimum(forward, other).astype(np.uint64)
-        h = code + np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        h = (h ^ (h >> np.uint64(31))) >> np.uint64(1)
-        h = np.where(forward >= 0, h, np.uint64(1 << 63)).astype(np.uint64)
-        least = np.lib.stride_tricks.sliding_window_view(h, min(w, len(h))).min(axis=1)
-        return [int(x) for x in np.unique(least[least < np.uint64(1 << 63)])[:192]]
 
-    return seqs.map(one)
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def all_minimizers(seqs: pd.Series) -> pd.Series:
+    """``minimizer_hashes`` of each read, all of them."""
+    return seqs.map(lambda s: minimizer_hashes(s, most=None))
+
+
+def minimizer_postings(rows: DataFrame, name: str, seq: str) -> DataFrame:
+    """(hash, name): the postings of all minimizers of each sequence."""
+    return rows.select(F.explode(all_minimizers(F.col(seq))).alias("hash"), name)

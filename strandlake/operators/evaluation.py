@@ -44,16 +44,17 @@ def candidate_pairs(truth: DataFrame, calls: DataFrame, width: int = 10_000, sla
     return both.filter(compatible(column("t"), column("p"))).select("truth_id", "call_id", distance.alias("distance"))
 
 
-def mutual_matches(pairs: DataFrame, most_rounds: int = 200) -> DataFrame:
+def mutual_matches(pairs: DataFrame) -> DataFrame:
     """Greedy one-to-one matches: a pair that is the best of both its ends is taken, its ends leave, and so on.
 
     With the total order (distance, truth_id, call_id) that gives the same matches as taking the sorted pairs one by one, round by round in parallel.
+    It goes on until no pair is left: each round takes at least the best pair of all, and usually nearly all of them.
     """
     from strandlake.session import staged
 
     order = F.struct("distance", "truth_id", "call_id")
     left, taken = staged(pairs.distinct(), "pairs"), None
-    for _ in range(most_rounds):
+    while True:
         best_t = left.groupBy("truth_id").agg(F.min(order).alias("_bt"))
         best_c = left.groupBy("call_id").agg(F.min(order).alias("_bc"))
         now = staged(left.join(best_t, "truth_id").join(best_c, "call_id").filter((F.col("_bt") == order) & (F.col("_bc") == order)).select("truth_id", "call_id", "distance"), "matches")

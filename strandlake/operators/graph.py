@@ -54,18 +54,23 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def ancestors(edges: DataFrame, child: str, parent: str, most_depth: int = 64) -> DataFrame:
-    """(node, ancestor, depth) by doubling: log(depth) joins; depth 0 is the node itself."""
+def ancestors(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """(node, ancestor, depth) by doubling: log(depth) joins, until nothing new is found; depth 0 is the node itself.
+
+    A node that is its own ancestor is an error.
+    """
     up = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")).distinct()
-    every = up
-    step = 1
-    while step < most_depth:
+    every, known = up, up.count()
+    while True:
         right = every.select(F.col("node").alias("_m"), F.col("ancestor").alias("_a"), F.col("depth").alias("_d"))
         longer = every.join(right, F.col("ancestor") == F.col("_m")).select("node", F.col("_a").alias("ancestor"), (F.col("depth") + F.col("_d")).alias("depth"))
         grown = staged(every.union(longer).distinct(), "ancestors")
-        if grown.count() == every.count():
+        if grown.filter("node = ancestor").limit(1).count():
+            raise ValueError("the edges have a cycle")
+        found = grown.count()
+        if found == known:
             break
-        every, step = grown, step * 2
+        every, known = grown, found
     nodes = edges.select(F.col(child).alias("node")).union(edges.select(parent)).distinct()
     return every.union(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
 
@@ -100,19 +105,29 @@ def overlap_length(left: str, right: str, least: int, mismatch: float = 0.0) ->
     return 0
 
 
-def greedy_assemble(reads: list[str], least_overlap: int = 20, least_length: int = 0, mismatch: float = 0.0, most: int = 64) -> list[str]:
-    """Drops reads that another holds on either strand, then merges the best overlapping pair again and again."""
+def greedy_assemble(reads: list[str], least_overlap: int = 20, least_length: int = 0, mismatch: float = 0.0, most: int | None = 64) -> list[str]:
+    """Drops reads that another holds on either strand, then merges the best overlapping pair again and again.
+
+    Of the distinct reads the ``most`` longest take part; with None all do.
+    """
     parts: list[str] = []
     for r in sorted(set(reads), key=lambda s: (-len(s), s))[:most]:
         if not any(r in p or reverse_complement(r) in p for p in parts):
             parts.append(r)
-    while len(parts) > 1:
-        best = max(((overlap_length(a, b, least_overlap, mismatch), -i, -j) for i, a in enumerate(parts) for j, b in enumerate(parts) if i != j), default=(0, 0, 0))
-        if not best[0]:
+    # overlaps are kept from step to step: only those of the joined part are new; numbers grow, so ties go to earlier parts
+    live = dict(enumerate(parts))
+    overlaps = {(i, j): overlap_length(a, b, least_overlap, mismatch) for i, a in live.items() for j, b in live.items() if i != j}
+    while overlaps:
+        (i, j), n = max(overlaps.items(), key=lambda x: (x[1], -x[0][0], -x[0][1]))
+        if not n:
             break
-        i, j = -best[1], -best[2]
-        joined = parts[i] + parts[j][best[0] :]
-        parts = [p for k, p in enumerate(parts) if k not in (i, j)] + [joined]
+        new, joined = max(live) + 1, live[i] + live[j][n:]
+        del live[i], live[j]
+        overlaps = {pair: n for pair, n in overlaps.items() if i not in pair and j not in pair}
+        for k, part in live.items():
+            overlaps[new, k], overlaps[k, new] = overlap_length(joined, part, least_overlap, mismatch), overlap_length(part, joined, least_overlap, mismatch)
+        live[new] = joined
+    parts = list(live.values())
     return sorted((p for p in parts if len(p) >= least_length), key=lambda s: (-len(s), s))
 
 

@@ -34,17 +34,36 @@ def bottom(rows: DataFrame, id_column: str, n: int) -> DataFrame:
     return top_per_key(rows.select(id_column, "h").distinct(), [id_column], [F.col("h")], n)
 
 
+def bottom_of(rows: DataFrame, key: str, seq: str, k: int, n: int, keep_digit: str = "") -> DataFrame:
+    """(key, h): the n smallest hashes of all k-mers of each key's rows, if they begin with ``keep_digit``.
+
+    Each row gives its own n smallest ones, so no more than that is exploded or shuffled.
+    """
+    hashes = F.transform(F.array_distinct(Q.kmers(F.col(seq), k)), hash60)
+    if keep_digit:
+        hashes = F.filter(hashes, lambda h: F.startswith(h, F.lit(keep_digit)))
+    own = rows.select(key, F.explode(F.slice(F.array_sort(F.array_distinct(hashes)), 1, n)).alias("h"))
+    return bottom(own, key, n)
+
+
 def similarities(queries: DataFrame, references: DataFrame) -> DataFrame:
     """(query, reference, shared, jaccard, containment) of all pairs that share a hash, via the inverted index.
 
-    ``queries`` (query, h) is a stated query set; its postings are broadcast if they are few enough, which leaves the references
-    unshuffled until partial counts. Sizes are counted from the same postings.
+    ``queries`` (query, h) is a stated query set. If its postings are few enough they are broadcast as lists by hash, and one pass over the references'
+    postings counts both their sizes and what they share, so only partial counts are shuffled and nothing but them is written.
     """
-    q, r = staged(queries, "queries"), staged(references, "references")
-    n = q.count()
-    side = F.broadcast(q) if n <= BROADCAST_ROWS else q
-    shared = r.join(side, "h").groupBy("query", "reference").agg(F.count("*").alias("shared"))
-    q_size, r_size = q.groupBy("query").agg(F.count("*").alias("_q")), r.groupBy("reference").agg(F.count("*").alias("_r"))
+    q = staged(queries, "queries")
+    q_size = q.groupBy("query").agg(F.count("*").alias("_q"))
+    if q.count() <= BROADCAST_ROWS:
+        listed = F.broadcast(q.groupBy("h").agg(F.collect_list("query").alias("_queries")))
+        nothing = F.array(F.lit(None).cast(q.schema["query"].dataType))
+        # each posting counts once for its reference (no query), and once for each query that has its hash
+        each = references.join(listed, "h", "left").select("reference", F.explode(F.concat(nothing, F.coalesce("_queries", F.array().cast(f"array<{q.schema['query'].dataType.simpleString()}>")))).alias("query"))
+        counts = staged(each.groupBy("reference", "query").agg(F.count("*").alias("shared")), "shared")
+        shared, r_size = counts.filter("query IS NOT NULL"), counts.filter("query IS NULL").select("reference", F.col("shared").alias("_r"))
+    else:
+        r = staged(references, "references")
+        shared, r_size = r.join(q, "h").groupBy("query", "reference").agg(F.count("*").alias("shared")), r.groupBy("reference").agg(F.count("*").alias("_r"))
     sized = shared.join(q_size, "query").join(r_size, "reference")
     return sized.select("query", "reference", "shared", (F.col("shared") / (F.col("_q") + F.col("_r") - F.col("shared"))).alias("jaccard"), (F.col("shared") / F.col("_q")).alias("containment"))
 
@@ -64,12 +83,16 @@ def jaccard_distance(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 0.0).when((F.size(a) == 0) | (F.size(b) == 0), 1.0).otherwise(1 - shared / (F.size(a) + F.size(b) - shared))
 
 
-def shared_anchor_pairs(rows: DataFrame, id_column: str, least: int = 2, degree: int = 48) -> DataFrame:
-    """Pairs of reads with at least ``least`` common minimizers; a minimizer of over ``degree`` reads links only neighbours.
+def shared_anchor_pairs(rows: DataFrame, id_column: str, least: int = 2, degree: int | None = 48) -> DataFrame:
+    """Pairs of reads with at least ``least`` common minimizers; a minimizer of over ``degree`` reads links only neighbours (None: all links).
 
     Where a minimizer is common, its reads are chained in the order of their ids instead of paired all with all; that
-    joins the same components with a linear number of pairs.
+    keeps the number of pairs linear, but loses pairs whose common minimizers are all of that kind.
     """
+    if degree is None:
+        each = rows.select(id_column, "h").distinct()
+        both = each.select("h", F.col(id_column).alias("a")).join(each.select("h", F.col(id_column).alias("b")), "h").filter("a < b")
+        return both.groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
     order = Window.partitionBy("h").orderBy(id_column)
     counted = rows.select(id_column, "h").distinct().withColumn("_n", F.count("*").over(Window.partitionBy("h")))
     few = counted.filter(F.col("_n") <= degree).select("h", F.col(id_column).alias("a"))

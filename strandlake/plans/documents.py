@@ -112,7 +112,7 @@ def fracmin_sketch_sizes(t: Tables) -> DataFrame:
 )
 def minhash_bottom_n(t: Tables) -> DataFrame:
     """The 64 smallest hashes of each clade."""
-    return top_per_key(sketch.postings(sequences(t), "lang", "seq", 16, "0").distinct(), ["lang"], [F.col("h")], 64, "rank")
+    return top_per_key(sketch.bottom_of(sequences(t), "lang", "seq", 16, 64, "0"), ["lang"], [F.col("h")], 64, "rank")
 
 
 @query(

@@ -92,11 +92,12 @@ def write_hits(calls: DataFrame, path: str) -> None:
 
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
     """The hits TSV with numbers cast and sentinels null; the last row of a (contig, pos, end, type) stays."""
-    rows = read_header_tsv(spark, path)
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("line"))
+    rows = read_header_tsv(spark, path).withColumn("_at", at)
     numbers = {"ref_pos", "ref_end", "pos", "end", "svlen", "anchors", "fused_layers", "read_support"}
     reals = {"block_score", "gq", "fused_posterior_alt", "fused_logodds_alt", "fused_effective_depth"}
-    typed = rows.select(*[F.when(F.col(c) != ".", F.col(c)).try_cast("long" if c in numbers else "double" if c in reals else "string").alias(c) for c in HITS])
-    return typed.dropDuplicates(["query_contig", "pos", "end", "type"])
+    typed = rows.select(*[F.when(F.col(c) != ".", F.col(c)).try_cast("long" if c in numbers else "double" if c in reals else "string").alias(c) for c in HITS], "_at")
+    return last_per_key(typed, ["query_contig", "pos", "end", "type"], "_at").drop("_at")
 
 
 def gfa_lines(calls: DataFrame, reference: str = "ref_contig") -> DataFrame:
