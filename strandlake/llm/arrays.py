@@ -7,6 +7,7 @@ mounted (a ``file:`` path) files are memory-mapped; in an object store or HDFS a
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,6 +18,7 @@ import pyarrow as pa
 import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandlake.session import scratch_path
 
@@ -98,6 +100,24 @@ def blobs(pairs: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([s for s, _ in pairs], pa.int32()), pa.array([b for _, b in pairs], pa.binary())], names=["shard", "blob"])
 
 
+_slots: dict[int, str] = {}
+
+
+def dealt(frame: DataFrame, n: int, column: str = "shard") -> DataFrame:
+    """Repartitions rows so that each of the shards 0 to n-1 has a task of its own.
+
+    Shard numbers themselves would be hashed, and several meet in one task. So each is dealt by a number that Spark's hash takes to its place,
+    found among the first few multiples of n.
+    """
+    spark = frame.sparkSession
+    if n not in _slots:
+        place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("place")
+        found = {r["place"]: r["id"] for r in spark.range(0, 24 * n).groupBy(place).agg(F.min("id").alias("id")).collect()}
+        _slots[n] = json.dumps([found.get(k, k) for k in range(n)])
+    slot = F.get(F.from_json(F.lit(_slots[n]), "array<int>"), F.col(column))
+    return frame.withColumn("strandlake_slot", slot).repartition(n, "strandlake_slot").drop("strandlake_slot")
+
+
 def by_shard(frame: DataFrame, n: int, finish: Callable[[int, list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Brings the blobs of a shard together; ``finish(shard, blobs)`` gives the rows of a result."""
 
@@ -109,7 +129,7 @@ def by_shard(frame: DataFrame, n: int, finish: Callable[[int, list[bytes]], Iter
         while held:
             yield from finish(*held.popitem())
 
-    return frame.repartition(n, "shard").mapInArrow(apply, schema)
+    return dealt(frame, n).mapInArrow(apply, schema)
 
 
 def counted(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from strandlake.llm.arrays import BLOBS, GATHERED, Gathered, blobs, by_shard, counted, hash_edges, heads, mapped, new_folder, planes, ranges, save, sliced
+from strandlake.llm.arrays import BLOBS, GATHERED, Gathered, blobs, by_shard, counted, dealt, hash_edges, heads, mapped, new_folder, planes, ranges, save, sliced
 from strandlake.llm.text import blocks, mix, powers, prefix_hash, span_hash
 from strandlake.session import staged
 
@@ -391,7 +391,7 @@ def settled(sent: DataFrame, shards: int, family: Family | None = None) -> DataF
             if rows:
                 yield _sent(rows)
 
-    return sent.repartition(shards, "shard").mapInArrow(apply, SENT)
+    return dealt(sent, shards).mapInArrow(apply, SENT)
 
 
 def merged(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

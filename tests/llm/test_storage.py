@@ -97,3 +97,11 @@ def test_overfull_leaves_are_cut_again():
     a, b = whole(every, every, 3)
     exact = len(every) - len(set(a.tolist()))
     assert len({find(int(m)) for m in every}) == exact and max(sizes) <= 4 * 32
+
+
+def test_each_shard_has_a_task_of_its_own(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 130).select((F.col("id") % 13).cast("int").alias("shard"))
+    placed = arrays.dealt(rows, 13).select("shard", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(placed) == 13 and len({r["p"] for r in placed}) == 13
