@@ -1,7 +1,7 @@
 """Streaming forms: windowed counts, de-duplication and bounded top-k, with exactly-once sinks.
 
-``events.ts`` has no time zone; streams cast it to a timestamp, for watermarks. Each stream checkpoints under the
-shared folder, so a restarted query goes on where it stopped.
+``events.ts`` has no time zone; streams cast it to a timestamp, for watermarks. Each stream checkpoints beside its sink, under a new folder of the
+shared one or at a path that is given; a run with the path of an earlier one goes on where that stopped.
 """
 
 from __future__ import annotations
@@ -37,39 +37,69 @@ def deduplicated(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.dropDuplicatesWithinWatermark(keys)
 
 
-def finished(found: DataFrame, name: str, mode: str) -> DataFrame:
+def _epochs(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the micro-batches that are wholly written."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        return []
+    names = [s.getPath().getName() for s in store.listStatus(at) if store.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return sorted(int(n.removeprefix("epoch=")) for n in names if n.startswith("epoch="))
+
+
+def finished(found: DataFrame, name: str, mode: str, path: str | None = None) -> DataFrame:
     """Runs a stream over all that is there now, and returns what its sink holds in the end.
 
-    The sink writes each micro-batch under its number, so a replayed batch overwrites itself; in complete mode the last one is the state.
+    The sink writes each micro-batch under its number, so a replayed batch overwrites itself; in complete mode the last one is the state. With a ``path``
+    of its own a later run goes on where this one stopped: progress is read from the stream's checkpoint and the sink, never from this process.
     """
     spark = found.sparkSession
-    path = scratch_path(spark, name)
-    last: list[int] = []
+    path = path or scratch_path(spark, name)
 
     def put(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-        last[:] = [epoch] if mode == "complete" else [*last, epoch]
 
     job = found.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(put).start()
     job.awaitTermination()
-    parts = [f"{path}/epoch={e}" for e in dict.fromkeys(last)]
+    epochs = _epochs(spark, path)
+    parts = [f"{path}/epoch={e}" for e in (epochs[-1:] if mode == "complete" else epochs)]
     return spark.read.schema(found.schema).parquet(*parts) if parts else spark.createDataFrame([], found.schema)
 
 
-def top_k(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """The k largest values of each type: every micro-batch merges its own top k with the table of the best so far."""
-    source = stream(spark, sf_dir, "events").select("event_type", "value", "event_id")
-    path, at = scratch_path(spark, "topk"), []
-    order = Window.partitionBy("event_type").orderBy(F.col("value").desc(), "event_id")
+def bounded(source: DataFrame, keys: list[str], order: list, k: int, name: str, path: str | None = None) -> DataFrame:
+    """The first k rows of each key over a stream: every micro-batch merges its own with the best so far, which it reads from the sink.
+
+    That is also how a sketch of the k smallest hashes grows with its input. A batch that is replayed reads the state of the batch before it again.
+    """
+    spark = source.sparkSession
+    path = path or scratch_path(spark, name)
+    w = Window.partitionBy(*keys).orderBy(*order)
 
     def put(batch: DataFrame, epoch: int) -> None:
-        own = f"{path}/epoch={epoch}"
-        before = [p for p in at if p != own]
-        rows = batch.sparkSession.read.parquet(before[-1]).unionByName(batch) if before else batch
-        best = rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
-        best.write.mode("overwrite").parquet(own)
-        at[:] = [*before, own]
+        before = [e for e in _epochs(batch.sparkSession, path) if e < epoch]
+        rows = batch.sparkSession.read.schema(source.schema).parquet(f"{path}/epoch={before[-1]}").unionByName(batch) if before else batch
+        rows.dropDuplicates().withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r").write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     job = source.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(put).start()
     job.awaitTermination()
-    return spark.read.parquet(at[-1]) if at else spark.createDataFrame([], source.schema)
+    epochs = _epochs(spark, path)
+    return spark.read.schema(source.schema).parquet(f"{path}/epoch={epochs[-1]}") if epochs else spark.createDataFrame([], source.schema)
+
+
+def top_k(spark: SparkSession, sf_dir: str, k: int, path: str | None = None) -> DataFrame:
+    """The k largest values of each type."""
+    source = stream(spark, sf_dir, "events").select("event_type", "value", "event_id")
+    return bounded(source, ["event_type"], [F.col("value").desc(), F.col("event_id")], k, "topk", path)
+
+
+def sketch_stream(hashes: DataFrame, key: str, n: int, path: str | None = None) -> DataFrame:
+    """The n smallest hashes of each key (key, h) of a stream of hashes: the state of a sketch that is built up bit by bit."""
+    return bounded(hashes.select(key, "h"), [key], [F.col("h")], n, "sketch", path)
+
+
+def stop_after(job, seconds: float) -> bool:
+    """Waits so long for a running query and then lets it end after its present batch; whether it had ended by itself. What it wrote stays, and a new start goes on from there."""
+    if job.awaitTermination(seconds):
+        return True
+    job.stop()
+    return False
