@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -300,3 +301,24 @@ def all_minimizers(seqs: pd.Series) -> pd.Series:
 def minimizer_postings(rows: DataFrame, name: str, seq: str) -> DataFrame:
     """(hash, name): the postings of all minimizers of each sequence."""
     return rows.select(F.explode(all_minimizers(F.col(seq))).alias("hash"), name)
+
+
+def off_reference_intervals(sequences: DataFrame, name: str, seq: str, references: DataFrame, size: int = 250, k: int = 9, keep_digits: str = "0123456789abcdef") -> DataFrame:
+    """name, start, end, overlap, tier: stretches of sequences that no reference (postings reference, h) explains.
+
+    Windows of ``size`` by half of it are routed by their best containment; neighbours of one tier become one stretch, and lone weak windows are dropped.
+    """
+    from strandlake.functions.scores import novelty_tier
+    from strandlake.functions.sequence import windows
+    from strandlake.operators import sketch
+
+    cut = sequences.select(name, F.explode(windows(F.col(seq), size, size // 2)).alias("w")).select(name, "w.start", "w.window")
+    p = sketch.postings(cut.withColumn("_w", F.concat_ws(":", name, "start")), "_w", "window", k, keep_digits).withColumnRenamed("_w", "query")
+    best = sketch.similarities(p, references).groupBy("query").agg(F.max("containment").alias("overlap"))
+    held = cut.select(name, "start", F.concat_ws(":", name, "start").alias("query")).join(best, "query", "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
+    tiers = held.withColumn("tier", novelty_tier(F.col("overlap"))).filter("tier != 'OFF_REF_KNOWN'")
+    order = Window.partitionBy(name).orderBy("start")
+    new = (F.lag("tier").over(order) != F.col("tier")) | (F.lag("start").over(order) + size < F.col("start"))
+    island = F.sum(F.when(F.coalesce(new, F.lit(True)), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    found = tiers.withColumn("_island", island).groupBy(name, "_island", "tier").agg(F.min("start").alias("start"), (F.max("start") + size).alias("end"), F.max("overlap").alias("overlap"), F.count("*").alias("_n"))
+    return found.filter("NOT (tier = 'NOVEL_WEAK' AND _n = 1)").select(name, "start", "end", "overlap", "tier")

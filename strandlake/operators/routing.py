@@ -61,7 +61,7 @@ def without_decoys(rows: DataFrame, name: str) -> DataFrame:
 
 def reservoir(rows: DataFrame, key: str, row_id: str, n: int, seed: int = 0) -> DataFrame:
     """A stable sample of n rows of each key (a sampling operator)."""
-    return top_per_key(rows, [key], [F.xxhash64(row_id, F.lit(seed)), F.col(row_id)], n)
+    return top_per_key(rows, [key], [F.md5(F.concat_ws("/", F.lit(seed), row_id)), F.col(row_id)], n)
 
 
 def best_by_clade(near: DataFrame, clades: DataFrame, expected: DataFrame) -> DataFrame:

@@ -77,14 +77,13 @@ def subclade_bitkeys(t: Tables) -> DataFrame:
 
 
 def _hits(t: Tables) -> DataFrame:
-    c = calls(t).filter("status = 'F' AND line = 1")
-    return c.groupBy(F.concat(F.lit("asm"), "sample").alias("query_asm"), F.col("contig").cast("string").alias("query_contig"), F.col("svtype").alias("type"), "pos", "end").agg(
+    return calls(t).groupBy(F.concat(F.lit("asm"), "sample").alias("query_asm"), F.col("contig").cast("string").alias("query_contig"), F.col("svtype").alias("type"), "pos", "end").agg(
         F.lit("ref").alias("ref_asm"), F.lit("chr1").alias("ref_contig"), F.max("len").alias("svlen"), F.max("price").alias("block_score"), F.count("*").alias("anchors"), F.lit("0/1").alias("genotype"), F.lit(30.0).alias("gq"), F.lit("NONE").alias("annotation"), F.lit("assembly").alias("query_mode")
     )
 
 
 _HITS = """c AS (SELECT 'asm' || l_suppkey AS query_asm, l_orderkey::VARCHAR AS query_contig, CASE l_returnflag WHEN 'A' THEN 'DEL' WHEN 'N' THEN 'INS' ELSE 'INV' END AS type, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) AS pos,
-    l_quantity::BIGINT AS len, l_extendedprice AS price FROM lineitem WHERE l_linestatus = 'F' AND l_linenumber = 1),
+    l_quantity::BIGINT AS len, l_extendedprice AS price FROM lineitem),
     h AS (SELECT query_asm, query_contig, type, pos, pos + len AS "end", max(len) AS svlen, count(*) AS anchors FROM c GROUP BY ALL)"""
 
 

@@ -90,6 +90,13 @@ def read_fasta_text(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("source", name.alias("contig"), seq.alias("seq"), (F.col("ordinal") - 1).cast("long").alias("ordinal")).filter("seq != ''")
 
 
+def read_fasta_split(spark: SparkSession, path: str) -> DataFrame:
+    """source, contig, seq of plain FASTA files of any store, large files in parts: a record ends where a line begins with '>'."""
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace(F.col("_metadata.file_path"), r"^.*/", "").alias("source"), F.regexp_replace("value", "^>", "").alias("record"))
+    seq = F.regexp_replace(F.regexp_replace("record", r"^[^\n]*", ""), r"\s", "")
+    return rows.select("source", F.regexp_extract("record", r"^(\S*)", 1).alias("contig"), seq.alias("seq")).filter("seq != ''")
+
+
 def read_loaded(rows: DataFrame, least: int = 0, most: int | None = None) -> DataFrame:
     """Sanitised reads within a length band; of repeated names of a source the last stays."""
     clean = rows.withColumn("seq", Q.sanitized(F.col("seq"))).filter(F.length("seq") >= least)
