@@ -8,13 +8,15 @@ the chunks of longer records are shuffled, by record and in order, and hashed on
 Of records with equal payloads of at least ``SMALL`` bytes, the one with the smallest page_id is a response and the others
 revisit it. Rows that repeat that page_id with that payload are responses too; a null page_id is never the smallest, and where
 all ids are null all are responses. A null html is empty, a null url is replaced by the record's own id, and control characters in a url are escaped.
-An empty table makes no archive; other columns are ignored.
+Ids are percent-encoded in headers, so ids of any text come back. The html value itself is one Spark string; its chunk rows, and whatever reads them, never hold a
+whole record. An empty table makes no archive; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -39,7 +41,7 @@ def _header(kind: str, page: str, url: str, digest: str, size: int, refers: str
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<{page}>"), ("WARC-Date", at), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     if kind == "revisit":
-        fields += [("WARC-Refers-To", f"<{URN}{refers}>"), ("WARC-Profile", PROFILE)]
+        fields += [("WARC-Refers-To", f"<{URN}{quote(refers, safe='')}>"), ("WARC-Profile", PROFILE)]
     fields.append(("Content-Length", str(len(http) + (size if kind == "response" else 0))))
     return "WARC/1.1\r\n".encode() + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + http
 
@@ -79,7 +81,7 @@ def write(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES, at: str = "2024-01-0
         for batch in batches:
             for page, url, html, digest, refers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 payload = memoryview(html.as_buffer())
-                own = f"{URN}{page}" if page is not None else f"urn:strandlake:row:{archive}-{record}"
+                own = f"{URN}{quote(page, safe='')}" if page is not None else f"urn:strandlake:row:{archive}-{record}"
                 lead = _header("revisit" if refers is not None else "response", own, _clean(url) if url is not None else own, digest, len(payload), refers, at)
                 body = payload if refers is None else payload[:0]
                 seen, done, chunk, last = hashlib.sha256(), 0, 0, False
@@ -132,8 +134,8 @@ class Reader:
         if self.left or bytes(data[len(take) :]) != b"\r\n\r\n" or kind == "response" and digest != stated:
             raise ValueError(f"{self.fields['WARC-Record-ID']}: the record is damaged")
         page = self.fields["WARC-Record-ID"][1:-1]
-        refers = self.fields.get("WARC-Refers-To", "<>")[1:-1].removeprefix(URN)
-        return page.removeprefix(URN) if page.startswith(URN) else None, self.size, stated, kind, refers or None
+        refers = unquote(self.fields.get("WARC-Refers-To", "<>")[1:-1].removeprefix(URN))
+        return unquote(page.removeprefix(URN)) if page.startswith(URN) else None, self.size, stated, kind, refers or None
 
 
 def read(chunks: DataFrame) -> DataFrame:

@@ -213,6 +213,13 @@ def test_warc(spark, sf):
     assert warc_chunks.round_trip(whole).count() == whole.count()
 
 
+def test_warc_ids_of_any_text(spark):
+    ids = ["a\r\nWARC-Type: x", "50% <b>", "é:ü", " ", "plain"]
+    pages = spark.createDataFrame([(i, None, "same " * 40) for i in ids], "page_id string, url string, html string")
+    found = {r["page_id"]: r["refers_to"] for r in warc_chunks.round_trip(pages).collect()}
+    assert found == {i: None if i == min(ids) else min(ids) for i in ids}
+
+
 def test_quality(spark, corpus, sf, docs, empty):
     labels = table(spark, sf, "labels")
     both = quality.score(corpus, labels).join(labels, "doc_id")
