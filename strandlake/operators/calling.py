@@ -255,6 +255,52 @@ def call_pair(query: str, reference: str, params: CallParams = CallParams(), sam
     return sorted(out, key=lambda c: (c[1], c[0], c[2]))
 
 
+def chains(mems: np.ndarray, band: int, most: int) -> list[np.ndarray]:
+    """Chains from the best down, each made of matches that no earlier one covers, until none is left or there are ``most``."""
+    out: list[np.ndarray] = []
+    left = mems
+    while len(left) and len(out) < most:
+        chain = left[best_chain(left, band)]
+        out.append(chain)
+        left = left[~_covered(left, chain)]
+    return out
+
+
+def single_reference_calls(query: str, reference: str, params: CallParams = CallParams()) -> list[tuple]:
+    """All calls of a query against one reference, from many chains on both strands.
+
+    Up to max(64, min(1024, length / 50000)) chains are taken. A short query (under 1000) may have one anchor and a score of 3. Events of all chains carry the score
+    and anchors of the first one that is good enough; quality is 40. Copies are looked for behind the first chain only; there is no shift to the left and no call off the contig.
+    """
+    most = max(64, min(1024, len(query) // 50_000))
+    least_anchors, least_score = (1, min(params.min_block, 3.0)) if len(query) < 1000 else (params.min_anchors, params.min_block)
+    out: set[tuple] = set()
+    first: tuple[float, int] | None = None
+    forward = find_mems(query, reference, params.min_mem, params.hits)
+    for number, chain in enumerate(chains(forward, params.gap_band, most)):
+        score, anchors = float(chain[:, 2].sum()), len(chain)
+        if anchors < least_anchors or score < least_score:
+            continue
+        first = first or (score, anchors)
+        events = classify_all(chain, params.min_sv)
+        if number == 0:
+            extra = forward[~_covered(forward, chain)]
+            for q, r, n in extra[extra[:, 2] >= params.min_sv].tolist():
+                if ((chain[:, 1] < r + n) & (chain[:, 1] + chain[:, 2] > r)).any():
+                    events.append(("DUP", q, q + n, r, r + n, n))
+        out |= {(kind, qa, qb, ra, rb, size, *first) for kind, qa, qb, ra, rb, size in events}
+    other = find_mems(reverse_complement(query), reference, params.min_mem, params.hits)
+    other[:, 0] = len(query) - other[:, 0] - other[:, 2]
+    covered = np.concatenate([c for c in chains(forward, params.gap_band, 1)]) if len(forward) else forward
+    inverted = other[~_covered(other, covered)]
+    if len(inverted) and int(inverted[:, 2].sum()) >= params.min_sv:
+        a, b = int(inverted[:, 0].min()), int((inverted[:, 0] + inverted[:, 2]).max())
+        score, anchors = first or (float(inverted[:, 2].sum()), len(inverted))
+        out.add(("INV", a, b, int(inverted[:, 1].min()), int((inverted[:, 1] + inverted[:, 2]).max()), b - a, score, anchors))
+    calls = [(kind, qa + 1, max(qb, qa + 1), ra + 1, max(rb, ra + 1), size, score, anchors, 40.0, "single_ref") for kind, qa, qb, ra, rb, size, score, anchors in out]
+    return sorted(calls, key=lambda c: (c[1], c[0], c[2]))
+
+
 def _covered(mems: np.ndarray, chain: np.ndarray) -> np.ndarray:
     """Whether a match's query stretch is mostly inside the chain's."""
     if not len(chain) or not len(mems):
@@ -267,15 +313,15 @@ def _covered(mems: np.ndarray, chain: np.ndarray) -> np.ndarray:
     return 2 * (inside[mems[:, 0] + mems[:, 2]] - inside[mems[:, 0]]) > mems[:, 2]
 
 
-def call_rows(pairs: DataFrame, keep: list[str], query: str, reference: str, params: CallParams = CallParams(), same_contig: str | None = None) -> DataFrame:
-    """Calls of each row's query against its reference; the columns ``keep`` come along."""
+def call_rows(pairs: DataFrame, keep: list[str], query: str, reference: str, params: CallParams = CallParams(), same_contig: str | None = None, single: bool = False) -> DataFrame:
+    """Calls of each row's query against its reference; the columns ``keep`` come along. ``single`` takes many chains of each pair."""
     columns = [*keep, query, reference, *([same_contig] if same_contig else [])]
 
     def apply(batches):
         for pdf in batches:
             owners, rows = [], []
             for i, (q, r, same) in enumerate(zip(pdf[query], pdf[reference], pdf[same_contig] if same_contig else [True] * len(pdf), strict=True)):
-                for call in call_pair(q or "", r or "", params, bool(same)):
+                for call in single_reference_calls(q or "", r or "", params) if single else call_pair(q or "", r or "", params, bool(same)):
                     owners.append(i)
                     rows.append(call)
             names = [f.split()[0] for f in CALL_FIELDS.split(", ")]

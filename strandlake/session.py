@@ -49,10 +49,30 @@ def scratch_path(spark: SparkSession, label: str, keep: bool = False) -> str:
     path = f"{shared_dir(spark)}/strandlake-{label}-{uuid.uuid4().hex}"
     if _scopes and not keep:
         _scopes[-1].append(path)
+    else:
+        _staged.append(path)
     return path
 
 
 _scopes: list[list[str]] = []
+#: What results may still read; ``forget_staged`` deletes it.
+_staged: list[str] = []
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget_staged(spark: SparkSession) -> int:
+    """Deletes all that this session has staged; call it once no result is read any more. Returns how many folders went."""
+    paths = [p for name in _staged for p in (name, f"{name}-state")]
+    n = len(_staged)
+    _staged.clear()
+    _delete(spark, paths)
+    return n
 
 
 @contextmanager
@@ -64,10 +84,7 @@ def temporary(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _scopes.remove(made)
-        jvm = spark.sparkContext._jvm
-        for name in made:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, made)
 
 
 def staged(df: DataFrame, label: str, keep: bool = False) -> DataFrame:

@@ -94,3 +94,36 @@ def test_tails_against_plain_sums():
         exact = sum(comb(row, x) * comb(n - row, column - x) for x in range(a, min(row, column) + 1)) / comb(n, column) if n else 1.0
         assert abs(stats.fisher_right_value(a, b, c, d) - exact) < 1e-9
     assert abs(stats.binomial_tail_value(3, 9, 0.2) - sum(comb(9, x) * 0.2**x * 0.8 ** (9 - x) for x in range(3, 10))) < 1e-12
+
+
+def test_staged_tables_can_be_deleted(spark):
+    from strandlake import session
+
+    held = session.staged(spark.range(5), "held")
+    path = session._staged[-1]
+    others, session._staged[:] = session._staged[:-1], [path]
+    with session.temporary(spark):
+        session.staged(spark.range(3), "inner")
+        assert session._staged == [path]
+    assert held.count() == 5 and session.forget_staged(spark) == 1 and not session._staged
+    session._staged[:] = others
+    with pytest.raises(Exception):
+        spark.read.parquet(path)
+
+
+def test_single_reference_calls_of_planted_events(spark):
+    r = random.Random(11)
+    dna = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    a, b, c, d, new = dna(1500), dna(1500), dna(1500), dna(1500), dna(120)
+    reference = a + b + c + d
+    query = a + new + b[:700] + b[900:] + calling.reverse_complement(c[:400]) + c[400:] + d
+    found = calling.single_reference_calls(query, reference)
+    kinds = {(x[0], x[5]) for x in found}
+    assert ("INS", 120) in kinds and ("DEL", 200) in kinds and any(k == "INV" and abs(n - 400) <= 20 for k, n in kinds)
+    assert {x[8] for x in found} == {40.0} and {x[9] for x in found} == {"single_ref"} and len({x[6] for x in found}) == 1
+    # parts in another order give several chains
+    moved = calling.find_mems(c + a, a + b + c, 18)
+    parts = calling.chains(moved, 5000, 64)
+    assert len(parts) >= 2 and sum(int(p[:, 2].sum()) for p in parts) >= 2900
+    rows = spark.createDataFrame([(1, query, reference), (2, None, reference)], "id long, q string, r string")
+    assert {x["svtype"] for x in calling.call_rows(rows, ["id"], "q", "r", single=True).collect()} >= {"INS", "DEL", "INV"}
