@@ -26,16 +26,45 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, left_span: tuple[s
     return a.join(b, near & (F.col("_bin") == first), "inner").drop("_bin", "_bin2", "_key")
 
 
-def merged(rows: DataFrame, keys: list[str], start: str, end: str, gap: int = 0) -> DataFrame:
+#: Positions of a range that one task scans; a longer contig is scanned in several.
+RANGE = 1_000_000
+
+
+def running(rows: DataFrame, keys: list[str], at: str, order: list, value: Column, name: str, how: str = "max", inclusive: bool = True, backward: bool = False, width: int | None = None) -> DataFrame:
+    """Adds a running ``max``, ``min`` or ``sum`` of each key along its positions, without bringing a key into one task.
+
+    Each range of ``width`` positions is scanned by itself; one row a range carries what lies before it (behind it, if ``backward``). ``order`` begins with ``at``.
+    """
+    combine = {"max": F.max, "min": F.min, "sum": F.sum}[how]
+    held = rows.withColumn("_range", F.floor(F.col(at) / (width or RANGE))).withColumn("_value", value)
+    place = Window.partitionBy(*keys, "_range").orderBy(*order)
+    first, last = Window.unboundedPreceding, Window.unboundedFollowing
+    span = place.rowsBetween(0 if inclusive else 1, last) if backward else place.rowsBetween(first, 0 if inclusive else -1)
+    line = Window.partitionBy(*keys).orderBy("_range")
+    sums = held.groupBy(*keys, "_range").agg(combine("_value").alias("_all"))
+    named = {c: f"_c{i}" for i, c in enumerate((*keys, "_range"))}
+    carried = sums.select(*[F.col(c).alias(n) for c, n in named.items()], combine("_all").over(line.rowsBetween(1, last) if backward else line.rowsBetween(first, -1)).alias("_carried"))
+    own, carry = combine("_value").over(span), F.col("_carried")
+    joined = F.coalesce(own + carry, own, carry) if how == "sum" else (F.greatest if how == "max" else F.least)(own, carry)
+    both = held.join(carried, [F.col(c).eqNullSafe(F.col(n)) for c, n in named.items()], "left")
+    return both.withColumn(name, joined).drop("_range", "_value", "_carried", *named.values())
+
+
+def islands(rows: DataFrame, keys: list[str], start: str, end: str, gap: int = 0, order: list | None = None, width: int | None = None) -> DataFrame:
+    """Adds ``_island``, the first start of the run of intervals that overlap, or come within ``gap``."""
+    order = order or [F.col(start), F.col(end)]
+    before = running(rows, keys, start, order, F.col(end), "_before", "max", False, width=width)
+    new = F.when(F.col("_before").isNull() | (F.col(start) > F.col("_before") + gap), F.col(start))
+    return running(before.withColumn("_first", new).drop("_before"), keys, start, [*order, F.col("_first").asc_nulls_last()], F.col("_first"), "_island", "max", True, width=width).drop("_first")
+
+
+def merged(rows: DataFrame, keys: list[str], start: str, end: str, gap: int = 0, width: int | None = None) -> DataFrame:
     """Islands of intervals that overlap, or come within ``gap``: keys, start, end, n."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    broken = rows.withColumn("_new", F.when(before.isNull() | (F.col(start) > before + gap), 1).otherwise(0))
-    island = broken.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
+    marked = islands(rows.select(*keys, start, end), keys, start, end, gap, width=width)
+    return marked.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
 
 
-def stab_counts(points: DataFrame, spans: DataFrame, key: str, point: str, start: str, end: str) -> DataFrame:
+def stab_counts(points: DataFrame, spans: DataFrame, key: str, point: str, start: str, end: str, width: int | None = None) -> DataFrame:
     """For each point, how many closed intervals of its key hold it: begun up to it less ended before it."""
     p = points.select(key, F.col(point).alias("_at"), F.lit(1).alias("_kind")).distinct()
     events = (
@@ -45,11 +74,11 @@ def stab_counts(points: DataFrame, spans: DataFrame, key: str, point: str, start
         .agg(F.sum("_n").alias("_n"))
     )
     line = events.union(p.withColumn("_n", F.lit(0).cast("long")))
-    running = F.sum("_n").over(Window.partitionBy(key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0))
-    return line.withColumn("stabbed", running).filter("_kind = 1").select(key, F.col("_at").alias(point), "stabbed")
+    counted = running(line, [key], "_at", [F.col("_at"), F.col("_kind")], F.col("_n"), "stabbed", "sum", width=width)
+    return counted.filter("_kind = 1").select(key, F.col("_at").alias(point), "stabbed")
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, point: str, start: str, end: str, name: str) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, key: str, point: str, start: str, end: str, name: str, width: int | None = None) -> DataFrame:
     """The nearest interval of each point: ``name`` and ``distance``; ties go to the smaller start, then the smaller name.
 
     One pass over the sorted union: an interval that holds a point ends furthest right among those begun before, or the nearest ends last
@@ -61,9 +90,9 @@ def nearest(left: DataFrame, right: DataFrame, key: str, point: str, start: str,
     r = right.select(key, F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"), F.col(name).cast("string").alias("n"))
     begun = r.select(key, F.col("s").alias("_at"), F.lit(0).alias("_kind"), F.struct(F.col("e"), (-F.col("s")).alias("s"), "n").alias("_before"), F.struct("s", "n", "e").alias("_after"))
     line = points.unionByName(begun)
-    forward = Window.partitionBy(key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    backward = Window.partitionBy(key).orderBy("_at", "_kind").rowsBetween(1, Window.unboundedFollowing)
-    found = line.withColumn("_b", F.max("_before").over(forward)).withColumn("_a", F.min("_after").over(backward)).filter("_kind = 1")
+    order = [F.col("_at"), F.col("_kind")]
+    found = running(line, [key], "_at", order, F.col("_before"), "_b", "max", width=width)
+    found = running(found, [key], "_at", order, F.col("_after"), "_a", "min", False, True, width=width).filter("_kind = 1")
     behind, ahead = F.greatest(F.lit(0), F.col("_at") - F.col("_b.e")), F.col("_a.s") - F.col("_at")
     take = F.when(F.col("_a.s").isNull() | (behind <= ahead), True).otherwise(False)
     use = F.col("_b.e").isNotNull() & take

@@ -44,15 +44,13 @@ def collapse(rows: DataFrame, keys: list[str], best: Column) -> DataFrame:
     return packed.select("_row.*")
 
 
-def run_merge(rows: DataFrame, keys: list[str], start: str, length: str, gap: int = 80) -> DataFrame:
+def run_merge(rows: DataFrame, keys: list[str], start: str, length: str, gap: int = 80, width: int | None = None) -> DataFrame:
     """Adjacent events of a key within ``gap`` become one: first start, last end, longest length, count."""
-    order = Window.partitionBy(*keys).orderBy(F.col(start), F.col(length).desc())
-    end = F.col(start) + F.col(length)
-    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(before.isNull() | (F.abs(F.col(start) - before) > gap) & (F.col(start) > before), 1).otherwise(0)
-    island = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    marked = rows.withColumn("_new", new).withColumn("_island", island)
-    return marked.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias("end"), F.max(length).alias(length), F.count("*").alias("n")).drop("_island")
+    from strandlake.operators.intervals import islands
+
+    ended = rows.select(*keys, start, length, (F.col(start) + F.col(length)).alias("_end"))
+    marked = islands(ended, keys, start, "_end", gap, [F.col(start), F.col(length).desc()], width)
+    return marked.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max("_end").alias("end"), F.max(length).alias(length), F.count("*").alias("n")).drop("_island")
 
 
 def _scanned(rows: DataFrame, keys: list[str], order: list[Column], schema, work) -> DataFrame:
@@ -88,11 +86,16 @@ def _scanned(rows: DataFrame, keys: list[str], order: list[Column], schema, work
     return rows.repartition(parts, *keys).sortWithinPartitions(*keys, *order).mapInArrow(apply, schema)
 
 
-def non_overlapping(rows: DataFrame, keys: list[str], start: str, end: str, score: str, slop: int = 20) -> DataFrame:
+def non_overlapping(rows: DataFrame, keys: list[str], start: str, end: str, score: str, slop: int = 20, width: int | None = None) -> DataFrame:
     """Greedy choice by falling score of intervals that keep ``slop`` from all chosen ones of their key.
 
-    Ties go to the earlier, then the shorter interval. A group is one contig, type and reference: rows of one sequence only.
+    Ties go to the earlier, then the shorter interval. Intervals that are further apart than ``slop`` do not touch each other's choice, so a contig is cut at
+    such gaps, and a task scans runs between them.
     """
+    from strandlake.operators.intervals import islands
+
+    whole, keys = rows.columns, [*keys, "_island"]
+    rows = islands(rows, keys[:-1], start, end, slop, width=width)
     rest = [c for c in rows.columns if c not in (score, start, end, *keys)]
 
     def work(table: pa.Table, cuts: np.ndarray) -> pa.Table:
@@ -109,14 +112,19 @@ def non_overlapping(rows: DataFrame, keys: list[str], start: str, end: str, scor
                     keep[i] = True
         return table.filter(pa.array(keep))
 
-    return _scanned(rows, keys, [F.col(score).desc(), F.col(start), F.col(end), *map(F.col, rest)], rows.schema, work)
+    return _scanned(rows, keys, [F.col(score).desc(), F.col(start), F.col(end), *map(F.col, rest)], rows.schema, work).select(*whole)
 
 
-def greedy_clusters(rows: DataFrame, keys: list[str], position: str, tolerance: int) -> DataFrame:
+def greedy_clusters(rows: DataFrame, keys: list[str], position: str, tolerance: int, width: int | None = None) -> DataFrame:
     """Single pass in order of position: a row joins the open cluster if its first member lies within ``tolerance``.
 
-    Islands would chain distances; here it is the distance to a cluster's first row, so a scan is needed.
+    Islands would chain distances; here it is the distance to a cluster's first row, so a scan is needed. A gap beyond the tolerance begins a cluster anyway, so
+    runs between gaps are scanned apart, and numbered on from the clusters before them.
     """
+    from strandlake.operators.intervals import islands, running
+
+    whole, keys = rows.columns, [*keys, "_island"]
+    rows = islands(rows, keys[:-1], position, position, tolerance, width=width)
     rest = [c for c in rows.columns if c not in (position, *keys)]
 
     def work(table: pa.Table, cuts: np.ndarray) -> pa.Table:
@@ -130,16 +138,27 @@ def greedy_clusters(rows: DataFrame, keys: list[str], position: str, tolerance:
         return table.append_column("cluster", pa.array(out, pa.int64()))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", cluster bigint"
-    return _scanned(rows, keys, [F.col(position), *map(F.col, rest)], fields, work)
+    found = _scanned(rows, keys, [F.col(position), *map(F.col, rest)], fields, work)
+    sizes = found.groupBy(*keys).agg((F.max("cluster") + 1).alias("_n"))
+    before = running(sizes, keys[:-1], "_island", [F.col("_island")], F.col("_n"), "_before", "sum", False, width=width).drop("_n")
+    named = {k: f"_c{i}" for i, k in enumerate(keys)}
+    before = before.select(*[F.col(k).alias(n) for k, n in named.items()], "_before")
+    joined = found.join(before, [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()])
+    return joined.select(*whole, (F.col("cluster") + F.coalesce("_before", F.lit(0))).alias("cluster"))
 
 
-def greedy_match(truth: DataFrame, calls: DataFrame, keys: list[str], tolerance: int, length_share: float) -> DataFrame:
+def greedy_match(truth: DataFrame, calls: DataFrame, keys: list[str], tolerance: int, length_share: float, width: int | None = None) -> DataFrame:
     """One-to-one matches of calls to truth, nearest first.
 
     Both sides have ``keys``, id, pos, len. Pairs within the tolerances are sorted by (distance, truth id, call id), and one is taken if both
-    ends are free. Candidate pairs are searched in sorted positions, never all against all. Returns keys, truth_id, call_id, distance.
+    ends are free. Candidate pairs are searched in sorted positions, never all against all; a contig is cut where neighbours are further apart than the tolerance.
+    Returns keys, truth_id, call_id, distance.
     """
+    from strandlake.operators.intervals import islands
+
     both = truth.select(*keys, F.lit(0).alias("side"), "id", "pos", "len").union(calls.select(*keys, F.lit(1).alias("side"), "id", "pos", "len"))
+    both = islands(both, keys, "pos", "pos", tolerance, width=width)
+    scanned = [*keys, "_island"]
 
     def work(table: pa.Table, cuts: np.ndarray) -> pa.Table:
         side, ids, pos, size = (table.column(c).to_numpy() for c in ("side", "id", "pos", "len"))
@@ -168,4 +187,4 @@ def greedy_match(truth: DataFrame, calls: DataFrame, keys: list[str], tolerance:
         return kept.append_column("truth_id", pa.array(t_out, pa.int64())).append_column("call_id", pa.array(c_out, pa.int64())).append_column("distance", pa.array(d_out, pa.int64()))
 
     fields = ", ".join(f"`{k}` {truth.schema[k].dataType.simpleString()}" for k in keys)
-    return _scanned(both, keys, [F.col("side"), F.col("pos"), F.col("id")], f"{fields}, truth_id bigint, call_id bigint, distance bigint", work)
+    return _scanned(both, scanned, [F.col("side"), F.col("pos"), F.col("id")], f"{fields}, truth_id bigint, call_id bigint, distance bigint", work)

@@ -127,3 +127,44 @@ def test_single_reference_calls_of_planted_events(spark):
     assert len(parts) >= 2 and sum(int(p[:, 2].sum()) for p in parts) >= 2900
     rows = spark.createDataFrame([(1, query, reference), (2, None, reference)], "id long, q string, r string")
     assert {x["svtype"] for x in calling.call_rows(rows, ["id"], "q", "r", single=True).collect()} >= {"INS", "DEL", "INV"}
+
+
+def test_scans_in_ranges_equal_whole_ones(spark):
+    from strandlake.operators import intervals, selection
+
+    r = random.Random(21)
+    spans = [(r.choice("ab"), p, p + r.randint(0, 30), r.randint(0, 9), i) for i, p in enumerate(r.randint(-50, 900) for _ in range(160))]
+    frame = spark.createDataFrame([*spans, (None, 5, 9, 1, 999), (None, 7, 8, 2, 998)], "k string, s long, e long, w long, i long")
+    got = lambda f: sorted(map(tuple, f.collect()), key=str)
+    whole, narrow = 10**9, 37
+    for gap in (0, 12):
+        assert got(intervals.merged(frame, ["k"], "s", "e", gap, narrow)) == got(intervals.merged(frame, ["k"], "s", "e", gap, whole))
+        lists = {}
+        for k, s, e, *_ in sorted(spans):
+            own = lists.setdefault(k, [])
+            if own and s <= own[-1][1] + gap:
+                own[-1] = [own[-1][0], max(own[-1][1], e), own[-1][2] + 1]
+            else:
+                own.append([s, e, 1])
+        assert got(intervals.merged(frame.filter("k IS NOT NULL"), ["k"], "s", "e", gap, narrow)) == sorted(((k, *x) for k, own in lists.items() for x in own), key=str)
+    points = frame.select("k", F.col("w").alias("p")).union(frame.select("k", F.col("s").alias("p")))
+    assert got(intervals.stab_counts(points, frame, "k", "p", "s", "e", narrow)) == got(intervals.stab_counts(points, frame, "k", "p", "s", "e", whole))
+    named = frame.select("k", F.col("s").alias("gs"), F.col("e").alias("ge"), F.col("i").alias("n"))
+    assert got(intervals.nearest(points, named, "k", "p", "gs", "ge", "n", narrow)) == got(intervals.nearest(points, named, "k", "p", "gs", "ge", "n", whole))
+    events = frame.select("k", "s", F.col("w").alias("len"))
+    assert got(selection.run_merge(events, ["k"], "s", "len", 4, narrow)) == got(selection.run_merge(events, ["k"], "s", "len", 4, whole))
+    assert got(selection.non_overlapping(frame, ["k"], "s", "e", "w", 3, narrow)) == got(selection.non_overlapping(frame, ["k"], "s", "e", "w", 3, whole))
+    clusters = got(selection.greedy_clusters(frame.select("k", "s", "i"), ["k"], "s", 9, narrow))
+    assert clusters == got(selection.greedy_clusters(frame.select("k", "s", "i"), ["k"], "s", 9, whole))
+    head, number, last = None, -1, None
+    expected = []
+    for k, s, _, _, i in sorted(spans, key=lambda x: (x[0], x[1], x[4])):
+        if k != last:
+            head, number, last = None, -1, k
+        if head is None or s - head > 9:
+            head, number = s, number + 1
+        expected.append((k, s, i, number))
+    assert [c for c in clusters if c[0]] == sorted(expected, key=str)
+    sides = frame.select("k", F.col("i").alias("id"), F.col("s").alias("pos"), F.col("w").alias("len"))
+    truth, calls = sides.filter("id % 2 = 0"), sides.filter("id % 2 = 1")
+    assert got(selection.greedy_match(truth, calls, ["k"], 15, 5.0, narrow)) == got(selection.greedy_match(truth, calls, ["k"], 15, 5.0, whole))
