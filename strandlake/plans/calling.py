@@ -109,11 +109,28 @@ def gfa_lines(t: Tables) -> DataFrame:
     return tables.gfa_lines(_hits(t)).groupBy(F.substring("value", 1, 1).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query()
+_WILSON = "(tp / n + 3.8416 / (2 * n) {0} 1.96 * sqrt(tp / n * (1 - tp / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)"
+
+
+@query(
+    f"""WITH RECURSIVE r AS (SELECT l_orderkey AS contig, CASE l_returnflag WHEN 'A' THEN 'DEL' WHEN 'N' THEN 'INS' ELSE 'INV' END AS svtype, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) AS pos, l_quantity::BIGINT AS len, l_linestatus AS status FROM lineitem),
+    c AS (SELECT *, contig * 10000000000 + pos * 1000000 + len * 1000 + CASE svtype WHEN 'DEL' THEN 100 WHEN 'INS' THEN 200 ELSE 300 END + CASE status WHEN 'O' THEN 1 ELSE 2 END AS id FROM (SELECT DISTINCT contig, pos, pos + len AS "end", svtype, len, status FROM r)),
+    p AS (SELECT t.contig, t.svtype, t.id AS tid, p.id AS cid, CASE WHEN p.pos <= t.pos AND t."end" <= p."end" THEN 0 ELSE abs(t.pos - p.pos) END + abs(t.len - p.len) AS d FROM c t JOIN c p ON t.contig = p.contig AND t.svtype = p.svtype AND t.status = 'O' AND p.status = 'F'
+      WHERE (abs(t.pos - p.pos) <= CASE t.svtype WHEN 'INS' THEN 500 WHEN 'DEL' THEN 2500 ELSE 10000 END AND abs(t.len - p.len) <= CASE t.svtype WHEN 'INS' THEN 0.3 WHEN 'DEL' THEN 0.1 ELSE 1 END * greatest(t.len, 1)) OR (t.svtype IN ('INV', 'DEL') AND p.pos <= t.pos AND t."end" <= p."end" AND (t.svtype = 'INV' OR p.len >= 2 * t.len))),
+    o AS (SELECT *, row_number() OVER (PARTITION BY contig, svtype ORDER BY d, tid, cid) AS k FROM p),
+    g AS (SELECT contig, svtype, 0::BIGINT AS k, []::BIGINT[] AS used, false AS took FROM (SELECT DISTINCT contig, svtype FROM o)
+      UNION ALL SELECT g.contig, g.svtype, o.k, CASE WHEN NOT list_contains(g.used, o.tid) AND NOT list_contains(g.used, o.cid) THEN list_concat(g.used, [o.tid, o.cid]) ELSE g.used END, NOT list_contains(g.used, o.tid) AND NOT list_contains(g.used, o.cid) FROM g JOIN o ON o.contig = g.contig AND o.svtype = g.svtype AND o.k = g.k + 1),
+    m AS (SELECT svtype, count(*) AS tp FROM g WHERE took GROUP BY svtype), n AS (SELECT svtype, count(*) FILTER (WHERE status = 'O') AS truth_calls, count(*) FILTER (WHERE status = 'F') AS pred_calls FROM c GROUP BY svtype),
+    s AS (SELECT coalesce(svtype, 'ALL') AS svtype, sum(coalesce(tp, 0))::BIGINT AS tp, sum(truth_calls)::BIGINT AS truth_calls, sum(pred_calls)::BIGINT AS pred_calls FROM n LEFT JOIN m USING (svtype) GROUP BY ROLLUP (svtype)),
+    f AS (SELECT *, pred_calls AS n, pred_calls - tp AS fp, truth_calls - tp AS fn, tp / pred_calls AS precision, tp / truth_calls AS recall FROM s)
+    SELECT svtype, tp, fp, fn, truth_calls, pred_calls, precision, recall, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1, greatest(0, {_WILSON.format('-')}) AS prec_lo95, least(1, {_WILSON.format('+')}) AS prec_hi95, 'ok' AS status FROM f"""
+)
 def callset_scores(t: Tables) -> DataFrame:
-    """Truth and predicted calls matched one to one by type, place, length and span (tested against the contracts' literals)."""
-    c = calls(t).groupBy("contig", "pos", "end", "svtype", "status").agg(F.min("part").alias("p"), F.max("len").alias("svlen"))
-    rows = c.select(F.xxhash64("contig", "pos", "end", "svtype", "status").alias("id"), F.lit("q").alias("query_asm"), F.col("contig").cast("string").alias("contig"), "pos", "end", "svtype", "svlen", F.lit("query").alias("coord_space"), F.lit(None).cast("string").alias("mate_contig"), F.lit(None).cast("long").alias("mate_pos"), "status")
+    """Truth and predicted calls matched one to one by type, place, length and span, against a recursion over sorted pairs."""
+    c = calls(t).groupBy("contig", "pos", "end", "svtype", "status").agg(F.max("len").alias("svlen"))
+    kind = F.when(F.col("svtype") == "DEL", 100).when(F.col("svtype") == "INS", 200).otherwise(300)
+    row = F.col("contig") * F.lit(10_000_000_000) + F.col("pos") * 1_000_000 + F.col("svlen") * 1000 + kind + F.when(F.col("status") == "O", 1).otherwise(2)
+    rows = c.select(row.alias("id"), F.lit("q").alias("query_asm"), F.col("contig").cast("string").alias("contig"), "pos", "end", "svtype", "svlen", F.lit("query").alias("coord_space"), F.lit(None).cast("string").alias("mate_contig"), F.lit(None).cast("long").alias("mate_pos"), "status")
     return evaluation.score_callsets(rows.filter("status = 'O'").drop("status"), rows.filter("status = 'F'").drop("status"))
 
 
