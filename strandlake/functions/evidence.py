@@ -95,25 +95,23 @@ def centroid_name(label: Column) -> Column:
     return F.when(label["te_order"] != "", F.concat_ws("/", label["te_class"], label["te_order"], label["superfamily"])).otherwise(F.concat_ws("/", label["te_class"], label["superfamily"]))
 
 
-def end_similarity(a: Column, b: Column) -> Column:
+def ends_alike(x: str | None, y: str | None) -> float:
     """Common prefix and suffix (which do not overlap) over the longer length and the shorter of the two; 1 for equal texts, 0 with an empty one."""
-
-    @F.pandas_udf(T.DoubleType())
-    def apply(left: pd.Series, right: pd.Series) -> pd.Series:
-        def one(x: str, y: str) -> float:
-            p, q = np.frombuffer((x or "").encode("utf-32-le"), np.uint32), np.frombuffer((y or "").encode("utf-32-le"), np.uint32)
-            n = min(len(p), len(q))
-            if not n:
-                return 0.0
-            if len(p) == len(q) and (p == q).all():
-                return 1.0
-            head = int(np.argmin(np.append(p[:n] == q[:n], False)))
-            tail = min(int(np.argmin(np.append(p[::-1][:n] == q[::-1][:n], False))), n - head)
-            return (head + tail) / (max(len(p), len(q)) + min(head, tail))
-
-        return pd.Series([one(x, y) for x, y in zip(left, right, strict=True)], dtype="float64")
-
-    return apply(a, b)
+    p, q = (np.frombuffer((t or "").encode("utf-32-le"), np.uint32) for t in (x, y))
+    n = min(len(p), len(q))
+    if not n:
+        return 0.0
+    if len(p) == len(q) and (p == q).all():
+        return 1.0
+    head = int(np.argmin(np.append(p[:n] == q[:n], False)))
+    tail = min(int(np.argmin(np.append(p[::-1][:n] == q[::-1][:n], False))), n - head)
+    return (head + tail) / (max(len(p), len(q)) + min(head, tail))
+
+
+@F.pandas_udf(T.DoubleType())
+def end_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
+    """``ends_alike`` of two columns."""
+    return pd.Series([ends_alike(x, y) for x, y in zip(left, right, strict=True)], dtype="float64")
 
 
 def _signature(hashes: list[int] | np.ndarray, take: int, start: int, factor: int) -> int:

@@ -37,6 +37,84 @@ def bubbles(steps: DataFrame, path: str, pos: str, genomes: int) -> DataFrame:
     return found.filter((F.col("alleles") > 1) & (F.col("support") >= max(1, -(-genomes * 5 // 100))))
 
 
+#: When two segments are one node, and what a bubble's alleles must differ by.
+SAME_SKETCH, SAME_ENDS = 0.50, 0.85
+LEAST_ALT, LEAST_OVERLAP = 100, 0.05
+
+
+def collapsed(parts: DataFrame, key: str, segment: str, annotation: str, representative: str, k: int = 15) -> DataFrame:
+    """(key, node): segments that are alike share the node of the first of them, representatives first.
+
+    Only segments of one annotation, length class (by 250) and equal ends (12 bases) are compared: equal ones at once, others in order with the nodes so far, by the Jaccard
+    similarity of their k-mers or that of their ends.
+    """
+    from strandlake.functions.evidence import ends_alike
+    from strandlake.operators.selection import _scanned
+
+    name = F.substring(F.md5(segment), 1, 16)
+    bucket = F.concat_ws("|", annotation, F.floor(F.length(segment) / 250), F.substring(segment, 1, 12), F.substring(F.col(segment), -12, 12))
+    named = parts.select(key, F.col(segment).alias("seq"), name.alias("own"), bucket.alias("bucket"), F.coalesce(F.col(representative), F.lit(False)).alias("first"))
+    distinct = named.groupBy("bucket", "own").agg(F.min("seq").alias("seq"), F.max("first").alias("first"), F.min(key).alias("key"))
+
+    def work(table, cuts):
+        import pyarrow as pa
+
+        seqs, owns, nodes = table.column("seq").to_pylist(), table.column("own").to_pylist(), []
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            kept: list[tuple[str, str, set[str]]] = []
+            for i in range(low, high):
+                words = {seqs[i][j : j + k] for j in range(len(seqs[i]) - k + 1)}
+                for node, seq, other in kept:
+                    shared = len(words & other)
+                    if shared and shared >= SAME_SKETCH * (len(words) + len(other) - shared) or ends_alike(seqs[i], seq) >= SAME_ENDS:
+                        nodes.append(node)
+                        break
+                else:
+                    kept.append((owns[i], seqs[i], words))
+                    nodes.append(owns[i])
+        return pa.table({"own": table.column("own"), "node": pa.array(nodes)})
+
+    found = _scanned(distinct, ["bucket"], [F.col("first").desc(), F.col("key"), F.col("own")], "own string, node string", work)
+    return named.select(key, "own").join(found, "own").select(key, "node")
+
+
+def compact_graph(parts: DataFrame, clade: str, row_id: str, segment: str, n: int = 64, size: int = 512) -> DataFrame:
+    """(clade, node, support, number): the distinct seeds of a reservoir of each clade's rows (a sampling operator), numbered by their digest."""
+    from strandlake.operators.routing import reservoir
+
+    seeds = reservoir(parts.select(clade, row_id, F.substring(segment, 1, size).alias("seed")).filter("seed != ''"), clade, row_id, n)
+    nodes = seeds.groupBy(clade, F.md5("seed").alias("node")).agg(F.count("*").alias("support"))
+    return nodes.withColumn("number", F.row_number().over(Window.partitionBy(clade).orderBy("node")))
+
+
+def bubble_calls(steps: DataFrame, path: str, pos: str, segment: str, least: int = 40, k: int = 15) -> DataFrame:
+    """Variants of paths against the longest one: prev, next, svtype, ref_len, alt_len, paths.
+
+    A bubble lies between two segments that follow each other with at most one between. Alleles of other paths than the reference's are inversions (the other strand),
+    duplications (that hold the reference's allele and are half as long again), insertions and deletions (by ``least`` bases), else complex ones; one of 100 bases or more
+    that shares under a twentieth of its k-mers with the reference's is off the reference. Equal alleles are one call with all their paths.
+    """
+    from strandlake.functions import sequence as Q
+
+    order = Window.partitionBy(path).orderBy(pos)
+    held = steps.select(path, F.md5(segment).alias("node"), F.col(segment).alias("seq"), F.lead(F.md5(segment)).over(order).alias("n1"), F.lead(F.md5(segment), 2).over(order).alias("n2"), F.lead(segment).over(order).alias("inner"))
+    alleles = held.filter("n1 IS NOT NULL").select(path, F.col("node").alias("prev"), F.col("n1").alias("next"), F.lit("").alias("allele")).union(held.filter("n2 IS NOT NULL").select(path, "node", "n2", "inner"))
+    sizes = steps.groupBy(path).agg(F.sum(F.length(segment)).alias("_n"))
+    longest = sizes.agg(F.max_by(path, F.struct("_n", path)).alias("_ref"))
+    marked = alleles.join(F.broadcast(longest), F.lit(True))  # one row
+    reference = marked.filter(F.col(path) == F.col("_ref")).groupBy("prev", "next").agg(F.max_by("allele", F.length("allele")).alias("ref"))
+    alt = marked.filter(F.col(path) != F.col("_ref")).groupBy("prev", "next", "allele").agg(F.array_sort(F.collect_set(path)).alias("paths"))
+    both = alt.join(reference, ["prev", "next"]).filter("allele != ref")
+    a, r, n, m = F.col("allele"), F.col("ref"), F.length("allele"), F.length("ref")
+    words = Q.kmers(a, k)
+    shared = F.when(F.size(words) > 0, F.size(F.array_intersect(F.array_distinct(words), F.array_distinct(Q.kmers(r, k)))) / F.size(F.array_distinct(words))).otherwise(0.0)
+    kind = (
+        F.when((m > 0) & (a == Q.reverse_complement(r)), "INV").when((m > 0) & F.contains(a, r) & (2 * n >= 3 * m), "DUP").when((n >= LEAST_ALT) & (m > 0) & (shared < LEAST_OVERLAP), "OFF_REF")
+        .when(n - m >= least, "INS").when(m - n >= least, "DEL").otherwise("COMPLEX")
+    )
+    return both.select("prev", "next", kind.alias("svtype"), m.alias("ref_len"), n.alias("alt_len"), "paths")
+
+
 def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root over links (a, b): each round a node takes the least root among its neighbours', and then its root's root."""
     both = staged(links.select("a", "b").union(links.select("b", "a")).filter("a != b").distinct(), "links")

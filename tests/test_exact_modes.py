@@ -168,3 +168,23 @@ def test_scans_in_ranges_equal_whole_ones(spark):
     sides = frame.select("k", F.col("i").alias("id"), F.col("s").alias("pos"), F.col("w").alias("len"))
     truth, calls = sides.filter("id % 2 = 0"), sides.filter("id % 2 = 1")
     assert got(selection.greedy_match(truth, calls, ["k"], 15, 5.0, narrow)) == got(selection.greedy_match(truth, calls, ["k"], 15, 5.0, whole))
+
+
+def test_segments_that_are_alike_are_one_node(spark):
+    r = random.Random(31)
+    dna = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    a, b = dna(600), dna(600)
+    near = a[:300] + dna(4) + a[304:]  # same ends, nearly all k-mers
+    ends = a[:12] + dna(576) + a[-12:]  # same bucket, nothing else
+    rows = [("1", a, "x", False), ("2", near, "x", True), ("3", a, "x", None), ("4", ends, "x", False), ("5", b, "x", False), ("6", a, "y", False), ("7", "AC", "x", False)]
+    node = {x["key"]: x["node"] for x in graph.collapsed(spark.createDataFrame(rows, "key string, seg string, ann string, rep boolean"), "key", "seg", "ann", "rep").collect()}
+    assert node["1"] == node["2"] == node["3"] and len({node[k] for k in "124567"}) == 5
+    import hashlib
+
+    assert node["1"] == hashlib.md5(near.encode()).hexdigest()[:16]  # the representative came first
+    # a bubble that two paths share is one call
+    parts = [dna(200) for _ in range(5)]
+    paths = {"ref": parts + [dna(500)], "p": parts[:2] + [parts[2] + parts[2]] + parts[3:], "q": parts[:2] + [parts[2] + parts[2]] + parts[3:], "s": parts[:2] + parts[3:]}
+    steps = spark.createDataFrame([(p, i, s) for p, own in paths.items() for i, s in enumerate(own)], "path string, pos int, seg string")
+    found = {(x["svtype"], x["ref_len"], x["alt_len"]): x["paths"] for x in graph.bubble_calls(steps, "path", "pos", "seg").collect()}
+    assert found == {("DUP", 200, 400): ["p", "q"], ("DEL", 200, 0): ["s"]}
