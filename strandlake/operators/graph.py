@@ -51,7 +51,7 @@ def collapsed(parts: DataFrame, key: str, segment: str, annotation: str, represe
     from strandlake.functions.evidence import ends_alike
     from strandlake.operators.selection import _scanned
 
-    name = F.substring(F.md5(segment), 1, 16)
+    name = F.substring(F.md5(F.concat_ws("|", annotation, segment)), 1, 16)
     bucket = F.concat_ws("|", annotation, F.floor(F.length(segment) / 250), F.substring(segment, 1, 12), F.substring(F.col(segment), -12, 12))
     named = parts.select(key, F.col(segment).alias("seq"), name.alias("own"), bucket.alias("bucket"), F.coalesce(F.col(representative), F.lit(False)).alias("first"))
     distinct = named.groupBy("bucket", "own").agg(F.min("seq").alias("seq"), F.max("first").alias("first"), F.min(key).alias("key"))

@@ -181,7 +181,7 @@ def test_segments_that_are_alike_are_one_node(spark):
     assert node["1"] == node["2"] == node["3"] and len({node[k] for k in "124567"}) == 5
     import hashlib
 
-    assert node["1"] == hashlib.md5(near.encode()).hexdigest()[:16]  # the representative came first
+    assert node["1"] == hashlib.md5(f"x|{near}".encode()).hexdigest()[:16]  # the representative came first
     # a bubble that two paths share is one call
     parts = [dna(200) for _ in range(5)]
     paths = {"ref": parts + [dna(500)], "p": parts[:2] + [parts[2] + parts[2]] + parts[3:], "q": parts[:2] + [parts[2] + parts[2]] + parts[3:], "s": parts[:2] + parts[3:]}
