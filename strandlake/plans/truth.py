@@ -229,8 +229,8 @@ def element_support(t: Tables) -> DataFrame:
 @query(
     """WITH o AS (SELECT o_orderkey AS k, o_custkey % 12 AS anchors, (o_orderkey % 60)::DOUBLE AS mapq, 20.0 AS gq, o_totalprice / 1000 AS score, (o_custkey % 30) / 100.0 AS ov, ['DEL', 'INV', 'TRA', 'OFF_REF'][o_orderkey % 4 + 1] AS t, CASE WHEN o_custkey % 2 = 0 THEN 'mem_chain' ELSE 'simple_length_fallback' END AS mode, ['assembly', 'long', 'short'][o_custkey % 3 + 1] AS qm FROM orders),
     f AS (SELECT *, t = 'TRA' AND score >= 6 AND anchors >= 2 AS strong FROM o), g AS (SELECT *, t = 'INV' OR (t = 'TRA' AND NOT strong) AS doubtful, t = 'TRA' AND NOT strong AND ov < 0.10 AS homeless FROM f)
-    SELECT k, CASE qm WHEN 'assembly' THEN 'ASM' WHEN 'long' THEN 'LR' ELSE 'SR' END AS layer, round(greatest(1, anchors) * CASE WHEN qm = 'assembly' THEN 1.5 ELSE 0.25 END, 6) AS depth,
-      round(least(1, 0.08 * anchors + CASE WHEN mode = 'mem_chain' THEN 0.25 ELSE 0 END + CASE WHEN t IN ('TRA', 'INV') THEN 0.10 ELSE 0 END), 6) AS bp, round(least(1, ov + CASE WHEN mode <> 'mem_chain' THEN 0.20 ELSE 0 END + CASE WHEN t = 'OFF_REF' THEN 0.15 ELSE 0 END), 6) AS span,
+    SELECT k, CASE qm WHEN 'assembly' THEN 'ASM' WHEN 'long' THEN 'LR' ELSE 'SR' END AS layer, round((greatest(1, anchors) * CASE WHEN qm = 'assembly' THEN 1.5 ELSE 0.25 END)::DOUBLE, 6) AS depth,
+      round(least(1, 0.08 * anchors + CASE WHEN mode = 'mem_chain' THEN 0.25 ELSE 0 END + CASE WHEN t IN ('TRA', 'INV') THEN 0.10 ELSE 0 END)::DOUBLE, 6) AS bp, round(least(1, ov + CASE WHEN mode <> 'mem_chain' THEN 0.20 ELSE 0 END + CASE WHEN t = 'OFF_REF' THEN 0.15 ELSE 0 END), 6) AS span,
       round(ln(1 + score) + 0.18 * anchors + 0.03 * mapq + 0.03 * gq + 2.5 * ov + CASE WHEN t = 'OFF_REF' THEN 0.60 ELSE CASE WHEN mode = 'mem_chain' THEN 0.45 ELSE 0.25 END - CASE WHEN doubtful AND ov < 0.10 THEN 2.5 ELSE 0 END - CASE WHEN homeless THEN 1 ELSE 0 END END, 6) AS alt,
       round(0.85 + CASE WHEN t = 'OFF_REF' THEN 2.2 * ov ELSE CASE WHEN ov < 0.02 THEN 1.5 ELSE 0 END + CASE WHEN doubtful AND ov < 0.05 THEN 0.75 ELSE 0 END + CASE WHEN doubtful AND ov < 0.10 THEN 5 + (0.10 - ov) * 20 ELSE 0 END + CASE WHEN homeless THEN 2 ELSE 0 END END, 6) AS ref FROM g"""
 )
