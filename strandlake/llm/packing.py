@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from strandlake.session import staged
 
 WINDOW = 2048
 END_ID = 1
-#: Words whose ids a worker remembers before it starts afresh.
+#: Words whose ids a worker remembers, in two generations: when the newer one is half of them, the older one goes.
 REMEMBERED = 700_000
 #: Characters that Python's split takes for blanks and the tokenizer doesn't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -53,26 +54,42 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        #: What was remembered before the present generation: frequent words come back from there.
+        self.old_words: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
 
     def _encode(self, parts: list[str]) -> None:
-        for at in range(0, len(parts), 20_000):
-            some = parts[at : at + 20_000]
-            self.parts.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
+        known, old = self.parts, self.old_parts
+        known.update((p, old[p]) for p in parts if p in old)
+        fresh = [p for p in parts if p not in known]
+        for at in range(0, len(fresh), 20_000):
+            some = fresh[at : at + 20_000]
+            known.update((p, array("I", e.ids).tobytes()) for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
 
     def _learn(self, words: list[str]) -> None:
-        cut = {w: self.PARTS.findall(w.lower()) if self.PLAIN.fullmatch(w) and "<|" not in w else [w] for w in words}
+        plain, cut = {}, {}
+        for w in words:
+            if w.isascii() and w.isalpha():  # nearly all words: one run of letters
+                plain[w] = w.lower()
+            else:
+                cut[w] = self.PARTS.findall(w.lower()) if self.PLAIN.fullmatch(w) and "<|" not in w else [w]
         known = self.parts
-        self._encode(list({p for parts in cut.values() for p in parts if p not in known}))
+        self._encode(list({p for p in plain.values() if p not in known} | {p for parts in cut.values() for p in parts if p not in known}))
+        self.words.update((w, known[p]) for w, p in plain.items())
         self.words.update((w, b"".join(map(known.__getitem__, parts))) for w, parts in cut.items())
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
+        if len(self.words) > REMEMBERED // 2:
+            self.words, self.old_words = {}, self.words
+        if len(self.parts) > REMEMBERED // 2:
+            self.parts, self.old_parts = {}, self.parts
         split = [SEPARATED.split(t) if t and SEPARATORS.search(t) else (t or "").split() for t in texts]
-        known = self.words
-        self._learn(list({w for words in split for w in words if w not in known}))
+        known, old = self.words, self.old_words
+        missing = {w for words in split for w in words if w not in known}
+        if old:
+            known.update((w, old[w]) for w in missing if w in old)
+            missing = [w for w in missing if w not in old]
+        self._learn(list(missing))
         end = np.array([END_ID], "<u4").tobytes()
         return [b"".join(map(known.__getitem__, words)) + end for words in split]
 
