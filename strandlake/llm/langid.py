@@ -28,9 +28,9 @@ BUCKETS = 1 << BUCKET_BITS
 SLICES, FAN = 8, 16
 ORDERS = 3
 #: Characters handled at once, so that a very long text needs little memory.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Products of counts and log-probabilities held at once.
-CELLS = 1 << 22
+CELLS = 1 << 20
 #: Most languages a model may have, more being an error: the matrix (32-bit) is then 128 MB at most.
 MOST_LANGUAGES = 1024
 NAMES = ["lang", "slice", "part", "docs", "counts"]
