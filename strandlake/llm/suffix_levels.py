@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from strandlake.llm.arrays import BLOBS, GATHERED, Gathered, blobs, by_shard, counted, dealt, hash_edges, heads, mapped, new_folder, planes, ranges, save, sliced
-from strandlake.llm.text import blocks, mix, powers, prefix_hash, span_hash
+from strandlake.llm.text import Prefix, blocks, mix, powers, prefix_hash, span_hash
 from strandlake.session import staged
 
 LENGTH = 50
@@ -51,7 +51,7 @@ BATCH = 1 << 15
 HOT_GATHERED = 1 << 20
 
 
-def records(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def records(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Prefix]:
     """Runs of strings with one smallest k-gram: its hash, the first and last start (inclusive), and the prefix hashes of the block."""
     n = len(data)
     prefix = prefix_hash(data)
@@ -59,7 +59,7 @@ def records(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if n < LENGTH:
         return none.astype(np.uint64), none, none, prefix
     _, down = powers(n + 1)
-    grams = mix((prefix[GRAM:] - prefix[:-GRAM]) * down[: n - GRAM + 1])
+    grams = mix((prefix.sums[GRAM:] - prefix.sums[:-GRAM]) * down[: n - GRAM + 1])
     least = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     span, width = 1, LENGTH - GRAM + 1
     while 2 * span <= width:
@@ -136,7 +136,7 @@ def repeated_grams(docs: DataFrame, folder: str, shards: int, most: int = HOT) -
     return Grams(folder, shards, sizes, sum(r["total"] for r in rows))
 
 
-def row_keys(ids: np.ndarray, prefix: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def row_keys(ids: np.ndarray, prefix: Prefix, offsets: np.ndarray) -> np.ndarray:
     """A key of each document from its id and its text."""
     return mix(ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ span_hash(prefix, offsets[:-1], offsets[1:]))
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text that a kernel handles at once; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -99,16 +101,31 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """n+1 prefix sums of a polynomial hash modulo 2**64."""
+#: Bytes of a span beyond which its hash is XXH64: sums modulo 2**64 are alike for some periodic spans of 1,024 bytes and more.
+SHORT = 64
+
+
+@dataclass(frozen=True)
+class Prefix:
+    """A block's bytes with the n+1 prefix sums of a polynomial hash modulo 2**64."""
+
+    data: np.ndarray
+    sums: np.ndarray
+
+
+def prefix_hash(data: np.ndarray) -> Prefix:
     up, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=out[1:])
-    return out
+    return Prefix(data, out)
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span; equal bytes get equal hashes wherever they stand."""
-    _, down = powers(len(prefix))
-    h = (prefix[ends] - prefix[starts]) * down[starts]
-    return mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(56)))
+def span_hash(prefix: Prefix, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span; equal bytes get equal hashes wherever they stand. Spans of more than ``SHORT`` bytes are hashed one by one."""
+    sums, size = prefix.sums, ends - starts
+    _, down = powers(len(sums))
+    h = mix((sums[ends] - sums[starts]) * down[starts] ^ (size.astype(np.uint64) << np.uint64(56)))
+    if len(long := np.flatnonzero(size > SHORT)):
+        view = memoryview(np.ascontiguousarray(prefix.data))
+        h[long] = [xxhash.xxh64_intdigest(view[a:b], 42) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return h
