@@ -1,7 +1,8 @@
 """WARC as a chunked record table: long payloads are rows of (archive, record, chunk), never one long value.
 
 Writing: each task makes one archive. A record's header is in its first chunk; every chunk carries the SHA-256 of the
-payload up to its own end, so a reader knows at any chunk whether it is still right. The bytes of an archive's chunks
+payload up to its own end, so a reader knows at any chunk whether it is still right. A chunk that is lost, repeated or out of place is an error,
+as is a record without its end. The bytes of an archive's chunks
 in order are a valid WARC 1.1 file. Reading parses the chunks back: a record of one chunk is read where it lies, and only
 the chunks of longer records are shuffled, by record and in order, and hashed one by one.
 
@@ -142,17 +143,24 @@ def read(chunks: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record of a chunk table (ids as text)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
+        reader, record, due = Reader(), None, 0  # the record that is read and the chunk that it must go on with; 0 is none
         for batch in batches:
             out = []
-            for chunk, last, digest, data in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5), strict=True):
+            for archive, number, chunk, last, digest, data in zip(*(batch.column(k).to_pylist() for k in range(5)), batch.column(5), strict=True):
+                if due and record != (archive, number):
+                    raise ValueError(f"archive {record[0]}, record {record[1]}: chunk {due} is missing")
+                if chunk != due:
+                    raise ValueError(f"archive {archive}, record {number}: chunk {chunk} in place of {due}")
                 if chunk == 0:
-                    reader = Reader()
+                    reader, record = Reader(), (archive, number)
                 found = reader.feed(chunk, last, digest, memoryview(data.as_buffer()))
+                due = 0 if last else chunk + 1
                 if found:
                     out.append(found)
             kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        if due:
+            raise ValueError(f"archive {record[0]}, record {record[1]}: chunk {due} is missing")
 
     whole = F.expr("chunk = 0 AND last")
     parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))

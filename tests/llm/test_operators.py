@@ -208,6 +208,14 @@ def test_warc(spark, sf):
     damaged = chunks.withColumn("bytes", F.when(F.col("chunk") == 1, F.expr("cast(repeat('z', length(bytes)) AS binary)")).otherwise(F.col("bytes")))
     with pytest.raises(Exception, match="damaged"):
         warc_chunks.read(damaged).collect()
+    record, archive = chunks.filter("chunk = 2").select("record", "archive").first()  # of several chunks
+    own = (F.col("record") == record) & (F.col("archive") == archive)
+    most = chunks.filter(own).agg(F.max("chunk")).first()[0]
+    for lost in (0, 1, most):
+        with pytest.raises(Exception, match="missing|in place of"):
+            warc_chunks.read(chunks.filter(~(own & (F.col("chunk") == lost)))).collect()
+    with pytest.raises(Exception, match="in place of"):
+        warc_chunks.read(chunks.union(chunks.filter(own & (F.col("chunk") == 1)))).collect()
     assert warc_chunks.round_trip(frame.limit(0)).count() == 0
     whole = table(spark, sf, "pages")
     assert warc_chunks.round_trip(whole).count() == whole.count()
@@ -344,6 +352,43 @@ def test_keep_first(docs, empty):
     assert jaccard.keep_first(empty).count() == 0
 
 
+def pieces_of(rows):
+    """The ids of each document as bytes, by the tokenizer itself."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    return Counter((d, np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for d, t in rows)
+
+
+@pytest.mark.parametrize("window", [7, 2048])
+@pytest.mark.parametrize("which", ["docs", "corpus"])
+def test_packing(which, window, request):
+    frame = request.getfixturevalue(which)
+    ids = pieces_of([(r["doc_id"], r["text"]) for r in frame.select("doc_id", "text").collect()])
+    pieces = sorted(packing.pack(frame, window).collect(), key=lambda r: (r["sequence_id"], r["offset"]))
+    at = 0
+    for p in pieces:  # the pieces fill the windows without a gap, and only the last one is short
+        assert p["sequence_id"] * window + p["offset"] == at and 0 < p["length"] and p["offset"] + p["length"] <= window
+        at += p["length"]
+    assert at == sum(len(i) // 4 * n for (_, i), n in ids.items())
+    expected, k = Counter(), 0
+    while k < len(pieces):  # the pieces of a document follow each other; their digests are those of its ids
+        first, crcs, lengths = pieces[k], [], []
+        while sum(lengths) < first["doc_tokens"]:
+            assert pieces[k]["start"] == sum(lengths) and pieces[k]["doc_id"] == first["doc_id"]
+            lengths.append(pieces[k]["length"])
+            crcs.append(pieces[k]["ids_crc32"])
+            k += 1
+        cuts = np.concatenate([[0], np.cumsum(lengths)]) * 4
+        match = next(x for x in ids if x[0] == first["doc_id"] and len(x[1]) // 4 == first["doc_tokens"] and all(zlib.crc32(x[1][a:b]) == c for a, b, c in zip(cuts[:-1], cuts[1:], crcs, strict=True)))
+        expected[match] += 1
+    assert expected == ids
+
+
+def test_packing_of_nothing(empty):
+    assert packing.pack(empty).count() == 0
+
 
 def test_word_ids_agree_with_the_tokenizer():
     import random
