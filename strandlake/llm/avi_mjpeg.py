@@ -8,7 +8,7 @@ decoding are therefore table look-ups over all frames of a text at once.
 A shot ends where the difference of two frames' 16-bin histograms exceeds the mean of the differences before it
 by ``SHARP`` standard deviations (over a trailing window), and ``LEAST`` of the samples.
 
-``video_clips`` takes any AVI files with motion-JPEG: frames are found through the RIFF index (or, without one, in the order of the movie list), and each baseline
+``video_clips`` takes any AVI files with motion-JPEG: frames are found through the RIFF index (or, without one and in AVIX segments, in the order of the movie list), and each baseline
 frame is decoded with its own tables. Frames written here take a shorter way, which needs no Huffman decoding bit by bit.
 
 A null text is empty and gives one frame of blanks. Repeated rows and null ids are kept, an empty table gives no row, and other
@@ -129,39 +129,52 @@ def _scan(frame: bytes) -> bytes | None:
     return frame[len(HEAD) : -2] if frame.startswith(HEAD) and frame.endswith(TAIL) else None
 
 
+def _listed(media: bytes, base: int, end: int) -> list[tuple[int, int]]:
+    """Where the video frames of a movie list are, by its own chunks."""
+    places, at = [], base + 4
+    while at + 8 <= min(end, len(media)):
+        name, size = media[at : at + 4], struct.unpack("<I", media[at + 4 : at + 8])[0]
+        if name[2:] in (b"dc", b"db"):
+            places.append((at + 8, at + 8 + size))
+        at += 12 if name == b"LIST" else 8 + size + (size & 1)
+    return places
+
+
 def parsed(media: bytes) -> tuple[list[tuple[int, int]], float]:
-    """Where an AVI file's video frames are (start and end), and its frames a second."""
+    """Where an AVI file's video frames are (start and end), and its frames a second.
+
+    The frames of further RIFF segments (AVIX) follow in the order of their movie lists.
+    """
     if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    at, base, end, index, rate = 12, None, None, None, float(RATE)
+    at, lists, index, rate = 12, [], None, float(RATE)
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack("<I", media[at + 4 : at + 8])[0]
+        if name == b"RIFF":  # the next segment
+            at += 12
+            continue
         if name == b"LIST" and media[at + 8 : at + 12] == b"movi":
-            base, end = at + 8, at + 8 + size
+            lists.append((at + 8, at + 8 + size))
         elif name == b"LIST" and media[at + 8 : at + 12] == b"hdrl":
             head = media.find(b"strh", at, at + 8 + size)
             if head >= 0:
                 scale, ticks = struct.unpack("<II", media[head + 28 : head + 36])
                 rate = ticks / scale if scale and ticks else rate
-        elif name == b"idx1":
+        elif name == b"idx1" and len(lists) == 1:
             index = np.frombuffer(media, np.dtype([("id", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")]), size // 16, at + 8)
         at += 8 + size + (size & 1)
-    if base is None:
+    if not lists:
         raise ValueError("an AVI file without frames")
+    more = [p for x in lists[1:] for p in _listed(media, *x)]
+    base = lists[0][0]
     if index is None:
-        places, at = [], base + 4
-        while at + 8 <= end:
-            name, size = media[at : at + 4], struct.unpack("<I", media[at + 4 : at + 8])[0]
-            if name[2:] in (b"dc", b"db"):
-                places.append((at + 8, at + 8 + size))
-            at += 12 if name == b"LIST" else 8 + size + (size & 1)
-        return places, rate
+        return _listed(media, *lists[0]) + more, rate
     index = index[np.isin(index["id"], [b"00dc", b"00db"])]
     # offsets count from the movie list, or from the file's start
     first = int(index["at"][0]) if len(index) else 0
     shift = base if len(index) and media[base + first : base + first + 4] == index["id"][0] else 0
     starts = index["at"].astype(np.int64) + shift + 8
-    return list(zip(starts.tolist(), (starts + index["size"]).tolist(), strict=True)), rate
+    return list(zip(starts.tolist(), (starts + index["size"]).tolist(), strict=True)) + more, rate
 
 
 def read_avi(media: bytes) -> Iterator[np.ndarray]:

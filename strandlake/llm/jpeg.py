@@ -1,8 +1,12 @@
-"""A decoder of baseline JPEG frames to their luma plane: quantisation and Huffman tables, AC terms, subsampling, restarts."""
+"""A decoder of baseline JPEG frames to their luma plane: quantisation and Huffman tables, AC terms, subsampling, restarts.
+
+Frames without Huffman tables, as motion-JPEG files have them, are decoded by the tables that the JPEG standard gives as typical.
+"""
 
 from __future__ import annotations
 
 import struct
+from functools import lru_cache
 
 import numpy as np
 
@@ -59,6 +63,28 @@ def _huffman(body: bytes) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _typical() -> bytes:
+    """The tables of a frame that brings none, as the body of a segment."""
+    every = sorted([0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))])
+    # Codes of each length, and the symbols that do not come in rising order at the end, of DC and AC terms of luma and then chroma.
+    tables = [
+        (0x00, "00010501010101010100000000000000", ""),
+        (0x10, "0002010303020403050504040000017d", "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282"),
+        (0x01, "00030101010101010101010000000000", ""),
+        (0x11, "00020102040403040705040400010277", "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f1"),
+    ]
+    out = b""
+    for kind, counts, first in tables:
+        head = bytes.fromhex(first)
+        out += bytes([kind]) + bytes.fromhex(counts) + (head + bytes(s for s in every if s not in head) if kind & 0x10 else bytes(range(12)))
+    return out
+
+
+@lru_cache(maxsize=1)
+def typical() -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    return _huffman(_typical())
+
+
 def _block(bits: _Bits, dc: tuple, ac: tuple, quantiser: np.ndarray, before: int) -> tuple[np.ndarray, int]:
     """The samples of the next block (before the shift by 128), and its DC term."""
     terms = np.zeros(64)
@@ -86,7 +112,7 @@ def luma(frame: bytes) -> np.ndarray:
     """The luma plane of a baseline frame; other kinds of frames are an error."""
     if frame[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG frame")
-    quantisers, tables, parts, size, interval, at = {}, {}, [], None, 0, 2
+    quantisers, tables, parts, size, interval, at = {}, dict(typical()), [], None, 0, 2
     while True:
         if at + 4 > len(frame) or frame[at] != 0xFF:
             raise ValueError("a frame without a scan")

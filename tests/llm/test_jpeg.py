@@ -132,3 +132,37 @@ def test_clips_of_foreign_files(spark):
     got = {d: [(x["first_frame"], x["end_frame"], x["start_s"]) for x in found if x["doc_id"] == d] for d in range(1, 6)}
     assert got[1] == [(0, 8, 0.0), (8, 14, 0.8)] and got[2] == [(0, 5, 0.0), (5, 8, 0.2)]
     assert all(x["error"] for x in found if x["doc_id"] in (3, 4)) and len(got[3]) == len(got[4]) == 1
+
+
+def test_frames_without_tables(spark):
+    """The typical tables are those that the JVM has, and a frame that it encodes by them is decoded without its own."""
+    jvm = spark.sparkContext._jvm
+    java = jvm.javax.imageio.plugins.jpeg.JPEGHuffmanTable
+    for kind, table in ((0x00, java.StdDCLuminance), (0x10, java.StdACLuminance), (0x01, java.StdDCChrominance), (0x11, java.StdACChrominance)):
+        own = jpeg._huffman(bytes([kind, *table.getLengths(), *[0] * (16 - len(table.getLengths())), *[v & 255 for v in table.getValues()]]))[kind]
+        assert all((a == b).all() for a, b in zip(own, jpeg.typical()[kind], strict=True))
+    r = np.random.default_rng(3)
+    image = jvm.java.awt.image.BufferedImage(37, 21, 5)
+    for y in range(21):
+        for x in range(37):
+            image.setRGB(x, y, int(r.integers(0, 1 << 24)))
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    frame, at, bare = bytes(out.toByteArray()), 2, b"\xff\xd8"
+    while frame[at + 1] != 0xDA:
+        n = 2 + struct.unpack(">H", frame[at + 2 : at + 4])[0]
+        bare += b"" if frame[at + 1] == 0xC4 else frame[at : at + n]
+        at += n
+    bare += frame[at:]
+    assert len(bare) < len(frame) and (jpeg.luma(bare) == jpeg.luma(frame)).all()
+
+
+def test_segments_beyond_the_first():
+    chunk = lambda name, body: name + struct.pack("<I", len(body)) + body + b"\x00" * (len(body) & 1)
+    first = avi_mjpeg.write_avi(bytes([65] * 192 * 3))
+    flat = np.concatenate([np.full((2, 2, 1), 99), np.zeros((2, 2, 63), int)], axis=2)
+    more = [encoded([flat], 16, 16, [(1, 1)], 0)] * 2
+    media = first + chunk(b"RIFF", b"AVIX" + chunk(b"LIST", b"movi" + b"".join(chunk(b"00dc", f) for f in more)))
+    places, _ = avi_mjpeg.parsed(media)
+    assert len(places) == 5 and [media[a:b] for a, b in places[3:]] == more
+    assert len(avi_mjpeg.histograms_of(media)[0]) == 5
