@@ -29,7 +29,7 @@ BLOBS = "shard int, blob binary"
 
 def planes(array: np.ndarray) -> bytes:
     """The bytes of an array, place by place."""
-    return np.ascontiguousarray(np.ascontiguousarray(array).view(np.uint8).reshape(len(array), -1).T).tobytes()
+    return np.ascontiguousarray(np.ascontiguousarray(array).view(np.uint8).reshape(len(array), array.itemsize).T).tobytes()
 
 
 def pack(keys: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> bytes:

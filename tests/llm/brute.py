@@ -169,3 +169,43 @@ def kept_first(docs, least=0.8):
                 a, b = sorted((find(i), find(j)), key=place.get)
                 head[b] = a
     return [docs[i][0] for i in range(len(docs)) if find(i) == i]
+
+
+def collocations(rows, least=100, top=2000, share=100):
+    """Of (text, lang): the ranked phrases of each language."""
+    counts, total = defaultdict(Counter), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0a-\x0d]", low(text)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(w)
+            for n in range(1, 6):
+                for i in range(len(w) - n + 1):
+                    counts[lang][tuple(w[i : i + n])] += 1
+    out = []
+    for lang, f in counts.items():
+        kept = {w: a for w, a in f.items() if a >= least and len(w) > 1}
+        held = {w[i:j] for w, a in kept.items() for i in range(len(w)) for j in range(i + 2, len(w) + 1) if j - i < len(w) and 100 * a >= share * kept[w[i:j]]}
+        found = []
+        for w, a in kept.items():
+            if w not in held:
+                score, k = min((1000 * a * total[lang] // (f[w[:k]] * f[w[k:]]), k) for k in range(1, len(w)))
+                found.append((score, a, " ".join(w), f[w[:k]], f[w[k:]]))
+        found.sort(key=lambda x: (-x[0], -x[1], x[2].encode()))
+        out += [(lang, i, p, a, l, r, total[lang], score) for i, (score, a, p, l, r) in enumerate(found[:top], 1)]
+    return out
+
+
+def fim(doc_id, text, seed=7, rate=100, spm_rate=50):
+    text = text or ""
+    lines = re.findall(r"[^\n]*\n|[^\n]+", text)
+    n = len(lines)
+    digest = hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[8 * k : 8 * k + 8], 16) for k in range(4)]
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= rate:
+        return doc_id, n, "plain", None, None, text
+    prefix, middle, suffix = ("".join(x) for x in (lines[:a], lines[a:b], lines[b:]))
+    if h[3] % 100 < spm_rate:
+        return doc_id, n, "spm", len(prefix), len(middle), f"<S>{suffix}<P>{prefix}<M>{middle}"
+    return doc_id, n, "psm", len(prefix), len(middle), f"<P>{prefix}<S>{suffix}<M>{middle}"
