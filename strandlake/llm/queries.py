@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import avi_mjpeg, collocations, decontam, fim, kneser_ney, langid, packing, quality, secrets, simhash_vp, suffix_levels, warc_chunks
+from strandlake.llm import avi_mjpeg, collocations, decontam, fim, kneser_ney, langid, packing, quality, rp_forest, secrets, simhash_vp, suffix_levels, warc_chunks
 from strandlake.session import table
 
 
@@ -54,6 +54,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_secret_scan, op3_decontamination, op4_kneser_ney, op5_warc_chunks, op6_quality, op7_suffix_dedup, op8_avi_media, op9_simhash, op10_packing,
-        op11_collocations, op13_fill_in_middle,
+        op11_collocations, op12_nearest_neighbours, op13_fill_in_middle,
     )
 }
 
