@@ -22,15 +22,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.arrays import BLOBS, GATHERED, blobs, by_shard, heads, mapped, new_folder, planes, ranges, save
+from strandlake.llm.arrays import BLOBS, blobs, by_shard, heads, mapped, new_folder, planes, ranges, save
 from strandlake.llm.text import LOWER, blocks, mix, prefix_hash, runs, span_hash
 from strandlake.session import staged
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: A phrase goes if a longer one that holds it has at least this share (in hundredths) of its occurrences.
 SHARE = 100
-#: Words of a suffix array.
-SHARD_WORDS = 1 << 21
+#: Words of a suffix array, bytes of text that are read at once, and words and phrases that a task gathers before it sends them on.
+SHARD_WORDS, READ_BYTES, WORDS_HELD = 1 << 19, 1 << 20, 1 << 18
+GATHERED = 1 << 20
 
 #: Bytes between pieces, and between words.
 BREAK = np.zeros(256, bool)
@@ -47,7 +48,7 @@ def _words(batch: pa.RecordBatch) -> Iterator[tuple[list[str], np.ndarray, np.nd
     """Of each block: its languages, its bytes in lower case, and of each word its start, end, key, piece and language's number."""
     langs, of = np.unique(np.array([x or "und" if x != "" else "" for x in batch.column("lang").to_pylist()], object), return_inverse=True)
     keys = np.array([language_key(x) for x in langs], np.uint64)
-    for row, end, data, offsets in blocks(batch):
+    for row, end, data, offsets in blocks(batch, most=READ_BYTES):
         low = LOWER[data]
         starts, ends, first = runs(WORD[low], offsets)
         text = np.repeat(np.arange(end - row), np.diff(first))
@@ -131,7 +132,7 @@ def count_words(docs: DataFrame, folder: str, shards: int, least: int) -> DataFr
                         else:
                             own[key] = [n, bytes(view[starts[at] : ends[at]])]
                             many += 1
-                if many > GATHERED // 4:
+                if many > WORDS_HELD:
                     yield taken()
                     many = 0
         if held:
@@ -350,7 +351,7 @@ def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame,
         held: list[list[np.ndarray]] = []
         while parts:
             held.append(_stretched(parts.pop(), 4)[0])
-            if sum(len(h[0]) for h in held[1:]) > GATHERED:
+            if sum(len(h[0]) for h in held[1:]) > 4 * GATHERED:
                 held = [merged([np.concatenate(c) for c in zip(*held, strict=True)])]
         rows = merged([np.concatenate(c) for c in zip(*held, strict=True)])
         return [c[rows[-1] >= least] for c in rows]

@@ -86,7 +86,7 @@ _cache: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the rolling base and of its inverse modulo 2**64."""
     if len(_cache.get("up", ())) < n:
-        n = max(n, BLOCK_BYTES + 1)
+        n = 1 << max(20, n.bit_length())
         _cache["up"], _cache["down"] = _powers(_ODD, n), _powers(_INVERSE, n)
     return _cache["up"], _cache["down"]
 
