@@ -41,8 +41,8 @@ END = np.uint64(0x5EED0E0D5EED0E0D)
 SHARD_KEYS = 2_000_000
 #: A word is cut by its followers if it is more than this share of a shard.
 HOT_SHARE = 0.25
-#: Bytes of text that are scored at once.
-SCORED_BYTES = 2 << 20
+#: Bytes of text that are read at once.
+READ_BYTES = 1 << 20
 SHIFT = np.uint64(32)
 LOW = np.uint64(0xFFFFFFFF)
 
@@ -120,7 +120,7 @@ def count_words(docs: DataFrame, folder: str, shards: int) -> Vocabulary:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Gathered()
         for batch in batches:
-            for _, _, data, offsets in blocks(batch):
+            for _, _, data, offsets in blocks(batch, most=READ_BYTES):
                 held.add(*summed(tokens(data, offsets)[0]))
                 if held.size > GATHERED:
                     held.add(*held.take())
@@ -204,7 +204,7 @@ def count_trigrams(docs: DataFrame, vocabulary: Vocabulary, edges: np.ndarray) -
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for _, _, data, offsets in blocks(batch):
+            for _, _, data, offsets in blocks(batch, most=READ_BYTES):
                 held.append(trigrams(vocabulary, *tokens(data, offsets)))
                 size += len(held[-1][0])
                 if size > GATHERED // 2:
@@ -458,7 +458,7 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
         own = shared.value
         n, v = own.vocabulary.total, own.vocabulary.size
         for batch in batches:
-            for row, end, data, offsets in blocks(batch, most=SCORED_BYTES):
+            for row, end, data, offsets in blocks(batch, most=READ_BYTES):
                 hashes, first = tokens(data, offsets)
                 distinct, rank = np.unique(hashes, return_inverse=True)
                 number, count = own.vocabulary.find(distinct)
