@@ -9,6 +9,7 @@ from strandlake.functions import scores as S
 from strandlake.functions.evidence import breakpoints
 from strandlake.operators.lookup import first_present, info_map
 from strandlake.operators.selection import top_per_key
+from strandlake.sources import files
 
 #: The columns of the file formats.
 MANIFEST = ("asm", "phylum", "class", "order", "family", "genus", "clade_name", "clade_rank", "fasta_path")
@@ -123,6 +124,12 @@ def write_vcf(calls: DataFrame, path: str) -> None:
     vcf_lines(calls).orderBy("rank", "n", "contig", "pos", "value").select("value").write.mode("overwrite").text(path)
 
 
+def write_vcf_file(calls: DataFrame, path: str, compression: str = "none") -> None:
+    """One VCF file, sorted, behind one header; with ``compression`` bgzf as block gzip."""
+    body = vcf_lines(calls).filter("rank > 0").orderBy("contig", "pos", "value").select("value")
+    files.write_file(body, path, "\n".join(vcf_header(["SAMPLE"])), compression)
+
+
 def multisample_lines(calls: DataFrame, samples: list[str]) -> DataFrame:
     """VCF lines with a genotype column for each sample: one line a site (contig, pos, end, type), '0/0' where a sample lacks it.
 
