@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from strandlake.functions import scores as S
 
@@ -375,26 +376,35 @@ def priority(row: dict[str, Column]) -> Column:
     )
 
 
-def ancestral(query: str, reference: str) -> tuple[str, int, float]:
-    """The ancestral bases of two aligned sequences, how many were aligned, and their mean posterior.
+@F.pandas_udf(LongType())
+def equal_bases(query: pd.Series, reference: pd.Series) -> pd.Series:
+    """At how many places two sequences have one base."""
 
-    Equal bases are nearly sure; of two different ones the query's is kept with less confidence; a base of one side alone is kept
-    with less still, and an unknown one least.
-    """
-    n = max(len(query), len(reference))
-    q, r = (np.frombuffer(s.ljust(n, "-").encode(), np.uint8) for s in (query, reference))
-    known_q, known_r = (np.isin(x, np.frombuffer(b"ACGT", np.uint8)) for x in (q, r))
-    bases = np.where(known_q, q, np.where(known_r, r, ord("N"))).astype(np.uint8)
-    weights = np.where(known_q & known_r, np.where(q == r, 0.995, 0.65), np.where(known_q | known_r, 0.80, 0.55))
-    return bases.tobytes().decode(), min(len(query), len(reference)), float(weights.mean()) if n else 0.0
+    def count(a: str | None, b: str | None) -> int:
+        n = min(len(a or ""), len(b or ""))
+        return int(np.count_nonzero(np.frombuffer((a or "")[:n].encode("utf-32-le"), "<u4") == np.frombuffer((b or "")[:n].encode("utf-32-le"), "<u4")))
 
+    return pd.Series([count(a, b) for a, b in zip(query, reference, strict=True)], dtype="int64")
 
-def ancestral_rows(rows: DataFrame, key: str, query: str, reference: str) -> DataFrame:
-    """``ancestral`` of each row: key, ancestral, aligned, mean_posterior."""
 
-    def apply(batches):
-        for pdf in batches:
-            found = [ancestral(a, b) for a, b in zip(pdf[query].fillna(""), pdf[reference].fillna(""), strict=True)]
-            yield pd.DataFrame({key: pdf[key], "ancestral": [f[0] for f in found], "aligned": [f[1] for f in found], "mean_posterior": [f[2] for f in found]})
+#: How sure an ancestral base is where both have it, where they differ, and where only the reference or only the query reaches.
+SAME_BASE, OTHER_BASE, REFERENCE_ONLY, QUERY_ONLY = 0.995, 0.65, 0.80, 0.55
 
-    return rows.mapInPandas(apply, f"`{key}` {rows.schema[key].dataType.simpleString()}, ancestral string, aligned long, mean_posterior double")
+
+def ancestral_rows(rows: DataFrame, key: str, query: str, reference: str, svtype: str, recombined: bool = True) -> DataFrame:
+    """(key, ancestral, aligned, breakpoints, mean_posterior): the ancestral bases of two sequences laid side by side, for a call of a type.
+
+    Of two bases the reference's is ancestral, but a deletion keeps the query's; where only one sequence reaches it gives the base, but the rest of a query with an insertion is new. Translocations
+    and inversions have two breakpoints, sequence off the reference has one if it may be recombined, others one. Null sequences are empty; nothing at all has a posterior of 0.
+    """
+    rows = rows.select(F.col(key), F.coalesce(query, F.lit("")).alias("_q"), F.coalesce(reference, F.lit("")).alias("_r"), F.coalesce(svtype, F.lit("")).alias("_t"))
+    q, r, kind = F.col("_q"), F.col("_r"), F.col("_t")
+    both, rest = F.least(F.length(q), F.length(r)), F.length(q) - F.length(r)
+    own = F.when(kind == "DEL", F.expr("substring(_q, 1, least(length(_q), length(_r)))")).otherwise(F.expr("substring(_r, 1, least(length(_q), length(_r)))"))
+    tail = F.when(rest < 0, F.expr("substring(_r, length(_q) + 1)")).when(kind != "INS", F.expr("substring(_q, length(_r) + 1)")).otherwise("")
+    more = F.when(rest < 0, -rest * REFERENCE_ONLY).when(kind != "INS", rest * QUERY_ONLY).otherwise(0.0)
+    size = both + F.length(tail)
+    points = F.when(kind.isin("TRA", "INV"), 2).when(kind == "OFF_REF", int(recombined)).otherwise(1)
+    counted = rows.withColumn("_same", equal_bases("_q", "_r"))
+    total = F.col("_same") * SAME_BASE + (both - F.col("_same")) * OTHER_BASE + more
+    return counted.select(F.col(key), F.concat(own, tail).alias("ancestral"), both.cast("long").alias("aligned"), points.alias("breakpoints"), F.when(size > 0, total / size).otherwise(0.0).alias("mean_posterior"))

@@ -141,12 +141,62 @@ def comparator_scores(counts: DataFrame) -> DataFrame:
     return scored.withColumn("verdict", verdict)
 
 
-def two_axis(truth: DataFrame, calls: DataFrame, tolerance: int) -> DataFrame:
-    """Precision and recall by scenario (same scenario only, others ignored) and over any scenario."""
-    same = greedy_match(truth, calls, ["query_asm", "scenario"], tolerance, 1e9).groupBy(F.lit("scenario").alias("axis")).agg(F.count("*").alias("tp"))
-    any_ = greedy_match(truth, calls, ["query_asm"], tolerance, 1e9).groupBy(F.lit("any").alias("axis")).agg(F.count("*").alias("tp"))
-    sizes = truth.agg(F.count("*").alias("truth_calls")).join(calls.agg(F.count("*").alias("pred_calls")), F.lit(True))
-    return same.union(any_).join(F.broadcast(sizes), F.lit(True)).select("axis", "tp", "truth_calls", "pred_calls", S.ratio(F.col("tp"), F.col("pred_calls")).alias("precision"), S.ratio(F.col("tp"), F.col("truth_calls")).alias("recall"))
+def file_order_matches(pairs: DataFrame) -> DataFrame:
+    """One-to-one matches in the order of the calls: each takes the nearest truth that no earlier call has taken.
+
+    pairs: truth_id, call_id, distance, and the places of both in their files, truth_order and call_order (no two calls have one place). In each round a call takes its nearest
+    truth that is left if no earlier call that still waits could; that is what it would get if all took their turns. So there are as many rounds as calls that wait for one
+    another in a row, and never more pairs than at the start.
+    """
+    from strandlake.session import staged
+
+    columns = ["truth_id", "call_id", "distance", "truth_order", "call_order"]
+    left, taken = staged(pairs.select(*columns).distinct(), "turns"), None
+    while True:
+        waiting = left.groupBy("truth_id").agg(F.min("call_order").alias("_first"))
+        wish = left.groupBy("call_id").agg(F.min(F.struct("distance", "truth_order", "truth_id")).alias("_w"), F.min("call_order").alias("call_order"))
+        now = wish.select("call_id", "call_order", F.col("_w.truth_id").alias("truth_id"), F.col("_w.distance").alias("distance")).join(waiting, "truth_id").filter(F.col("_first") == F.col("call_order"))
+        now = staged(now.select("truth_id", "call_id", "distance"), "turns")
+        if not now.limit(1).count():
+            break
+        taken = now if taken is None else taken.union(now)
+        left = staged(left.join(now.select("truth_id"), "truth_id", "left_anti").join(now.select("call_id"), "call_id", "left_anti").select(*columns), "turns")
+    return taken if taken is not None else pairs.select("truth_id", "call_id", "distance").limit(0)
+
+
+#: Types whose lengths callers report by conventions of their own; they are not compared.
+OWN_SPANS = ("OFF_REF", "INS", "TRA", "INV", "DUP")
+
+
+def within_window(truth: DataFrame, calls: DataFrame, window: int) -> DataFrame:
+    """Pairs of one query, contig and type whose places differ by at most ``window``, and lengths too where they are compared.
+
+    truth: truth_id, truth_order; calls: call_id, call_order; both: query_asm, contig, svtype, pos, svlen.
+    """
+    key = F.concat_ws("|", "query_asm", "contig", "svtype")
+    t = truth.select(key.alias("k"), "truth_id", "truth_order", F.col("pos").alias("tp"), F.col("pos").alias("te"), F.col("svlen").alias("tl"))
+    p = calls.select(key.alias("k"), "call_id", "call_order", F.col("pos").alias("cp"), F.col("pos").alias("ce"), F.col("svlen").alias("cl"), "svtype")
+    both = intervals.overlap_join(t, p, "k", ("tp", "te"), ("cp", "ce"), max(1, window), window)
+    far = F.abs(F.col("tp") - F.col("cp"))
+    return both.filter((far <= window) & (F.col("svtype").isin(*OWN_SPANS) | (F.abs(F.col("tl") - F.col("cl")) <= window))).select("truth_id", "call_id", far.alias("distance"), "truth_order", "call_order")
+
+
+def two_axis(truth: DataFrame, calls: DataFrame, window: int) -> DataFrame:
+    """(axis, scenario, truth_calls, tp, fp, fn, precision, recall): calls matched in file order, by scenario and, as ``PANEL``, in all.
+
+    On the axis ``single`` only calls of their query's own scenario take part; on ``pangenome`` all do, and those of others that find nothing are discoveries, not errors. The scenario of a
+    query is that of its first truth. truth and calls as for ``within_window``, with ``scenario``, and for calls ``same_scenario``.
+    """
+    of = truth.groupBy("query_asm").agg(F.min_by("scenario", "truth_order").alias("scenario"), F.count("*").alias("truth_calls"))
+    calls = calls.join(of.select("query_asm"), "query_asm", "left_semi")
+    found = []
+    for axis, eligible in (("single", calls.filter("same_scenario")), ("pangenome", calls)):
+        matched = file_order_matches(within_window(truth, eligible, window)).select("call_id", F.lit(True).alias("_hit"))
+        hits = eligible.join(matched, "call_id", "left").groupBy("query_asm").agg(F.count_if(F.col("_hit").isNotNull()).alias("tp"), F.count_if(F.col("_hit").isNull() & F.col("same_scenario")).alias("fp"))
+        found.append(of.join(hits, "query_asm", "left").select(F.lit(axis).alias("axis"), "scenario", "truth_calls", F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("fp", F.lit(0)).alias("fp")))
+    sums = found[0].union(found[1]).groupingSets([["axis", "scenario"], ["axis"]], "axis", "scenario").agg(*[F.sum(c).alias(c) for c in ("truth_calls", "tp", "fp")], F.grouping("scenario").alias("_g"))
+    rows = sums.select("axis", F.when(F.col("_g") == 1, "PANEL").otherwise(F.col("scenario")).alias("scenario"), "truth_calls", "tp", "fp", (F.col("truth_calls") - F.col("tp")).alias("fn"))
+    return rows.select("*", S.ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), S.ratio(F.col("tp"), F.col("truth_calls")).alias("recall"))
 
 
 def followup_buckets(rows: DataFrame) -> DataFrame:

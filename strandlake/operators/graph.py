@@ -220,22 +220,53 @@ def assembled(reads: DataFrame, cluster: str, seq: str, **options) -> DataFrame:
     return reads.select(cluster, seq).groupBy(cluster).applyInPandas(work, f"`{cluster}` {kind}, contig long, seq string, support long")
 
 
-def unitigs(kmers: dict[str, int], least_length: int = 0) -> list[tuple[str, int]]:
-    """Greedy extension to the right from the most frequent unused k-mer: sequence and mean frequency."""
-    used, out = set(), []
-    for start in sorted(kmers, key=lambda k: (-kmers[k], k)):
-        if start in used:
-            continue
-        seq, count, at = start, [kmers[start]], start
-        used.add(start)
-        while True:
-            following = max(((kmers[n], n) for b in "ACGT" if (n := at[1:] + b) in kmers and n not in used), key=lambda x: (x[0], x[1]), default=None)
-            if following is None:
-                break
-            at = following[1]
-            used.add(at)
-            seq += at[-1]
-            count.append(following[0])
-        if len(seq) >= least_length:
-            out.append((seq, int(np.mean(count))))
-    return out
+def unique_links(kmers: DataFrame, kmer: str) -> DataFrame:
+    """(a, b): k-mers that overlap but for one letter, where b is the only one that can follow a and a the only one before b; a k-mer is not linked with itself."""
+    k = F.col(kmer)
+    ends = kmers.select(F.explode(F.array(F.struct(F.expr(f"right({kmer}, length({kmer}) - 1)").alias("m"), k.alias("a"), F.lit(None).cast("string").alias("b")), F.struct(F.expr(f"left({kmer}, length({kmer}) - 1)").alias("m"), F.lit(None).cast("string").alias("a"), k.alias("b")))).alias("x")).select("x.*")
+    # of one overlap there are at most as many k-mers on either side as there are letters
+    met = ends.groupBy("m").agg(F.count("a").alias("_na"), F.count("b").alias("_nb"), F.max("a").alias("a"), F.max("b").alias("b"))
+    return met.filter("_na = 1 AND _nb = 1 AND a != b").select("a", "b")
+
+
+def ranked_in_chains(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, head, rank) of nodes on chains of links (a, b), each with at most one link in and one out; a cycle is cut before its least node.
+
+    Pointers to earlier nodes are doubled, so a chain of n nodes takes log n joins. A node points where no other one does until it has found its head, so no join has a
+    hot key. When a round settles no node, only cycles are left; there the least node of the way back is kept until it no longer changes.
+    """
+    own = nodes.select(F.col(nodes.columns[0]).alias("node"))
+    first = own.join(links.select(F.col("b").alias("node"), F.col("a").alias("ptr")), "node", "left")
+    state = staged(first.select("node", F.coalesce("ptr", "node").alias("ptr"), F.when(F.col("ptr").isNull(), 0).otherwise(1).cast("long").alias("rank"), F.col("ptr").isNull().alias("done"), F.least("node", "ptr").alias("least")), "chains")
+    settled, open_ = state.filter("done"), state.filter("NOT done")
+    left = open_.count()
+    while left:
+        ahead = settled.unionByName(open_).select(F.col("node").alias("ptr"), F.col("ptr").alias("_p"), F.col("rank").alias("_r"), F.col("done").alias("_d"), F.col("least").alias("_l"))
+        moved = (F.col("_l") < F.col("least")).alias("moved")
+        state = staged(open_.join(ahead, "ptr").select("node", F.col("_p").alias("ptr"), (F.col("rank") + F.col("_r")).alias("rank"), F.col("_d").alias("done"), F.least("least", "_l").alias("least"), moved), "chains")
+        now, changed = state.agg(F.count_if(~F.col("done")), F.count_if(F.col("moved") & ~F.col("done"))).first()
+        settled = settled.unionByName(state.filter("done").drop("moved"))
+        open_ = state.filter("NOT done").drop("moved")
+        if now == left and not changed:
+            break
+        left = now
+    out = settled.select("node", F.col("ptr").alias("head"), "rank")
+    if not left:
+        return out
+    rings = staged(open_.select("node", "least"), "rings")
+    inside = links.join(rings.select(F.col("node").alias("b"), "least"), "b").filter("b != least").select("a", "b")
+    return out.unionByName(ranked_in_chains(rings.select("node"), staged(inside, "cut")))
+
+
+def unitigs(kmers: DataFrame, kmer: str, count: str, piece: int = 10_000) -> DataFrame:
+    """(head, part, kmers, seq, support): the longest ways through k-mers that do not branch, in parts of ``piece`` k-mers.
+
+    ``kmers`` has distinct k-mers with their counts. The first part begins with the whole first k-mer, and others with the letter that their first one adds. ``support`` is
+    the sum of the part's counts. A single part is all that is put together in one task, so ways of any length may be found.
+    """
+    rows = staged(kmers.select(F.col(kmer).alias("node"), F.col(count).cast("long").alias("_n")), "kmers")
+    ranks = ranked_in_chains(rows.select("node"), staged(unique_links(rows, "node"), "unique"))
+    placed = ranks.join(rows, "node").withColumn("part", F.floor(F.col("rank") / piece).cast("long"))
+    letter = F.when(F.col("rank") == 0, F.col("node")).otherwise(F.expr("right(node, 1)"))
+    found = placed.groupBy("head", "part").agg(F.count("*").alias("kmers"), F.array_sort(F.collect_list(F.struct("rank", letter.alias("x")))).alias("_l"), F.sum("_n").alias("support"))
+    return found.select("head", "part", "kmers", F.array_join(F.transform("_l", lambda x: x["x"]), "").alias("seq"), "support")

@@ -10,7 +10,7 @@ from strandlake.functions import stats
 from strandlake.operators import calling, detectors, evaluation, graph, sketch
 from strandlake.operators.selection import top_per_key
 from strandlake.plans.calls import calls
-from strandlake.plans.documents import sequences
+from strandlake.plans.documents import _SEQ_CTE, sequences
 from strandlake.plans.registry import Tables, query
 from strandlake.session import scratch_path
 from strandlake.sources import tables
@@ -39,12 +39,41 @@ def element_annotation(t: Tables) -> DataFrame:
     return detectors.annotated(rows, ["doc_id", "lang"], "seq", "host", "clade_gc")
 
 
-@query()
+_TYPES = ("INS", "DEL", "INV", "OFF_REF", "DUP")
+
+
+@query(
+    f"""WITH {_SEQ_CTE}, c AS (SELECT doc_id, ['INS', 'DEL', 'INV', 'OFF_REF', 'DUP'][doc_id % 5 + 1] AS svtype, seq, (length(seq) * CASE doc_id % 2 WHEN 0 THEN 2 ELSE 3 END) // 5 AS cut FROM s),
+    h AS (SELECT doc_id, svtype, substr(seq, 1, cut) AS q, substr(seq, cut + 1) AS r FROM c),
+    w AS (SELECT *, least(length(q), length(r)) AS m, length(q) - length(r) AS rest, len(list_filter(list_zip(string_split(substr(q, 1, m), ''), string_split(substr(r, 1, m), '')), lambda x: x[1] = x[2])) AS same FROM h),
+    z AS (SELECT *, substr(CASE svtype WHEN 'DEL' THEN q ELSE r END, 1, m) || CASE WHEN rest < 0 THEN substr(r, m + 1) WHEN svtype <> 'INS' THEN substr(q, m + 1) ELSE '' END AS anc,
+      same * 0.995::DOUBLE + (m - same) * 0.65::DOUBLE + CASE WHEN rest < 0 THEN -rest * 0.80::DOUBLE WHEN svtype <> 'INS' THEN rest * 0.55::DOUBLE ELSE 0 END AS total FROM w)
+    SELECT doc_id, svtype, CASE svtype WHEN 'INV' THEN 2 ELSE 1 END AS breakpoints, m AS aligned, md5(anc) AS digest, CASE WHEN anc = '' THEN 0 ELSE round(total / length(anc), 9) END AS mean_posterior FROM z WHERE m > 0"""
+)
 def ancestral_reconstruct(t: Tables) -> DataFrame:
-    """Ancestral bases of the two halves of each whole document (kernel tested on literals)."""
-    half = F.floor(F.length("seq") / 2).cast("int")
-    rows = sequences(t).select("doc_id", F.substring(F.col("seq"), F.lit(1), half).alias("one"), F.substring(F.col("seq"), half + 1, F.length("seq")).alias("other"))
-    return calling.ancestral_rows(rows, "doc_id", "one", "other")
+    """Ancestral bases of the two parts of each whole document's sequence, for calls of five types."""
+    cut = F.floor(F.length("seq") * F.when(F.col("doc_id") % 2 == 0, 2).otherwise(3) / 5).cast("int")
+    rows = sequences(t).select("doc_id", F.get(F.array(*map(F.lit, _TYPES)), (F.col("doc_id") % 5).cast("int")).alias("svtype"), F.substring(F.col("seq"), F.lit(1), cut).alias("one"), F.substring(F.col("seq"), cut + 1, F.length("seq")).alias("other"))
+    found = calling.ancestral_rows(rows, "doc_id", "one", "other", "svtype").join(rows.select("doc_id", "svtype"), "doc_id").filter("aligned > 0")
+    return found.select("doc_id", "svtype", "breakpoints", "aligned", F.md5("ancestral").alias("digest"), F.round("mean_posterior", 9).alias("mean_posterior"))
+
+
+_K = 15
+
+
+@query(
+    f"""WITH RECURSIVE {_SEQ_CTE}, k AS (SELECT substr(seq, i, {_K}) AS k, count(*) AS c FROM (SELECT seq, unnest(range(1, length(seq) - {_K - 2})) AS i FROM s) GROUP BY ALL),
+    p AS (SELECT substr(k, 1, {_K - 1}) AS m, count(*) AS n, min(k) AS b FROM k GROUP BY m), q AS (SELECT substr(k, 2) AS m, count(*) AS n, min(k) AS a FROM k GROUP BY m),
+    l AS (SELECT a, b FROM p JOIN q USING (m) WHERE p.n = 1 AND q.n = 1 AND a <> b),
+    r AS (SELECT k AS head, k AS node, 0 AS rank FROM k ANTI JOIN l ON l.b = k.k UNION ALL SELECT r.head, l.b, r.rank + 1 FROM r JOIN l ON l.a = r.node)
+    SELECT head, count(*) AS kmers, md5(string_agg(CASE rank WHEN 0 THEN node ELSE right(node, 1) END, '' ORDER BY rank)) AS digest, sum(c)::BIGINT AS support FROM r JOIN k ON k.k = r.node GROUP BY head HAVING count(*) >= 30"""
+)
+def unitigs_of_documents(t: Tables) -> DataFrame:
+    """Ways of thirty k-mers and more through the graph of all documents' k-mers that do not branch, against a recursion step by step."""
+    kmers = sequences(t).select(F.explode(Q.kmers(F.col("seq"), _K)).alias("k")).groupBy("k").agg(F.count("*").alias("c"))
+    parts = graph.unitigs(kmers, "k", "c")
+    ways = parts.groupBy("head").agg(F.sum("kmers").alias("kmers"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "seq"))), lambda x: x["seq"]), "").alias("seq"), F.sum("support").alias("support"))
+    return ways.filter("kmers >= 30").select("head", "kmers", F.md5("seq").alias("digest"), "support")
 
 
 @query(

@@ -430,6 +430,48 @@ def mutual_best_matches(t: Tables) -> DataFrame:
     return evaluation.mutual_matches(pairs)
 
 
+_WINDOW = 40
+#: Both axes of calls taken in file order: each group of a query and type is a recursion over its calls, which keeps the truths that are used.
+_TURNS = f"""{_CALLS}, u AS (SELECT DISTINCT contig, line, part, pos, len, svtype, status FROM calls),
+    r AS (SELECT contig % 300 AS q, svtype, status, pos, len, row_number() OVER (ORDER BY contig, line, part, pos, len, svtype, status) AS id, concat_ws('-', contig, line, part, pos, len, svtype) AS name, part % 3 <> 0 AS same FROM u),
+    tl AS (SELECT q, svtype, list({{'id': id, 'pos': pos, 'len': len}} ORDER BY id) AS ts FROM r WHERE status = 'O' GROUP BY ALL),
+    o AS (SELECT axis, q, svtype, id, pos, len, same, row_number() OVER (PARTITION BY axis, q, svtype ORDER BY id) AS k FROM r, (VALUES ('single'), ('pangenome')) AS x(axis) WHERE status = 'F' AND (same OR axis = 'pangenome') AND q IN (SELECT q FROM tl)),
+    n AS (SELECT axis, q, svtype, k, id, same, list_sort(list_transform(list_filter(coalesce(ts, []), lambda x: abs(x.pos - o.pos) <= {_WINDOW} AND (svtype <> 'DEL' OR abs(x.len - o.len) <= {_WINDOW})), lambda x: {{'d': abs(x.pos - o.pos), 'i': x.id}})) AS near FROM o LEFT JOIN tl USING (q, svtype)),
+    g AS (SELECT axis, q, svtype, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS truth_id, NULL::BIGINT AS distance FROM (SELECT DISTINCT axis, q, svtype FROM n)
+      UNION ALL SELECT axis, q, svtype, k, CASE WHEN c IS NULL THEN used ELSE list_append(used, c.i) END, c.i, c.d
+      FROM (SELECT g.axis, g.q, g.svtype, n.k, g.used, list_filter(n.near, lambda x: NOT list_contains(g.used, x.i))[1] AS c FROM g JOIN n ON n.axis = g.axis AND n.q = g.q AND n.svtype = g.svtype AND n.k = g.k + 1))"""
+
+
+def _in_turn(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Truths and calls of queries, in the order of their numbers."""
+    q = F.col("contig") % 300
+    place = ["contig", "line", "part", "pos", "len", "svtype"]
+    distinct = calls(t).select(*place, "status").distinct().withColumns({"id": F.concat_ws("-", *place), "_o": F.struct(*place)})
+    rows = distinct.select(q.cast("string").alias("query_asm"), F.lit("c").alias("contig"), "svtype", "pos", F.col("len").alias("svlen"), "status", "id", "_o", F.concat(F.lit("S"), q % 4).alias("scenario"), (F.col("part") % 3 != 0).alias("same_scenario"))
+    truth = rows.filter("status = 'O'").withColumns({"truth_id": F.col("id"), "truth_order": F.col("_o")})
+    return truth, rows.filter("status = 'F'").withColumns({"call_id": F.col("id"), "call_order": F.col("_o")})
+
+
+@query(f"WITH RECURSIVE {_TURNS} SELECT c.name AS call_id, w.name AS truth_id, distance FROM g JOIN n USING (axis, q, svtype, k) JOIN r c ON c.id = n.id JOIN r w ON w.id = truth_id WHERE axis = 'pangenome' AND truth_id IS NOT NULL")
+def matches_in_file_order(t: Tables) -> DataFrame:
+    """Each call in turn takes the nearest truth that no earlier one has: in rounds, against a recursion over turns."""
+    truth, found = _in_turn(t)
+    return evaluation.file_order_matches(evaluation.within_window(truth, found, _WINDOW)).select("call_id", "truth_id", "distance")
+
+
+@query(
+    f"""WITH RECURSIVE {_TURNS}, h AS (SELECT n.axis, n.q, count(*) FILTER (WHERE truth_id IS NOT NULL) AS tp, count(*) FILTER (WHERE truth_id IS NULL AND same) AS fp FROM n JOIN g USING (axis, q, svtype, k) GROUP BY ALL),
+    c AS (SELECT q, count(*) AS truth_calls FROM r WHERE status = 'O' GROUP BY q),
+    s AS (SELECT axis, 'S' || (q % 4) AS scenario, truth_calls, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp FROM c CROSS JOIN (VALUES ('single'), ('pangenome')) AS x(axis) LEFT JOIN h USING (axis, q)),
+    z AS (SELECT axis, coalesce(scenario, 'PANEL') AS scenario, sum(truth_calls)::BIGINT AS truth_calls, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp FROM s GROUP BY GROUPING SETS ((axis, scenario), (axis)))
+    SELECT axis, scenario, truth_calls, tp, fp, truth_calls - tp AS fn, round(tp / nullif(tp + fp, 0), 9) AS precision, round(tp / truth_calls, 9) AS recall FROM z"""
+)
+def two_axis_scores(t: Tables) -> DataFrame:
+    """Precision and recall of a single reference and of the pangenome, by scenario and in all."""
+    out = evaluation.two_axis(*_in_turn(t), _WINDOW)
+    return out.withColumns({"precision": F.round("precision", 9), "recall": F.round("recall", 9)})
+
+
 _ERF = "(1 - 1 / (1 + 0.3275911 * {0}) * (0.254829592 + 1 / (1 + 0.3275911 * {0}) * (-0.284496736 + 1 / (1 + 0.3275911 * {0}) * (1.421413741 + 1 / (1 + 0.3275911 * {0}) * (-1.453152027 + 1 / (1 + 0.3275911 * {0}) * 1.061405429)))) * exp(-{0} * {0}))"
 
 

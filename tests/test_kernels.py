@@ -176,10 +176,6 @@ def test_planted_events():
     assert calling.call_pair("", ref) == [] and calling.call_pair(ref, "") == []
 
 
-def test_ancestral():
-    assert calling.ancestral("ACGTAC", "ACGGAC") == ("ACGTAC", 6, pytest.approx((5 * 0.995 + 0.65) / 6))
-
-
 def test_detectors():
     flat = "".join(random.Random(1).choice("AT") for _ in range(2000))
     rich = "".join(random.Random(2).choice("GC") for _ in range(1500))
@@ -231,7 +227,7 @@ def test_graph(spark):
     kmers = {}
     for i in range(len(genome) - 20):
         kmers[genome[i : i + 21]] = kmers.get(genome[i : i + 21], 0) + (2 if i == 0 else 1)
-    assert graph.unitigs(kmers, 100)[0][0] == genome
+    assert graph.unitigs(spark.createDataFrame(list(kmers.items()), "k string, c int"), "k", "c").first()["seq"] == genome
     reads = spark.createDataFrame([(1, genome[:150]), (1, genome[100:])], "cluster long, seq string")
     assert graph.assembled(reads, "cluster", "seq").first()["seq"] == genome
 
