@@ -176,11 +176,22 @@ def _opened(folder: str, name: str) -> np.ndarray:
     return np.load(f"{folder}/{name}.npy", mmap_mode="r")
 
 
-@lru_cache(maxsize=64)
+#: Bytes of arrays that a worker keeps of a store that is not mounted.
+KEPT_BYTES = 256 << 20
+_kept: dict[tuple[str, str], np.ndarray] = {}
+
+
 def _fetched(folder: str, name: str) -> np.ndarray:
-    store, at = pyarrow.fs.FileSystem.from_uri(f"{folder}/{name}.npy")
-    with store.open_input_stream(at) as f:
-        return np.load(pa.BufferReader(f.read()))
+    """An array of a store that is not mounted; those asked for last are kept, up to ``KEPT_BYTES`` besides this one."""
+    found = _kept.pop((folder, name), None)
+    if found is None:
+        store, at = pyarrow.fs.FileSystem.from_uri(f"{folder}/{name}.npy")
+        with store.open_input_stream(at) as f:
+            found = np.load(pa.BufferReader(f.read()))
+        while _kept and sum(a.nbytes for a in _kept.values()) + found.nbytes > KEPT_BYTES:
+            del _kept[next(iter(_kept))]
+    _kept[folder, name] = found
+    return found
 
 
 def mapped(folder: str, name: str, size: int) -> np.ndarray:

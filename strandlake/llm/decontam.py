@@ -196,7 +196,7 @@ def _names() -> list[str]:
 
 def _parts(benchmark: DataFrame) -> tuple[int, Iterator[list[tuple[str | None, str | None]]]]:
     """The number of the benchmark's parts of bounded size, and the parts one by one."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text"))
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text")).distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(size // PART_BYTES) + 1
     part = lambda k: rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
-#: Parts of the buckets' range, and partial sums that each part gets before the last one: no task adds up all tasks' tables.
-SLICES, FAN = 8, 16
+#: Parts of the buckets' range, and the bits of a task's number that each of the levels of partial sums drops: at a million tasks none adds up more than 256 tables.
+SLICES, LEVELS = 8, (6, 6)
 ORDERS = 3
 #: Characters handled at once, so that a very long text needs little memory.
 CHUNK = 1 << 18
@@ -171,25 +171,28 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", alpha: floa
                     if name not in sums:
                         sums[name] = np.zeros(BUCKETS, np.int64)
                     sums[name] += np.bincount(bucket[mine], weights=n[mine], minlength=BUCKETS).astype(np.int64)
-        group = TaskContext.get().partitionId() % FAN
+        group = TaskContext.get().partitionId() >> LEVELS[0]
         for name, own in sums.items():
             parts = np.split(own, SLICES)
             yield pa.RecordBatch.from_arrays([pa.array([name] * SLICES), pa.array(range(SLICES), pa.int32()), pa.array([group] * SLICES, pa.int32()), pa.array([docs[name]] * SLICES, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=NAMES)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, int], list] = {}
+        sums: dict[tuple[str, int, int], list] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                own = sums.setdefault((row["lang"], row["slice"]), [0, np.zeros(BUCKETS // SLICES, np.int64)])
+                own = sums.setdefault((row["lang"], row["slice"], row["part"]), [0, np.zeros(BUCKETS // SLICES, np.int64)])
                 own[0] += row["docs"]
                 own[1] += np.frombuffer(row["counts"], np.int64)
         if sums:
-            n = len(sums)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums]), pa.array([k[1] for k in sums], pa.int32()), pa.array([0] * n, pa.int32()), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1].tobytes() for v in sums.values()], pa.binary())], names=NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums]), pa.array([k[1] for k in sums], pa.int32()), pa.array([k[2] for k in sums], pa.int32()), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1].tobytes() for v in sums.values()], pa.binary())], names=NAMES)
 
     schema = "lang string, slice int, part int, docs long, counts binary"
     known = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter("lang IS NOT NULL")
-    sums = known.mapInArrow(count, schema).repartition(SLICES * FAN, "lang", "slice", "part").mapInArrow(add, schema).repartition(SLICES, "lang", "slice").mapInArrow(add, schema)
+    tasks = max(SLICES, int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sums = known.mapInArrow(count, schema)
+    for bits in (*LEVELS[1:], 31):
+        sums = sums.repartition(tasks, "lang", "slice", "part").mapInArrow(add, schema).withColumn("part", F.shiftright("part", bits))
+    sums = sums.repartition(SLICES, "lang", "slice").mapInArrow(add, schema)
     rows = sums.limit(SLICES * MOST_LANGUAGES + 1).collect()
     if len(rows) > SLICES * MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")

@@ -31,7 +31,7 @@ BUCKETS, DIMS, NONZERO = 16384, 48, 4
 #: Labelled documents that the network is fitted on, at most.
 LABELLED = 20_000
 #: Parts of the buckets' range, and partial sums that each part gets before the last one.
-PARTS, FAN = 16, 8
+PARTS, LEVELS = 16, (6, 6)
 #: Bytes of text whose word vectors are pooled at once.
 POOLED_BYTES = 1 << 19
 PLAIN = 8
@@ -89,19 +89,23 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
                     for k in range(NONZERO):
                         n = np.bincount(own * DIMS + PLACES[near, k], minlength=len(sums))
                         sums += n * int(SIGNS[0, k])
-        group = TaskContext.get().partitionId() % FAN
+        group = TaskContext.get().partitionId() >> LEVELS[0]
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([group] * PARTS, pa.int32()), pa.array([_squeezed(p) for p in np.split(sums, PARTS)], pa.binary())], names=["part", "fan", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for part, own in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-                sums[part] = sums.get(part, 0) + _stretched(own)
+            for part, fan, own in zip(batch.column("part").to_pylist(), batch.column("fan").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                sums[part, fan] = sums.get((part, fan), 0) + _stretched(own)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([0] * len(sums), pa.int32()), pa.array([_squeezed(s) for s in sums.values()], pa.binary())], names=["part", "fan", "sums"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in sums], pa.int32()) for i in (0, 1)), pa.array([_squeezed(s) for s in sums.values()], pa.binary())], names=["part", "fan", "sums"])
 
     schema = "part int, fan int, sums binary"
-    rows = docs.select("text").mapInArrow(count, schema).repartition(PARTS * FAN, "part", "fan").mapInArrow(add, schema).repartition(PARTS, "part").mapInArrow(add, schema).collect()
+    tasks = max(PARTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sums = docs.select("text").mapInArrow(count, schema)
+    for bits in (*LEVELS[1:], 31):
+        sums = sums.repartition(tasks, "part", "fan").mapInArrow(add, schema).withColumn("fan", F.shiftright("fan", bits))
+    rows = sums.repartition(PARTS, "part").mapInArrow(add, schema).collect()
     out = np.zeros(BUCKETS * DIMS, np.float64)
     for r in rows:
         width = len(out) // PARTS

@@ -37,6 +37,19 @@ def test_arrays_without_a_mount(tmp_path):
     assert arrays.mapped(folder, "one", 5).tolist() == list(range(5))
 
 
+def test_arrays_that_are_kept_have_a_bound(tmp_path, monkeypatch):
+    monkeypatch.setattr(arrays, "KEPT_BYTES", 100 * 8)
+    monkeypatch.setattr(arrays, "_kept", {})
+    folder = f"file://{tmp_path}"
+    for k in range(8):
+        arrays.save(folder, f"a{k}", np.arange(40) + k)
+    for k in (0, 1, 0, 2, 0, 3):
+        assert arrays._fetched(folder, f"a{k}")[0] == k
+    assert [n for _, n in arrays._kept] == ["a0", "a3"]  # the last ones that fit
+    arrays.save(folder, "big", np.arange(1000))
+    assert len(arrays._fetched(folder, "big")) == 1000 and [n for _, n in arrays._kept] == ["big"]
+
+
 def test_packed_keys():
     keys, counts = np.array([1, 5, 2**63, 2**64 - 1], np.uint64), np.array([9, 1, 2**40, 3], np.uint64)
     assert all(np.array_equal(a, b) for a, b in zip(arrays.unpack(arrays.pack(keys, counts, counts), 3), (keys, counts, counts)))
