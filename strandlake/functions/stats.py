@@ -51,24 +51,89 @@ def welch_value(m1: float, v1: float, n1: int, m2: float, v2: float, n2: int) ->
     return math.erfc(abs(m1 - m2) / spread / math.sqrt(2))
 
 
-def _vectorized(function, kind=T.DoubleType()):
-    """A pandas UDF that computes a value once for each distinct row of its inputs."""
+def _tails(groups: np.ndarray, at: np.ndarray, table) -> np.ndarray:
+    """Of each row the upper tail at ``at`` under its group's law: ``table(group)`` gives the first value and the probabilities from there on, once a group."""
+    out = np.empty(len(at))
+    distinct, of = np.unique(groups, axis=0, return_inverse=True)
+    order = np.argsort(of.ravel(), kind="stable")
+    cuts = np.searchsorted(of.ravel()[order], np.arange(len(distinct) + 1))
+    for g, low, high in zip(distinct, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        own = order[low:high]
+        first, chance = table(g)
+        tail = np.append(np.cumsum(chance[::-1])[::-1], 0.0)
+        out[own] = tail[np.clip(at[own] - first, 0, len(chance)).astype(np.int64)]
+    return np.minimum(1.0, out)
+
+
+def fisher_right_values(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """``fisher_right_value`` of many tables: those with the same margins share one law."""
+
+    def table(g: np.ndarray) -> tuple[int, np.ndarray]:
+        row, column, n = (int(v) for v in g)
+        first = max(0, row + column - n)
+        x = np.arange(first, min(row, column) + 1)
+        return first, np.exp(_log_choose(row, x) + _log_choose(n - row, column - x) - _log_choose(n, np.array(column)))
+
+    return _tails(np.column_stack([a + b, a + c, a + b + c + d]), a, table)
+
+
+def binomial_tail_values(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """``binomial_tail_value`` of many counts: those with the same n and rate share one law."""
+    out = np.where(k <= 0, 1.0, np.where((p <= 0) | (k > n), 0.0, 1.0))
+    inner = np.flatnonzero((k > 0) & (p > 0) & (k <= n) & (p < 1))
+
+    def table(g: np.ndarray) -> tuple[int, np.ndarray]:
+        size, rate = int(g[0]), float(g[1])
+        x = np.arange(size + 1)
+        return 0, np.exp(_log_choose(size, x) + x * math.log(rate) + (size - x) * math.log1p(-rate))
+
+    if len(inner):
+        out[inner] = _tails(np.column_stack([n[inner].astype(np.float64), p[inner]]), k[inner], table)
+    return out
+
+
+_ERFC = np.frompyfunc(math.erfc, 1, 1)
+
+
+def welch_values(m1: np.ndarray, v1: np.ndarray, n1: np.ndarray, m2: np.ndarray, v2: np.ndarray, n2: np.ndarray) -> np.ndarray:
+    """``welch_value`` of many pairs."""
+    some = (n1 > 0) & (n2 > 0)
+    spread = np.sqrt(np.where(some, v1 / np.where(some, n1, 1) + v2 / np.where(some, n2, 1), 0.0))
+    flat = spread == 0
+    z = np.abs(m1 - m2) / np.where(flat, 1.0, spread) / math.sqrt(2)
+    return np.where(flat, np.where(m1 == m2, 1.0, 0.0), _ERFC(z).astype(np.float64))
+
 
-    @F.pandas_udf(kind)
+def _vectorized(function, kinds: tuple[type, ...]):
+    """A pandas UDF of arrays of these kinds; a row with a null or NaN gives null."""
+
+    @F.pandas_udf(T.DoubleType())
     def apply(*columns: pd.Series) -> pd.Series:
-        rows = pd.concat([c.reset_index(drop=True) for c in columns], axis=1, keys=range(len(columns)))
-        codes = rows.groupby(list(rows.columns), dropna=False, sort=False).ngroup().to_numpy()
-        _, firsts = np.unique(codes, return_index=True)
-        some = rows.iloc[firsts]
-        values = np.array([np.nan if row.isna().any() else function(*row) for _, row in some.iterrows()], np.float64)
-        return pd.Series(values[codes] if len(codes) else values).astype("Float64").where(~rows.isna().any(axis=1), pd.NA)
+        missing = np.any([c.isna().to_numpy() for c in columns], axis=0)
+        out = np.full(len(missing), np.nan)
+        own = [c.to_numpy()[~missing].astype(kind) for c, kind in zip(columns, kinds, strict=True)]
+        if (~missing).any():
+            out[~missing] = function(*own)
+        return pd.Series(out).astype("Float64").where(~missing, pd.NA)
 
     return apply
 
 
-fisher_right = _vectorized(lambda a, b, c, d: fisher_right_value(int(a), int(b), int(c), int(d)))
-binomial_tail = _vectorized(lambda k, n, p: binomial_tail_value(int(k), int(n), float(p)))
-welch = _vectorized(lambda m1, v1, n1, m2, v2, n2: welch_value(m1, v1, int(n1), m2, v2, int(n2)))
+fisher_right = _vectorized(fisher_right_values, (np.int64,) * 4)
+binomial_tail = _vectorized(binomial_tail_values, (np.int64, np.int64, np.float64))
+welch = _vectorized(welch_values, (np.float64, np.float64, np.int64) * 2)
+
+
+def following(rows: DataFrame, column: str, out: str) -> DataFrame:
+    """(column, out): each distinct value and the next larger one, null for the last. Ranges of values are ordered apart; of each range one row goes to the one before."""
+    from strandlake.session import staged
+
+    ranged = rows.select(column).distinct().repartitionByRange(column).withColumn("_range", F.spark_partition_id())
+    ranged = staged(ranged, "ranges")  # the ranges must not be drawn again
+    inside = ranged.withColumn(out, F.lead(column).over(Window.partitionBy("_range").orderBy(column)))
+    starts = ranged.groupBy("_range").agg(F.min(column).alias("_first"))
+    ahead = starts.withColumn("_next", F.lead("_first").over(Window.orderBy("_range"))).select("_range", "_next")  # a row a range
+    return inside.join(F.broadcast(ahead), "_range").select(column, F.coalesce(out, "_next").alias(out))
 
 
 def benjamini_hochberg(rows: DataFrame, p: str, out: str, keys: list[str] | None = None) -> DataFrame:

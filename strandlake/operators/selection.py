@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,32 +61,75 @@ def _scanned(rows: DataFrame, keys: list[str], order: list[Column], schema, work
     one group has to fit in memory; small ones come many at once.
     """
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def edges(table: pa.Table) -> np.ndarray:
-            new = np.zeros(max(0, len(table) - 1), bool)
-            for k in keys:
-                column = table.column(k).combine_chunks()
-                new |= pc.fill_null(pc.not_equal(column[1:], column[:-1]), True).to_numpy(zero_copy_only=False).astype(bool) & ~(column[1:].is_null().to_numpy(zero_copy_only=False) & column[:-1].is_null().to_numpy(zero_copy_only=False))
-            return np.concatenate([[0], np.flatnonzero(new) + 1, [len(table)]])
+    def changes(batch: pa.RecordBatch, before: pa.RecordBatch | None) -> np.ndarray:
+        """The rows of a batch whose key is another than that of the row before."""
+        new = np.zeros(len(batch), bool)
+        for k in keys:
+            column = batch.column(k)
+            null = column.is_null().to_numpy(zero_copy_only=False)
+            differ = pc.fill_null(pc.not_equal(column[1:], column[:-1]), True).to_numpy(zero_copy_only=False).astype(bool)
+            new[1:] |= differ & ~(null[1:] & null[:-1])
+            new[0] |= before is None or before.column(k)[-1].as_py() != column[0].as_py()
+        return np.flatnonzero(new)
 
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the rows of the group that is open
         for batch in batches:
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            if not len(table):
+            if not len(batch):
                 continue
-            cuts = edges(table)
-            if len(cuts) > 2:
-                yield from work(table.slice(0, cuts[-2]), cuts[:-1]).to_batches()
-                held = table.slice(cuts[-2]).to_batches()
-        if held and (table := pa.Table.from_batches(held)).num_rows:
-            yield from work(table, edges(table)).to_batches()
+            first = changes(batch, held[-1] if held else None)
+            if len(first) and held:
+                open_ = pa.Table.from_batches([*held, batch.slice(0, first[0])])
+                yield from work(open_, np.array([0, len(open_)])).to_batches()
+                held = []
+            if len(first):
+                if len(first) > 1:
+                    whole = pa.Table.from_batches([batch.slice(first[0], first[-1] - first[0])])
+                    yield from work(whole, first - first[0]).to_batches()
+                batch = batch.slice(first[-1])
+            held.append(batch)
+        if held:
+            open_ = pa.Table.from_batches(held)
+            yield from work(open_, np.array([0, len(open_)])).to_batches()
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, *keys).sortWithinPartitions(*keys, *order).mapInArrow(apply, schema)
 
 
+class Chosen:
+    """Intervals that do not meet, by their starts, in runs of bounded length: a look-up is two bisections, an insertion moves one run."""
+
+    MOST = 512
+
+    def __init__(self) -> None:
+        self.heads: list[float] = []
+        self.runs: list[list[tuple[int, int]]] = []
+
+    def around(self, start: int) -> tuple[tuple[float, float], tuple[float, float]]:
+        """The last interval that begins before ``start``, and the first that does not."""
+        none_before, none_after = (-math.inf, -math.inf), (math.inf, math.inf)
+        r = bisect.bisect_left(self.heads, start) - 1
+        if r < 0:
+            return none_before, self.runs[0][0] if self.runs else none_after
+        run = self.runs[r]
+        at = bisect.bisect_left(run, (start,))
+        after = run[at] if at < len(run) else self.runs[r + 1][0] if r + 1 < len(self.runs) else none_after
+        return run[at - 1], after
+
+    def add(self, start: int, end: int) -> None:
+        r = max(0, bisect.bisect_left(self.heads, start) - 1)
+        if not self.runs:
+            self.heads, self.runs = [start], [[(start, end)]]
+            return
+        run = self.runs[r]
+        bisect.insort(run, (start, end))
+        self.heads[r] = run[0][0]
+        if len(run) > self.MOST:
+            half = len(run) // 2
+            self.runs[r : r + 1] = [run[:half], run[half:]]
+            self.heads[r : r + 1] = [run[0][0], run[half][0]]
+
+
 def non_overlapping(rows: DataFrame, keys: list[str], start: str, end: str, score: str, slop: int = 20, width: int | None = None) -> DataFrame:
     """Greedy choice by falling score of intervals that keep ``slop`` from all chosen ones of their key.
 
@@ -101,14 +145,11 @@ def non_overlapping(rows: DataFrame, keys: list[str], start: str, end: str, scor
     def work(table: pa.Table, cuts: np.ndarray) -> pa.Table:
         s, e, keep = table.column(start).to_pylist(), table.column(end).to_pylist(), np.zeros(len(table), bool)
         for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            starts: list[int] = []
-            ends: list[int] = []
+            chosen = Chosen()
             for i in range(low, high):
-                a, b = s[i], e[i]
-                at = bisect.bisect_left(starts, a)
-                if (at == 0 or ends[at - 1] + slop < a) and (at == len(starts) or b + slop < starts[at]):
-                    starts.insert(at, a)
-                    ends.insert(at, b)
+                (_, end_before), (next_start, _) = chosen.around(s[i])
+                if end_before + slop < s[i] and e[i] + slop < next_start:
+                    chosen.add(s[i], e[i])
                     keep[i] = True
         return table.filter(pa.array(keep))
 

@@ -70,7 +70,7 @@ def binomial_tail(t: Tables) -> DataFrame:
 
 @query()
 def welch_normal(t: Tables) -> DataFrame:
-    """Welch tests between event types of each user group (no erf in the checking engine; tested against brute force)."""
+    """Welch tests between event types of each user group."""
     s = t.events.groupBy((F.col("user_id") % 20).alias("grp"), "event_type").agg(F.avg("value").alias("m"), stats.sample_variance(F.col("value")).alias("v"), F.count("*").alias("n"))
     b = s.select("grp", F.col("event_type").alias("other"), F.col("m").alias("m2"), F.col("v").alias("v2"), F.col("n").alias("n2"))
     both = s.join(b, "grp").filter(F.col("event_type") < F.col("other"))

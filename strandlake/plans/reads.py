@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import evidence as E
@@ -248,22 +248,18 @@ def emptiness_prefilter(t: Tables) -> DataFrame:
     return sets.select("k", E.may_share(F.col("a"), F.col("b")).alias("may"), F.arrays_overlap("a", "b").alias("does"))
 
 
-_LINES = "d AS (SELECT doc_id, lang, source, string_split(text, chr(10))[1] AS line FROM documents)"
-
-
 @query(
-    f"""WITH {_LINES}, h AS (SELECT doc_id, coalesce(line, '') AS a, coalesce(lead(line) OVER (ORDER BY doc_id), '') AS b FROM d),
-    c AS (SELECT *, least(length(a), length(b)) AS n, coalesce(list_position([substr(a, i, 1) = substr(b, i, 1) FOR i IN range(1, least(length(a), length(b)) + 1)], false) - 1, least(length(a), length(b))) AS head,
-      coalesce(list_position([substr(a, length(a) - i + 1, 1) = substr(b, length(b) - i + 1, 1) FOR i IN range(1, least(length(a), length(b)) + 1)], false) - 1, least(length(a), length(b))) AS tail0 FROM h),
+    """WITH h AS (SELECT doc_id, string_split(coalesce(text, ''), '') AS a, string_split(coalesce(lead(text) OVER (ORDER BY doc_id), ''), '') AS b FROM documents),
+    l AS (SELECT doc_id, list_filter(a, lambda x: x <> '') AS a, list_filter(b, lambda x: x <> '') AS b FROM h), m AS (SELECT *, least(len(a), len(b)) AS n FROM l),
+    c AS (SELECT *, coalesce(list_position(list_transform(list_zip(a[1:n], b[1:n]), lambda x: x[1] = x[2]), false) - 1, n) AS head, coalesce(list_position(list_transform(list_zip(list_reverse(a)[1:n], list_reverse(b)[1:n]), lambda x: x[1] = x[2]), false) - 1, n) AS tail0 FROM m),
     e AS (SELECT *, least(tail0, n - head) AS tail FROM c)
-    SELECT doc_id, round(CASE WHEN n = 0 THEN 0 WHEN a = b THEN 1 ELSE (head + tail) / (greatest(length(a), length(b)) + least(head, tail)) END, 6) AS similarity FROM e"""
+    SELECT doc_id, round(CASE WHEN n = 0 THEN 0 WHEN a = b THEN 1 ELSE (head + tail) / (greatest(len(a), len(b)) + least(head, tail)) END, 6) AS similarity FROM e"""
 )
 def end_similarities(t: Tables) -> DataFrame:
-    """Prefix and suffix similarity of the first lines of each document and the next."""
-    line = t.documents.select("doc_id", F.coalesce(F.get(F.split("text", "\n"), F.lit(0)), F.lit("")).alias("a"))
-    ids = line.select("doc_id", F.lead("doc_id").over(Window.orderBy("doc_id")).alias("next"))  # ids alone are ordered together
-    after = line.select(F.col("doc_id").alias("next"), F.col("a").alias("b"))
-    both = line.join(ids, "doc_id").join(after, "next", "left")
+    """Prefix and suffix similarity of each whole document and the next."""
+    text = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("a"))
+    after = text.select(F.col("doc_id").alias("next"), F.col("a").alias("b"))
+    both = text.join(stats.following(text, "doc_id", "next"), "doc_id").join(after, "next", "left")
     return both.select("doc_id", F.round(E.end_similarity(F.col("a"), F.coalesce("b", F.lit(""))), 6).alias("similarity"))
 
 

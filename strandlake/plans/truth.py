@@ -472,16 +472,15 @@ def two_axis_scores(t: Tables) -> DataFrame:
     return out.withColumns({"precision": F.round("precision", 9), "recall": F.round("recall", 9)})
 
 
-_ERF = "(1 - 1 / (1 + 0.3275911 * {0}) * (0.254829592 + 1 / (1 + 0.3275911 * {0}) * (-0.284496736 + 1 / (1 + 0.3275911 * {0}) * (1.421413741 + 1 / (1 + 0.3275911 * {0}) * (-1.453152027 + 1 / (1 + 0.3275911 * {0}) * 1.061405429)))) * exp(-{0} * {0}))"
+#: Two-sided normal tails: erf is exp(-x*x) times the sum of x^(2n+1) / gamma(n + 3/2), all of one sign.
+WELCH = """WITH s AS (SELECT user_id % 20 AS grp, event_type, avg(value) AS m, coalesce(var_samp(value), 0) AS v, count(*) AS n FROM events GROUP BY ALL),
+    z AS (SELECT a.grp, a.event_type, b.event_type AS other, abs(a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) / sqrt(2) AS x FROM s a JOIN s b ON a.grp = b.grp AND a.event_type < b.event_type)
+    SELECT grp, event_type, other, round(CASE WHEN x = 0 THEN 1 WHEN x > 6 THEN 0 ELSE 1 - exp(-x * x) * list_sum([exp((2 * i + 1) * ln(x) - lgamma(i + 1.5)) FOR i IN range(0, 250)]) END, {0}) AS p FROM z"""
 
 
-@query(
-    f"""WITH s AS (SELECT user_id % 20 AS grp, event_type, avg(value) AS m, coalesce(var_samp(value), 0) AS v, count(*) AS n FROM events GROUP BY ALL),
-    z AS (SELECT a.grp, a.event_type, b.event_type AS other, abs(a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) / sqrt(2) AS x FROM s a JOIN s b ON a.grp = b.grp AND a.event_type < b.event_type)
-    SELECT grp, event_type, other, round(1 - {_ERF.format('x')}, 4) AS p FROM z"""
-)
+@query(WELCH.format(4))
 def welch_tests(t: Tables) -> DataFrame:
-    """Welch tests between event types of each user group, against a polynomial for the normal tail (to four places)."""
+    """Welch tests between event types of each user group, to four places."""
     from strandlake.functions import stats
 
     s = t.events.groupBy((F.col("user_id") % 20).alias("grp"), "event_type").agg(F.avg("value").alias("m"), stats.sample_variance(F.col("value")).alias("v"), F.count("*").alias("n"))
@@ -495,3 +494,4 @@ ORACLE_SQL["greedy_match_tolerance"] = ORACLE_SQL["matched_calls"]
 ORACLE_SQL["nonoverlap_selection"] = ORACLE_SQL["nonoverlapping_calls"].replace('SELECT o.contig, o.svtype, o.pos, o."end", o.part, o.line', 'SELECT o.contig, o.svtype, o.pos, o."end", o.price, o.part, o.line')
 ORACLE_SQL["greedy_cluster_inversions"] = ORACLE_SQL["clustered_inversions"].replace("SELECT contig, cluster, count(*) AS n, min(pos) AS first FROM g JOIN o USING (contig, k) GROUP BY contig, cluster", "SELECT contig, pos, part, line, cluster FROM g JOIN o USING (contig, k)")
 ORACLE_SQL["cross_clade_overlaps"] = ORACLE_SQL["cross_clade_tiers"].replace("round(same_overlap, 6) AS same_overlap, round(other_overlap, 6) AS other_overlap", "same_overlap, other_overlap")
+ORACLE_SQL["welch_normal"] = WELCH.format(9)

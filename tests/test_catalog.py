@@ -4,7 +4,8 @@ import math
 
 import duckdb
 import pytest
-from strandlake.plans import catalog
+from strandlake.plans import catalog, planted
+from strandlake.plans.registry import Tables
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -25,10 +26,20 @@ def plain(v):
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query(spark, sf, duck, name):
-    found = catalog.QUERIES[name](spark, sf)
+    same(catalog.QUERIES[name](spark, sf), catalog.ORACLE_SQL[name], duck)
+
+
+@pytest.mark.parametrize("name", sorted(planted.PLANTED))
+def test_planted(spark, sf, duck, name):
+    """What was planted in generated genomes is found."""
+    function, sql = planted.PLANTED[name]
+    same(function(Tables(spark, sf)), sql, duck)
+
+
+def same(found, sql, duck):
     columns = sorted(found.columns)
     rows = sorted((tuple(plain(x) for x in r) for r in found.select(*[f"`{c}`" for c in columns]).collect()), key=str)
-    result = duck.execute(catalog.ORACLE_SQL[name])
+    result = duck.execute(sql)
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
