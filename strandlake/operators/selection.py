@@ -229,3 +229,69 @@ def greedy_match(truth: DataFrame, calls: DataFrame, keys: list[str], tolerance:
 
     fields = ", ".join(f"`{k}` {truth.schema[k].dataType.simpleString()}" for k in keys)
     return _scanned(both, scanned, [F.col("side"), F.col("pos"), F.col("id")], f"{fields}, truth_id bigint, call_id bigint, distance bigint", work)
+
+
+def represented(rows: DataFrame, keys: list[str], key: str, places: list[str], order: list[str | Column], tolerance: int) -> DataFrame:
+    """(key, representative): rows taken in order; one becomes a representative unless an earlier one lies within ``tolerance`` in every place, and that is then the first such.
+
+    Places are cut into cells one longer than the tolerance, so that rows of a cell always represent each other and each cell has one representative at most. In
+    each round the first open row of a cell is kept if no earlier open one around it is near, and all rows near to it close. A row meets one row of each cell around its
+    own, so no round makes pairs of all rows, however many share a place; a cell that has most rows is split by Spark as a skewed join. ``order`` with ``key`` must be total. Rows
+    without a place are their own.
+    """
+    from strandlake.session import staged
+
+    cells = [f"_c{i}" for i in range(len(places))]
+    at = [F.floor(F.col(p) / (tolerance + 1)).cast("long").alias(c) for p, c in zip(places, cells, strict=True)]
+    whole = staged(rows.select(F.col(key).alias("_id"), *keys, *[F.col(p).cast("long").alias(f"_p{i}") for i, p in enumerate(places)], *at, F.struct(*order, F.col(key)).alias("_o")), "places")
+    missing = F.lit(False)
+    for i in range(len(places)):
+        missing = missing | F.col(f"_p{i}").isNull()
+    open_ = whole.filter(~missing)
+    points = [f"_p{i}" for i in range(len(places))]
+
+    def around(some: DataFrame) -> DataFrame:
+        """Each of ``some`` (of one row a cell) at its own cell and those beside it, under the names of who asks."""
+        out = some.select(*keys, *cells, *[F.col(c).alias(f"_r{c}") for c in ("_id", "_o", *points)])
+        for c in cells:
+            out = out.withColumn(c, F.explode(F.array(*[F.col(c) + d for d in (-1, 0, 1)])))
+        return out
+
+    def near(some: DataFrame, others: DataFrame) -> DataFrame:
+        met = others.join(around(some), [*keys, *cells])
+        for p in points:
+            met = met.filter(F.abs(F.col(p) - F.col(f"_r{p}")) <= tolerance)
+        return met
+
+    kept = None
+    while open_.limit(1).count():
+        first = staged(open_.groupBy(*keys, *cells).agg(F.min_by(F.struct("_id", "_o", *points), "_o").alias("_f")).select(*keys, *cells, "_f.*"), "first")
+        blocked = near(first, open_).filter(F.col("_o") < F.col("_r_o")).select(F.col("_r_id").alias("_id")).distinct()
+        now = staged(first.join(blocked, "_id", "left_anti"), "kept")
+        kept = now if kept is None else kept.unionByName(now)
+        open_ = staged(open_.join(near(now, open_).select("_id").distinct(), "_id", "left_anti"), "open")
+    alone = whole.filter(missing).select("_id", F.col("_id").alias("representative"))
+    if kept is None:
+        return alone.select(F.col("_id").alias(key), "representative")
+    found = near(kept, whole.filter(~missing)).filter(F.col("_r_o") <= F.col("_o")).groupBy("_id").agg(F.min_by("_r_id", "_r_o").alias("representative"))
+    return found.union(alone).select(F.col("_id").alias(key), "representative")
+
+
+def without_shadows(calls: DataFrame, key: str, tolerance: int = 10_000) -> DataFrame:
+    """Calls without the inversions and translocations that a better call of the same event shadows: of each cluster the best one stays.
+
+    Inversions of a query and contig meet by their midpoints; translocations of a query and two contigs by both ends, whichever end is called the mate. Better is a higher block score,
+    then a longer event. Calls of other types, and translocations without a mate, all stay. calls: query_asm, contig, svtype, pos, end, svlen, block_score, mate_contig, mate_pos.
+    """
+    order = [-F.coalesce("block_score", F.lit(0.0)), -F.abs(F.coalesce("svlen", F.lit(0)))]
+    order = [o.alias(n) for o, n in zip(order, ("_score", "_size"), strict=True)]
+    mated = F.coalesce(F.col("svtype").startswith("TRA") | (F.col("svtype") == "BND"), F.lit(False)) & F.coalesce(F.col("mate_contig") != ".", F.lit(False)) & F.col("contig").isNotNull()
+    turned = F.struct("mate_contig", "mate_pos") < F.struct("contig", "pos")
+    low, high = (F.when(turned, F.col(a)).otherwise(F.col(b)) for a, b in (("mate_contig", "contig"), ("contig", "mate_contig")))
+    one, two = (F.when(turned, F.col(a)).otherwise(F.col(b)) for a, b in (("mate_pos", "pos"), ("pos", "mate_pos")))
+    known = F.coalesce(F.col("mate_pos") != 0, F.lit(False))
+    inverted = calls.filter("svtype = 'INV' AND query_asm IS NOT NULL AND contig IS NOT NULL").select(F.col(key).alias("_key"), "query_asm", "contig", F.floor((F.col("pos") + F.greatest("pos", F.coalesce("end", "pos"))) / 2).alias("_m"), "block_score", "svlen")
+    moved = calls.filter(mated).filter("query_asm IS NOT NULL").select(F.col(key).alias("_key"), "query_asm", low.alias("_a"), high.alias("_b"), F.when(known, one).alias("_x"), F.when(known, two).alias("_y"), "block_score", "svlen")
+    clusters = represented(inverted, ["query_asm", "contig"], "_key", ["_m"], order, tolerance).union(represented(moved, ["query_asm", "_a", "_b"], "_key", ["_x", "_y"], order, tolerance))
+    shadows = clusters.filter(F.col("_key") != F.col("representative")).select(F.col("_key").alias(key))
+    return calls.join(shadows, key, "left_anti")

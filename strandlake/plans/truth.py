@@ -430,6 +430,29 @@ def mutual_best_matches(t: Tables) -> DataFrame:
     return evaluation.mutual_matches(pairs)
 
 
+_TRA = f"""{_CALLS}, u AS (SELECT DISTINCT contig, part, line, pos, len, price FROM calls),
+    v AS (SELECT concat_ws('-', contig, part, line, pos, len, floor(price * 100)::BIGINT) AS id, contig % 40 AS c1, pos AS p1, part % 40 AS c2, (part * 7919) % 2500 + 1 AS p2, price, len FROM u),
+    w AS (SELECT id, price, len, CASE WHEN (c2, p2) < (c1, p1) THEN c2 ELSE c1 END AS a, CASE WHEN (c2, p2) < (c1, p1) THEN c1 ELSE c2 END AS b, CASE WHEN (c2, p2) < (c1, p1) THEN p2 ELSE p1 END AS x, CASE WHEN (c2, p2) < (c1, p1) THEN p1 ELSE p2 END AS y FROM v),
+    o AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY -price, -len, id) AS k FROM w)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_TRA}, g AS (SELECT a, b, 0::BIGINT AS k, []::STRUCT(id VARCHAR, x BIGINT, y BIGINT)[] AS kept, NULL::VARCHAR AS rep FROM (SELECT DISTINCT a, b FROM o)
+      UNION ALL SELECT a, b, k, CASE WHEN hit IS NULL THEN list_append(kept, {{'id': id, 'x': x, 'y': y}}) ELSE kept END, coalesce(hit.id, id)
+      FROM (SELECT o.a, o.b, o.k, o.id, o.x, o.y, g.kept, list_filter(g.kept, lambda t: abs(t.x - o.x) <= 200 AND abs(t.y - o.y) <= 200)[1] AS hit FROM g JOIN o ON o.a = g.a AND o.b = g.b AND o.k = g.k + 1))
+    SELECT o.id, rep FROM g JOIN o USING (a, b, k)"""
+)
+def translocation_clusters(t: Tables) -> DataFrame:
+    """Translocations of two contigs with both ends near are one, whichever end is the mate, and the best stands for them; against a recursion in order of quality."""
+    rows = calls(t).select("contig", "part", "line", "pos", "len", "price").distinct()
+    ends = rows.select(F.concat_ws("-", "contig", "part", "line", "pos", "len", F.floor(F.col("price") * 100)).alias("id"), (F.col("contig") % 40).alias("c1"), F.col("pos").alias("p1"), (F.col("part") % 40).alias("c2"), ((F.col("part") * 7919) % 2500 + 1).alias("p2"), "price", "len")
+    turned = F.struct("c2", "p2") < F.struct("c1", "p1")
+    pick = lambda a, b: F.when(turned, F.col(a)).otherwise(F.col(b))
+    placed = ends.select("id", "price", "len", pick("c2", "c1").alias("a"), pick("c1", "c2").alias("b"), pick("p2", "p1").alias("x"), pick("p1", "p2").alias("y"))
+    found = selection.represented(placed, ["a", "b"], "id", ["x", "y"], [(-F.col("price")).alias("_v"), (-F.col("len")).alias("_n")], 200)
+    return found.select("id", F.col("representative").alias("rep"))
+
+
 _WINDOW = 40
 #: Both axes of calls taken in file order: each group of a query and type is a recursion over its calls, which keeps the truths that are used.
 _TURNS = f"""{_CALLS}, u AS (SELECT DISTINCT contig, line, part, pos, len, svtype, status FROM calls),
