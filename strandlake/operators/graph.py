@@ -87,32 +87,94 @@ def compact_graph(parts: DataFrame, clade: str, row_id: str, segment: str, n: in
     return nodes.withColumn("number", F.row_number().over(Window.partitionBy(clade).orderBy("node")))
 
 
-def bubble_calls(steps: DataFrame, path: str, pos: str, segment: str, least: int = 40, k: int = 15) -> DataFrame:
-    """Variants of paths against the longest one: prev, next, svtype, ref_len, alt_len, paths.
+#: The lengths of variants that are called.
+LEAST_VARIANT, MOST_VARIANT = 40, 1_000_000
 
-    A bubble lies between two segments that follow each other with at most one between. Alleles of other paths than the reference's are inversions (the other strand),
-    duplications (that hold the reference's allele and are half as long again), insertions and deletions (by ``least`` bases), else complex ones; one of 100 bases or more
-    that shares under a twentieth of its k-mers with the reference's is off the reference. Equal alleles are one call with all their paths.
+
+def _nearest_turns(anchors: DataFrame, path: list[str]) -> DataFrame:
+    """Adds ``chosen``: of the places of each anchor on the reference (``_at``, sorted), the one nearest to that behind the last one chosen; ties go to the first."""
+    from strandlake.operators.selection import _scanned
+
+    def work(table, cuts):
+        import pyarrow as pa
+
+        places, out = table.column("_at").to_pylist(), []
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            last = -1
+            for own in places[low:high]:
+                last = own[0] if len(own) == 1 else min(own, key=lambda x: abs(x - last - 1))
+                out.append(last)
+        return table.append_column("chosen", pa.array(out, pa.int64()))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in anchors.schema.fields)
+    return _scanned(anchors, path, [F.col("_pos")], f"{fields}, chosen bigint", work)
+
+
+def bubble_calls(steps: DataFrame, clade: str, path: str, contig: str, pos: str, segment: str, least: int = LEAST_VARIANT, most: int = MOST_VARIANT, k: int = 15, with_allele: bool = False) -> DataFrame:
+    """(clade, ref_start, ref_end, svtype, ref_len, alt_len, svlen, off_ref, overlap, partners, paths): variants of each clade's paths against its longest one.
+
+    Equal segments are one node. A path is followed from one node of the reference to the next; of several places of a node on the reference it takes the one nearest to where it would go on. Whatever
+    nodes lie between, however many, and whatever of the reference is passed over, are the two alleles of a bubble, by places on the reference (both ends exclusive); steps back have no reference allele.
+    A bubble any of whose nodes also lies on other contigs than its path's is a translocation, with those as partners. Otherwise it is an inversion (the other strand, of one length), a duplication
+    (that begins with two copies of the reference's), an insertion or deletion by its length, or complex. ``overlap`` is the share of an allele's k-mers that the reference has, for those of
+    100 bases or more; below a twentieth it is off the reference. Equal alleles at one place are one call with all their paths; the first path by name tells its contig. The longest path, by name
+    among equals, is the reference. Paths have one contig; a null segment is empty. ``with_allele`` adds the allele's letters (``alt``).
     """
     from strandlake.functions import sequence as Q
 
-    order = Window.partitionBy(path).orderBy(pos)
-    held = steps.select(path, F.md5(segment).alias("node"), F.col(segment).alias("seq"), F.lead(F.md5(segment)).over(order).alias("n1"), F.lead(F.md5(segment), 2).over(order).alias("n2"), F.lead(segment).over(order).alias("inner"))
-    alleles = held.filter("n1 IS NOT NULL").select(path, F.col("node").alias("prev"), F.col("n1").alias("next"), F.lit("").alias("allele")).union(held.filter("n2 IS NOT NULL").select(path, "node", "n2", "inner"))
-    sizes = steps.groupBy(path).agg(F.sum(F.length(segment)).alias("_n"))
-    longest = sizes.agg(F.max_by(path, F.struct("_n", path)).alias("_ref"))
-    marked = alleles.join(F.broadcast(longest), F.lit(True))  # one row
-    reference = marked.filter(F.col(path) == F.col("_ref")).groupBy("prev", "next").agg(F.max_by("allele", F.length("allele")).alias("ref"))
-    alt = marked.filter(F.col(path) != F.col("_ref")).groupBy("prev", "next", "allele").agg(F.array_sort(F.collect_set(path)).alias("paths"))
-    both = alt.join(reference, ["prev", "next"]).filter("allele != ref")
-    a, r, n, m = F.col("allele"), F.col("ref"), F.length("allele"), F.length("ref")
-    words = Q.kmers(a, k)
-    shared = F.when(F.size(words) > 0, F.size(F.array_intersect(F.array_distinct(words), F.array_distinct(Q.kmers(r, k)))) / F.size(F.array_distinct(words))).otherwise(0.0)
+    rows = staged(steps.select(F.col(clade).alias("_clade"), F.col(path).alias("_path"), F.col(contig).alias("_contig"), F.col(pos).cast("long").alias("_n"), F.coalesce(segment, F.lit("")).alias("_seq")).withColumn("_node", F.md5("_seq")), "steps")
+    sizes = rows.groupBy("_clade", "_path").agg(F.sum(F.length("_seq")).alias("_size"), F.max("_n").alias("_end"))
+    longest = staged(sizes.groupBy("_clade").agg(F.min_by("_path", F.struct(-F.col("_size"), F.col("_path"))).alias("_ref")), "longest")
+    ref = rows.join(longest, (rows["_clade"] == longest["_clade"]) & (rows["_path"] == longest["_ref"])).select(rows["_clade"], "_n", "_node", "_seq", F.length("_seq").alias("_len"))
+    order = Window.partitionBy("_clade").orderBy("_n")
+    ref = staged(ref.select("_clade", "_node", "_seq", (F.row_number().over(order) - 1).cast("long").alias("_i"), F.sum("_len").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_sum")), "reference")
+    whole = ref.groupBy("_clade").agg(F.count("*").alias("_count"), F.max("_sum").alias("_total"))
+    occurrences = ref.groupBy("_clade", "_node").agg(F.array_sort(F.collect_list("_i")).alias("_at"))
+    others = rows.join(longest, "_clade").filter("_path != _ref").drop("_ref")
+    ordered = Window.partitionBy("_clade", "_path").orderBy("_n")
+    numbered = staged(others.join(occurrences, ["_clade", "_node"], "left").withColumn("_pos", F.row_number().over(ordered) - 1), "walks")
+    anchors = _nearest_turns(numbered.filter("_at IS NOT NULL").select("_clade", "_path", "_pos", "_at"), ["_clade", "_path"])
+    turns = Window.partitionBy("_clade", "_path").orderBy("_pos")
+    gaps = anchors.select("_clade", "_path", "_pos", "chosen", F.coalesce(F.lag("_pos").over(turns), F.lit(-1)).alias("_from"), F.coalesce(F.lag("chosen").over(turns), F.lit(-1)).alias("_last"), (F.row_number().over(turns) - 1).alias("_gap"))
+    back = F.col("chosen") <= F.col("_last")
+    inner = gaps.filter((F.col("_pos") > F.col("_from") + 1) | (F.col("chosen") > F.col("_last") + 1) | back).select("_clade", "_path", "_gap", F.col("_last").alias("ref_start"), F.when(back, F.col("_last") + 1).otherwise(F.col("chosen")).alias("ref_end"))
+    last = numbered.groupBy("_clade", "_path").agg(F.max(F.when(F.col("_at").isNotNull(), F.col("_pos"))).alias("_a"), F.max("_pos").alias("_p")).filter("_a IS NULL OR _p > _a")
+    final = gaps.groupBy("_clade", "_path").agg(F.max_by("chosen", "_pos").alias("_c"), F.count("*").alias("_k"))
+    tail = last.join(final, ["_clade", "_path"], "left").join(whole, "_clade").select("_clade", "_path", F.coalesce("_k", F.lit(0)).cast("long").alias("_gap"), F.coalesce("_c", F.lit(-1)).cast("long").alias("ref_start"), F.col("_count").alias("ref_end"))
+    bubbles_ = inner.withColumn("_gap", F.col("_gap").cast("long")).unionByName(tail)
+    # nodes between two anchors have the number of anchors before them
+    before = F.coalesce(F.count("_at").over(ordered), F.lit(0))
+    between = numbered.withColumn("_gap", before).filter("_at IS NULL").select("_clade", "_path", "_contig", "_node", "_gap", "_n", "_seq")
+    alleles = between.groupBy("_clade", "_path", "_gap").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_seq"))), lambda x: x["_seq"]), "").alias("alt"))
+    lengths = ref.select("_clade", F.col("_i").alias("_j"), "_sum")
+    until = lambda at, out: [F.col("_clade") == F.col(f"{out}_c"), F.col(at) == F.col(f"{out}_j")]
+    side = lambda out: lengths.select(F.col("_clade").alias(f"{out}_c"), F.col("_j").alias(f"{out}_j"), F.col("_sum").alias(out))
+    placed = bubbles_.join(alleles, ["_clade", "_path", "_gap"], "left").withColumns({"alt": F.coalesce("alt", F.lit("")), "_e": F.col("ref_end") - 1})
+    placed = placed.join(side("_s0"), until("ref_start", "_s0"), "left").join(side("_s1"), until("_e", "_s1"), "left")
+    sized = placed.withColumn("ref_len", F.greatest(F.lit(0), F.coalesce("_s1", F.lit(0)) - F.coalesce("_s0", F.lit(0)))).withColumn("alt_len", F.length("alt").cast("long"))
+    size = F.greatest("ref_len", "alt_len")
+    kept = staged(sized.filter((size > 0) & (size >= least) & (size <= most)).select("_clade", "_path", "_gap", "ref_start", "ref_end", "alt", "ref_len", "alt_len"), "bubbles")
+    # contigs of the nodes between, but for the path's own
+    homes = rows.select("_clade", "_node", "_contig").distinct()
+    foreign = between.select("_clade", "_path", "_gap", "_node", F.col("_contig").alias("_own")).join(kept.select("_clade", "_path", "_gap"), ["_clade", "_path", "_gap"], "left_semi").join(homes, ["_clade", "_node"]).filter("_contig != _own")
+    partners = foreign.groupBy("_clade", "_path", "_gap").agg(F.array_sort(F.collect_set("_contig")).alias("partners"))
+    called = kept.join(partners, ["_clade", "_path", "_gap"], "left")
+    one = called.groupBy("_clade", "ref_start", "ref_end", "alt").agg(F.first("ref_len").alias("ref_len"), F.first("alt_len").alias("alt_len"), F.min_by(F.struct("partners"), F.struct("_path", "_gap")).alias("_p"), F.array_sort(F.collect_list("_path")).alias("paths"))
+    one = staged(one.withColumn("_id", F.md5(F.concat_ws("|", F.col("_clade").cast("string"), "ref_start", "ref_end", "alt"))), "calls")
+    # the reference's allele of those that may be the other strand or copies of it
+    spans = one.filter("ref_len > 0 AND (ref_len = alt_len OR alt_len >= 2 * ref_len)").select("_clade", "_id", F.explode(F.sequence(F.col("ref_start") + 1, F.col("ref_end") - 1)).alias("_i"))
+    alleles_of = spans.join(ref.select("_clade", "_i", "_seq"), ["_clade", "_i"]).groupBy("_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_seq"))), lambda x: x["_seq"]), "").alias("ref"))
+    words = one.filter(F.col("alt_len") >= LEAST_ALT).select("_clade", "_id", F.explode(F.array_distinct(Q.kmers(F.col("alt"), k))).alias("_w"))
+    known = ref.select("_clade", F.explode(F.array_distinct(Q.kmers(F.col("_seq"), k))).alias("_w")).distinct().withColumn("_known", F.lit(1))
+    overlap = words.join(known, ["_clade", "_w"], "left").groupBy("_id").agg((F.count("_known") / F.count("*")).alias("_overlap"))
+    both = one.join(alleles_of, "_id", "left").join(overlap, "_id", "left")
+    r, a, n, m = F.coalesce("ref", F.lit("")), F.col("alt"), F.col("ref_len"), F.col("alt_len")
     kind = (
-        F.when((m > 0) & (a == Q.reverse_complement(r)), "INV").when((m > 0) & F.contains(a, r) & (2 * n >= 3 * m), "DUP").when((n >= LEAST_ALT) & (m > 0) & (shared < LEAST_OVERLAP), "OFF_REF")
-        .when(n - m >= least, "INS").when(m - n >= least, "DEL").otherwise("COMPLEX")
+        F.when(F.col("_p.partners").isNotNull(), "TRA").when((n > 0) & (n == m) & (a == Q.reverse_complement(r)), "INV").when((n > 0) & (m >= 2 * n) & F.startswith(a, F.concat(r, r)), "DUP")
+        .when(m > n, "INS").when(m < n, "DEL").otherwise("COMPLEX")
     )
-    return both.select("prev", "next", kind.alias("svtype"), m.alias("ref_len"), n.alias("alt_len"), "paths")
+    share = F.coalesce("_overlap", F.lit(1.0))
+    return both.select(F.col("_clade").alias(clade), "ref_start", "ref_end", kind.alias("svtype"), "ref_len", "alt_len", (m - n).alias("svlen"), (share < LEAST_OVERLAP).alias("off_ref"), share.alias("overlap"), F.coalesce("_p.partners", F.array().cast("array<string>")).alias("partners"), "paths", *([a] if with_allele else []))
 
 
 def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -58,6 +58,38 @@ def ancestral_reconstruct(t: Tables) -> DataFrame:
     return found.select("doc_id", "svtype", "breakpoints", "aligned", F.md5("ancestral").alias("digest"), F.round("mean_posterior", 9).alias("mean_posterior"))
 
 
+#: Lines as paths of words, and the documents as clades; in every fourth document lines take turns on two contigs.
+_WALKS = """l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS path, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+    w AS (SELECT doc_id, path, CASE WHEN doc_id % 4 = 0 THEN 'c' || (path % 2) ELSE 'c' END AS contig, list_filter(string_split(line, ' '), lambda x: x <> '') AS words FROM l),
+    r0 AS (SELECT doc_id, path AS ref, words AS rw, length(array_to_string(words, '')) AS bp FROM w WHERE len(words) > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(array_to_string(words, '')) DESC, path) = 1),
+    s AS (SELECT w.doc_id, path, contig, words[i] AS seg, i - 1 AS n FROM w, unnest(range(1, len(words) + 1)) AS u(i)),
+    ri AS (SELECT doc_id, list(i - 1 ORDER BY i) AS spots, rw[i] AS seg FROM r0, unnest(range(1, len(rw) + 1)) AS u(i) GROUP BY ALL),
+    o AS (SELECT s.doc_id, path, n, spots, row_number() OVER (PARTITION BY s.doc_id, path ORDER BY n) AS k FROM s JOIN r0 USING (doc_id) JOIN ri ON ri.doc_id = s.doc_id AND ri.seg = s.seg WHERE path <> ref),
+    g AS (SELECT doc_id, path, 0::BIGINT AS k, -1::BIGINT AS n, -1::BIGINT AS last FROM (SELECT DISTINCT doc_id, path FROM o)
+      UNION ALL SELECT o.doc_id, o.path, o.k, o.n, list_sort(list_transform(o.spots, lambda x: {'d': abs(x - g.last - 1), 'x': x}))[1].x FROM g JOIN o ON o.doc_id = g.doc_id AND o.path = g.path AND o.k = g.k + 1),
+    p AS (SELECT doc_id, path, k, n, last AS chosen, lag(n) OVER x AS before, lag(last) OVER x AS start FROM g WINDOW x AS (PARTITION BY doc_id, path ORDER BY k)),
+    e AS (SELECT doc_id, path, before AS a, n AS b, start AS ref_start, CASE WHEN chosen <= start THEN start + 1 ELSE chosen END AS ref_end FROM p WHERE k > 0 AND (n > before + 1 OR chosen <> start + 1)
+      UNION ALL SELECT w.doc_id, w.path, coalesce(f.n, -1), len(w.words), coalesce(f.chosen, -1), len(rw) FROM w JOIN r0 USING (doc_id) LEFT JOIN (SELECT doc_id, path, max(n) AS n, arg_max(chosen, k) AS chosen FROM p GROUP BY ALL) f USING (doc_id, path) WHERE w.path <> ref AND len(w.words) - 1 > coalesce(f.n, -1)),
+    v AS (SELECT e.*, w.contig, array_to_string(words[a + 2 : b], '') AS alt, words[a + 2 : b] AS aw, array_to_string(rw[ref_start + 2 : ref_end], '') AS allele FROM e JOIN w USING (doc_id, path) JOIN r0 USING (doc_id)),
+    z AS (SELECT * FROM v WHERE greatest(length(alt), length(allele)) >= 40),
+    h AS (SELECT DISTINCT doc_id, seg, contig FROM s),
+    q AS (SELECT doc_id, path, a, list_sort(list(DISTINCT h.contig)) AS partners FROM (SELECT doc_id, path, a, contig, unnest(aw) AS seg FROM z) x JOIN h USING (doc_id, seg) WHERE h.contig <> x.contig GROUP BY ALL),
+    y AS (SELECT z.doc_id, ref_start, ref_end, alt, allele, list_sort(list(path)) AS paths, arg_min(coalesce(partners, []), {'p': path, 'a': a}) AS partners FROM z LEFT JOIN q USING (doc_id, path, a) GROUP BY z.doc_id, ref_start, ref_end, alt, allele)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_WALKS} SELECT doc_id, ref_start, ref_end, md5(alt) AS allele, length(allele) AS ref_len, length(alt) AS alt_len, length(alt) - length(allele) AS svlen, array_to_string(paths, ',') AS paths, array_to_string(partners, ',') AS partners,
+      CASE WHEN len(partners) > 0 THEN 'TRA' WHEN allele <> '' AND starts_with(alt, allele || allele) THEN 'DUP' WHEN length(alt) > length(allele) THEN 'INS' WHEN length(alt) < length(allele) THEN 'DEL' ELSE 'COMPLEX' END AS svtype FROM y"""
+)
+def bubbles_of_lines(t: Tables) -> DataFrame:
+    """Variants of each document's lines against its longest one, words as segments: bubbles of any length, steps back, and words of other contigs; against a recursion along each line."""
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("path", "line")).withColumn("path", F.col("path") + 1)
+    words = lines.select("doc_id", "path", F.posexplode(F.filter(F.split("line", " "), lambda x: x != "")).alias("n", "seg"))
+    steps = words.withColumn("contig", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("c"), F.col("path") % 2)).otherwise("c"))
+    found = graph.bubble_calls(steps, "doc_id", "path", "contig", "n", "seg", with_allele=True)
+    return found.select("doc_id", "ref_start", "ref_end", F.md5("alt").alias("allele"), "ref_len", "alt_len", "svlen", F.array_join("paths", ",").alias("paths"), F.array_join("partners", ",").alias("partners"), "svtype")
+
+
 _K = 15
 
 

@@ -67,25 +67,6 @@ def generated_reads(t: Tables) -> DataFrame:
     return found.groupBy("genome").agg(F.count("*").alias("reads"), F.count_if(~F.contains("reference", F.col("read"))).alias("turned"))
 
 
-#: Twelve paths of nine blocks: block 4 of path p is changed by kind p % 6; path 0 is the longest, as its last block is.
-@planted(
-    """WITH p AS (SELECT i AS p, i % 6 AS kind FROM range(1, 12) AS r(i)), k AS (SELECT p, CASE kind WHEN 1 THEN 'INV' WHEN 2 THEN 'DEL' WHEN 3 THEN 'DUP' WHEN 4 THEN 'OFF_REF' WHEN 5 THEN 'COMPLEX' END AS svtype FROM p WHERE kind > 0)
-    SELECT svtype, [p FOR p IN list_sort(list(p::BIGINT))]::VARCHAR AS paths, CASE svtype WHEN 'INV' THEN 320 WHEN 'DEL' THEN 0 WHEN 'DUP' THEN 640 WHEN 'OFF_REF' THEN 320 ELSE 64 END AS alt_len FROM k GROUP BY svtype"""
-)
-def bubble_variants(t: Tables) -> DataFrame:
-    """Variants of paths that go through other segments than the longest path does."""
-    from strandlake.functions import sequence as Q
-
-    block = lambda name, n: synthetic.bases(F.lit(name), n)
-    p = t.spark.range(12).withColumnRenamed("id", "p")
-    kind, ref = F.col("p") % 6, block("b-4", 320)
-    changed = F.when(kind == 1, Q.reverse_complement(ref)).when(kind == 2, F.lit("")).when(kind == 3, F.concat(ref, ref)).when(kind == 4, block("far", 320)).when(kind == 5, F.concat(F.substring(ref, 1, 30), block("c", 34))).otherwise(ref)
-    last = F.when(F.col("p") == 0, block("b-9", 900)).otherwise(block("b-8", 320))
-    parts = F.array(*[block(f"b-{i}", 320) for i in range(4)], F.when(F.col("p") == 0, ref).otherwise(changed), *[block(f"b-{i}", 320) for i in range(5, 8)], last)
-    steps = p.select("p", F.posexplode(parts).alias("pos", "segment")).filter("segment != ''")
-    return graph.bubble_calls(steps, "p", "pos", "segment", 280).select(F.col("svtype"), F.concat(F.lit("["), F.array_join("paths", ", "), F.lit("]")).alias("paths"), "alt_len")
-
-
 #: Whether segments x and y share half of their 15-mers, or nearly all by their ends.
 _ALIKE = """(len(list_intersect({x}.w, {y}.w)) > 0 AND len(list_intersect({x}.w, {y}.w)) >= 0.5 * (len({x}.w) + len({y}.w) - len(list_intersect({x}.w, {y}.w)))) OR {ends} >= 0.85"""
 _HEAD = "coalesce(list_position([substr({x}.seq, i, 1) = substr({y}.seq, i, 1) FOR i IN range(1, least(length({x}.seq), length({y}.seq)) + 1)], false) - 1, least(length({x}.seq), length({y}.seq)))"

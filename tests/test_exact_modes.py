@@ -185,6 +185,6 @@ def test_segments_that_are_alike_are_one_node(spark):
     # a bubble that two paths share is one call
     parts = [dna(200) for _ in range(5)]
     paths = {"ref": parts + [dna(500)], "p": parts[:2] + [parts[2] + parts[2]] + parts[3:], "q": parts[:2] + [parts[2] + parts[2]] + parts[3:], "s": parts[:2] + parts[3:]}
-    steps = spark.createDataFrame([(p, i, s) for p, own in paths.items() for i, s in enumerate(own)], "path string, pos int, seg string")
-    found = {(x["svtype"], x["ref_len"], x["alt_len"]): x["paths"] for x in graph.bubble_calls(steps, "path", "pos", "seg").collect()}
+    steps = spark.createDataFrame([("k", p, "c", i, s) for p, own in paths.items() for i, s in enumerate(own)], "clade string, path string, contig string, pos int, seg string")
+    found = {(x["svtype"], x["ref_len"], x["alt_len"]): x["paths"] for x in graph.bubble_calls(steps, "clade", "path", "contig", "pos", "seg").collect()}
     assert found == {("DUP", 200, 400): ["p", "q"], ("DEL", 200, 0): ["s"]}
