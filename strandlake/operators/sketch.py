@@ -99,3 +99,28 @@ def shared_anchor_pairs(rows: DataFrame, id_column: str, least: int = 2, degree:
     pairs = few.join(few.withColumnRenamed("a", "b"), "h").filter("a < b").select("a", "b")
     chained = counted.filter(F.col("_n") > degree).withColumn("b", F.lead(id_column).over(order)).filter("b IS NOT NULL").select(F.col(id_column).alias("a"), "b")
     return pairs.union(chained).groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+
+
+def anchor_classes(rows: DataFrame, id_column: str) -> DataFrame:
+    """(id, representative, anchors): rows of reads' anchors (id, h) brought to one row a read; reads with the same anchors have the smallest of them as representative."""
+    sets = rows.select(F.col(id_column).alias("_id"), "h").distinct().groupBy("_id").agg(F.array_sort(F.collect_list("h")).alias("anchors"))
+    own = staged(sets.withColumn("_key", F.md5(F.concat_ws(",", F.col("anchors").cast("array<string>")))), "anchors")
+    first = own.groupBy("_key").agg(F.min("_id").alias("representative"))
+    return own.join(first, "_key").select(F.col("_id").alias(id_column), "representative", "anchors")
+
+
+def exact_anchor_pairs(classes: DataFrame, id_column: str, least: int = 2) -> DataFrame:
+    """(a, b, shared): the representatives of ``anchor_classes`` with at least ``least`` common anchors; none is lost, however common an anchor is.
+
+    Anchors are ordered from the rarest. Two sets with ``least`` common anchors have one in common among all but the last ``least - 1`` of each, so the most common
+    ones, which would pair nearly all reads, need not be looked up; pairs found by the others are counted on the whole sets. Copies are not paired: they share all their anchors.
+    """
+    sets = staged(classes.filter(F.col(id_column) == F.col("representative")).select(F.col(id_column).alias("a"), "anchors").filter(F.size("anchors") >= least), "sets")
+    each = sets.select("a", F.explode("anchors").alias("h"))
+    counted = each.join(each.groupBy("h").agg(F.count("*").alias("_n")), "h").filter("_n > 1")
+    # an anchor of one read only finds nothing, so it does not count among those that are left out
+    order = Window.partitionBy("a").orderBy("_n", "h")
+    lead = staged(counted.withColumn("_r", F.row_number().over(order)).withColumn("_m", F.count("*").over(Window.partitionBy("a"))).filter(F.col("_r") <= F.col("_m") - (least - 1)).select("a", "h"), "lead")
+    pairs = lead.join(lead.withColumnRenamed("a", "b"), "h").filter("a < b").select("a", "b").distinct()
+    both = pairs.join(sets, "a").join(sets.select(F.col("a").alias("b"), F.col("anchors").alias("_other")), "b")
+    return both.select("a", "b", F.size(F.array_intersect("anchors", "_other")).cast("long").alias("shared")).filter(F.col("shared") >= least)

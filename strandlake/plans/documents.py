@@ -11,6 +11,7 @@ from strandlake.functions import stats
 from strandlake.operators import sketch
 from strandlake.operators.selection import top_per_key
 from strandlake.plans.registry import Tables, query
+from strandlake.session import staged
 
 SEQ = "translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC')"
 _POSTINGS = """
@@ -89,6 +90,21 @@ def nearest_benchmark_k1(t: Tables) -> DataFrame:
     return best.select(F.col("reference").alias("doc_id"), F.col("query").alias("centroid"), "similarity")
 
 
+_ANCHORS = f"{_SEQ_CTE}, {_POSTINGS.format(id='doc_id', k=16, digits=_digits('0'))}, c AS (SELECT id, list_sort(list(h)) AS w FROM p GROUP BY id), m AS (SELECT w, min(id) AS rep, count(*) AS members FROM c GROUP BY w)"
+
+
+@query(
+    f"""WITH {_ANCHORS}, e AS (SELECT rep, members, unnest(w) AS h FROM m)
+    SELECT x.rep AS a, y.rep AS b, count(*) AS shared, x.members AS a_members, y.members AS b_members FROM e x JOIN e y ON x.h = y.h AND x.rep < y.rep GROUP BY ALL HAVING count(*) >= 2"""
+)
+def documents_with_common_anchors(t: Tables) -> DataFrame:
+    """All pairs of documents with two anchors and more in common, without a cap on what an anchor links; documents with the same anchors are one, and counted."""
+    classes = staged(sketch.anchor_classes(sketch.postings(sequences(t), "doc_id", "seq", 16, "0"), "doc_id"), "classes")
+    members = classes.groupBy("representative").agg(F.count("*").alias("n"))
+    pairs = sketch.exact_anchor_pairs(classes, "doc_id")
+    return pairs.join(members.select(F.col("representative").alias("a"), F.col("n").alias("a_members")), "a").join(members.select(F.col("representative").alias("b"), F.col("n").alias("b_members")), "b").select("a", "b", "shared", "a_members", "b_members")
+
+
 @query(
     f"""WITH {_SEQ_CTE}, k AS (SELECT least(m, translate(reverse(m), 'ACGT', 'TGCA')) AS kmer
       FROM (SELECT substr(seq, i, 8) AS m FROM (SELECT seq, unnest(range(1, length(seq) - 6)) AS i FROM s)))
