@@ -41,6 +41,8 @@ END = np.uint64(0x5EED0E0D5EED0E0D)
 SHARD_KEYS = 2_000_000
 #: A word is cut by its followers if it is more than this share of a shard.
 HOT_SHARE = 0.25
+#: Occurrences from which on a trigram is stored; with 1 all are.
+STORED = 2
 #: Bytes of text that are read at once.
 READ_BYTES = 1 << 20
 SHIFT = np.uint64(32)
@@ -193,7 +195,7 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
     return pair[head], third[head], np.add.reduceat(counts, head) if len(head) else counts
 
 
-def count_trigrams(docs: DataFrame, vocabulary: Vocabulary, edges: np.ndarray) -> DataFrame:
+def count_trigrams(docs: DataFrame, vocabulary: Vocabulary, edges: np.ndarray, least: int) -> DataFrame:
     """Job 2: files of contexts and trigrams; blobs of (second, third) pairs by shard, and numbers about the files under shard -1."""
     folder, start = vocabulary.folder, np.uint64(vocabulary.size)
 
@@ -227,9 +229,10 @@ def count_trigrams(docs: DataFrame, vocabulary: Vocabulary, edges: np.ndarray) -
         head = heads(pair)
         fell = lambda x: np.add.reduceat(x.astype(np.uint64), head)
         total, once, twice, more = fell(counts), fell(counts == 1), fell(counts == 2), fell(counts > 2)
-        often = counts > 1
-        stored = (twice + more) > 0
-        kept = np.add.reduceat(often.astype(np.int64), head)[stored]
+        often = counts >= least
+        kept = np.add.reduceat(often.astype(np.int64), head)
+        stored = kept > 0
+        kept = kept[stored]
         save(folder, f"contexts-{shard}", pair[head][stored])
         save(folder, f"begin-{shard}", np.concatenate([[0], np.cumsum(kept)]))
         save(folder, f"stats-{shard}", np.column_stack([x[stored] for x in (total, once, twice, more)]))
@@ -341,6 +344,7 @@ class Model:
     one: np.ndarray
     one_total: int
     one_rest: float
+    pruned: bool
 
     def _files(self, kind: tuple[str, str], k: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return mapped(self.vocabulary.folder, f"{kind[0]}-{k}", int(sizes[k, 0])), mapped(self.vocabulary.folder, f"{kind[1]}-{k}", int(sizes[k, 0]) + 1)
@@ -410,7 +414,7 @@ class Model:
         order = np.argsort(keys, kind="stable")
         count, stats = np.zeros(len(keys)), np.zeros((len(keys), 4), np.uint64)
         count[order], stats[order] = self.triple(keys[order], number[token][order])
-        own, rest = share(count, stats, self.three, True)
+        own, rest = share(count, stats, self.three, self.pruned)
         return np.log10(own + rest * lower[of_pair])[which]
 
 
@@ -424,14 +428,16 @@ def _noted(sent: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return sizes, n
 
 
-def train(docs: DataFrame) -> Model:
-    """Learns from all rows of ``docs``."""
+def train(docs: DataFrame, least: int = STORED) -> Model:
+    """Learns from all rows of ``docs``; trigrams seen less than ``least`` times (1 or 2) are counted but not stored."""
+    if least not in (1, 2):
+        raise ValueError("trigrams are stored from one or two occurrences on")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     vocabulary = count_words(docs, new_folder(spark, "lm"), parts)
     edges = vocabulary.pair_edges(max(parts, vocabulary.total // SHARD_KEYS + 1), docs.count())
     onward = np.unique((np.arange(parts) * (vocabulary.size + 1) // parts).astype(np.uint64))
-    sent = staged(count_trigrams(docs, vocabulary, edges), "trigrams")
+    sent = staged(count_trigrams(docs, vocabulary, edges, least), "trigrams")
     contexts, three = _noted(sent, len(edges))
     sent = staged(count_pairs(sent.filter("shard >= 0"), vocabulary, edges, onward), "pairs")
     pairs, two = _noted(sent, len(edges))
@@ -446,12 +452,12 @@ def train(docs: DataFrame) -> Model:
         onward = np.zeros(0, np.uint64)
     one = discounts(np.array([sums["n1"], sums["n2"], sums["n3"], sums["n4"]]))
     rest = float(one @ np.array([sums["n1"], sums["n2"], sums["more"]])) / sums["total"] if sums["total"] else 1.0
-    return Model(vocabulary, edges, onward, contexts, pairs, discounts(three), discounts(two), one, sums["total"], rest)
+    return Model(vocabulary, edges, onward, contexts, pairs, discounts(three), discounts(two), one, sums["total"], rest, least > 1)
 
 
-def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
+def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, least: int = STORED) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
-    model = train(docs.filter(F.crc32(F.col("doc_id").cast("string")) % modulus != remainder))
+    model = train(docs.filter(F.crc32(F.col("doc_id").cast("string")) % modulus != remainder), least)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -54,7 +54,7 @@ def contamination(docs, items, width=10):
     return out
 
 
-def kneser_ney(docs):
+def kneser_ney(docs, pruned=True):
     tokens = [(d, BLANK.findall(low(t)) + [None]) for d, t in docs]
     rows = lambda t: list(zip(["<s>", "<s>", *t][:-2], ["<s>", *t][:-1], t))
     one, three = Counter(), Counter()
@@ -83,7 +83,7 @@ def kneser_ney(docs):
         own = {g: (c - d[min(c, 3) - 1]) / total[g[:-1]] for g, c in counts.items() if not (pruned and c == 1)}
         return own, {g: rest[g] / total[g] for g in total}
 
-    own3, rest3 = level(three, cuts(three), True)
+    own3, rest3 = level(three, cuts(three), pruned)
     own2, rest2 = level(two, cuts(two), False)
     own1, rest1 = level({(w,): c for w, c in after.items()}, cuts(after), False)
 
