@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from strandlake.llm.arrays import BLOBS, GATHERED, Gathered, blobs, by_shard, counted, hash_edges, heads, mapped, new_folder, pack, ranges, save, sliced, summed, unpack
 from strandlake.llm.langid import held_out
 from strandlake.llm.text import LOWER, NOT_BLANK, blocks, prefix_hash, runs, span_hash
-from strandlake.session import staged
+from strandlake.session import staged, temporary
 
 #: Hash of the end token; words' hashes are mixed, so that none is kept apart.
 END = np.uint64(0x5EED0E0D5EED0E0D)
@@ -42,7 +42,7 @@ SHARD_KEYS = 2_000_000
 #: A word is cut by its followers if it is more than this share of a shard.
 HOT_SHARE = 0.25
 #: Occurrences from which on a trigram is stored; with 1 all are.
-STORED = 2
+STORED = 1
 #: Bytes of text that are read at once.
 READ_BYTES = 1 << 20
 SHIFT = np.uint64(32)
@@ -195,6 +195,24 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
     return pair[head], third[head], np.add.reduceat(counts, head) if len(head) else counts
 
 
+def save_small(folder: str, name: str, rows: np.ndarray) -> int:
+    """Saves rows of numbers, nearly all small, in bytes: those with a number beyond have 255 there and are saved whole beside them, behind their places. Returns how many these are."""
+    large = np.flatnonzero((rows >= 255).any(axis=1))
+    save(folder, name, np.minimum(rows, np.uint64(255)).astype(np.uint8))
+    save(folder, f"{name}-whole", np.column_stack([large.astype(np.uint64), rows[large]]))
+    return len(large)
+
+
+def small_rows(folder: str, name: str, n: int, large: int, places: np.ndarray) -> np.ndarray:
+    """Rows of ``save_small``; ``n`` of all, ``large`` of those that are saved whole."""
+    out = mapped(folder, name, n)[places].astype(np.uint64)
+    over = np.flatnonzero((out == 255).any(axis=1))
+    if len(over):
+        whole = mapped(folder, f"{name}-whole", large)
+        out[over] = whole[np.searchsorted(whole[:, 0], places[over].astype(np.uint64)), 1:]
+    return out
+
+
 def count_trigrams(docs: DataFrame, vocabulary: Vocabulary, edges: np.ndarray, least: int) -> DataFrame:
     """Job 2: files of contexts and trigrams; blobs of (second, third) pairs by shard, and numbers about the files under shard -1."""
     folder, start = vocabulary.folder, np.uint64(vocabulary.size)
@@ -234,11 +252,10 @@ def count_trigrams(docs: DataFrame, vocabulary: Vocabulary, edges: np.ndarray, l
         stored = kept > 0
         kept = kept[stored]
         save(folder, f"contexts-{shard}", pair[head][stored])
-        save(folder, f"begin-{shard}", np.concatenate([[0], np.cumsum(kept)]))
-        save(folder, f"stats-{shard}", np.column_stack([x[stored] for x in (total, once, twice, more)]))
+        save(folder, f"begin-{shard}", np.concatenate([[0], np.cumsum(kept)]).astype(np.uint32 if kept.sum() < 1 << 32 else np.uint64))
+        wide = [save_small(folder, f"stats-{shard}", np.column_stack([x[stored] for x in (total, once, twice, more)])), save_small(folder, f"times-{shard}", counts[often][:, None])]
         save(folder, f"next-{shard}", third[often].astype(np.uint32))
-        save(folder, f"times-{shard}", counts[often].astype(np.uint32 if not often.any() or counts.max() < 2**32 else np.uint64))
-        numbers = [shard, int(stored.sum()), int(often.sum()), *(int((counts == k).sum()) for k in (1, 2, 3, 4))]
+        numbers = [shard, int(stored.sum()), int(often.sum()), *wide, *(int((counts == k).sum()) for k in (1, 2, 3, 4))]
         keys, seen = summed((pair << SHIFT) | third)  # the high half of a pair, its first word, is shifted out
         yield blobs([*sliced(keys, seen, edges), (-1, np.array(numbers, np.int64).tobytes())])
 
@@ -389,11 +406,13 @@ class Model:
             known, begin = self._files(("contexts", "begin"), k, self.contexts)
             at = np.minimum(np.searchsorted(known, pair[a:b]), len(known) - 1)
             hit = np.flatnonzero(known[at] == pair[a:b])
-            stats[a + hit] = mapped(self.vocabulary.folder, f"stats-{k}", len(known))[at[hit]]
-            n = int(self.contexts[k, 1])
-            place = bisect(mapped(self.vocabulary.folder, f"next-{k}", n), begin[at[hit]], begin[at[hit] + 1], third[a:b][hit])
+            n, *large = (int(x) for x in self.contexts[k, 1:])
+            if len(hit):
+                stats[a + hit] = small_rows(self.vocabulary.folder, f"stats-{k}", len(known), large[0], at[hit])
+            place = bisect(mapped(self.vocabulary.folder, f"next-{k}", n), begin[at[hit]].astype(np.int64), begin[at[hit] + 1].astype(np.int64), third[a:b][hit])
             found = place >= 0
-            count[a + hit[found]] = mapped(self.vocabulary.folder, f"times-{k}", n)[place[found]]
+            if found.any():
+                count[a + hit[found]] = small_rows(self.vocabulary.folder, f"times-{k}", n, large[1], place[found])[:, 0]
         return count, stats
 
     def log_probability(self, distinct: np.ndarray, rank: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -418,13 +437,13 @@ class Model:
         return np.log10(own + rest * lower[of_pair])[which]
 
 
-def _noted(sent: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray]:
+def _noted(sent: DataFrame, shards: int, lengths: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Array lengths by shard, and the sums of the counts of counts, from the rows under shard -1 (one for each shard)."""
-    sizes, n = np.zeros((shards, 2), np.int64), np.zeros(4, np.int64)
+    sizes, n = np.zeros((shards, lengths), np.int64), np.zeros(4, np.int64)
     for r in sent.filter("shard = -1").collect():
         shard, *numbers = np.frombuffer(r["blob"], np.int64).tolist()
-        sizes[shard] = numbers[:2]
-        n += numbers[2:]
+        sizes[shard] = numbers[:lengths]
+        n += numbers[lengths:]
     return sizes, n
 
 
@@ -437,11 +456,12 @@ def train(docs: DataFrame, least: int = STORED) -> Model:
     vocabulary = count_words(docs, new_folder(spark, "lm"), parts)
     edges = vocabulary.pair_edges(max(parts, vocabulary.total // SHARD_KEYS + 1), docs.count())
     onward = np.unique((np.arange(parts) * (vocabulary.size + 1) // parts).astype(np.uint64))
-    sent = staged(count_trigrams(docs, vocabulary, edges, least), "trigrams")
-    contexts, three = _noted(sent, len(edges))
-    sent = staged(count_pairs(sent.filter("shard >= 0"), vocabulary, edges, onward), "pairs")
-    pairs, two = _noted(sent, len(edges))
-    rows = {r["shard"]: r for r in count_followers(sent.filter("shard >= 0"), vocabulary, onward).collect()}
+    with temporary(spark):  # the files stay, the tables between the jobs don't
+        sent = staged(count_trigrams(docs, vocabulary, edges, least), "trigrams")
+        contexts, three = _noted(sent, len(edges), 4)
+        sent = staged(count_pairs(sent.filter("shard >= 0"), vocabulary, edges, onward), "pairs")
+        pairs, two = _noted(sent, len(edges))
+        rows = {r["shard"]: r for r in count_followers(sent.filter("shard >= 0"), vocabulary, onward).collect()}
     if vocabulary.total and len(rows) < len(onward):  # a shard without a blob still needs its files
         for k in set(range(len(onward))) - set(rows):
             n = int(np.append(onward[1:], np.uint64(vocabulary.size + 1))[k] - onward[k])
