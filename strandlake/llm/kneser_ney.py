@@ -41,6 +41,8 @@ END = np.uint64(0x5EED0E0D5EED0E0D)
 SHARD_KEYS = 2_000_000
 #: A word is cut by its followers if it is more than this share of a shard.
 HOT_SHARE = 0.25
+#: Trigrams of a context beyond which its statistics are stored.
+COUNTED = 32
 #: Occurrences from which on a trigram is stored; with 1 all are.
 STORED = 1
 #: Bytes of text that are read at once.
@@ -253,9 +255,12 @@ def count_trigrams(docs: DataFrame, vocabulary: Vocabulary, edges: np.ndarray, l
         kept = kept[stored]
         save(folder, f"contexts-{shard}", pair[head][stored])
         save(folder, f"begin-{shard}", np.concatenate([[0], np.cumsum(kept)]).astype(np.uint32 if kept.sum() < 1 << 32 else np.uint64))
-        wide = [save_small(folder, f"stats-{shard}", np.column_stack([x[stored] for x in (total, once, twice, more)])), save_small(folder, f"times-{shard}", counts[often][:, None])]
-        save(folder, f"next-{shard}", third[often].astype(np.uint32))
-        numbers = [shard, int(stored.sum()), int(often.sum()), *wide, *(int((counts == k).sum()) for k in (1, 2, 3, 4))]
+        # the statistics of a few trigrams are counted when they are asked for, if all are stored
+        noted = np.flatnonzero((kept > COUNTED) | (least > 1))
+        save(folder, f"stats-{shard}", np.column_stack([noted.astype(np.uint64), *(x[stored][noted] for x in (total, once, twice, more))]))
+        large = save_small(folder, f"times-{shard}", counts[often][:, None])
+        save(folder, f"next-{shard}", narrow(third[often]))
+        numbers = [shard, int(stored.sum()), int(often.sum()), len(noted), large, *(int((counts == k).sum()) for k in (1, 2, 3, 4))]
         keys, seen = summed((pair << SHIFT) | third)  # the high half of a pair, its first word, is shifted out
         yield blobs([*sliced(keys, seen, edges), (-1, np.array(numbers, np.int64).tobytes())])
 
@@ -319,6 +324,18 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.clip(d, [0.01, 0.02, 0.03], [0.99, 1.99, 2.99])
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Numbers of 32 bits, in three bytes each if they are small enough."""
+    values = np.ascontiguousarray(values.astype("<u4"))
+    return values.view(np.uint8).reshape(-1, 4)[:, :3] if not len(values) or values.max() < 1 << 24 else values
+
+
+def numbers_at(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The numbers at some places of an array, which may be a ``narrow`` one."""
+    own = values[places]
+    return own if own.ndim == 1 else own[:, 0].astype(np.uint64) | own[:, 1].astype(np.uint64) << np.uint64(8) | own[:, 2].astype(np.uint64) << np.uint64(16)
+
+
 def bisect(values: np.ndarray, low: np.ndarray, high: np.ndarray, asked: np.ndarray) -> np.ndarray:
     """The place of each asked value in its own sorted run of ``values``, -1 where the run lacks it."""
     low, end = low.copy(), high
@@ -326,13 +343,13 @@ def bisect(values: np.ndarray, low: np.ndarray, high: np.ndarray, asked: np.ndar
     open_ = np.flatnonzero(low < high)
     while len(open_):
         middle = (low[open_] + high[open_]) >> 1
-        less = values[middle] < asked[open_]
+        less = numbers_at(values, middle) < asked[open_]
         low[open_[less]] = middle[less] + 1
         high[open_[~less]] = middle[~less]
         open_ = open_[low[open_] < high[open_]]
     inside = np.flatnonzero(low < end)
     out = np.full(len(low), -1, np.int64)
-    hit = inside[values[low[inside]] == asked[inside]]
+    hit = inside[numbers_at(values, low[inside]) == asked[inside]]
     out[hit] = low[hit]
     return out
 
@@ -397,6 +414,22 @@ class Model:
             out[a + hit[found]] = mapped(self.vocabulary.folder, f"seen-{k}", n)[place[found]]
         return out
 
+    def _statistics(self, k: int, places: np.ndarray, low: np.ndarray, high: np.ndarray, n: int, noted: int, large: int) -> np.ndarray:
+        """Of contexts at sorted places of a shard: the sum of the counts of their trigrams, and how many have one, two and more."""
+        out = np.zeros((len(places), 4), np.uint64)
+        known = mapped(self.vocabulary.folder, f"stats-{k}", noted)
+        at = np.minimum(np.searchsorted(known[:, 0], places.astype(np.uint64)), noted - 1) if noted else np.zeros(len(places), np.int64)
+        hit = known[at, 0] == places.astype(np.uint64) if noted else np.zeros(len(places), bool)
+        if hit.any():
+            out[hit] = known[at[hit], 1:]
+        rest = np.flatnonzero(~hit)
+        if len(rest):  # each has a trigram at least
+            size = (high - low)[rest]
+            first = np.cumsum(size) - size
+            count = small_rows(self.vocabulary.folder, f"times-{k}", n, large, np.arange(int(size.sum())) + np.repeat(low[rest] - first, size))[:, 0]
+            out[rest] = np.column_stack([np.add.reduceat(x.astype(np.uint64), first) for x in (count, count == 1, count == 2, count > 2)])
+        return out
+
     def triple(self, pair: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of trigrams sorted by pair: their stored counts and the statistics of their contexts."""
         count, stats = np.zeros(len(pair)), np.zeros((len(pair), 4), np.uint64)
@@ -408,7 +441,8 @@ class Model:
             hit = np.flatnonzero(known[at] == pair[a:b])
             n, *large = (int(x) for x in self.contexts[k, 1:])
             if len(hit):
-                stats[a + hit] = small_rows(self.vocabulary.folder, f"stats-{k}", len(known), large[0], at[hit])
+                own, back = np.unique(at[hit], return_inverse=True)
+                stats[a + hit] = self._statistics(k, own, begin[own].astype(np.int64), begin[own + 1].astype(np.int64), n, *large)[back]
             place = bisect(mapped(self.vocabulary.folder, f"next-{k}", n), begin[at[hit]].astype(np.int64), begin[at[hit] + 1].astype(np.int64), third[a:b][hit])
             found = place >= 0
             if found.any():
