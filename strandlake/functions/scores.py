@@ -163,12 +163,15 @@ def topology(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 
 def element_group(element: Column) -> Column:
-    """The report's group of an element class."""
+    """The report's group of an element class, whose name is read without blanks and in capitals; none, '.' and NONE are structural."""
+    name = F.upper(F.trim(element))
+    name = F.when(name.isin("", "."), "NONE").otherwise(F.coalesce(name, F.lit("NONE")))
     return (
-        F.when(element == "HGT", "HGT / Starship")
-        .when(element.startswith("TE") | element.isin("DNA_TIR", "LINE", "SINE", "LTR"), "Transposable element")
-        .when(element.isin("RIP", "REPEAT", "TANDEM_REPEAT"), "Repeat")
-        .otherwise(F.coalesce(element, F.lit("NONE")))
+        F.when(name.startswith("TE_") | name.isin("REPEAT", "LTR", "LINE", "SINE", "TIR"), "TE / repeat")
+        .when(name == "HGT", "HGT / Starship")
+        .when(name == "RIP", "RIP / genome defense")
+        .when(name == "NONE", "Structural (other)")
+        .otherwise(name)
     )
 
 

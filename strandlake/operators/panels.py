@@ -56,6 +56,28 @@ def novelty_summary(calls: DataFrame) -> DataFrame:
     return long.select("metric", "n", F.round(S.ratio(100 * F.col("n"), F.col("all_calls")), 1).alias("percent"))
 
 
+def novelty_metrics(calls: DataFrame, layers: DataFrame, followup: DataFrame) -> DataFrame:
+    """(metric, value, percent): the twelve numbers of a novelty report, the first six as shares of all calls.
+
+    calls: single_reference, read_supported, element_class; layers: query_asm and the columns of a layer table, of which the row of ALL counts (else the first by name); followup: one row a candidate.
+    What the layers do not have is 0.
+    """
+    group = S.element_group(F.col("element_class"))
+    alone = ~F.coalesce("single_reference", F.lit(False))
+    counts = calls.agg(
+        F.count("*").alias("novel_calls"), F.count_if(alone).alias("pangenome_only_calls"), F.count_if(~alone).alias("single_reference_equivalent_calls"), F.count_if(F.coalesce("read_supported", F.lit(False))).alias("read_supported_calls"),
+        F.count_if(group == "HGT / Starship").alias("hgt_or_starship_candidate_calls"), F.count_if(group.isin("RIP / genome defense", "TE / repeat")).alias("te_or_two_speed_candidate_calls"),
+    )
+    have = lambda c: F.coalesce(F.get("_l", F.lit(0))[c].cast("double"), F.lit(0.0)) if c in layers.columns else F.lit(0.0)
+    first = layers.agg(F.array_compact(F.array(F.min_by(F.struct(*layers.columns), F.struct(F.col("query_asm") != "ALL", F.col("query_asm"))))).alias("_l"))
+    loci = have("deduplicated_pangenome_loci")
+    of_layers = {"raw_pairwise_pangenome_observations": have("raw_pairwise_pangenome_observations"), "deduplicated_pangenome_loci": loci, "pangenome_powered_loci": loci, "pangenome_only_read_supported_loci": have("pangenome_only_read_supported"), "single_ref_fraction_of_raw": have("single_ref_fraction_of_raw")}
+    one = counts.join(F.broadcast(first), F.lit(True)).join(F.broadcast(followup.agg(F.count("*").alias("followup_candidates"))), F.lit(True))  # a row each
+    rows = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"), F.round(S.ratio(100 * F.col(c), F.col("novel_calls")), 1).alias("percent")) for c in counts.columns]
+    rows += [F.struct(F.lit(c).alias("metric"), v.alias("value"), F.lit(None).cast("double").alias("percent")) for c, v in [*of_layers.items(), ("followup_candidates", F.col("followup_candidates").cast("double"))]]
+    return one.select(F.inline(F.array(*rows)))
+
+
 def top_labels(rows: DataFrame, keys: list[str], label: str, n: int) -> DataFrame:
     """The n most frequent labels of each key as 'label:count;...', ties by name."""
     counts = rows.filter(S.masked(F.col(label)).isNotNull()).groupBy(*keys, label).agg(F.count("*").alias("_n"))

@@ -52,6 +52,23 @@ def novelty_table(t: Tables) -> DataFrame:
     return panels.novelty_summary(calls(t).select((F.col("tax") >= 0.04).alias("single_reference"), element.alias("element")))
 
 
+@query(
+    f"""WITH {_CALLS}, c AS (SELECT part, pos, tax >= 0.04 AS single, line % 2 = 0 AS supported, CASE WHEN discount >= 0.08 THEN ' hgt' WHEN discount >= 0.06 THEN 'RIP' WHEN discount >= 0.03 THEN 'TE_LTR' WHEN discount >= 0.02 THEN '.' END AS element FROM calls),
+    s AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (WHERE NOT single)::DOUBLE AS a, count(*) FILTER (WHERE single)::DOUBLE AS b, count(*) FILTER (WHERE supported)::DOUBLE AS c, count(*) FILTER (WHERE element = ' hgt')::DOUBLE AS d, count(*) FILTER (WHERE element IN ('RIP', 'TE_LTR'))::DOUBLE AS e,
+      count(DISTINCT (part, pos))::DOUBLE AS loci, count(DISTINCT (part, pos)) FILTER (WHERE NOT single AND supported)::DOUBLE AS alone, avg(CASE WHEN single THEN 1.0::DOUBLE ELSE 0 END) AS share, count(*) FILTER (WHERE supported AND NOT single)::DOUBLE AS f FROM c)
+    SELECT metric, round(k, 9) AS value, CASE WHEN p THEN round(100 * k / n, 1) END AS percent FROM s, LATERAL (VALUES ('novel_calls', n, true), ('pangenome_only_calls', a, true), ('single_reference_equivalent_calls', b, true), ('read_supported_calls', c, true), ('hgt_or_starship_candidate_calls', d, true),
+      ('te_or_two_speed_candidate_calls', e, true), ('raw_pairwise_pangenome_observations', n, false), ('deduplicated_pangenome_loci', loci, false), ('pangenome_powered_loci', loci, false), ('pangenome_only_read_supported_loci', alone, false), ('single_ref_fraction_of_raw', share, false), ('followup_candidates', f, false)) AS v(metric, k, p)"""
+)
+def novelty_report(t: Tables) -> DataFrame:
+    """All twelve numbers of a novelty report: calls, their layers in all, and what is to be followed up."""
+    element = F.when(F.col("discount") >= 0.08, " hgt").when(F.col("discount") >= 0.06, "RIP").when(F.col("discount") >= 0.03, "TE_LTR").when(F.col("discount") >= 0.02, ".")
+    rows = calls(t).select("part", "pos", (F.col("tax") >= 0.04).alias("single_reference"), (F.col("line") % 2 == 0).alias("read_supported"), element.alias("element_class"))
+    alone = ~F.col("single_reference") & F.col("read_supported")
+    layers = rows.agg(F.count("*").alias("raw_pairwise_pangenome_observations"), F.count_distinct("part", "pos").alias("deduplicated_pangenome_loci"), F.count_distinct(F.when(alone, F.struct("part", "pos"))).alias("pangenome_only_read_supported"), F.avg(F.col("single_reference").cast("double")).alias("single_ref_fraction_of_raw"))
+    found = panels.novelty_metrics(rows, layers.withColumn("query_asm", F.lit("ALL")), rows.filter(alone))
+    return found.withColumn("value", F.round("value", 9))
+
+
 @query()
 def cross_clade_overlaps(t: Tables) -> DataFrame:
     """Every hundredth document against documents of its own and of other clades: best overlaps and tiers (parts tested by themselves)."""

@@ -215,7 +215,7 @@ def interval_relations(t: Tables) -> DataFrame:
 
 @query(
     """WITH e AS (SELECT ['HGT', 'TE_LTR', 'LINE', 'RIP', 'STARSHIP'][o_custkey % 5 + 1] AS element, o_orderkey % 3 - 1 AS reads, o_custkey % 4 AS anchors, o_orderkey % 2 AS layers FROM orders)
-    SELECT CASE WHEN element = 'HGT' THEN 'HGT / Starship' WHEN element IN ('TE_LTR', 'LINE') THEN 'Transposable element' WHEN element = 'RIP' THEN 'Repeat' ELSE element END AS grp, count(*) AS n,
+    SELECT CASE WHEN element = 'HGT' THEN 'HGT / Starship' WHEN element IN ('TE_LTR', 'LINE') THEN 'TE / repeat' WHEN element = 'RIP' THEN 'RIP / genome defense' ELSE element END AS grp, count(*) AS n,
       sum(CASE WHEN anchors > 0 THEN anchors WHEN layers > 0 THEN layers ELSE 0 END)::BIGINT AS read_support, sum(CASE WHEN reads >= 0 THEN reads WHEN anchors > 0 THEN anchors ELSE layers END)::BIGINT AS assembly_support FROM e GROUP BY ALL"""
 )
 def element_support(t: Tables) -> DataFrame:
