@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import scores as S
 from strandlake.functions import stats
 from strandlake.operators import intervals
-from strandlake.operators.selection import collapse, greedy_match
+from strandlake.operators.selection import _scanned, collapse, greedy_match
 
 #: Calls are columns: query_asm, contig, pos, end, svtype, svlen, source, coord_space, mate_contig, mate_pos, id.
 SPANNING = ("INV", "DEL", "TDEL", "DUP")
@@ -181,6 +185,104 @@ def within_window(truth: DataFrame, calls: DataFrame, window: int) -> DataFrame:
     return both.filter((far <= window) & (F.col("svtype").isin(*OWN_SPANS) | (F.abs(F.col("tl") - F.col("cl")) <= window))).select("truth_id", "call_id", far.alias("distance"), "truth_order", "call_order")
 
 
+class Places:
+    """What is still free at sorted places: numbers of rows, the least of a place first; empty places are passed over at once.
+
+    With sizes, the rows of a place are kept apart by theirs, so that a look-up meets one row of each size in question.
+    """
+
+    def __init__(self, places: list, rows: list[int], sizes: list | None = None) -> None:
+        held: dict = {}
+        for i, (p, row) in enumerate(zip(places, rows, strict=True)):
+            held.setdefault(p, {}).setdefault(sizes[i] if sizes else 0, []).append(row)
+        self.places = sorted(held)
+        self.queues = [{s: sorted(q, reverse=True) for s, q in held[p].items()} for p in self.places]
+        self.sizes = [sorted(q) for q in self.queues]
+        self.ahead = list(range(len(self.places) + 1))  # the next place that is not empty; the last one is none
+        self.behind = list(range(len(self.places) + 1))  # the same backward, by one more; 0 is none
+
+    @staticmethod
+    def _end(way: list[int], i: int) -> int:
+        end = i
+        while way[end] != end:
+            end = way[end]
+        while way[i] != end:
+            way[i], i = end, way[i]
+        return end
+
+    def _first(self, i: int, low: float, high: float) -> tuple[int, object] | None:
+        """The least row of a place with a size of that range, and its size."""
+        sizes, best = self.sizes[i], None
+        for j in range(bisect.bisect_left(sizes, low), len(sizes)):
+            if sizes[j] > high:
+                break
+            row = self.queues[i][sizes[j]][-1]
+            if best is None or row < best[0]:
+                best = row, sizes[j]
+        return best
+
+    def take(self, place, window: int, low: float = 0, high: float = 0) -> tuple[int, int] | None:
+        """Takes the nearest free row within ``window`` whose size lies in the range, the least row among equals: (row, distance)."""
+        at = bisect.bisect_left(self.places, place)
+        r, l = self._end(self.ahead, at), self._end(self.behind, at)
+        while True:
+            right = self.places[r] - place if r < len(self.places) else window + 1
+            left = place - self.places[l - 1] if l else window + 1
+            d = min(left, right)
+            if d > window:
+                return None
+            found = [(f, i) for i, far in ((l - 1, left), (r, right)) if far == d and (f := self._first(i, low, high))]
+            if found:
+                (row, size), i = min(found)
+                self.queues[i][size].pop()
+                if not self.queues[i][size]:
+                    self.sizes[i].remove(size)
+                    if not self.sizes[i]:
+                        self.ahead[i], self.behind[i + 1] = i + 1, i
+                return row, d
+            if left == d:
+                l = self._end(self.behind, l - 1)
+            if right == d:
+                r = self._end(self.ahead, r + 1)
+
+
+def matched_in_turn(truth: DataFrame, calls: DataFrame, window: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """(call_id, truth_id, distance, *more): each call in the order of its file takes the nearest truth of ``within_window`` that none before it has; null where there is none.
+
+    The same matches as ``file_order_matches`` of all pairs, which are not made: the calls of a query, contig and type are scanned in order, over the truths that are left. A contig is
+    cut at gaps wider than the window. What one scan holds grows with its rows; ids are of one truth, or one call, each. ``more`` are columns of the calls.
+    """
+    key = F.concat_ws("|", "query_asm", "contig", "svtype").alias("k")
+    sized = F.coalesce(~F.col("svtype").isin(*OWN_SPANS), F.lit(True)).alias("sized")
+    row = lambda side, name, order: ["k", "sized", F.lit(side).alias("side"), F.col(name).alias("id"), F.col(order).alias("turn"), F.col("pos").cast("long").alias("pos"), F.col("svlen").alias("size")]
+    named = {c: f"_m{i}" for i, c in enumerate(more)}
+    one = truth.select("*", key, sized).select(*row(0, "truth_id", "truth_order"), *[F.lit(None).cast(calls.schema[c].dataType).alias(n) for c, n in named.items()])
+    two = calls.select("*", key, sized).select(*row(1, "call_id", "call_order"), *[F.col(c).alias(n) for c, n in named.items()])
+    both = intervals.cut_at_gaps(one.union(two), ["k"], "pos", window)
+
+    def work(table: pa.Table, cuts: np.ndarray) -> pa.Table:
+        side, by_size = table.column("side").to_numpy(), table.column("sized").to_pylist()
+        pos, size = table.column("pos").to_pylist(), table.column("size").to_pylist()
+        rows, of, far = [], [], []
+        for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            middle = start + int(np.searchsorted(side[start:end], 1))
+            known = [i for i in range(start, middle) if pos[i] is not None and (not by_size[i] or size[i] is not None)]
+            free = Places([pos[i] for i in known], known, [size[i] for i in known] if by_size[start] else None)
+            for i in range(middle, end):
+                span = (size[i] - window, size[i] + window) if by_size[i] and size[i] is not None else (0, 0)
+                found = None if pos[i] is None or (by_size[i] and size[i] is None) else free.take(pos[i], window, *span)
+                rows.append(i)
+                of.append(None if found is None else found[0])
+                far.append(None if found is None else found[1])
+        taken = table.take(pa.array(rows, pa.int64()))
+        ids = table.column("id").take(pa.array(of, pa.int64()))
+        return pa.table({"call_id": taken.column("id"), "truth_id": ids, "distance": pa.array(far, pa.int64()), **{c: taken.column(n) for c, n in named.items()}})
+
+    kind = calls.schema["call_id"].dataType.simpleString()
+    fields = ", ".join(f"`{c}` {calls.schema[c].dataType.simpleString()}" for c in more)
+    return _scanned(both, ["k", "_run"], [F.col("side"), F.col("turn"), F.col("id")], f"call_id {kind}, truth_id {kind}, distance bigint" + (f", {fields}" if more else ""), work)
+
+
 def two_axis(truth: DataFrame, calls: DataFrame, window: int) -> DataFrame:
     """(axis, scenario, truth_calls, tp, fp, fn, precision, recall): calls matched in file order, by scenario and, as ``PANEL``, in all.
 

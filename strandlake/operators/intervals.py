@@ -58,6 +58,19 @@ def islands(rows: DataFrame, keys: list[str], start: str, end: str, gap: int = 0
     return running(before.withColumn("_first", new).drop("_before"), keys, start, [*order, F.col("_first").asc_nulls_last()], F.col("_first"), "_island", "max", True, width=width).drop("_first")
 
 
+def cut_at_gaps(rows: DataFrame, keys: list[str], at: str, gap: int) -> DataFrame:
+    """Adds ``_run``: rows of a key that differ in it are further apart than ``gap``.
+
+    A run ends where a whole cell of ``gap`` + 1 places is empty. Only the occupied cells are sorted; rows are joined with them, and not shuffled while those are few.
+    """
+    from strandlake.session import staged
+
+    held = rows.withColumn("_cell", F.floor(F.col(at) / (gap + 1)).cast("long"))
+    names = {c: f"_c{i}" for i, c in enumerate((*keys, "_cell"))}
+    cells = staged(islands(held.select(*keys, "_cell").distinct(), keys, "_cell", "_cell", 1).select(*[F.col(c).alias(n) for c, n in names.items()], F.col("_island").alias("_run")), "runs")
+    return held.join(cells, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()], "left").drop("_cell", *names.values())
+
+
 def merged(rows: DataFrame, keys: list[str], start: str, end: str, gap: int = 0, width: int | None = None) -> DataFrame:
     """Islands of intervals that overlap, or come within ``gap``: keys, start, end, n."""
     marked = islands(rows.select(*keys, start, end), keys, start, end, gap, width=width)

@@ -477,9 +477,8 @@ def _in_turn(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 @query(f"WITH RECURSIVE {_TURNS} SELECT c.name AS call_id, w.name AS truth_id, distance FROM g JOIN n USING (axis, q, svtype, k) JOIN r c ON c.id = n.id JOIN r w ON w.id = truth_id WHERE axis = 'pangenome' AND truth_id IS NOT NULL")
 def matches_in_file_order(t: Tables) -> DataFrame:
-    """Each call in turn takes the nearest truth that no earlier one has: in rounds, against a recursion over turns."""
-    truth, found = _in_turn(t)
-    return evaluation.file_order_matches(evaluation.within_window(truth, found, _WINDOW)).select("call_id", "truth_id", "distance")
+    """Each call in turn takes the nearest truth that no earlier one has: by scans in order, against a recursion over turns."""
+    return evaluation.matched_in_turn(*_in_turn(t), _WINDOW).filter("truth_id IS NOT NULL").select("call_id", "truth_id", "distance")
 
 
 @query(
