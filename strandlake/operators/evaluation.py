@@ -293,8 +293,8 @@ def two_axis(truth: DataFrame, calls: DataFrame, window: int) -> DataFrame:
     calls = calls.join(of.select("query_asm"), "query_asm", "left_semi")
     found = []
     for axis, eligible in (("single", calls.filter("same_scenario")), ("pangenome", calls)):
-        matched = file_order_matches(within_window(truth, eligible, window)).select("call_id", F.lit(True).alias("_hit"))
-        hits = eligible.join(matched, "call_id", "left").groupBy("query_asm").agg(F.count_if(F.col("_hit").isNotNull()).alias("tp"), F.count_if(F.col("_hit").isNull() & F.col("same_scenario")).alias("fp"))
+        matched = matched_in_turn(truth, eligible, window, ("query_asm", "same_scenario"))
+        hits = matched.groupBy("query_asm").agg(F.count_if(F.col("truth_id").isNotNull()).alias("tp"), F.count_if(F.col("truth_id").isNull() & F.col("same_scenario")).alias("fp"))
         found.append(of.join(hits, "query_asm", "left").select(F.lit(axis).alias("axis"), "scenario", "truth_calls", F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("fp", F.lit(0)).alias("fp")))
     sums = found[0].union(found[1]).groupingSets([["axis", "scenario"], ["axis"]], "axis", "scenario").agg(*[F.sum(c).alias(c) for c in ("truth_calls", "tp", "fp")], F.grouping("scenario").alias("_g"))
     rows = sums.select("axis", F.when(F.col("_g") == 1, "PANEL").otherwise(F.col("scenario")).alias("scenario"), "truth_calls", "tp", "fp", (F.col("truth_calls") - F.col("tp")).alias("fn"))

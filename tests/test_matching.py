@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from strandlake.operators import evaluation
 
 
@@ -19,3 +20,10 @@ def test_turns_as_by_pairs(spark, seed):
     rows = evaluation.matched_in_turn(truth, found, 9, ("query_asm", "pos")).collect()
     assert {(x["truth_id"], x["call_id"], x["distance"]) for x in rows if x["truth_id"]} == expected and len(expected) > 40
     assert len(rows) == 200 and {(x["call_id"], x["query_asm"], x["pos"]) for x in rows} == {(x["call_id"], x["query_asm"], x["pos"]) for x in found.collect()}
+
+
+def test_a_place_of_all_calls_ends(spark):
+    """All calls wait for one another at one place; their pairs would be 400 million, in 10,000 rounds."""
+    rows = lambda kind: spark.range(20_000).select(F.col("id").cast("string").alias(f"{kind}_id"), F.col("id").alias(f"{kind}_order"), F.lit("a").alias("query_asm"), F.lit("k").alias("contig"), F.when(F.col("id") % 2 == 0, "INS").otherwise("DEL").alias("svtype"), F.lit(5).cast("long").alias("pos"), (F.col("id") % 9).alias("svlen"), F.lit("S").alias("scenario"), F.lit(True).alias("same_scenario"))
+    found = evaluation.two_axis(rows("truth"), rows("call"), 9).filter("scenario = 'PANEL'").collect()
+    assert [(x["tp"], x["fp"], x["fn"]) for x in found] == [(20_000, 0, 0)] * 2
