@@ -79,5 +79,6 @@ def contigs_fallen_silent(t: Tables) -> DataFrame:
 def sketch_in_state(t: Tables) -> DataFrame:
     """The 64 smallest k-mer hashes of each clade, kept as state while documents arrive."""
     rows = state.file_stream(t.spark, t.sf_dir, "documents").select("lang", Q.dna_projection(F.col("text")).alias("seq"))
-    hashes = rows.select("lang", F.explode(F.array_distinct(Q.kmers(F.col("seq"), 16))).alias("k")).select("lang", F.substring(F.md5("k"), 1, 15).alias("h"))
+    own = F.transform(F.array_distinct(Q.kmers(F.col("seq"), 16)), lambda k: F.substring(F.md5(k), 1, 15))
+    hashes = rows.select("lang", F.explode(F.slice(F.array_sort(F.array_distinct(own)), 1, 64)).alias("h"))  # of a document, its own smallest ones are enough
     return state.sketches(state.smallest(hashes, "lang", "h", 64), 64, "sketch-state").select(F.col("key").alias("lang"), F.explode("values").alias("h"))

@@ -14,11 +14,15 @@ from strandlake.session import scratch_path, table
 LATE = "10 minutes"
 
 
+def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream, whether it is one file or a folder of files."""
+    # by a pattern, since a path that is a plain file would have to be a folder
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]")
+
+
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table's file as a stream with event time."""
-    schema = table(spark, sf_dir, name).schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-    return source.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)
+    """A table as a stream with event time."""
+    return file_stream(spark, sf_dir, name).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)
 
 
 def window_counts(events: DataFrame, size: str, slide: str | None = None) -> DataFrame:

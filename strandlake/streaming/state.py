@@ -7,22 +7,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from strandlake.session import scratch_path, table
-from strandlake.streaming.incremental import _epochs
+from strandlake.session import scratch_path
+from strandlake.streaming.incremental import _epochs, file_stream  # noqa: F401  streams of tables begin there
 
 #: Fixed value: the state store that such streams need.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table's files as a stream."""
-    return spark.readStream.schema(table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-
-
 class Smallest(StatefulProcessor):
     """Keeps the n smallest distinct values of a key, and gives out the list whenever it changes."""
 
@@ -52,11 +48,17 @@ class Smallest(StatefulProcessor):
 def smallest(rows: DataFrame, key: str, value: str, n: int, parts: int = 8) -> DataFrame:
     """(key, part, values): of a stream, the n smallest distinct values of each part of a key as state; it comes again with each change.
 
-    Values are dealt to the ``parts`` of a key by their hash, so that a key which has most rows isn't one task's; ``sketches`` brings them together.
+    Each batch of rows gives its own n smallest ones of a key, so most never meet the state. Values are dealt to the ``parts`` of a key by their hash, so that a key which has most rows isn't one task's; ``sketches`` brings them together.
     """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    dealt = rows.select(F.col(key).alias("key"), F.pmod(F.xxhash64(value), F.lit(parts)).cast("int").alias("part"), F.col(value).alias("value"))
+
+    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.dropna(subset=["value"]).drop_duplicates().sort_values("value").groupby("key", dropna=False).head(n)
+
+    own = rows.select(F.col(key).alias("key"), F.col(value).alias("value")).mapInPandas(least, f"key {kinds[key]}, value {kinds[value]}")
+    dealt = own.select("key", F.pmod(F.xxhash64("value"), F.lit(parts)).cast("int").alias("part"), "value")
     return dealt.groupBy("key", "part").transformWithState(Smallest(n, kinds[value]), f"key {kinds[key]}, part int, values array<{kinds[value]}>", "Update", "None")
 
 
