@@ -423,11 +423,10 @@ def matched_calls(t: Tables) -> DataFrame:
     SELECT truth_id, call_id, distance FROM g JOIN o USING (q, k) WHERE took"""
 )
 def mutual_best_matches(t: Tables) -> DataFrame:
-    """The same matches round by round over the whole table: pairs that are the best of both ends are taken until none is left."""
+    """One-to-one matches by place alone, nearest first, by scans of sorted places: against a recursion over sorted pairs."""
     r = calls(t).select((F.col("contig") % 200).alias("q"), "status", "pos", (F.col("contig") * 10 + F.col("line")).alias("id"))
-    one, two = r.filter("status = 'O'").select("q", F.col("id").alias("truth_id"), F.col("pos").alias("tp"), F.col("pos").alias("te")), r.filter("status = 'F'").select("q", F.col("id").alias("call_id"), F.col("pos").alias("cp"), F.col("pos").alias("ce"))
-    pairs = intervals.overlap_join(one, two, "q", ("tp", "te"), ("cp", "ce"), 60, 60).select("truth_id", "call_id", F.abs(F.col("tp") - F.col("cp")).alias("distance"))
-    return evaluation.mutual_matches(pairs)
+    one, two = r.filter("status = 'O'").withColumnRenamed("id", "truth_id"), r.filter("status = 'F'").withColumnRenamed("id", "call_id")
+    return evaluation.nearest_matches(one, two, "q", 60)
 
 
 _TRA = f"""{_CALLS}, u AS (SELECT DISTINCT contig, part, line, pos, len, price FROM calls),

@@ -27,3 +27,28 @@ def test_a_place_of_all_calls_ends(spark):
     rows = lambda kind: spark.range(20_000).select(F.col("id").cast("string").alias(f"{kind}_id"), F.col("id").alias(f"{kind}_order"), F.lit("a").alias("query_asm"), F.lit("k").alias("contig"), F.when(F.col("id") % 2 == 0, "INS").otherwise("DEL").alias("svtype"), F.lit(5).cast("long").alias("pos"), (F.col("id") % 9).alias("svlen"), F.lit("S").alias("scenario"), F.lit(True).alias("same_scenario"))
     found = evaluation.two_axis(rows("truth"), rows("call"), 9).filter("scenario = 'PANEL'").collect()
     assert [(x["tp"], x["fp"], x["fn"]) for x in found] == [(20_000, 0, 0)] * 2
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_nearest_as_by_pairs(spark, seed):
+    """Ids have several places, some beyond a gap; against the matches of all pairs."""
+    r = random.Random(seed)
+    some = lambda n: [(r.choice("ab"), r.choice([r.randint(0, 60), 500 + r.randint(0, 60)])) for _ in range(n)]
+    ids = lambda rows, far: [(k, 2 * (r.randint(0, 60) + (0 if far or p < 500 else 100)) + (k == "b"), p) for k, p in rows]
+    truth, found = ids(some(80), seed == 1), ids(some(90), seed == 1)
+    pairs = {(t, c, abs(p - q)) for k, t, p in truth for j, c, q in found if k == j and abs(p - q) <= 9}
+    expected, used_t, used_c = set(), set(), set()
+    for d, t, c in sorted((d, t, c) for t, c, d in pairs):
+        if t not in used_t and c not in used_c:
+            used_t.add(t), used_c.add(c)
+            expected.add((t, c, d))
+    frame = lambda rows, name: spark.createDataFrame(rows, f"k string, {name} long, pos long")
+    rows = evaluation.nearest_matches(frame(truth, "truth_id"), frame(found, "call_id"), "k", 9).collect()
+    assert set(map(tuple, rows)) == expected and len(rows) == len(expected) > 20
+
+
+def test_nearest_at_few_places_ends(spark):
+    """Forty thousand rows a side at ten places; their pairs would be more than a billion."""
+    rows = lambda name: spark.range(40_000).selectExpr("'a' AS k", f"id AS {name}", "id % 10 AS pos")
+    found = evaluation.nearest_matches(rows("truth_id"), rows("call_id"), "k", 9).agg(F.count("*"), F.sum("distance"), F.count_if(F.col("truth_id") == F.col("call_id"))).first()
+    assert tuple(found) == (40_000, 0, 40_000)
