@@ -33,17 +33,16 @@ RANGE = 1_000_000
 def running(rows: DataFrame, keys: list[str], at: str, order: list, value: Column, name: str, how: str = "max", inclusive: bool = True, backward: bool = False, width: int | None = None) -> DataFrame:
     """Adds a running ``max``, ``min`` or ``sum`` of each key along its positions, without bringing a key into one task.
 
-    Each range of ``width`` positions is scanned by itself; one row a range carries what lies before it (behind it, if ``backward``). ``order`` begins with ``at``.
+    Each range of ``width`` positions is scanned by itself; one row a range carries what lies before it (behind it, if ``backward``). ``order`` begins with ``at``, and
+    has plain columns if ``backward``: that is a scan from the end, since a frame up to the last row would be summed up anew for each row.
     """
     combine = {"max": F.max, "min": F.min, "sum": F.sum}[how]
     held = rows.withColumn("_range", F.floor(F.col(at) / (width or RANGE))).withColumn("_value", value)
-    place = Window.partitionBy(*keys, "_range").orderBy(*order)
-    first, last = Window.unboundedPreceding, Window.unboundedFollowing
-    span = place.rowsBetween(0 if inclusive else 1, last) if backward else place.rowsBetween(first, 0 if inclusive else -1)
-    line = Window.partitionBy(*keys).orderBy("_range")
+    span = Window.partitionBy(*keys, "_range").orderBy(*([c.desc() for c in order] if backward else order)).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    line = Window.partitionBy(*keys).orderBy(F.desc("_range") if backward else "_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = held.groupBy(*keys, "_range").agg(combine("_value").alias("_all"))
     named = {c: f"_c{i}" for i, c in enumerate((*keys, "_range"))}
-    carried = sums.select(*[F.col(c).alias(n) for c, n in named.items()], combine("_all").over(line.rowsBetween(1, last) if backward else line.rowsBetween(first, -1)).alias("_carried"))
+    carried = sums.select(*[F.col(c).alias(n) for c, n in named.items()], combine("_all").over(line).alias("_carried"))
     own, carry = combine("_value").over(span), F.col("_carried")
     joined = F.coalesce(own + carry, own, carry) if how == "sum" else (F.greatest if how == "max" else F.least)(own, carry)
     both = held.join(carried, [F.col(c).eqNullSafe(F.col(n)) for c, n in named.items()], "left")
@@ -102,6 +101,8 @@ def nearest(left: DataFrame, right: DataFrame, key: str, point: str, start: str,
     points = a.select(key, "_at", "_kind", nothing.cast("struct<e:bigint,s:bigint,n:string>").alias("_before"), nothing.cast("struct<s:bigint,n:string,e:bigint>").alias("_after"))
     r = right.select(key, F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"), F.col(name).cast("string").alias("n"))
     begun = r.select(key, F.col("s").alias("_at"), F.lit(0).alias("_kind"), F.struct(F.col("e"), (-F.col("s")).alias("s"), "n").alias("_before"), F.struct("s", "n", "e").alias("_after"))
+    # of the intervals that begin at one place, one is the best from behind and one from ahead
+    begun = begun.groupBy(key, "_at", "_kind").agg(F.max("_before").alias("_before"), F.min("_after").alias("_after"))
     line = points.unionByName(begun)
     order = [F.col("_at"), F.col("_kind")]
     found = running(line, [key], "_at", order, F.col("_before"), "_b", "max", width=width)

@@ -1,7 +1,7 @@
 """What only larger tables show: tables that are folders of files, and similarities that lie half-way."""
 
 import duckdb
-from strandlake.operators import elements
+from strandlake.operators import elements, intervals
 from strandlake.plans import catalog
 
 from tests.test_catalog import same
@@ -24,3 +24,12 @@ def test_similarities_are_rounded_as_by_c(spark, tmp_path):
     elements.write_predictions(rows, f"{tmp_path}/p")
     found = spark.read.csv(f"{tmp_path}/p", sep="\t", header=True)
     assert {r["id"]: r["jaccard_sim"] for r in found.collect()} == {str(i): f"{x:.4f}" for i, x in enumerate(values)}
+
+
+def test_nearest_is_scanned_in_linear_time(spark):
+    """A frame that ends with the last row is summed up anew for each row; intervals that begin at one place are one."""
+    rows = spark.range(40_000).selectExpr("'k' AS k", "id % 20000 AS p", "3 * (id % 7000) AS s", "3 * (id % 7000) + id % 2 AS e", "id AS n")
+    found = intervals.nearest(rows.select("k", "p"), rows.select("k", "s", "e", "n"), "k", "p", "s", "e", "n")
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    far = {r["p"]: r["distance"] for r in found.collect()}
+    assert far == {p: 0 if p % 6 in (0, 3, 4) else 1 for p in range(20_000)}
