@@ -1,4 +1,4 @@
-"""Links between texts that share most of their word shingles: MinHash bands propose pairs, whole shingle sets decide.
+"""Links between texts that share most of their word shingles: SimHash components and MinHash bands propose pairs, whole shingle sets decide.
 
 A text's set is that of the 64-bit hashes of its ``WORDS``-word shingles (all of its words, if they are fewer); texts of equal
 sets are one class, keyed by a hash of the whole set. ``BANDS`` bands of ``ROWS`` least hashes each bring together the classes
@@ -20,10 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm import simhash_vp
 from strandlake.llm.components import components
 from strandlake.llm.arrays import dealt, mapped, new_folder, save
 from strandlake.llm.text import mix, prefix_hash, span_hash
@@ -101,6 +103,16 @@ def classes(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(apply, rows.select("doc_id", "row").schema.add("key", "long").add("n", "long").add("bands", "binary"))
 
 
+def with_simhash(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``classes`` whose rows also have their SimHash component as a band, if it has other texts: its classes are then compared as those of any band are."""
+    own = staged(simhash_vp.near_duplicates(docs.select(F.xxhash64("text").alias("doc_id"), "text")).select("doc_id", "component_id").distinct(), "simhash")
+    shared = own.groupBy("component_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("component_id")
+    band = own.join(shared, "component_id").select(F.col("doc_id").alias("_row"), F.unhex(F.lpad(F.hex("component_id"), 16, "0")).alias("_band"))
+    both = found.join(band, F.col("row") == F.col("_row"), "left")
+    # texts of one set may lie in several components, so a row has that band even where its task sent the set's bands before
+    return both.withColumn("bands", F.when(F.col("_band").isNull() | (F.col("n") == 0), F.col("bands")).otherwise(F.concat(F.coalesce("bands", F.lit(b"")), "_band"))).drop("_row", "_band")
+
+
 def blocked(start: int, end: int) -> Iterator[list[tuple[int, int]]]:
     """The runs of a band that meet: itself, or every two of its blocks."""
     if end - start <= BLOCK:
@@ -118,7 +130,7 @@ def _dealt(marked: DataFrame, tasks: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.repeat(batch.column(0).to_numpy(), BANDS)
+            keys = np.repeat(batch.column(0).to_numpy(), pc.binary_length(batch.column(1)).to_numpy() // 8)
             h = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64)
             task = (h % np.uint64(tasks)).astype(np.int32)
             order = np.argsort(task, kind="stable")
@@ -357,7 +369,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     when so many documents go that their ids can't be broadcast, or when such rows repeat.
     """
     with temporary(docs.sparkSession):
-        marked = staged(classes(docs), "classes")
+        marked = staged(with_simhash(docs, classes(docs)), "classes")
         roots = components(links(docs, marked))
         placed = staged(marked.join(roots, marked.key == roots.node, "left").select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("at"), F.coalesce("root", "key").alias("root")), "placed")
         heads = placed.groupBy("root").agg(F.min("at").alias("head"), F.count("*").alias("n")).filter("n > 1")

@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.sql import functions as F
 from strandlake.llm import jaccard
 
 from tests.llm import brute
@@ -77,3 +78,15 @@ def test_large_bands(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 4)
     met = {(a, b) for p in jaccard.blocked(0, 9) for s, e in p for a in range(s, e) for t, f in p for b in range(t, f)}
     assert met == {(a, b) for a in range(9) for b in range(9)}
+
+
+def test_simhash_proposes_pairs(spark, monkeypatch):
+    """Without any MinHash band the SimHash components alone bring near copies together; exact similarity decides."""
+    r = random.Random(3)
+    base, other = words(r, 3000), words(r, 3000)
+    texts = [" ".join(base), " ".join(base[:-1]), " ".join(["x", *base]), " ".join(other), "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    alone = lambda found: found.withColumn("bands", F.lit(None).cast("binary"))
+    plain = jaccard.classes
+    monkeypatch.setattr(jaccard, "classes", lambda d: alone(plain(d)))
+    assert sorted(x["doc_id"] for x in jaccard.keep_first(docs).collect()) == [0, 3, 4]  # no words: one class
