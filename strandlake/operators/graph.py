@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+import operator
+from itertools import accumulate, pairwise
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -91,23 +95,136 @@ def compact_graph(parts: DataFrame, clade: str, row_id: str, segment: str, n: in
 LEAST_VARIANT, MOST_VARIANT = 40, 1_000_000
 
 
-def _nearest_turns(anchors: DataFrame, path: list[str]) -> DataFrame:
-    """Adds ``chosen``: of the places of each anchor on the reference (``_at``, sorted), the one nearest to that behind the last one chosen; ties go to the first."""
+#: Steps of a path in one packed row at most, and steps of a clade that are walked at once.
+PACKED_STEPS, WALKED_STEPS = 1000, 500_000
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """(_clade, _path, _contig, _n, _ns, _letters, _sizes): steps that follow each other in a partition as one row, so that what is shuffled is little more than their letters.
+
+    ``_n`` is the first step's place, and ``_ns`` all of them where they are not consecutive.
+    """
+
+    def apply(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            new = np.zeros(len(batch), bool)
+            new[::PACKED_STEPS] = True
+            for name in ("_clade", "_path"):
+                column = batch.column(name)
+                new[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(new)
+            edges, n = [*at.tolist(), len(batch)], batch.column("_n").to_numpy()
+            heads = [batch.column(name).take(pa.array(at)) for name in ("_clade", "_path", "_contig", "_n")]
+            ns = pa.array([None if (np.diff(n[i:j]) == 1).all() else n[i:j] for i, j in pairwise(edges)], pa.list_(pa.int64()))
+            words = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), batch.column("_seq"))
+            sizes = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pc.utf8_length(batch.column("_seq")))
+            yield pa.RecordBatch.from_arrays([*heads, ns, pc.binary_join(words, ""), sizes], names=["_clade", "_path", "_contig", "_n", "_ns", "_letters", "_sizes"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    heads = ", ".join(f"{name} {kinds[name]}" for name in ("_clade", "_path", "_contig"))
+    return rows.select("_clade", "_path", "_contig", "_n", "_seq").mapInArrow(apply, f"{heads}, _n bigint, _ns array<bigint>, _letters string, _sizes array<int>")
+
+
+def _words(packed: DataFrame) -> DataFrame:
+    """(_clade, _contig, _node): the distinct segments of each packed row."""
+
+    def apply(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            words = [list({x[i:j] for i, j in pairwise(accumulate(n, initial=0))}) for x, n in zip(batch.column("_letters").to_pylist(), batch.column("_sizes").to_pylist(), strict=True)]
+            at = pa.array(np.repeat(np.arange(len(batch)), [len(w) for w in words]))
+            yield pa.RecordBatch.from_arrays([batch.column("_clade").take(at), batch.column("_contig").take(at), pa.array([x for w in words for x in w], pa.string())], names=["_clade", "_contig", "_node"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in packed.schema.fields}
+    return packed.select("_clade", "_contig", "_letters", "_sizes").mapInArrow(apply, f"_clade {kinds['_clade']}, _contig {kinds['_contig']}, _node string")
+
+
+def _nearest(places: list[int], at: int) -> int:
+    """Of sorted places the one nearest to ``at``, the first of two."""
+    i = bisect.bisect_left(places, at)
+    if i == len(places) or i and at - places[i - 1] <= places[i] - at:
+        i -= 1
+    return places[i]
+
+
+def _walked(rows: DataFrame, least: int, most: int) -> DataFrame:
+    """The bubbles of packed rows (those of the reference marked by ``_ref``), equal ones of a shard once: places on the reference, both alleles, the paths, and of the first path the distinct nodes between where ``_many`` is set.
+
+    ``ref`` is only there where the kind of the bubble depends on it.
+    """
     from strandlake.operators.selection import _scanned
 
+    def steps(parts: list[tuple]) -> list[str]:
+        order, out = [], []
+        for n, ns, letters, sizes in parts:
+            order += ns or range(n, n + len(sizes))
+            out += [letters[i:j] for i, j in pairwise(accumulate(sizes, initial=0))]
+        if any(map(operator.gt, order, order[1:])):
+            out = [out[i] for i in sorted(range(len(out)), key=order.__getitem__)]
+        return out
+
+    def of_path(words: list[str], size: int, places: dict[str, list[int]]):
+        """gap, ref_start, ref_end, first and last position (exclusive) of what lies between, of each bubble."""
+        before, last, gap = -1, -1, 0
+        for pos, word in enumerate(words):
+            own = places.get(word)
+            if own is None:
+                continue
+            chosen = own[0] if len(own) == 1 else _nearest(own, last + 1)
+            if pos > before + 1 or chosen != last + 1:
+                yield gap, last, chosen if chosen > last else last + 1, before + 1, pos
+            before, last, gap = pos, chosen, gap + 1
+        if before + 1 < len(words):
+            yield gap, last, size, before + 1, len(words)
+
     def work(table, cuts):
         import pyarrow as pa
 
-        places, out = table.column("_at").to_pylist(), []
+        at, rows, found = [], [], [[] for _ in range(8)]
         for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            last = -1
-            for own in places[low:high]:
-                last = own[0] if len(own) == 1 else min(own, key=lambda x: abs(x - last - 1))
-                out.append(last)
-        return table.append_column("chosen", pa.array(out, pa.int64()))
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in anchors.schema.fields)
-    return _scanned(anchors, path, [F.col("_pos")], f"{fields}, chosen bigint", work)
+            group = table.slice(low, high - low)
+            if not group.column("_ref")[0].as_py():
+                continue
+            names, parts = group.column("_path").to_pylist(), list(zip(*(group.column(name).to_pylist() for name in ("_n", "_ns", "_letters", "_sizes")), strict=True))
+            many, edges = group.column("_many")[0].as_py(), [i for i in range(high - low) if not i or names[i] != names[i - 1]] + [high - low]
+            ref, places, known = steps(parts[: edges[1]]), {}, {}
+            sums = [0, *accumulate(map(len, ref))]
+            for i, word in enumerate(ref):
+                places.setdefault(word, []).append(i)
+            for first, end in pairwise(edges[1:]):
+                words = steps(parts[first:end])
+                for gap, start, stop, a, b in of_path(words, len(ref), places):
+                    alt, n = "".join(words[a:b]), max(0, sums[stop] - sums[start + 1])
+                    m = len(alt)
+                    if not least <= max(n, m) <= most or not (n or m):
+                        continue
+                    if (start, stop, alt) in known:
+                        known[start, stop, alt].append(names[first])
+                        continue
+                    known[start, stop, alt] = [names[first]]
+                    allele = "".join(ref[start + 1 : stop]) if n and (n == m or m >= 2 * n) else None
+                    if allele is not None and n != m and not alt.startswith(allele + allele):
+                        allele = None
+                    at.append(low + first)
+                    for column, value in zip(found, (gap, start, stop, alt, n, m, allele, list(set(words[a:b])) if many else None), strict=True):
+                        column.append(value)
+            rows += known.values()
+        out = table.select(["_clade", "_path", "_contig", "_whole"]).take(pa.array(at, pa.int64()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()))
+        for name, column, kind in zip(("_gap", "ref_start", "ref_end", "alt", "ref_len", "alt_len", "ref", "_nodes"), found, kinds, strict=True):
+            out = out.append_column(name, pa.array(column, kind))
+        return out.append_column("paths", pa.array(rows, pa.list_(table.schema.field("_path").type)))
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    heads = ", ".join(f"{name} {kinds[name]}" for name in ("_clade", "_path", "_contig", "_whole"))
+    schema = f"{heads}, _gap bigint, ref_start bigint, ref_end bigint, alt string, ref_len bigint, alt_len bigint, ref string, _nodes array<string>, paths array<{kinds['_path']}>"
+    return _scanned(rows, ["_clade", "_shard"], [F.col("_ref").desc(), F.col("_path"), F.col("_n")], schema, work)
 
 
 def bubble_calls(steps: DataFrame, clade: str, path: str, contig: str, pos: str, segment: str, least: int = LEAST_VARIANT, most: int = MOST_VARIANT, k: int = 15, with_allele: bool = False) -> DataFrame:
@@ -119,62 +236,61 @@ def bubble_calls(steps: DataFrame, clade: str, path: str, contig: str, pos: str,
     (that begins with two copies of the reference's), an insertion or deletion by its length, or complex. ``overlap`` is the share of an allele's k-mers that the reference has, for those of
     100 bases or more; below a twentieth it is off the reference. Equal alleles at one place are one call with all their paths; the first path by name tells its contig. The longest path, by name
     among equals, is the reference. Paths have one contig; a null segment is empty. ``with_allele`` adds the allele's letters (``alt``).
+    A task holds a clade's reference with some ``WALKED_STEPS`` other steps (a path is not cut).
     """
-    from strandlake.functions import sequence as Q
+    rows = steps.select(F.col(clade).alias("_clade"), F.col(path).alias("_path"), F.col(contig).alias("_contig"), F.col(pos).cast("long").alias("_n"), F.coalesce(segment, F.lit("")).alias("_seq"))
+    return _called(_packed(rows.filter("_clade IS NOT NULL AND _path IS NOT NULL")), clade, least, most, k, with_allele)
+
+
+def bubbles_of_paths(paths: DataFrame, clade: str, path: str, contig: str, segments: str, least: int = LEAST_VARIANT, most: int = MOST_VARIANT, k: int = 15, with_allele: bool = False) -> DataFrame:
+    """``bubble_calls`` of paths whose segments are one array of strings a row, in order."""
+    words = F.transform(segments, lambda x: F.coalesce(x, F.lit("")))
+    rows = paths.filter(F.col(clade).isNotNull() & F.col(path).isNotNull() & (F.size(segments) > 0)).select(
+        F.col(clade).alias("_clade"), F.col(path).alias("_path"), F.col(contig).alias("_contig"), F.lit(0).cast("long").alias("_n"), F.lit(None).cast("array<bigint>").alias("_ns"), F.array_join(words, "").alias("_letters"), F.transform(words, F.length).alias("_sizes")
+    )
+    return _called(rows, clade, least, most, k, with_allele)
+
 
-    rows = staged(steps.select(F.col(clade).alias("_clade"), F.col(path).alias("_path"), F.col(contig).alias("_contig"), F.col(pos).cast("long").alias("_n"), F.coalesce(segment, F.lit("")).alias("_seq")).withColumn("_node", F.md5("_seq")), "steps")
-    sizes = rows.groupBy("_clade", "_path").agg(F.sum(F.length("_seq")).alias("_size"), F.max("_n").alias("_end"))
-    longest = staged(sizes.groupBy("_clade").agg(F.min_by("_path", F.struct(-F.col("_size"), F.col("_path"))).alias("_ref")), "longest")
-    ref = rows.join(longest, (rows["_clade"] == longest["_clade"]) & (rows["_path"] == longest["_ref"])).select(rows["_clade"], "_n", "_node", "_seq", F.length("_seq").alias("_len"))
-    order = Window.partitionBy("_clade").orderBy("_n")
-    ref = staged(ref.select("_clade", "_node", "_seq", (F.row_number().over(order) - 1).cast("long").alias("_i"), F.sum("_len").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_sum")), "reference")
-    whole = ref.groupBy("_clade").agg(F.count("*").alias("_count"), F.max("_sum").alias("_total"))
-    occurrences = ref.groupBy("_clade", "_node").agg(F.array_sort(F.collect_list("_i")).alias("_at"))
-    others = rows.join(longest, "_clade").filter("_path != _ref").drop("_ref")
-    ordered = Window.partitionBy("_clade", "_path").orderBy("_n")
-    numbered = staged(others.join(occurrences, ["_clade", "_node"], "left").withColumn("_pos", F.row_number().over(ordered) - 1), "walks")
-    anchors = _nearest_turns(numbered.filter("_at IS NOT NULL").select("_clade", "_path", "_pos", "_at"), ["_clade", "_path"])
-    turns = Window.partitionBy("_clade", "_path").orderBy("_pos")
-    gaps = anchors.select("_clade", "_path", "_pos", "chosen", F.coalesce(F.lag("_pos").over(turns), F.lit(-1)).alias("_from"), F.coalesce(F.lag("chosen").over(turns), F.lit(-1)).alias("_last"), (F.row_number().over(turns) - 1).alias("_gap"))
-    back = F.col("chosen") <= F.col("_last")
-    inner = gaps.filter((F.col("_pos") > F.col("_from") + 1) | (F.col("chosen") > F.col("_last") + 1) | back).select("_clade", "_path", "_gap", F.col("_last").alias("ref_start"), F.when(back, F.col("_last") + 1).otherwise(F.col("chosen")).alias("ref_end"))
-    last = numbered.groupBy("_clade", "_path").agg(F.max(F.when(F.col("_at").isNotNull(), F.col("_pos"))).alias("_a"), F.max("_pos").alias("_p")).filter("_a IS NULL OR _p > _a")
-    final = gaps.groupBy("_clade", "_path").agg(F.max_by("chosen", "_pos").alias("_c"), F.count("*").alias("_k"))
-    tail = last.join(final, ["_clade", "_path"], "left").join(whole, "_clade").select("_clade", "_path", F.coalesce("_k", F.lit(0)).cast("long").alias("_gap"), F.coalesce("_c", F.lit(-1)).cast("long").alias("ref_start"), F.col("_count").alias("ref_end"))
-    bubbles_ = inner.withColumn("_gap", F.col("_gap").cast("long")).unionByName(tail)
-    # nodes between two anchors have the number of anchors before them
-    before = F.coalesce(F.count("_at").over(ordered), F.lit(0))
-    between = numbered.withColumn("_gap", before).filter("_at IS NULL").select("_clade", "_path", "_contig", "_node", "_gap", "_n", "_seq")
-    alleles = between.groupBy("_clade", "_path", "_gap").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_seq"))), lambda x: x["_seq"]), "").alias("alt"))
-    lengths = ref.select("_clade", F.col("_i").alias("_j"), "_sum")
-    until = lambda at, out: [F.col("_clade") == F.col(f"{out}_c"), F.col(at) == F.col(f"{out}_j")]
-    side = lambda out: lengths.select(F.col("_clade").alias(f"{out}_c"), F.col("_j").alias(f"{out}_j"), F.col("_sum").alias(out))
-    placed = bubbles_.join(alleles, ["_clade", "_path", "_gap"], "left").withColumns({"alt": F.coalesce("alt", F.lit("")), "_e": F.col("ref_end") - 1})
-    placed = placed.join(side("_s0"), until("ref_start", "_s0"), "left").join(side("_s1"), until("_e", "_s1"), "left")
-    sized = placed.withColumn("ref_len", F.greatest(F.lit(0), F.coalesce("_s1", F.lit(0)) - F.coalesce("_s0", F.lit(0)))).withColumn("alt_len", F.length("alt").cast("long"))
-    size = F.greatest("ref_len", "alt_len")
-    kept = staged(sized.filter((size > 0) & (size >= least) & (size <= most)).select("_clade", "_path", "_gap", "ref_start", "ref_end", "alt", "ref_len", "alt_len"), "bubbles")
-    # contigs of the nodes between, but for the path's own
-    homes = rows.select("_clade", "_node", "_contig").distinct()
-    foreign = between.select("_clade", "_path", "_gap", "_node", F.col("_contig").alias("_own")).join(kept.select("_clade", "_path", "_gap"), ["_clade", "_path", "_gap"], "left_semi").join(homes, ["_clade", "_node"]).filter("_contig != _own")
-    partners = foreign.groupBy("_clade", "_path", "_gap").agg(F.array_sort(F.collect_set("_contig")).alias("partners"))
-    called = kept.join(partners, ["_clade", "_path", "_gap"], "left")
-    one = called.groupBy("_clade", "ref_start", "ref_end", "alt").agg(F.first("ref_len").alias("ref_len"), F.first("alt_len").alias("alt_len"), F.min_by(F.struct("partners"), F.struct("_path", "_gap")).alias("_p"), F.array_sort(F.collect_list("_path")).alias("paths"))
-    one = staged(one.withColumn("_id", F.md5(F.concat_ws("|", F.col("_clade").cast("string"), "ref_start", "ref_end", "alt"))), "calls")
-    # the reference's allele of those that may be the other strand or copies of it
-    spans = one.filter("ref_len > 0 AND (ref_len = alt_len OR alt_len >= 2 * ref_len)").select("_clade", "_id", F.explode(F.sequence(F.col("ref_start") + 1, F.col("ref_end") - 1)).alias("_i"))
-    alleles_of = spans.join(ref.select("_clade", "_i", "_seq"), ["_clade", "_i"]).groupBy("_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_seq"))), lambda x: x["_seq"]), "").alias("ref"))
+def _called(packed: DataFrame, clade: str, least: int, most: int, k: int, with_allele: bool) -> DataFrame:
+    from strandlake.functions import sequence as Q
+    from strandlake.operators.sketch import BROADCAST_ROWS
+
+    packed = staged(packed, "steps")
+    sizes = packed.groupBy("_clade", "_path").agg(F.sum(F.length("_letters")).alias("_size"), F.sum(F.size("_sizes")).alias("_steps"), F.min("_contig").alias("_c0"), F.max("_contig").alias("_c1"))
+    chosen = F.struct(-F.col("_size"), F.col("_path"))
+    clades = sizes.groupBy("_clade").agg(F.min_by("_path", chosen).alias("_longest"), F.min_by("_steps", chosen).alias("_own"), F.sum("_steps").alias("_steps"), F.coalesce(F.min("_c0") != F.max("_c1"), F.lit(False)).alias("_many"))
+    # a clade of many steps is walked in shards, each with the reference: few enough that its copies are no more than a quarter of the steps
+    shards = F.ceil(F.col("_steps") / F.greatest(F.lit(WALKED_STEPS), 4 * F.col("_own"))).cast("int")
+    clades = staged(clades.select("_clade", "_longest", "_many", shards.alias("_shards")), "clades")
+    count, split = clades.agg(F.count("*"), F.count_if(F.col("_shards") > 1)).first()
+    marked = packed.join(F.broadcast(clades) if count <= BROADCAST_ROWS else clades, "_clade").withColumns({"_ref": F.col("_path") == F.col("_longest"), "_whole": F.col("_shards") == 1})
+    every = F.when(F.col("_ref"), F.sequence(F.lit(0), F.col("_shards") - 1)).otherwise(F.array(F.pmod(F.xxhash64("_path"), F.col("_shards")).cast("int")))
+    found = _walked(marked.select("_clade", F.explode(every).alias("_shard"), "_path", "_contig", "_n", "_ns", "_letters", "_sizes", "_ref", "_many", "_whole"), least, most)
+    named = F.md5(F.concat_ws("|", F.col("_clade").cast("string"), "ref_start", "ref_end", "alt")).alias("_id")
+    one = staged(found.select("*", named), "calls")
+    if split:
+        first = F.min_by(F.struct("_path", "_contig", "_gap", "_nodes"), F.struct("_path", "_gap")).alias("_f")
+        kept = [F.first(c).alias(c) for c in ("_clade", "_whole", "ref_start", "ref_end", "alt", "ref_len", "alt_len", "ref")]
+        met = one.filter("NOT _whole").groupBy("_id").agg(*kept, first, F.array_sort(F.flatten(F.collect_list("paths"))).alias("paths")).select("*", "_f.*").drop("_f")
+        one = staged(one.filter("_whole").unionByName(met), "calls")
+    # contigs of the nodes between, but for the first path's own; a clade of one contig has none
+    homes = _words(packed.join(clades.filter("_many").select("_clade"), "_clade", "left_semi")).select("_clade", "_node", "_contig").distinct()
+    foreign = one.filter("_nodes IS NOT NULL").select("_id", "_clade", F.explode("_nodes").alias("_node"), F.col("_contig").alias("_own")).join(homes, ["_clade", "_node"]).filter("_contig != _own")
+    partners = foreign.groupBy("_id").agg(F.array_sort(F.collect_set("_contig")).alias("partners"))
+    alone = one.filter("_nodes IS NULL").withColumn("partners", F.lit(None).cast("array<string>"))
+    called = one.filter("_nodes IS NOT NULL").join(partners, "_id", "left").unionByName(alone).select("_clade", "_id", "ref_start", "ref_end", "alt", "ref_len", "alt_len", "ref", "partners", "paths")
     words = one.filter(F.col("alt_len") >= LEAST_ALT).select("_clade", "_id", F.explode(F.array_distinct(Q.kmers(F.col("alt"), k))).alias("_w"))
-    known = ref.select("_clade", F.explode(F.array_distinct(Q.kmers(F.col("_seq"), k))).alias("_w")).distinct().withColumn("_known", F.lit(1))
+    ref = _words(marked.filter("_ref"))
+    known = ref.select("_clade", F.explode(F.array_distinct(Q.kmers(F.col("_node"), k))).alias("_w")).distinct().withColumn("_known", F.lit(1))
     overlap = words.join(known, ["_clade", "_w"], "left").groupBy("_id").agg((F.count("_known") / F.count("*")).alias("_overlap"))
-    both = one.join(alleles_of, "_id", "left").join(overlap, "_id", "left")
-    r, a, n, m = F.coalesce("ref", F.lit("")), F.col("alt"), F.col("ref_len"), F.col("alt_len")
+    both = called.join(overlap, "_id", "left")
+    r, a, n, m = F.col("ref"), F.col("alt"), F.col("ref_len"), F.col("alt_len")
     kind = (
-        F.when(F.col("_p.partners").isNotNull(), "TRA").when((n > 0) & (n == m) & (a == Q.reverse_complement(r)), "INV").when((n > 0) & (m >= 2 * n) & F.startswith(a, F.concat(r, r)), "DUP")
+        F.when(F.col("partners").isNotNull(), "TRA").when((n > 0) & (n == m) & (a == Q.reverse_complement(r)), "INV").when((n > 0) & (m >= 2 * n) & F.startswith(a, F.concat(r, r)), "DUP")
         .when(m > n, "INS").when(m < n, "DEL").otherwise("COMPLEX")
     )
     share = F.coalesce("_overlap", F.lit(1.0))
-    return both.select(F.col("_clade").alias(clade), "ref_start", "ref_end", kind.alias("svtype"), "ref_len", "alt_len", (m - n).alias("svlen"), (share < LEAST_OVERLAP).alias("off_ref"), share.alias("overlap"), F.coalesce("_p.partners", F.array().cast("array<string>")).alias("partners"), "paths", *([a] if with_allele else []))
+    return both.select(F.col("_clade").alias(clade), "ref_start", "ref_end", kind.alias("svtype"), "ref_len", "alt_len", (m - n).alias("svlen"), (share < LEAST_OVERLAP).alias("off_ref"), share.alias("overlap"), F.coalesce("partners", F.array().cast("array<string>")).alias("partners"), "paths", *([a] if with_allele else []))
 
 
 def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from strandlake.operators import graph
 
 TURN = str.maketrans("ACGT", "TGCA")
@@ -98,3 +99,33 @@ def test_bubbles(spark, seed):
     found = [(x["clade"], x["ref_start"], x["ref_end"], x["svtype"], x["ref_len"], x["alt_len"], x["svlen"], x["off_ref"], round(x["overlap"], 9), tuple(x["partners"]), tuple(x["paths"])) for x in graph.bubble_calls(frame, "clade", "path", "contig", "pos", "seg").collect()]
     assert len(found) == len(set(found)) and set(found) == plain(clades)
     assert graph.bubble_calls(frame.limit(0), "clade", "path", "contig", "pos", "seg").count() == 0
+
+
+def test_shards_and_rows_in_any_order(spark, monkeypatch):
+    """A clade of many steps is walked in shards, and steps may come in any order; nodes that occur often are one look-up."""
+    r = random.Random(7)
+    monkeypatch.setattr(graph, "PACKED_STEPS", 3)
+    monkeypatch.setattr(graph, "WALKED_STEPS", 40)
+    pool = ["".join(r.choice("ACGT") for _ in range(r.randint(1, 45))) for _ in range(12)]
+    clades = {f"k{c}": {f"p{p:02}": ("one" if c else f"c{p % 3}", [r.choice(pool) for _ in range(r.randint(1, 25))]) for p in range(r.randint(1, 30))} for c in range(3)}
+    ends = ["A" * 20, "C" * 20, "G" * 400]
+    clades["twice"] = {p: ("one", [ends[0], s, *ends[1 : 3 if p == "a" else 2]]) for p, s in {"a": "ACGTT" * 9, "b": "ACGTT" * 18, "c": "AGGTT" * 18, "d": "AACGT" * 9}.items()}
+    rows = [(c, p, contig, i, s) for c, paths in clades.items() for p, (contig, segments) in paths.items() for i, s in enumerate(segments)]
+    frame = spark.createDataFrame(r.sample(rows, len(rows)), "clade string, path string, contig string, pos int, seg string")
+    found = [(x["clade"], x["ref_start"], x["ref_end"], x["svtype"], x["ref_len"], x["alt_len"], x["svlen"], x["off_ref"], round(x["overlap"], 9), tuple(x["partners"]), tuple(x["paths"])) for x in graph.bubble_calls(frame, "clade", "path", "contig", "pos", "seg").collect()]
+    expected = plain(clades)
+    assert {"INS", "DUP", "DEL", "TRA", "INV"} <= {x[3] for x in expected}
+    assert set(found) == expected and len(found) == len(expected)
+
+
+def test_little_more_than_the_letters_is_written(spark):
+    """Steps are written and shuffled many to a row: a row of a step costs several times its letters."""
+    letters = 20 * 400 * 100 * 6
+    frame = spark.range(20 * 400).selectExpr("id % 20 AS clade", "id AS path", "posexplode(transform(sequence(1, 100), i -> substr(md5(concat(id, '-', i)), 1, 6))) AS (pos, seg)").withColumn("contig", F.lit("c"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext.setJobGroup("bubbles", "")
+    graph.bubble_calls(frame, "clade", "path", "contig", "pos", "seg", with_allele=True).drop("overlap", "off_ref").write.format("noop").mode("overwrite").save()
+    stages = {s for j in spark.sparkContext.statusTracker().getJobIdsForGroup("bubbles") for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    shuffled = sum(data.apply(i).shuffleWriteBytes() for s in stages for data in [store.stageData(s, False, spark._jvm.java.util.ArrayList(), False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0))] for i in range(data.size()))
+    assert 0 < shuffled < 4 * letters
