@@ -1,10 +1,14 @@
 """Pairs of reads with common anchors, none lost, against all pairs."""
 
 import random
+from collections import Counter
 from itertools import combinations
 
 import pytest
 from strandlake.operators import sketch
+from strandlake.session import staged
+
+from tests.measured import shuffled
 
 
 def pairs_of(sets, least):
@@ -35,3 +39,30 @@ def test_a_hub_of_ten_thousand_reads_ends(spark):
     classes = sketch.anchor_classes(rows, "read")
     assert sketch.exact_anchor_pairs(classes, "read").count() == 9_999
     assert sketch.exact_anchor_pairs(classes.limit(0), "read").count() == 0
+
+
+def test_many_cells_and_members(spark, monkeypatch):
+    """Sets dealt into many blocks, counted some at a time: all pairs once, the smaller id first, with what each stands for."""
+    monkeypatch.setattr(sketch, "CELL_POSTINGS", 60)
+    monkeypatch.setattr(sketch, "COUNTED", 7)
+    r = random.Random(5)
+    sets = {f"r{i}": {f"h{r.randint(0, 40)}" for _ in range(r.randint(1, 8))} for i in range(200)} | {f"c{i}": {"h1", "h2", "h3"} for i in range(5)}
+    expected, first = pairs_of(sets, 2)
+    members = Counter(first.values())
+    rows = spark.createDataFrame([(i, h) for i, s in sets.items() for h in s], "read string, h string")
+    found = list(map(tuple, sketch.exact_anchor_pairs(sketch.anchor_classes(rows, "read"), "read", members=True).collect()))
+    assert set(found) == {(a, b, n, members[a], members[b]) for a, b, n in expected} and len(found) == len(expected)
+
+
+def test_no_set_is_sent_with_each_of_its_pairs(spark):
+    """300 sets of 100 anchors make 44,850 pairs: sets are shuffled once for each block."""
+    rows = spark.range(300).selectExpr("id AS read", "explode(transform(sequence(0, 99), i -> md5(cast(floor((i * 300 + id) / if(i < 3, 1000, 2)) AS string)))) AS h")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        classes = staged(sketch.anchor_classes(rows, "read"), "classes")
+        with shuffled(spark) as total:
+            sketch.exact_anchor_pairs(classes, "read").write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert 0 < total[0] < 300 * 100 * 32 * 10

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 from strandlake.operators import graph
 
+from tests.measured import shuffled
+
 TURN = str.maketrans("ACGT", "TGCA")
 
 
@@ -122,10 +124,6 @@ def test_little_more_than_the_letters_is_written(spark):
     """Steps are written and shuffled many to a row: a row of a step costs several times its letters."""
     letters = 20 * 400 * 100 * 6
     frame = spark.range(20 * 400).selectExpr("id % 20 AS clade", "id AS path", "posexplode(transform(sequence(1, 100), i -> substr(md5(concat(id, '-', i)), 1, 6))) AS (pos, seg)").withColumn("contig", F.lit("c"))
-    store = spark.sparkContext._jsc.sc().statusStore()
-    spark.sparkContext.setJobGroup("bubbles", "")
-    graph.bubble_calls(frame, "clade", "path", "contig", "pos", "seg", with_allele=True).drop("overlap", "off_ref").write.format("noop").mode("overwrite").save()
-    stages = {s for j in spark.sparkContext.statusTracker().getJobIdsForGroup("bubbles") for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds}
-    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    shuffled = sum(data.apply(i).shuffleWriteBytes() for s in stages for data in [store.stageData(s, False, spark._jvm.java.util.ArrayList(), False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0))] for i in range(data.size()))
-    assert 0 < shuffled < 4 * letters
+    with shuffled(spark) as total:
+        graph.bubble_calls(frame, "clade", "path", "contig", "pos", "seg", with_allele=True).drop("overlap", "off_ref").write.format("noop").mode("overwrite").save()
+    assert 0 < total[0] < 4 * letters
