@@ -11,15 +11,46 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _log_choose(n: int, k: np.ndarray) -> np.ndarray:
-    """log of n over k; the logarithms of factorials are sums of one table."""
+#: Logarithms of factorials come from a table up to here; beyond it the first terms of Stirling's series are as exact as doubles.
+TABLED = 1 << 20
+_LOG_FACTORIAL = np.zeros(1)
+
+
+def _log_factorial(n: np.ndarray) -> np.ndarray:
+    """log of n!; what is held does not grow with n."""
     global _LOG_FACTORIAL
-    if len(_LOG_FACTORIAL) <= n:
-        _LOG_FACTORIAL = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 2 * n + 1024, dtype=np.float64)))])
-    return _LOG_FACTORIAL[n] - _LOG_FACTORIAL[k] - _LOG_FACTORIAL[n - k]
+    n = np.asarray(n)
+    most = int(n.max(initial=0))
+    if len(_LOG_FACTORIAL) <= min(most, TABLED):
+        _LOG_FACTORIAL = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, min(2 * most + 1024, TABLED + 1), dtype=np.float64)))])
+    table = _LOG_FACTORIAL
+    out = table[np.minimum(n, len(table) - 1)]
+    if most < len(table):
+        return out
+    x = np.maximum(n, 1).astype(np.float64)
+    return np.where(n < len(table), out, x * np.log(x) - x + 0.5 * np.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x**3))
 
 
-_LOG_FACTORIAL = np.zeros(1)
+def _log_choose(n: int, k: np.ndarray) -> np.ndarray:
+    """log of n over k."""
+    return _log_factorial(np.array(n)) - _log_factorial(k) - _log_factorial(n - k)
+
+
+def _law(log_chance, low: int, high: int, mode: int) -> tuple[int, np.ndarray]:
+    """The first value from ``low`` to ``high`` whose probability is not zero as a double, and the probabilities from there on; the law falls to both sides of ``mode``, so the rest is not computed."""
+
+    def edge(inside: int, outside: int) -> int:
+        some = lambda x: log_chance(np.array([x]))[0] > -746
+        if some(outside):
+            return outside
+        while abs(inside - outside) > 1:
+            middle = (inside + outside) // 2
+            inside, outside = (middle, outside) if some(middle) else (inside, middle)
+        return inside
+
+    mode = min(max(mode, low), high)
+    first = edge(mode, low)
+    return first, np.exp(log_chance(np.arange(first, edge(mode, high) + 1)))
 
 
 def fisher_right_value(a: int, b: int, c: int, d: int) -> float:
@@ -70,9 +101,7 @@ def fisher_right_values(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarr
 
     def table(g: np.ndarray) -> tuple[int, np.ndarray]:
         row, column, n = (int(v) for v in g)
-        first = max(0, row + column - n)
-        x = np.arange(first, min(row, column) + 1)
-        return first, np.exp(_log_choose(row, x) + _log_choose(n - row, column - x) - _log_choose(n, np.array(column)))
+        return _law(lambda x: _log_choose(row, x) + _log_choose(n - row, column - x) - _log_choose(n, np.array(column)), max(0, row + column - n), min(row, column), (row + 1) * (column + 1) // (n + 2))
 
     return _tails(np.column_stack([a + b, a + c, a + b + c + d]), a, table)
 
@@ -84,8 +113,7 @@ def binomial_tail_values(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndar
 
     def table(g: np.ndarray) -> tuple[int, np.ndarray]:
         size, rate = int(g[0]), float(g[1])
-        x = np.arange(size + 1)
-        return 0, np.exp(_log_choose(size, x) + x * math.log(rate) + (size - x) * math.log1p(-rate))
+        return _law(lambda x: _log_choose(size, x) + x * math.log(rate) + (size - x) * math.log1p(-rate), 0, size, int((size + 1) * rate))
 
     if len(inner):
         out[inner] = _tails(np.column_stack([n[inner].astype(np.float64), p[inner]]), k[inner], table)

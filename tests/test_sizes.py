@@ -1,6 +1,11 @@
 """What only larger tables show: tables that are folders of files, and similarities that lie half-way."""
 
+import math
+import tracemalloc
+
 import duckdb
+import numpy as np
+from strandlake.functions import stats
 from strandlake.operators import elements, intervals
 from strandlake.plans import catalog
 
@@ -33,3 +38,20 @@ def test_nearest_is_scanned_in_linear_time(spark):
     assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
     far = {r["p"]: r["distance"] for r in found.collect()}
     assert far == {p: 0 if p % 6 in (0, 3, 4) else 1 for p in range(20_000)}
+
+
+def test_exact_tests_hold_no_more_for_larger_counts():
+    """Of a law over millions only what lies around its mode is not zero; factorials of any size come from a table of bounded length."""
+    a, b, c, d = 2_501_000, 7_500_000, 2_500_000, 7_499_000
+    row, column, n = a + b, a + c, a + b + c + d
+    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    exact = sum(math.exp(choose(row, x) + choose(n - row, column - x) - choose(n, column)) for x in range(a, a + 60_000))
+    tail = sum(math.exp(choose(n, x) + x * math.log(0.25) + (n - x) * math.log(0.75)) for x in range(5_002_000, 5_060_000))
+    tracemalloc.start()
+    found = stats.fisher_right_values(*(np.array([x]) for x in (a, b, c, d)))
+    found2 = stats.binomial_tail_values(np.array([5_002_000]), np.array([n]), np.array([0.25]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert math.isclose(found[0], exact, rel_tol=1e-4) and 0.05 < exact < 0.95
+    assert math.isclose(found2[0], tail, rel_tol=1e-4) and 0.01 < tail < 0.95
+    assert peak < 64 << 20
