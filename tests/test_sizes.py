@@ -5,7 +5,8 @@ import tracemalloc
 
 import duckdb
 import numpy as np
-from strandlake.functions import stats
+from pyspark.sql import functions as F
+from strandlake.functions import sequence, stats
 from strandlake.operators import elements, intervals
 from strandlake.plans import catalog
 
@@ -55,3 +56,13 @@ def test_exact_tests_hold_no_more_for_larger_counts():
     assert math.isclose(found[0], exact, rel_tol=1e-4) and 0.05 < exact < 0.95
     assert math.isclose(found2[0], tail, rel_tol=1e-4) and 0.01 < tail < 0.95
     assert peak < 64 << 20
+
+
+def test_codons_are_counted_without_a_lambda(spark):
+    """Stops of the first frame only, the last part codon left out, and no expression that is worked off codon by codon."""
+    seqs = ["", "TA", "TAA", "ATAATG", "TAATAGTGATA", "TTAATAAA", "ATGATGTAAATGTA" * 50, "TGATTGATGA"]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)], "i int, s string")
+    found = rows.select("i", sequence.codon_count(F.col("s"), "TAA", "TAG", "TGA").alias("n"), sequence.codon_count(F.col("s"), "ATG").alias("m"))
+    assert "lambda" not in found._jdf.queryExecution().toString()
+    cut = [[s[i : i + 3] for i in range(0, len(s) - 2, 3)] for s in seqs]
+    assert {r["i"]: (r["n"], r["m"]) for r in found.collect()} == {i: (sum(x in ("TAA", "TAG", "TGA") for x in c), c.count("ATG")) for i, c in enumerate(cut)}
