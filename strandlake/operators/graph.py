@@ -8,6 +8,8 @@ from itertools import accumulate, pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -407,15 +409,18 @@ def unique_links(kmers: DataFrame, kmer: str) -> DataFrame:
     return met.filter("_na = 1 AND _nb = 1 AND a != b").select("a", "b")
 
 
-def ranked_in_chains(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, head, rank) of nodes on chains of links (a, b), each with at most one link in and one out; a cycle is cut before its least node.
+def ranked_in_chains(nodes: DataFrame, links: DataFrame, rings: bool = True) -> DataFrame:
+    """(node, head, rank) of nodes on chains of links (a, b), each with at most one link in and one out; a cycle is cut before its least node, or left out without ``rings``.
+
+    A rank is the sum of the links' ``step`` from the head, or their number if they have none.
 
     Pointers to earlier nodes are doubled, so a chain of n nodes takes log n joins. A node points where no other one does until it has found its head, so no join has a
     hot key. When a round settles no node, only cycles are left; there the least node of the way back is kept until it no longer changes.
     """
     own = nodes.select(F.col(nodes.columns[0]).alias("node"))
-    first = own.join(links.select(F.col("b").alias("node"), F.col("a").alias("ptr")), "node", "left")
-    state = staged(first.select("node", F.coalesce("ptr", "node").alias("ptr"), F.when(F.col("ptr").isNull(), 0).otherwise(1).cast("long").alias("rank"), F.col("ptr").isNull().alias("done"), F.least("node", "ptr").alias("least")), "chains")
+    step = F.col("step") if "step" in links.columns else F.lit(1)
+    first = own.join(links.select(F.col("b").alias("node"), F.col("a").alias("ptr"), step.alias("_step")), "node", "left")
+    state = staged(first.select("node", F.coalesce("ptr", "node").alias("ptr"), F.when(F.col("ptr").isNull(), 0).otherwise(F.col("_step")).cast("long").alias("rank"), F.col("ptr").isNull().alias("done"), F.least("node", "ptr").alias("least")), "chains")
     settled, open_ = state.filter("done"), state.filter("NOT done")
     left = open_.count()
     while left:
@@ -429,11 +434,11 @@ def ranked_in_chains(nodes: DataFrame, links: DataFrame) -> DataFrame:
             break
         left = now
     out = settled.select("node", F.col("ptr").alias("head"), "rank")
-    if not left:
+    if not left or not rings:
         return out
-    rings = staged(open_.select("node", "least"), "rings")
-    inside = links.join(rings.select(F.col("node").alias("b"), "least"), "b").filter("b != least").select("a", "b")
-    return out.unionByName(ranked_in_chains(rings.select("node"), staged(inside, "cut")))
+    turning = staged(open_.select("node", "least"), "rings")
+    inside = links.join(turning.select(F.col("node").alias("b"), "least"), "b").filter("b != least").select(*links.columns)
+    return out.unionByName(ranked_in_chains(turning.select("node"), staged(inside, "cut")))
 
 
 def unitigs(kmers: DataFrame, kmer: str, count: str, piece: int = 10_000) -> DataFrame:
@@ -448,3 +453,173 @@ def unitigs(kmers: DataFrame, kmer: str, count: str, piece: int = 10_000) -> Dat
     letter = F.when(F.col("rank") == 0, F.col("node")).otherwise(F.expr("right(node, 1)"))
     found = placed.groupBy("head", "part").agg(F.count("*").alias("kmers"), F.array_sort(F.collect_list(F.struct("rank", letter.alias("x")))).alias("_l"), F.sum("_n").alias("support"))
     return found.select("head", "part", "kmers", F.array_join(F.transform("_l", lambda x: x["x"]), "").alias("seq"), "support")
+
+
+#: Letters whose k-mers are counted at once, k-mers of a row that is shuffled, and k-mers of a bucket as far as they are evenly spread.
+COUNTED_LETTERS, ROW_KMERS, BUCKET_KMERS = 4_000_000, 256, 3_000_000
+
+
+def _codes(seqs: pa.Array, k: int) -> np.ndarray:
+    """The k-mers of all sequences, two bits a letter; those with letters other than ACGT are left out."""
+    values = np.full(256, 255, np.uint8)
+    values[list(b"ACGT")] = range(4)
+    seqs = seqs.cast(pa.large_binary())
+    offsets = np.frombuffer(seqs.buffers()[1], np.int64)[seqs.offset : seqs.offset + len(seqs) + 1]
+    letters = values[np.frombuffer(seqs.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]]
+    n = len(letters) - k + 1
+    if n < 1:
+        return np.empty(0, np.int64)
+    # of a window that is left out, a bad letter or an end lies in it
+    bad = np.zeros(len(letters) + 1, np.int32)
+    bad[1:] = np.cumsum(letters > 3)
+    ends = np.zeros(len(letters) + 1, np.int32)
+    np.add.at(ends, offsets[1:-1] - offsets[0], 1)
+    ends = np.cumsum(ends)
+    whole = (bad[k : k + n] == bad[:n]) & (ends[k - 1 : k - 1 + n] == ends[:n])
+    codes, width = (letters & 3).astype(np.int64), 1
+    while width < k:
+        more = min(width, k - width)
+        codes = (codes[: len(codes) - more] << (2 * more)) | (codes[more:] & ((1 << 2 * more) - 1))
+        width += more
+    return codes[whole]
+
+
+def _buckets(codes: np.ndarray, k: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the k-mers' first and last k - 1 letters: by the least hash of the words in them, which neighbours mostly share."""
+    size = max(1, k - 5)
+    mask = (1 << 2 * size) - 1
+    hashes = [(((codes >> (2 * (k - size - i))) & mask).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) for i in range(k - size + 1)]
+    hashes = [h ^ (h >> np.uint64(31)) for h in hashes]
+    inner = hashes[1:-1] or [np.full(len(codes), np.iinfo(np.uint64).max)]
+    middle = inner[0]
+    for h in inner[1:]:
+        middle = np.minimum(middle, h)
+
+    def dealt(least: np.ndarray) -> np.ndarray:
+        return (((least * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+
+    return dealt(np.minimum(hashes[0], middle)), dealt(np.minimum(middle, hashes[-1]))
+
+
+def _sums(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and the sums of their counts."""
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[order]
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.empty(0, np.int64)
+    return codes[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _ways(codes: np.ndarray, counts: np.ndarray, k: int, bucket: int, buckets: int) -> pa.Table:
+    """The ways of two k-mers and more that one bucket's overlaps make of its k-mers; a way is open at an end whose overlap is another bucket's. Rings are left out."""
+    codes, counts = _sums(codes, counts)
+    left, right = (b == bucket for b in _buckets(codes, k, buckets))
+    n, mask = len(codes), (1 << 2 * (k - 1)) - 1
+
+    def single(middles: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Overlaps that one k-mer alone has, and that k-mer."""
+        at = np.flatnonzero(own)
+        found, first, number = np.unique(middles[at], return_index=True, return_counts=True)
+        return found[number == 1], at[first[number == 1]]
+
+    before, a = single(codes & mask, right)
+    after, b = single(codes >> 2, left)
+    _, x, y = np.intersect1d(before, after, assume_unique=True, return_indices=True)
+    a, b = a[x], b[y]
+    a, b = a[a != b], b[a != b]
+    # heads by pointer doubling; what has not found one when all chains must have is a ring
+    ptr, rank, head = np.arange(n), np.zeros(n, np.int64), np.ones(n, bool)
+    ptr[b], rank[b], head[b] = a, 1, False
+    for _ in range(max(1, n).bit_length()):
+        if head[ptr].all():
+            break
+        rank, ptr = rank + rank[ptr], ptr[ptr]
+    linked = ~head
+    linked[a] = True
+    at = np.flatnonzero(linked & head[ptr])
+    at = at[np.lexsort((rank[at], ptr[at]))]
+    starts = np.flatnonzero(head[at])
+    ends = np.append(starts[1:], len(at))
+    first, last = at[starts], at[ends - 1] if len(at) else at
+    letters = np.frombuffer(b"ACGT", np.uint8)[codes[at] & 3]
+    offsets = np.append(starts, len(at)).astype(np.int32)
+    support = np.add.reduceat(counts[at], starts) if len(at) else counts[:0]
+    return pa.table({
+        "first": pa.array(codes[first]), "last": pa.array(codes[last]), "open_left": pa.array(~left[first]), "open_right": pa.array(~right[last]), "kmers": pa.array((ends - starts).astype(np.int64)),
+        "support": pa.array(support), "first_count": pa.array(counts[first]), "letters": pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(letters.tobytes())),
+    })
+
+
+def unitigs_of_sequences(rows: DataFrame, seq: str, k: int, least: int = 2, piece: int = 10_000) -> DataFrame:
+    """(head, part, kmers, seq, support): the ways of ``least`` (two at least) k-mers and more that do not branch in the graph of all k-mers of ACGT sequences, in parts.
+
+    As ``unitigs``, for k of 3 to 31, but k-mers are shuffled once: as numbers, counted a few million letters at a time, and dealt by the least hash in their overlaps, so that most ways are whole
+    in a bucket. Only ways that go on in another bucket are chained by joins, and k-mers without a neighbour are not written again. A part is made of whole ways of buckets, and a new one
+    begins every ``piece`` k-mers. Rings have no head, and are left out.
+    """
+    from strandlake.operators.selection import _scanned
+
+    if not 3 <= k <= 31 or least < 2:
+        raise ValueError("k is from 3 to 31, and a way has two k-mers at least")
+    spark = rows.sparkSession
+    total = rows.agg(F.sum(F.length(seq)).cast("long")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_KMERS))
+
+    def dealt(seqs: pa.Array) -> pa.RecordBatch:
+        codes = _codes(seqs, k)
+        codes, counts = _sums(codes, np.ones(len(codes), np.int64))
+        left, right = _buckets(codes, k, buckets)
+        twice = np.flatnonzero(left != right)
+        bucket = np.concatenate([left, right[twice]])
+        order = np.argsort(bucket, kind="stable")
+        bucket, codes, counts = bucket[order], np.concatenate([codes, codes[twice]])[order], np.concatenate([counts, counts[twice]])[order]
+        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
+        sizes = np.diff(np.append(starts, len(bucket)))
+        rows_ = -(-sizes // ROW_KMERS)
+        at = np.repeat(starts, rows_) + ROW_KMERS * (np.arange(rows_.sum()) - np.repeat(np.cumsum(rows_) - rows_, rows_))
+        offsets = pa.array(np.append(at, len(bucket)).astype(np.int32))
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[at]), "codes": pa.ListArray.from_arrays(offsets, pa.array(codes)), "counts": pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32)))})
+
+    def deal(batches):
+        for batch in batches:
+            seqs = batch.column(0).drop_null()
+            sizes = np.cumsum(pc.binary_length(seqs).to_numpy(zero_copy_only=False).astype(np.int64))
+            low = 0
+            while low < len(seqs):
+                high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + COUNTED_LETTERS, "right")))
+                made = dealt(seqs.slice(low, high - low))
+                # few rows at a time, as a row has hundreds of k-mers
+                yield from (made.slice(i, 2000) for i in range(0, len(made), 2000))
+                low = high
+
+    def work(table: pa.Table, cuts: np.ndarray):
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            some = table.slice(low, high - low)
+            codes, counts = (np.concatenate([pc.list_flatten(c).to_numpy(zero_copy_only=False) for c in some.column(name).chunks]).astype(np.int64) for name in ("codes", "counts"))
+            ways = _ways(codes, counts, k, some.column("bucket")[0].as_py(), buckets)
+            # a way that is shut at both ends is whole
+            yield ways.filter(pc.or_(pc.or_(ways.column("open_left"), ways.column("open_right")), pc.greater_equal(ways.column("kmers"), least)))
+
+    fields = "first bigint, last bigint, open_left boolean, open_right boolean, kmers bigint, support bigint, first_count bigint, letters string"
+    dealt_rows = rows.select(seq).mapInArrow(deal, "bucket int, codes array<bigint>, counts array<int>")
+    ways = staged(_scanned(dealt_rows, ["bucket"], [], fields, work), "ways")
+    # of two ways that share a k-mer, one ends and the other begins with it
+    links = staged(ways.filter("open_right").select(F.col("first").alias("a"), F.col("last").alias("b"), (F.col("kmers") - 1).alias("step")).join(ways.filter("open_left").select(F.col("first").alias("b")), "b").select("a", "b", "step"), "links")
+    heads = links.select(F.col("a").alias("node")).join(links.select(F.col("b").alias("node")), "node", "left_anti")
+    ranked = staged(ranked_in_chains(links.select(F.col("b").alias("node")).unionByName(heads), links, False), "ranked")
+    # ways of chains without a head are on rings
+    on_chain = ranked.select(F.col("node").alias("first"), "head", "rank")
+    chained = ways.join(links.select(F.col("a").alias("first")).unionByName(links.select(F.col("b").alias("first"))).distinct(), "first", "left_semi").join(on_chain, "first")
+    alone = ways.filter(F.col("kmers") >= least).join(links.select(F.col("a").alias("first")).unionByName(links.select(F.col("b").alias("first"))), "first", "left_anti").withColumn("head", F.col("first")).withColumn("rank", F.lit(0).cast("long"))
+    later = F.col("rank") > 0
+    placed = alone.unionByName(chained).select(
+        "head", "rank", F.floor(F.col("rank") / piece).cast("long").alias("part"), (F.col("kmers") - later.cast("int")).alias("kmers"), (F.col("support") - F.when(later, F.col("first_count")).otherwise(0)).alias("support"),
+        F.when(later, F.expr("substring(letters, 2)")).otherwise(F.col("letters")).alias("x"),
+    )
+    parts = placed.groupBy("head", "part").agg(F.sum("kmers").alias("kmers"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "x"))), lambda x: x["x"]), "").alias("x"), F.sum("support").alias("support"))
+    if least > 2:
+        parts = staged(parts, "parts")
+        parts = parts.join(parts.groupBy("head").agg(F.sum("kmers").alias("_all")).filter(F.col("_all") >= least).select("head"), "head", "left_semi")
+    letters = F.transform(F.sequence(F.lit(k - 1), F.lit(0), F.lit(-1)), lambda i: F.substring(F.lit("ACGT"), F.call_function("shiftright", F.col("head"), (2 * i).cast("int")).bitwiseAND(3).cast("int") + 1, F.lit(1)))
+    named = parts.withColumn("_name", F.array_join(letters, ""))
+    # the first letter that a head adds is its own last one
+    return named.select(F.col("_name").alias("head"), "part", "kmers", F.when(F.col("part") == 0, F.concat(F.left("_name", F.lit(k - 1)), "x")).otherwise(F.col("x")).alias("seq"), "support")

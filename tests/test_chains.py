@@ -116,3 +116,25 @@ def test_ancestral_bases(spark):
         *expected, mean = plain_ancestral(q or "", ref or "", kind)
         assert found[i][:3] == tuple(expected) and found[i][3] == pytest.approx(mean)
     assert found[1000][0] == "ACGA" and found[1001][3] == pytest.approx((3 * 0.995 + 3 * 0.55) / 6)
+
+
+@pytest.mark.parametrize(("k", "letters"), [(9, 4_000_000), (9, 150), (15, 100), (3, 50)])
+def test_unitigs_of_sequences(spark, monkeypatch, k, letters):
+    monkeypatch.setattr(graph, "COUNTED_LETTERS", letters)
+    monkeypatch.setattr(graph, "BUCKET_KMERS", 20)
+    monkeypatch.setattr(graph, "ROW_KMERS", 3)
+    r = random.Random(8)
+    dna = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    shared, ring = dna(40), dna(31)
+    # a ring of 31 k-mers that nothing else meets, and one that has a tail
+    texts = [dna(60) + shared + dna(30), dna(20) + shared + dna(50), "A" * 20, ring + ring[: k + 5], "ACGGT" * 9 + dna(30), dna(11), shared[5:30], "", None, dna(400), dna(9) + "N" + dna(20)]
+    kmers = Counter(t[i : i + k] for t in texts if t for i in range(len(t) - k + 1) if "N" not in t[i : i + k])
+    turning = {ring[i:] + ring[:i] for i in range(31)}
+    expected = {w for w in plain_unitigs(kmers) if len(w[1]) > k and w[1][:31] not in turning}
+    for piece in (4, 10_000):
+        ways = defaultdict(list)
+        for x in graph.unitigs_of_sequences(spark.createDataFrame([(t,) for t in texts], "seq string"), "seq", k, piece=piece).collect():
+            ways[x["head"]].append((x["part"], x["seq"], x["kmers"], x["support"]))
+        found = {(h, "".join(s for _, s, _, _ in sorted(p)), sum(n for *_, n in p)) for h, p in ways.items()}
+        assert found == expected
+        assert all(sum(n for _, _, n, _ in p) == len("".join(s for _, s, _, _ in p)) - k + 1 for p in ways.values())
