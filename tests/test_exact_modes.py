@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from strandlake.functions import stats
 from strandlake.operators import calling, detectors, evaluation, graph, sketch
+from strandlake.operators.selection import top_per_key
 
 
 def test_matches_of_a_long_chain_of_pairs(spark):
@@ -188,3 +189,27 @@ def test_segments_that_are_alike_are_one_node(spark):
     steps = spark.createDataFrame([("k", p, "c", i, s) for p, own in paths.items() for i, s in enumerate(own)], "clade string, path string, contig string, pos int, seg string")
     found = {(x["svtype"], x["ref_len"], x["alt_len"]): x["paths"] for x in graph.bubble_calls(steps, "clade", "path", "contig", "pos", "seg").collect()}
     assert found == {("DUP", 200, 400): ["p", "q"], ("DEL", 200, 0): ["s"]}
+
+
+@pytest.mark.parametrize(("measure", "digits", "k"), [("jaccard", 6, 3), ("containment", None, 1), ("overlap", None, 4), ("jaccard", 1, 2)])
+def test_best_pairs_hold_the_best_of_all_pairs(spark, monkeypatch, measure, digits, k):
+    r = random.Random(16)
+    sets = [(i, i % 3, {f"{r.randrange(60)}" for _ in range(r.randrange(1, 20))}) for i in range(150)]
+    sets += [(200 + i, i % 2, sets[0][2]) for i in range(40)]
+    ref = spark.createDataFrame([(i, p if i % 7 else None, h) for i, p, s in sets for h in s], "reference long, part int, h string")
+    q = ref.filter("reference % 10 = 0").select(F.col("reference").alias("query"), "h")
+    score = F.round(F.col(measure), digits) if digits else F.col(measure)
+    every = sketch.similarities(q, ref.select("reference", "h")).withColumn("overlap", F.greatest("jaccard", "containment")).filter("query != reference")
+    monkeypatch.setattr(sketch, "PAIRS_AT_ONCE", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        for part in (None, "part"):
+            for last in (False, True):
+                whole = every.join(ref.select("reference", "part").distinct(), "reference")
+                order = [score.desc(), F.col("reference").desc() if last else F.col("reference")]
+                keys, columns = (["query", part], ["query", "reference", "shared", measure]) if part else (["query"], ["query", "reference", "shared", measure])
+                some = sketch.best_pairs(q, ref, k, measure, digits, part, last, True).cache()
+                best = [sorted(map(tuple, top_per_key(x, keys, order, k).select(columns).collect())) for x in (whole, some)]
+                assert best[0] == best[1] and some.count() < whole.count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
