@@ -1,11 +1,13 @@
 """Nothing is lost in silence: fixpoints in place of rounds, and exact modes beside the caps."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from strandlake.functions import stats
+from strandlake.functions import evidence, stats
 from strandlake.operators import calling, detectors, evaluation, graph, sketch
 from strandlake.operators.selection import top_per_key
 
@@ -213,3 +215,13 @@ def test_best_pairs_hold_the_best_of_all_pairs(spark, monkeypatch, measure, digi
                 assert best[0] == best[1] and some.count() < whole.count()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_similarities_of_ends_hold_one_pair_of_texts_at_a_time():
+    texts = pa.array([f"{i}" + "x" * 200_000 for i in range(40)])
+    tracemalloc.start()
+    try:
+        found = evidence.end_similarity.func(texts, texts)
+        assert found.to_pylist() == [1.0] * 40 and tracemalloc.get_traced_memory()[1] < 8_000_000
+    finally:
+        tracemalloc.stop()
