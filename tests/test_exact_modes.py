@@ -225,3 +225,14 @@ def test_similarities_of_ends_hold_one_pair_of_texts_at_a_time():
         assert found.to_pylist() == [1.0] * 40 and tracemalloc.get_traced_memory()[1] < 8_000_000
     finally:
         tracemalloc.stop()
+
+
+@pytest.mark.parametrize("most", [30, 0])
+def test_best_pairs_of_more_postings_than_a_worker_holds(spark, monkeypatch, most):
+    ref = spark.createDataFrame([(i, i % 2, f"{(i * 7 + j) % 40}") for i in range(30) for j in range(8)], "reference long, part int, h string")
+    # most of the query's postings are of no reference
+    q = spark.createDataFrame([(3, f"{j}") for j in range(60)] + [(3, f"{j}x") for j in range(60)], "query long, h string").filter("h < '3'")
+    rank = lambda x: sorted(map(tuple, top_per_key(x, ["query", "part"], [F.col("containment").desc(), F.col("reference")], 2).select("query", "reference", "part", "shared", "containment").collect()))
+    whole = rank(sketch.best_pairs(q, ref, 2, "containment", part="part", drop_self=True))
+    monkeypatch.setattr(sketch, "INDEX_POSTINGS", most)
+    assert rank(sketch.best_pairs(q, ref, 2, "containment", part="part", drop_self=True)) == whole and len(whole) == 4
