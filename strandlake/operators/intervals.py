@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,9 +51,32 @@ def running(rows: DataFrame, keys: list[str], at: str, order: list, value: Colum
     return both.withColumn(name, joined).drop("_range", "_value", "_carried", *named.values())
 
 
-def islands(rows: DataFrame, keys: list[str], start: str, end: str, gap: int = 0, order: list | None = None, width: int | None = None) -> DataFrame:
-    """Adds ``_island``, the first start of the run of intervals that overlap, or come within ``gap``."""
+#: Rows that one task sorts, as far as keys allow.
+TASK_ROWS = 1_000_000
+
+
+def tasks_for(rows: DataFrame, n: int) -> int:
+    """How many tasks sort n rows: more for a larger table, so that a task's memory doesn't grow with it."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / TASK_ROWS))
+
+
+def in_one_range(rows: DataFrame, at: str, width: int | None = None) -> int:
+    """In how many tasks a table's keys are to be scanned whole, as nothing is carried if all positions lie in one range; 0 if they lie in several. Reads that column once."""
+    low, high, n = rows.select(F.floor(F.col(at) / (width or RANGE)).alias("_range")).agg(F.min("_range"), F.max("_range"), F.count("*")).first()
+    return tasks_for(rows, n) if low == high else 0
+
+
+def islands(rows: DataFrame, keys: list[str], start: str, end: str, gap: int = 0, order: list | None = None, width: int | None = None, tasks: int = 0) -> DataFrame:
+    """Adds ``_island``, the first start of the run of intervals that overlap, or come within ``gap``.
+
+    With ``tasks``, which ``in_one_range`` tells, one shuffle and one sort do, and rows stay where their keys are.
+    """
     order = order or [F.col(start), F.col(end)]
+    if tasks:
+        line = Window.partitionBy(*keys).orderBy(*order)
+        before = rows.repartition(tasks, *keys).withColumn("_before", F.max(end).over(line.rowsBetween(Window.unboundedPreceding, -1)))
+        new = F.when(F.col("_before").isNull() | (F.col(start) > F.col("_before") + gap), F.col(start))
+        return before.withColumn("_first", new).withColumn("_island", F.max("_first").over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("_before", "_first")
     before = running(rows, keys, start, order, F.col(end), "_before", "max", False, width=width)
     new = F.when(F.col("_before").isNull() | (F.col(start) > F.col("_before") + gap), F.col(start))
     return running(before.withColumn("_first", new).drop("_before"), keys, start, [*order, F.col("_first").asc_nulls_last()], F.col("_first"), "_island", "max", True, width=width).drop("_first")
@@ -72,7 +97,7 @@ def cut_at_gaps(rows: DataFrame, keys: list[str], at: str, gap: int) -> DataFram
 
 def merged(rows: DataFrame, keys: list[str], start: str, end: str, gap: int = 0, width: int | None = None) -> DataFrame:
     """Islands of intervals that overlap, or come within ``gap``: keys, start, end, n."""
-    marked = islands(rows.select(*keys, start, end), keys, start, end, gap, width=width)
+    marked = islands(rows.select(*keys, start, end), keys, start, end, gap, width=width, tasks=in_one_range(rows, start, width))
     return marked.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
 
 

@@ -28,6 +28,13 @@ def calls(t: Tables) -> DataFrame:
     )
 
 
+def distinct_calls(t: Tables) -> DataFrame:
+    """Calls that differ in contig, svtype, status, pos or len, with the least part as id; brought together in tasks of bounded size."""
+    rows, place = calls(t), ["contig", "svtype", "status", "pos", "len"]
+    dealt = rows.select(*place, "part").repartition(intervals.tasks_for(rows, rows.count()), *place)
+    return dealt.groupBy(*place).agg(F.min("part").alias("id"))
+
+
 def taxonomy(t: Tables) -> DataFrame:
     """sample, clade (nation) and phylum (region) of each supplier."""
     nation = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -297,7 +304,7 @@ def consensus_support(t: Tables) -> DataFrame:
 @query()
 def greedy_match_tolerance(t: Tables) -> DataFrame:
     """One-to-one matches of predicted to true calls, nearest first (tested against brute force)."""
-    rows = calls(t).groupBy("contig", "svtype", "status", "pos", "len").agg(F.min("part").alias("id"))
+    rows = distinct_calls(t)
     truth, found = rows.filter("status = 'O'"), rows.filter("status = 'F'")
     return selection.greedy_match(truth, found, ["contig", "svtype"], 400, 10.0)
 

@@ -9,7 +9,7 @@ from strandlake.functions import evidence as E
 from strandlake.functions import scores as S
 from strandlake.operators import biology, callers, calling, evaluation, intervals, panels, selection
 from strandlake.plans import reads  # noqa: F401  its SQL is used below
-from strandlake.plans.calls import _CALLS, _TAXONOMY, calls, taxonomy
+from strandlake.plans.calls import _CALLS, _TAXONOMY, calls, distinct_calls, taxonomy
 from strandlake.plans.registry import ORACLE_SQL, Tables, query
 from strandlake.session import scratch_path
 from strandlake.sources import tables
@@ -410,7 +410,7 @@ def clustered_inversions(t: Tables) -> DataFrame:
 )
 def matched_calls(t: Tables) -> DataFrame:
     """One-to-one matches of calls to truth, nearest first, against a recursion over sorted pairs."""
-    rows = calls(t).groupBy("contig", "svtype", "status", "pos", "len").agg(F.min("part").alias("id"))
+    rows = distinct_calls(t)
     return selection.greedy_match(rows.filter("status = 'O'"), rows.filter("status = 'F'"), ["contig", "svtype"], 400, 10.0)
 
 
