@@ -16,6 +16,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -29,8 +30,11 @@ from strandlake.session import staged
 
 WINDOW = 2048
 END_ID = 1
-#: Words whose ids a worker remembers, in two generations: when the newer one is half of them, the older one goes.
-REMEMBERED = 700_000
+#: Words and runs of words whose ids a generation remembers; two are kept, and the older one goes when the newer one is full.
+REMEMBERED = 500_000
+#: Fixed value: the letters by which byte-level models write bytes; those that aren't signs of Latin 1 get letters from 256 on.
+_SIGNS = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SIGNS)}
 #: Characters that Python's split takes for blanks and the tokenizer doesn't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Fixed value: the blanks of the tokenizer's pattern.
@@ -50,48 +54,65 @@ class WordIds:
     PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^0-9a-z\xdf-\xf6\xf8-\xff]+")
     PLAIN = re.compile(r"[\x21-\x7e\xc0-\xff]+")
 
+    #: What the tokenizer must do with runs for its model to be asked alone.
+    TRIED = ("the", "abracadabraesque", "x", "7", "!?", "'s", "'", "\xe9t\xe9", "\xd7\xf7--", "na\xefvet\xe9stra\xdfe")
+
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        #: Words and the runs into which words are cut: a run has the ids that it has as a word.
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         #: What was remembered before the present generation: frequent words come back from there.
-        self.old_words: dict[str, bytes] = {}
-        self.old_parts: dict[str, bytes] = {}
-
-    def _encode(self, parts: list[str]) -> None:
-        known, old = self.parts, self.old_parts
-        known.update((p, old[p]) for p in parts if p in old)
-        fresh = [p for p in parts if p not in known]
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            known.update((p, array("I", e.ids).tobytes()) for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
-
-    def _learn(self, words: list[str]) -> None:
-        plain, cut = {}, {}
+        self.old: dict[str, bytes] = {}
+        self.alone = all(self._by_model(p) == self._whole([p])[0] for p in self.TRIED)
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _by_model(self, run: str) -> bytes:
+        """The ids of a run by the tokenizer's model alone: it is in lower case and has no mark to compose, so all that is left of the steps before is the alphabet of bytes."""
+        text = run if run.isascii() else run.encode().decode("latin-1").translate(BYTES)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def _run(self, run: str) -> bytes:
+        known = self.words
+        found = known.get(run)
+        if found is None:
+            found = known[run] = self.old.get(run) or (self._by_model(run) if self.alone else self._whole([run])[0])
+        return found
+
+    def _learn(self, words: set[str]) -> None:
+        known, old, run, whole = self.words, self.old, self._run, []
         for w in words:
-            if w.isascii() and w.isalpha():  # nearly all words: one run of letters
-                plain[w] = w.lower()
+            if w in old:
+                known[w] = old[w]
+            elif w.isascii() and w.isalpha():  # nearly all words: one run of letters
+                known[w] = run(w.lower())
+            elif self.PLAIN.fullmatch(w) and "<|" not in w:
+                known[w] = b"".join(map(run, self.PARTS.findall(w.lower())))
             else:
-                cut[w] = self.PARTS.findall(w.lower()) if self.PLAIN.fullmatch(w) and "<|" not in w else [w]
-        known = self.parts
-        self._encode(list({p for p in plain.values() if p not in known} | {p for parts in cut.values() for p in parts if p not in known}))
-        self.words.update((w, known[p]) for w, p in plain.items())
-        self.words.update((w, b"".join(map(known.__getitem__, parts))) for w, parts in cut.items())
+                whole.append(w)
+        for at in range(0, len(whole), 20_000):
+            some = whole[at : at + 20_000]
+            known.update(zip(some, self._whole(some), strict=True))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.words) > REMEMBERED // 2:
-            self.words, self.old_words = {}, self.words
-        if len(self.parts) > REMEMBERED // 2:
-            self.parts, self.old_parts = {}, self.parts
+        if len(self.words) > REMEMBERED:
+            self.words, self.old = {}, self.words
         split = [SEPARATED.split(t) if t and SEPARATORS.search(t) else (t or "").split() for t in texts]
-        known, old = self.words, self.old_words
-        missing = {w for words in split for w in words if w not in known}
-        if old:
-            known.update((w, old[w]) for w in missing if w in old)
-            missing = [w for w in missing if w not in old]
-        self._learn(list(missing))
-        end = np.array([END_ID], "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) + end for words in split]
+        words = list(chain.from_iterable(split))
+        found = list(map(self.words.get, words))
+        if None in found:
+            missing = [i for i, f in enumerate(found) if f is None]
+            self._learn({words[i] for i in missing})
+            known = self.words
+            for i in missing:
+                found[i] = known[words[i]]
+        end, at, out = np.array([END_ID], "<u4").tobytes(), 0, []
+        for own in split:
+            out.append(b"".join(found[at : at + len(own)]) + end)
+            at += len(own)
+        return out
 
 
 _made: dict[str, WordIds] = {}

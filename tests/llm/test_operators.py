@@ -405,3 +405,12 @@ def test_word_ids_agree_with_the_tokenizer():
     for _ in range(300):
         text = "".join(r.choice(letters) for _ in range(r.randint(0, 25)))
         assert words.ids([text])[0] == np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4").tobytes()
+
+
+def test_the_tokenizer_is_not_asked_for_runs(monkeypatch):
+    """Words of Latin letters, digits and signs go to its model; the steps before it took most of the time."""
+    import public_tokenizers
+
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(words, "_whole", lambda some: pytest.fail(f"asked for {some}"))
+    assert words.alone and len(words.ids(["A wordlike thing, isn't it? Été 12!!"])[0]) > 4
