@@ -1,6 +1,6 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is document-partitioned: each of its rows covers a block of documents of about four megabytes and stores
+The index is document-partitioned: each of its rows covers a block of documents of about two megabytes and stores
 every token's postings (sorted term hashes, list offsets, and token positions, blocks' documents being set apart by gaps).
 It is written to the shared folder. A query part takes the benchmark's windows; in every block it drops windows with
 an absent term, starts from the postings of each window's rarest term, and intersects them with the offset-adjusted
@@ -27,12 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.text import LOWER, WORD, blocks, prefix_hash, runs, span_hash
+from strandlake.llm.text import LOWER, WORD, blocks, prefix_hash, released, runs, span_hash
 from strandlake.session import staged, temporary
 
 WIDTH = 10
 #: Bytes of benchmark text whose windows are broadcast together.
 PART_BYTES = 4 << 20
+#: Bytes of text in a row of the index; a worker needs some sixty times that.
+INDEX_BYTES = 2 << 20
 #: Candidate places that are intersected at once.
 PLACES = 1 << 21
 BROADCAST_BYTES = 64 << 20
@@ -52,7 +54,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for row, end, data, offsets in blocks(batch):
+            for row, end, data, offsets in blocks(batch, most=INDEX_BYTES):
                 words, first = word_hashes(data, offsets)
                 counts = np.diff(first)
                 position = np.arange(len(words)) + np.repeat(np.arange(len(counts)) * WIDTH, counts)
@@ -65,7 +67,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 block += 1
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(apply, INDEX.format(id=rows.schema["doc_id"].dataType.simpleString()))
+    return rows.mapInArrow(lambda batches: released(apply(batches)), INDEX.format(id=rows.schema["doc_id"].dataType.simpleString()))
 
 
 @dataclass
@@ -266,7 +268,7 @@ def _answers(index: DataFrame, shared, schema: str) -> DataFrame:
             found = [_summary(h, i) for h, i in zip(hit.tolist(), items, strict=True)]
             yield pa.RecordBatch.from_arrays([ids, pa.array(own.counts), *(pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string()))), pa.array([f[0] > 0 for f in found], pa.bool_())], names=_names())
 
-    return index.mapInArrow(apply, schema)
+    return index.mapInArrow(lambda batches: released(apply(batches)), schema)
 
 
 def _hits(index: DataFrame, shared) -> DataFrame:

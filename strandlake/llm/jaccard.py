@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from strandlake.llm import simhash_vp
 from strandlake.llm.components import components
 from strandlake.llm.arrays import dealt, mapped, new_folder, save
-from strandlake.llm.text import mix, prefix_hash, span_hash
+from strandlake.llm.text import mix, prefix_hash, released, span_hash
 from strandlake.session import staged, temporary
 
 WORDS, SIMILARITY = 5, 0.8
@@ -49,6 +49,11 @@ SMALL, BLOCK = 24, 1 << 13
 _FACTORS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
+def _ends(work):
+    """``work`` over a task's batches, after which the worker gives memory back."""
+    return lambda batches: released(work(batches))
+
+
 def shingles(text: str | None, width: int = WORDS) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -100,7 +105,7 @@ def classes(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "row", "key", "n", "bands"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
-    return rows.mapInArrow(apply, rows.select("doc_id", "row").schema.add("key", "long").add("n", "long").add("bands", "binary"))
+    return rows.mapInArrow(_ends(apply), rows.select("doc_id", "row").schema.add("key", "long").add("n", "long").add("bands", "binary"))
 
 
 def with_simhash(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -162,7 +167,7 @@ def _dealt(marked: DataFrame, tasks: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([keys[p[0][0]] for p in some], pa.int64()), pa.array([b"".join(keys[s:e].tobytes() for s, e in p) for p in some], pa.binary())], names=["first", "members"])
 
     known = marked.filter("bands IS NOT NULL").select("key", "bands")
-    return dealt(known.mapInArrow(deal, "task int, pairs binary"), tasks, "task").mapInArrow(gather, "first long, members binary").dropDuplicates(["members"])
+    return dealt(known.mapInArrow(_ends(deal), "task int, pairs binary"), tasks, "task").mapInArrow(_ends(gather), "first long, members binary").dropDuplicates(["members"])
 
 
 class Sets:
@@ -210,7 +215,7 @@ class Sets:
                 save(made.folder, f"wanted-{k}", keys)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([len(x) for x in found.values()], pa.int64())], names=["shard", "n"])
 
-        for r in dealt(groups.select("members").mapInArrow(ask, "shard int, keys binary"), shards).mapInArrow(note, "shard int, n long").collect():
+        for r in dealt(groups.select("members").mapInArrow(ask, "shard int, keys binary"), shards).mapInArrow(_ends(note), "shard int, n long").collect():
             made.sizes[r["shard"], 0] = r["n"]
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +248,7 @@ class Sets:
                 save(made.folder, f"sets-{k}", np.frombuffer(b"".join(own[x] for x in keys), np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.int64()) for i in range(3)], names=["shard", "n", "total"])
 
-        for r in dealt(docs.select("text").mapInArrow(send, "shard int, key long, shingles binary"), shards).mapInArrow(store, "shard long, n long, total long").collect():
+        for r in dealt(docs.select("text").mapInArrow(_ends(send), "shard int, key long, shingles binary"), shards).mapInArrow(_ends(store), "shard long, n long, total long").collect():
             made.sizes[r["shard"], 1:] = r["n"], r["total"]
         return made
 
@@ -358,7 +363,7 @@ def links(docs: DataFrame, marked: DataFrame, least: float = SIMILARITY) -> Data
                     found += filtered(members, [sets.of(x) for x in members], joined, least)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
-    return groups.repartition(max(partitions, rows * BANDS * 8 // TASK_BYTES + 1), "first").mapInArrow(compare, "a long, b long")
+    return groups.repartition(max(partitions, rows * BANDS * 8 // TASK_BYTES + 1), "first").mapInArrow(_ends(compare), "a long, b long")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm.text import released
+
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 #: Parts of the buckets' range, and the bits of a task's number that each of the levels of partial sums drops: at a million tasks none adds up more than 256 tables.
@@ -189,7 +191,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", alpha: floa
     schema = "lang string, slice int, part int, docs long, counts binary"
     known = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter("lang IS NOT NULL")
     tasks = max(SLICES, int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sums = known.mapInArrow(count, schema)
+    sums = known.mapInArrow(lambda batches: released(count(batches)), schema)
     for bits in (*LEVELS[1:], 31):
         sums = sums.repartition(tasks, "lang", "slice", "part").mapInArrow(add, schema).withColumn("part", F.shiftright("part", bits))
     sums = sums.repartition(SLICES, "lang", "slice").mapInArrow(add, schema)
@@ -221,7 +223,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text",
             found = own.predict_all(batch.column(batch.schema.get_field_index(text)).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*keep, *names])
 
-    return rows.mapInArrow(apply, schema)
+    return rows.mapInArrow(lambda batches: released(apply(batches)), schema)
 
 
 def held_out(modulus: int, remainder: int):

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.components import components
+from strandlake.llm.text import released
 from strandlake.session import staged
 
 SEED = 42
@@ -76,7 +77,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
                 found = np.array([fingerprint(t.as_py(), width) for t in batch.column(1).slice(at, 1024)], np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1024), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(apply, docs.select("doc_id").schema.add("fp", "long"))
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: released(apply(batches)), docs.select("doc_id").schema.add("fp", "long"))
 
 
 @dataclass
@@ -229,8 +230,8 @@ def links(classes: DataFrame, radius: int = RADIUS, parts: int = PARTS, sample:
             for a, b in shard_links(*(np.frombuffer(b"".join(x), np.uint64) for x in own), radius, cuts[k], cuts[k + 1] - cuts[k], radius // parts, leaf):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    routed = classes.select("fp").mapInArrow(route, "tree int, leaf int, stored binary, asking binary")
-    return routed.repartition(tasks, "tree", "leaf").mapInArrow(compare, "a long, b long")
+    routed = classes.select("fp").mapInArrow(lambda batches: released(route(batches)), "tree int, leaf int, stored binary, asking binary")
+    return routed.repartition(tasks, "tree", "leaf").mapInArrow(lambda batches: released(compare(batches)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, parts: int = PARTS) -> DataFrame:

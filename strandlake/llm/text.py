@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,6 +52,21 @@ def blocks(batch: pa.RecordBatch, column: str = "text", most: int = BLOCK_BYTES)
         row = end
 
 
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def released(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's batches; at its end the worker, which waits for other tasks, gives the memory that it no longer uses back."""
+    try:
+        yield from rows
+    finally:
+        _trim()
+
+
 def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of ``mask`` that do not cross a row: starts, ends, and the first run of each row (n+1)."""
     n = len(mask)
@@ -86,7 +102,7 @@ _cache: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the rolling base and of its inverse modulo 2**64."""
     if len(_cache.get("up", ())) < n:
-        n = 1 << max(20, n.bit_length())
+        n = -(-n >> 20) << 20  # in steps of 2**20, as they stay in memory
         _cache["up"], _cache["down"] = _powers(_ODD, n), _powers(_INVERSE, n)
     return _cache["up"], _cache["down"]
 
