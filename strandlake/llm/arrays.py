@@ -8,7 +8,9 @@ mounted (a ``file:`` path) files are memory-mapped; in an object store or HDFS a
 from __future__ import annotations
 
 import json
+import mmap
 import os
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -171,9 +173,18 @@ def save(folder: str, name: str, array: np.ndarray) -> None:
     store.move(at, at.removesuffix(own[len(path) :]))
 
 
-@lru_cache(maxsize=4096)
+#: Files that a worker keeps mapped: those of some five billion keys. A process may have 65,530 maps by Linux's default.
+MAPPED_FILES = 32_768
+
+
+@lru_cache(maxsize=MAPPED_FILES)
 def _opened(folder: str, name: str) -> np.ndarray:
-    return np.load(f"{folder}/{name}.npy", mmap_mode="r")
+    # a plain array and no np.memmap, which costs microseconds at each step; a map without an open file, of which a process may have few
+    with open(f"{folder}/{name}.npy", "rb") as f:
+        np.lib.format.read_magic(f)
+        shape, fortran, kind = np.lib.format.read_array_header_1_0(f)
+        held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **({"trackfd": False} if sys.version_info >= (3, 13) else {}))
+        return np.frombuffer(held, kind, int(np.prod(shape)), f.tell()).reshape(shape, order="F" if fortran else "C")
 
 
 #: Bytes of arrays that a worker keeps of a store that is not mounted.

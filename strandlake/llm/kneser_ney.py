@@ -12,8 +12,8 @@ The model is built in the shared folder by jobs that sort, sum and pack what a t
 Trigrams seen once are counted everywhere (in totals, discounts and lower orders) but not stored: their mass goes to the bigram
 level, as is usual when models are pruned. What is stored grows with the corpus.
 
-Workers map the files and look a block's distinct n-grams up in sorted order, so a block touches each file from front to back. Only
-counts of counts, array lengths and the frequent words that cut the shards reach the driver.
+Workers map the files and look the distinct n-grams of a million tokens up in sorted order, so these touch each file once, from front to
+back. Only counts of counts, array lengths and the frequent words that cut the shards reach the driver.
 
 A null text is empty, and has the end token alone. Repeated rows count and are scored as often as they come; a null doc_id is scored but
 not learnt from. Without training rows N and V are 0. An empty table gives no row, and other columns are ignored. Words are told apart by
@@ -47,6 +47,10 @@ COUNTED = 32
 STORED = 1
 #: Bytes of text that are read at once.
 READ_BYTES = 1 << 20
+#: Tokens that are looked up at once. Each time all shards are visited, whose number grows with the corpus, so these are many.
+TOKENS = 1_000_000
+#: Rows of statistics that are gathered at once.
+ROWS = 1 << 16
 SHIFT = np.uint64(32)
 LOW = np.uint64(0xFFFFFFFF)
 
@@ -59,6 +63,26 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.insert(hashes, first[1:], END), first + np.arange(len(first))
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
+    """Rows of ``TOKENS`` tokens or a little more: pieces of batches, the hashes of their tokens, and the first token of each row (n+1)."""
+    pieces: list[pa.RecordBatch] = []
+    hashes: list[np.ndarray] = []
+    first, size = [np.zeros(1, np.int64)], 0
+    for batch in batches:
+        rest = batch.drop_columns(["text"])
+        for row, end, data, offsets in blocks(batch, most=READ_BYTES):
+            own, starts = tokens(data, offsets)
+            pieces.append(rest.slice(row, end - row))
+            hashes.append(own)
+            first.append(starts[1:] + size)
+            size += len(own)
+            if size >= TOKENS:
+                yield pieces, np.concatenate(hashes), np.concatenate(first)
+                pieces, hashes, first, size = [], [], [np.zeros(1, np.int64)], 0
+    if pieces:
+        yield pieces, np.concatenate(hashes), np.concatenate(first)
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Where the words' files are: the shards' lower ends, the number of the first word of each, and the frequent words."""
@@ -225,13 +249,12 @@ def count_trigrams(docs: DataFrame, vocabulary: Vocabulary, edges: np.ndarray, l
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
-            for _, _, data, offsets in blocks(batch, most=READ_BYTES):
-                held.append(trigrams(vocabulary, *tokens(data, offsets)))
-                size += len(held[-1][0])
-                if size > GATHERED // 2:
-                    yield send(held)
-                    held, size = [], 0
+        for _, hashes, first in gathered(batches):
+            held.append(trigrams(vocabulary, hashes, first))
+            size += len(held[-1][0])
+            if size > 3 * GATHERED // 8:
+                yield send(held)
+                held, size = [], 0
         if held:
             yield send(held)
 
@@ -431,23 +454,26 @@ class Model:
         return out
 
     def triple(self, pair: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of trigrams sorted by pair: their stored counts and the statistics of their contexts."""
-        count, stats = np.zeros(len(pair)), np.zeros((len(pair), 4), np.uint64)
+        """Of trigrams sorted by pair: their own shares of their contexts, and the weights of the lower order."""
+        own_share, rest = np.zeros(len(pair)), np.ones(len(pair))
         for k, a, b in ranges(pair, self.edges):
             if not self.contexts[k, 0]:
                 continue
             known, begin = self._files(("contexts", "begin"), k, self.contexts)
             at = np.minimum(np.searchsorted(known, pair[a:b]), len(known) - 1)
             hit = np.flatnonzero(known[at] == pair[a:b])
+            if not len(hit):
+                continue
             n, *large = (int(x) for x in self.contexts[k, 1:])
-            if len(hit):
-                own, back = np.unique(at[hit], return_inverse=True)
-                stats[a + hit] = self._statistics(k, own, begin[own].astype(np.int64), begin[own + 1].astype(np.int64), n, *large)[back]
-            place = bisect(mapped(self.vocabulary.folder, f"next-{k}", n), begin[at[hit]].astype(np.int64), begin[at[hit] + 1].astype(np.int64), third[a:b][hit])
+            own, back = np.unique(at[hit], return_inverse=True)
+            low, high = begin[own].astype(np.int64), begin[own + 1].astype(np.int64)
+            stats = self._statistics(k, own, low, high, n, *large)[back]
+            place, count = bisect(mapped(self.vocabulary.folder, f"next-{k}", n), low[back], high[back], third[a:b][hit]), np.zeros(len(hit))
             found = place >= 0
             if found.any():
-                count[a + hit[found]] = small_rows(self.vocabulary.folder, f"times-{k}", n, large[1], place[found])[:, 0]
-        return count, stats
+                count[found] = small_rows(self.vocabulary.folder, f"times-{k}", n, large[1], place[found])[:, 0]
+            own_share[a + hit], rest[a + hit] = share(count, stats, self.three, self.pruned)
+        return own_share, rest
 
     def log_probability(self, distinct: np.ndarray, rank: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log10 of the probability of each token of a block, given the two before it; ``distinct`` are the numbers of the ranks, in order."""
@@ -456,19 +482,26 @@ class Model:
         number = np.append(np.where(distinct < 0, int(LOW), distinct), self.vocabulary.size).astype(np.uint64)
         earlier, before, token, which, _ = triples(rank, *preceding(rank, first, len(distinct)), len(distinct) + 1)
         pairs, of_pair = np.unique((before << SHIFT) | token, return_inverse=True)
-        second, third = (pairs >> SHIFT).astype(np.int64), (pairs & LOW).astype(np.int64)
-        keys = (number[second] << SHIFT) | number[third]
-        order = np.argsort(keys, kind="stable")
-        count = np.zeros(len(keys))
-        count[order] = self.pair(keys[order])
-        own, rest = share(count, followers[second], self.two, False)
-        lower = own + rest * low[third]
-        keys = (number[earlier] << SHIFT) | number[before]
-        order = np.argsort(keys, kind="stable")
-        count, stats = np.zeros(len(keys)), np.zeros((len(keys), 4), np.uint64)
-        count[order], stats[order] = self.triple(keys[order], number[token][order])
-        own, rest = share(count, stats, self.three, self.pruned)
-        return np.log10(own + rest * lower[of_pair])[which]
+        second, third = pairs >> SHIFT, pairs & LOW
+        pairs = (number[second] << SHIFT) | number[third]
+        order = np.argsort(pairs, kind="stable")
+        count = np.zeros(len(pairs))
+        count[order] = self.pair(pairs[order])
+        lower = np.empty(len(pairs))
+        for a in range(0, len(pairs), ROWS):  # some rows of statistics at a time
+            rows = slice(a, a + ROWS)
+            own, rest = share(count[rows], followers[second[rows]], self.two, False)
+            lower[rows] = own + rest * low[third[rows]]
+        lower = lower[of_pair]
+        del pairs, of_pair, second, third, count
+        contexts, token = (number[earlier] << SHIFT) | number[before], number[token]
+        del earlier, before
+        order = np.argsort(contexts, kind="stable")
+        own, rest = self.triple(contexts[order], token[order])
+        del contexts, token
+        out = np.empty(len(order))
+        out[order] = np.log10(own + rest * lower[order])
+        return out[which]
 
 
 def _noted(sent: DataFrame, shards: int, lengths: int = 2) -> tuple[np.ndarray, np.ndarray]:
@@ -517,14 +550,13 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, least: int = ST
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         n, v = own.vocabulary.total, own.vocabulary.size
-        for batch in batches:
-            for row, end, data, offsets in blocks(batch, most=READ_BYTES):
-                hashes, first = tokens(data, offsets)
-                distinct, rank = np.unique(hashes, return_inverse=True)
-                number, count = own.vocabulary.find(distinct)
-                base = np.log10((count + 1) / (n + v + 1))
-                known, base, whole = (np.add.reduceat(x, first[:-1]) for x in ((count > 0).astype(np.int64)[rank], base[rank], own.log_probability(number, rank, first)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, end - row), batch.column("held_out").slice(row, end - row), pa.array(np.diff(first)), pa.array(known), pa.array(np.full(end - row, n, np.int64)), pa.array(base), pa.array(whole)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for rows, hashes, first in gathered(batches):
+            distinct, rank = np.unique(hashes, return_inverse=True)
+            number, count = own.vocabulary.find(distinct)
+            base = np.log10((count + 1) / (n + v + 1))
+            known, base, whole = (np.add.reduceat(x, first[:-1]) for x in ((count > 0).astype(np.int64)[rank], base[rank], own.log_probability(number, rank, first)))
+            kept = [pa.concat_arrays([r.column(name) for r in rows]) for name in ("doc_id", "held_out")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(first)), pa.array(known), pa.array(np.full(len(known), n, np.int64)), pa.array(base), pa.array(whole)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     rows = docs.select("doc_id", held_out(modulus, remainder).alias("held_out"), "text")
     schema = rows.select("doc_id", "held_out").schema
